@@ -142,9 +142,9 @@ def f3_category(t):
 
 
 @register("F4_price_between", """
-select id, price from f_products where deleted_at is null and price >= 1000 and price <= 1500""")
+select id, price from f_products where deleted_at is null and price >= 925 and price <= 950.5""")
 def f4_price_between(t):
-    return t.products.filter(P.product_filter(min_price="1000", max_price="1500")).select("id", "price")
+    return t.products.filter(P.product_filter(min_price="925", max_price="950.5")).select("id", "price")
 
 
 @register("F5_low_stock", """
@@ -155,9 +155,9 @@ def f5_low_stock(t):
                                                                             "low_stock_threshold")
 
 
-F6_OPTS = dict(search_text="e", category_id=5, min_price=0, max_price="1800.5", low_stock_opt="1")
+F6_OPTS = dict(search_text="e", category_id=5, min_price=0, max_price="990.5", low_stock_opt="1")
 F6_WHERE = """deleted_at is null and (name ilike '%e%' or sku ilike '%e%') and category_id = 5
-  and price >= 0 and price <= 1800.5 and stock_quantity <= low_stock_threshold"""
+  and price >= 0 and price <= 990.5 and stock_quantity <= low_stock_threshold"""
 
 
 @register("F6_conjunction", f"select id, name, price, stock_quantity from f_products where {F6_WHERE}")
