@@ -1 +1,530 @@
-"""Registered queries (filled in below)."""
+"""Registered validation and state-change queries (V1-V7, M1-M5, M7-M9,
+S2, S5, S6).
+
+Request batches are stand-in inputs built from the test tables; they only
+give rows in the schema each job expects.  Each oracle states the job's
+result for that batch in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mutate as MU
+from ..operators import relations as R
+from ..operators import validate as V
+from ..session import DEFAULT_AS_OF, shared_path
+from ..sources import tables as TB
+from .catalog import register
+
+AS_OF = DEFAULT_AS_OF
+
+
+# ---------------------------------------------------------------- stand-in batches
+def product_batch(t):
+    """New-product requests, one per part (some break the rules)."""
+    p = t.raw("part")
+    return p.select(
+        (F.col("p_partkey") + 1).alias("seq"), F.col("p_name").alias("name"),
+        (F.col("p_retailprice") - 950).cast("decimal(10,2)").alias("price"),
+        F.concat(F.col("p_type"), F.when(F.col("p_size") > 40, ".").otherwise("-"),
+                 F.col("p_partkey").cast("string")).alias("sku"),
+        (F.col("p_size") - 5).cast("int").alias("stock_quantity"),
+        (F.col("p_size") % 7 - 1).cast("int").alias("low_stock_threshold"))
+
+
+PRODUCT_BATCH_SQL = """
+select p_partkey + 1 as seq, p_name as name, cast(p_retailprice - 950 as decimal(10,2)) as price,
+       p_type || case when p_size > 40 then '.' else '-' end || cast(p_partkey as varchar) as sku,
+       cast(p_size - 5 as int) as stock_quantity, cast(p_size % 7 - 1 as int) as low_stock_threshold
+from part"""
+
+
+def patch_batch(t):
+    """Product patches, one per part: some fields NULL (keep), some invalid."""
+    p = t.raw("part")
+    s = F.col("p_size")
+    return p.select(
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("seq"),
+        F.when(s > 45, F.lit("   ")).when(s > 30, F.upper("p_name")).alias("name"),
+        F.when(s < 30, (F.col("p_retailprice") - 920).cast("decimal(10,2)")).alias("price"),
+        (s - 3).cast("int").alias("low_stock_threshold"),
+        F.when(s == 50, F.lit("NEW-SKU")).alias("sku"))
+
+
+PATCH_BATCH_SQL = """
+select p_partkey as id, p_partkey + 1 as seq,
+       case when p_size > 45 then '   ' when p_size > 30 then upper(p_name) end as name,
+       case when p_size < 30 then cast(p_retailprice - 920 as decimal(10,2)) end as price,
+       cast(p_size - 3 as int) as low_stock_threshold,
+       case when p_size = 50 then 'NEW-SKU' end as sku
+from part"""
+
+
+def restock_batch(t):
+    """Restock requests: one per item of a delivered order, 250 units per
+    ordered unit, two days after the order."""
+    o = t.orders.filter(F.col("status") == "delivered").select(
+        F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
+        (F.col("created_at") + F.expr("interval 2 days")).alias("requested_at"))
+    return t.items.join(o, t.items["order_id"] == o["request_id"]).select(
+        "request_id", "line_no", "product_id", (F.col("quantity") * 250).cast("int").alias("quantity"),
+        "actor_id", "requested_at")
+
+
+RESTOCK_BATCH_SQL = """
+select o.id as request_id, i.line_no, i.product_id, cast(i.quantity * 250 as int) as quantity, o.user_id as actor_id,
+       o.created_at + interval '2' day as requested_at
+from f_order_items i join f_orders o on i.order_id = o.id where o.status = 'delivered'"""
+
+
+def user_batch(t):
+    """Sign-ups, one per customer; pairs of customers share an email."""
+    c = t.raw("customer")
+    email = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.col("c_name")).otherwise(
+        F.concat(F.lit("  Member"), (F.col("c_custkey") / 2).cast("bigint").cast("string"), F.lit("@Example.COM ")))
+    return c.select((F.col("c_custkey") + 1).alias("seq"), F.concat(F.lit(" "), F.col("c_name")).alias("name"),
+                    email.alias("email"), F.when(F.col("c_acctbal") < 0, F.lit("admin")).alias("role"))
+
+
+USER_BATCH_SQL = """
+select c_custkey + 1 as seq, ' ' || c_name as name,
+       case when c_mktsegment = 'AUTOMOBILE' then c_name
+            else '  Member' || cast(cast(c_custkey // 2 as bigint) as varchar) || '@Example.COM ' end as email,
+       case when c_acctbal < 0 then 'admin' end as role
+from customer"""
+
+
+# ---------------------------------------------------------------- validation
+
+
+@register("V1_validate_orders", """
+with req as (select o.id as request_id, i.line_no, i.product_id, i.quantity, cast(null as varchar) as notes
+             from f_orders o left join f_order_items i on i.order_id = o.id),
+agg as (select request_id, count(line_no) as n_items,
+               count(*) filter (where line_no is not null and (product_id is null or product_id < 1)) as bad_product,
+               count(*) filter (where line_no is not null and (quantity is null or quantity < 1 or quantity > 1000))
+                 as bad_qty,
+               max(length(trim(notes))) as notes_len
+        from req group by request_id),
+dup as (select distinct request_id from req where line_no is not null and product_id is not null
+        group by request_id, product_id having count(*) > 1)
+select a.request_id,
+       case when n_items < 1 then 'no_items' when bad_product > 0 then 'invalid_product_id'
+            when bad_qty > 0 then 'invalid_quantity' when coalesce(notes_len, 0) > 500 then 'notes_too_long'
+            when d.request_id is not null then 'duplicate_product' end as reason
+from agg a left join dup d on a.request_id = d.request_id""")
+def v1(t):
+    """Every order request with the first rule it breaks (NULL = valid)."""
+    return V.orders(t.order_request_items)
+
+
+@register("V2_validate_products", f"""
+select seq, sku, case
+  when name is null or length(trim(name)) = 0 then 'name_required'
+  when length(trim(name)) > 200 then 'name_too_long'
+  when price is null or price <= 0 then 'invalid_price'
+  when sku is null or length(trim(sku)) = 0 then 'sku_required'
+  when length(trim(sku)) > 100 then 'sku_too_long'
+  when not regexp_matches(trim(sku), '^[A-Za-z0-9_\\-]+$') then 'invalid_sku'
+  when stock_quantity < 0 then 'invalid_stock_quantity'
+  when low_stock_threshold < 0 then 'invalid_low_stock_threshold' end as reason
+from ({PRODUCT_BATCH_SQL}) b""")
+def v2(t):
+    return V.products(product_batch(t)).select("seq", "sku", "reason")
+
+
+@register("V3_validate_patches", f"""
+select id, case
+  when name is not null and length(trim(name)) = 0 then 'name_blank'
+  when name is not null and length(trim(name)) > 200 then 'name_too_long'
+  when price is not null and price <= 0 then 'invalid_price'
+  when low_stock_threshold is not null and low_stock_threshold < 0 then 'invalid_low_stock_threshold'
+  when sku is not null then 'sku_immutable' end as reason
+from ({PATCH_BATCH_SQL}) b""")
+def v3(t):
+    return V.product_patches(patch_batch(t)).select("id", "reason")
+
+
+@register("V4_validate_restocks", f"""
+select request_id, line_no, case when quantity is null or quantity < 1 or quantity > 10000 then 'invalid_quantity' end
+  as reason
+from ({RESTOCK_BATCH_SQL}) b""")
+def v4(t):
+    return V.restocks(restock_batch(t)).select("request_id", "line_no", "reason")
+
+
+@register("V5_validate_users", f"""
+select seq, case when name is null or length(trim(name)) = 0 then 'name_required'
+                 when email is null or not regexp_matches(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
+                   then 'invalid_email' end as reason
+from ({USER_BATCH_SQL}) b""")
+def v5(t):
+    return V.users(user_batch(t)).select("seq", "reason")
+
+
+@register("V6_validate_categories", """
+select n_nationkey as seq, case when length(trim(case when n_regionkey = 0 then '  ' else n_name end)) = 0
+  then 'name_required' end as reason from nation""")
+def v6(t):
+    n = t.raw("nation")
+    b = n.select(F.col("n_nationkey").alias("seq"),
+                 F.when(F.col("n_regionkey") == 0, F.lit("  ")).otherwise(F.col("n_name")).alias("name"))
+    return V.categories(b).select("seq", "reason")
+
+
+@register("V7_table_audit", """
+select 'order_items' as table_name, 'primary_key' as rule, 'order_id,line_no' as key_columns,
+       cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) as key_value, count(*) as rows
+from lineitem group by l_orderkey, l_linenumber having count(*) > 1
+union all
+select 'orders', 'not_null', 'total_amount', null, count(*) from f_orders where total_amount is null having count(*) > 0
+union all
+select 'orders', 'check', 'status', status, count(*) from f_orders
+where status not in ('pending','confirmed','packed','shipped','delivered','cancelled') group by status
+union all
+select 'users', 'check', 'role', role, count(*) from f_users where role not in ('user','admin') group by role
+union all
+select 'order_items', 'foreign_key', 'product_id', cast(l_partkey as varchar), count(*) from lineitem
+where l_partkey not in (select id from f_products) group by l_partkey
+union all
+select 'order_items', 'foreign_key', 'order_id', cast(l_orderkey as varchar), count(*) from lineitem
+where l_orderkey not in (select id from f_orders) group by l_orderkey
+union all
+select 'orders', 'foreign_key', 'user_id', cast(user_id as varchar), count(*) from f_orders
+where user_id is not null and user_id not in (select id from f_users) group by user_id
+union all
+select 'products', 'unique', 'sku', sku, count(*) from f_products group by sku having count(*) > 1
+union all
+select 'users', 'unique', 'email', email, count(*) from f_users group by email having count(*) > 1
+union all
+select 'products', 'primary_key', 'id', cast(id as varchar), count(*) from f_products group by id having count(*) > 1
+union all
+select 'users', 'primary_key', 'id', cast(id as varchar), count(*) from f_users group by id having count(*) > 1
+union all
+select 'orders', 'primary_key', 'id', cast(id as varchar), count(*) from f_orders group by id having count(*) > 1""")
+def v7(t):
+    """All schema constraints over whole tables; order items keyed by the
+    raw line number, which the test data repeats."""
+    raw_items = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"))
+    tables = {"users": t.users, "products": t.products, "orders": t.orders, "order_items": raw_items}
+    return V.table_audit(tables)
+
+
+# ---------------------------------------------------------------- M1 upsert
+
+SUPPLIER_PRODUCTS_SQL = """
+select s_suppkey + 1 as seq, 'SKU-' || lpad(cast(s_suppkey * 3 as varchar), 8, '0') as sku, s_name as name,
+       cast(100 + s_acctbal / 100 as decimal(10,2)) as price from supplier"""
+
+
+def supplier_products(t):
+    s = t.raw("supplier")
+    return s.select((F.col("s_suppkey") + 1).alias("seq"),
+                    F.concat(F.lit("SKU-"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 8, "0")).alias("sku"),
+                    F.col("s_name").alias("name"), (F.lit(100) + F.col("s_acctbal") / 100).cast("decimal(10,2)")
+                    .alias("price"))
+
+
+@register("M1_upsert_conflicts", f"""
+select sku, 'conflict' as reason from ({SUPPLIER_PRODUCTS_SQL}) b where sku in (select sku from f_products)""")
+def m1_conflicts(t):
+    """Inserting supplier products: skus that exist already are rejected."""
+    return MU.upsert(t.products, supplier_products(t), "sku", on_conflict="reject", as_of=AS_OF).rejected
+
+
+@register("M1_upsert_insert", f"""
+select id, sku, name, price, stock_quantity, low_stock_threshold from f_products
+union all
+select (select max(id) from f_products) + seq, sku, name, price, 0, 10
+from ({SUPPLIER_PRODUCTS_SQL}) b where sku not in (select sku from f_products)""")
+def m1_insert(t):
+    """Insert-if-absent: the new product table (defaults filled for new rows)."""
+    r = MU.upsert(t.products, supplier_products(t), "sku", on_conflict="ignore", as_of=AS_OF)
+    out = MU.apply_defaults(r.table, "products", AS_OF)
+    return out.select("id", "sku", "name", "price", "stock_quantity", "low_stock_threshold")
+
+
+@register("M1_upsert_update", """
+with b as (select p_brand as name, p_type || ' ' || cast(p_partkey as varchar) as description, p_partkey + 1 as seq
+           from part),
+last as (select name, arg_max(description, seq) as description from b group by name)
+select c.id, c.name, l.description
+from f_categories c left join last l on c.name = l.name""")
+def m1_update(t):
+    """Categories upserted on name; the batch's last description wins."""
+    p = t.raw("part")
+    b = p.select(F.col("p_brand").alias("name"),
+                 F.concat(F.col("p_type"), F.lit(" "), F.col("p_partkey").cast("string")).alias("description"),
+                 (F.col("p_partkey") + 1).alias("seq"))
+    r = MU.upsert(t.categories, b, "name", on_conflict="update", update_cols=["description"], as_of=AS_OF)
+    return r.table.select("id", "name", "description")
+
+
+# ---------------------------------------------------------------- M2 patch
+
+PATCH_OK_SQL = f"""
+select * from ({PATCH_BATCH_SQL}) b
+where not ((name is not null and (length(trim(name)) = 0 or length(trim(name)) > 200))
+        or (price is not null and price <= 0) or (low_stock_threshold is not null and low_stock_threshold < 0)
+        or sku is not null)"""
+
+
+def _patched(t):
+    ok, _ = V.split(V.product_patches(patch_batch(t)))
+    return MU.patch(t.products, ok.drop("sku"), ["name", "price", "low_stock_threshold"], live_only=True,
+                    as_of=AS_OF)
+
+
+@register("M2_patch", f"""
+select p.id, coalesce(b.name, p.name) as name, coalesce(b.price, p.price) as price,
+       coalesce(b.low_stock_threshold, p.low_stock_threshold) as low_stock_threshold,
+       case when b.id is not null then timestamp '{AS_OF}' else p.updated_at end as updated_at
+from (select *, cast(null as timestamp) as updated_at from f_products) p
+left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null""")
+def m2(t):
+    return _patched(t).table.select("id", "name", "price", "low_stock_threshold", "updated_at")
+
+
+@register("M2_patch_rejected", f"""
+select b.id, 'not_found' as reason from ({PATCH_OK_SQL}) b
+where b.id not in (select id from f_products where deleted_at is null)""")
+def m2_rejected(t):
+    """Patches of deleted products are refused."""
+    return _patched(t).rejected
+
+
+# ---------------------------------------------------------------- M3 soft delete
+
+RETURNED_PARTS_SQL = "select distinct l_partkey as id from lineitem where l_returnflag = 'R'"
+
+
+def _soft_deleted(t):
+    ids = t.raw("lineitem").filter(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("id"))
+    return MU.soft_delete(t.products, ids, as_of=AS_OF)
+
+
+@register("M3_soft_delete", f"""
+select id, case when deleted_at is null and id in ({RETURNED_PARTS_SQL}) then timestamp '{AS_OF}'
+                else deleted_at end as deleted_at
+from f_products""")
+def m3(t):
+    """Archive every product that had returned items."""
+    return _soft_deleted(t).table.select("id", "deleted_at")
+
+
+@register("M3_soft_delete_rejected", f"""
+select id, 'not_found' as reason from ({RETURNED_PARTS_SQL}) r
+where id not in (select id from f_products where deleted_at is null)""")
+def m3_rejected(t):
+    return _soft_deleted(t).rejected
+
+
+# ---------------------------------------------------------------- M4 hard delete
+
+
+@register("M4_hard_delete_categories", """
+select p.id, case when p.category_id in (select n_nationkey from nation where n_regionkey = 2) then null
+                  else p.category_id end as category_id
+from f_products p""")
+def m4_categories(t):
+    """Delete the categories named by region 2's nation keys: products keep
+    their rows with category_id set to NULL."""
+    ids = t.raw("nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("id"))
+    r = MU.hard_delete(t.domain(), "categories", ids)
+    return r.extra["products"].select("id", "category_id")
+
+
+@register("M4_hard_delete_users", """
+select i.order_id, i.line_no from f_order_items i
+where i.order_id not in (select o.id from f_orders o join customer c on o.user_id = c.c_custkey
+                         where c.c_mktsegment = 'BUILDING')""")
+def m4_users(t):
+    """Delete the users of one market segment: their orders and those
+    orders' items go too (CASCADE); the remaining items."""
+    ids = t.raw("customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("id"))
+    r = MU.hard_delete(t.domain(), "users", ids)
+    return r.extra["order_items"].select("order_id", "line_no")
+
+
+@register("M4_hard_delete_products", """
+with req as (select distinct p_partkey + 1 as id from part where p_size = 1)
+select id, case when id not in (select id from f_products) then 'not_found' else 'restricted' end as reason
+from req where id not in (select id from f_products) or id in (select product_id from f_order_items)""")
+def m4_products(t):
+    """Deleting products still named by order items is refused (RESTRICT)."""
+    ids = t.raw("part").filter(F.col("p_size") == 1).select((F.col("p_partkey") + 1).alias("id"))
+    return MU.hard_delete(t.domain(), "products", ids).rejected
+
+
+# ---------------------------------------------------------------- M5 restock
+
+RESTOCK_OK_SQL = f"""
+select b.* from ({RESTOCK_BATCH_SQL}) b join f_products p on b.product_id = p.id
+where p.deleted_at is null and b.quantity between 1 and 10000"""
+
+
+def _restocked(t):
+    return MU.restock(t.products, restock_batch(t), as_of=AS_OF)
+
+
+@register("M5_restock", f"""
+select product_id, actor_id as changed_by, cast(qa - quantity as int) as quantity_before, cast(qa as int) as quantity_after,
+       'manual_restock' as reason, requested_at as changed_at, request_id as ref_id, line_no
+from (select r.*, p.stock_quantity + sum(r.quantity) over (partition by r.product_id
+             order by r.requested_at, r.request_id, r.line_no rows between unbounded preceding and current row) as qa
+      from ({RESTOCK_OK_SQL}) r join f_products p on r.product_id = p.id) t""")
+def m5(t):
+    """Audit rows of accepted restocks, with the true running stock."""
+    return _restocked(t).audit
+
+
+@register("M5_restock_stock", f"""
+select p.id, cast(p.stock_quantity + coalesce(s.q, 0) as int) as stock_quantity
+from f_products p left join (select product_id, sum(quantity) as q from ({RESTOCK_OK_SQL}) r group by product_id) s
+on p.id = s.product_id""")
+def m5_stock(t):
+    return _restocked(t).table.select("id", "stock_quantity")
+
+
+@register("M5_restock_rejected", f"""
+select b.request_id, b.line_no, b.product_id,
+       case when b.quantity is null or b.quantity < 1 or b.quantity > 10000 then 'invalid_quantity'
+            else 'not_found' end as reason
+from ({RESTOCK_BATCH_SQL}) b left join f_products p on b.product_id = p.id
+where b.quantity is null or b.quantity < 1 or b.quantity > 10000 or p.id is null or p.deleted_at is not null""")
+def m5_rejected(t):
+    return _restocked(t).rejected
+
+
+# ---------------------------------------------------------------- M7 / M8 status
+
+STATUS_OUTCOME_SQL = """
+select r.order_id, r.seq, r.status, r.actor_id, r.actor_role,
+       case when o.id is null then 'not_found'
+            when r.actor_role <> 'admin' and r.status <> 'cancelled' then 'admin_only'
+            when r.actor_role <> 'admin' and o.user_id is distinct from r.actor_id then 'not_owner'
+            when o.status || '>' || r.status in ('pending>confirmed', 'confirmed>packed', 'packed>shipped',
+                                                  'shipped>delivered', 'pending>cancelled', 'confirmed>cancelled')
+              then null
+            else 'invalid_transition' end as reason
+from f_status_requests r left join f_orders o on r.order_id = o.id"""
+
+
+def _advanced(t):
+    return MU.advance_status(t.orders, t.status_requests, as_of=AS_OF)
+
+
+@register("M7_advance_status", f"""
+select order_id, seq, status, actor_id, actor_role, reason is null as accepted, reason from ({STATUS_OUTCOME_SQL}) x""")
+def m7(t):
+    """Every status request with its outcome."""
+    return _advanced(t).extra["requests"]
+
+
+@register("M7_orders", f"""
+select o.id, coalesce(x.status, o.status) as status
+from f_orders o left join (select order_id, status from ({STATUS_OUTCOME_SQL}) y where reason is null) x
+on o.id = x.order_id""")
+def m7_orders(t):
+    return _advanced(t).table.select("id", "status")
+
+
+CANCELLED_NOW_SQL = f"select order_id, actor_id from ({STATUS_OUTCOME_SQL}) y where reason is null and status = 'cancelled'"
+
+
+@register("M8_cancel_orders", f"""
+select product_id, changed_by, cast(qa - quantity as int) as quantity_before, cast(qa as int) as quantity_after,
+       'order_cancelled' as reason, timestamp '{AS_OF}' as changed_at, order_id as ref_id, line_no
+from (select i.product_id, c.actor_id as changed_by, i.quantity, i.order_id, i.line_no,
+             p.stock_quantity + sum(i.quantity) over (partition by i.product_id order by i.order_id, i.line_no
+               rows between unbounded preceding and current row) as qa
+      from f_order_items i join ({CANCELLED_NOW_SQL}) c on i.order_id = c.order_id
+      join f_products p on i.product_id = p.id) t""")
+def m8(t):
+    """Stock given back for the orders cancelled by the status batch."""
+    adv = _advanced(t)
+    return MU.cancel_orders(t.products, t.items, adv.extra["cancelled"], as_of=AS_OF).audit
+
+
+# ---------------------------------------------------------------- M9 users
+
+USER_CHECKED_SQL = f"""
+with b as (select seq, trim(name) as name, lower(trim(email)) as email, coalesce(role, 'user') as role
+           from ({USER_BATCH_SQL}) x),
+v as (select *, case when name is null or length(trim(name)) = 0 then 'name_required'
+                     when email is null or not regexp_matches(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
+                       then 'invalid_email'
+                     when role not in ('user', 'admin') then 'invalid_role'
+                     when role = 'admin' then 'admin_not_allowed' end as r1 from b),
+f as (select email, min(seq) as first_seq from v where r1 is null group by email)
+select v.seq, v.name, v.email, v.role,
+       coalesce(v.r1, case when v.seq <> f.first_seq then 'duplicate_in_batch' end,
+                case when v.email in (select email from f_users) then 'email_taken' end) as reason
+from v left join f on v.email = f.email"""
+
+
+def _registered(t):
+    return MU.register_users(t.users, user_batch(t), allow_admin=False, as_of=AS_OF)
+
+
+@register("M9_register_users", f"""
+select id, name, email, role from f_users
+union all
+select (select max(id) from f_users) + seq, name, email, role from ({USER_CHECKED_SQL}) c where reason is null""")
+def m9(t):
+    return _registered(t).table.select("id", "name", "email", "role")
+
+
+@register("M9_register_users_rejected", f"select seq, email, reason from ({USER_CHECKED_SQL}) c where reason is not null")
+def m9_rejected(t):
+    return _registered(t).rejected
+
+
+# ---------------------------------------------------------------- S2, S5, S6
+
+
+@register("S2_apply_defaults", f"""
+select id, coalesce(created_at, timestamp '{AS_OF}') as created_at, timestamp '{AS_OF}' as updated_at,
+       stock_quantity, low_stock_threshold
+from f_products""")
+def s2(t):
+    out = MU.apply_defaults(t.products, "products", AS_OF)
+    return out.select("id", "created_at", "updated_at", "stock_quantity", "low_stock_threshold")
+
+
+@register("S5_seed", "select id, name, cast(null as varchar) as description from f_categories")
+def s5(t):
+    """The starter catalogue is skipped when live products exist (here they do)."""
+    r = MU.seed(t.spark, t.categories, t.products, as_of=AS_OF)
+    return r.extra["categories"].select("id", "name", "description")
+
+
+@register("S5_seed_products", "select id, sku from f_products")
+def s5_products(t):
+    r = MU.seed(t.spark, t.categories, t.products, as_of=AS_OF)
+    return r.table.select("id", "sku")
+
+
+@register("S6_read_request_log", """
+select date_trunc('millisecond', ts) as ts, method, url, status, floor(ms * 100) / 100 as ms, request_id, ip
+from f_request_log""")
+def s6(t):
+    """Request-log rows written as the server's JSON lines (ms as a string
+    with two decimals, ISO time in ms), then read back by the S6 reader."""
+    path = write_request_log_lines(t)
+    return TB.read_request_log(t.spark, path)
+
+
+def write_request_log_lines(t) -> str:
+    """Write the test request log as JSON lines to a new shared folder."""
+    log = t.request_log.withColumn("ms", F.floor(F.col("ms") * 100) / 100)
+    path = shared_path(t.spark, "request-log")
+    TB.to_log_lines(log).write.mode("errorifexists").text(path)
+    return path
+
+
+__all__ = ["R"]
