@@ -43,16 +43,28 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     and including this row, rows ordered by ``order`` (ties broken
     arbitrarily, like ``row_number``).  ``chunk`` must be non-decreasing in
     ``order`` within a key."""
-    d, cn = _chunk_cols(df.withColumn("_v", value), chunk)
-    totals = d.groupBy(*keys, *cn).agg(F.sum("_v").alias("_chunk_total"))
+    return running_sums(df, keys, order, {out: value}, chunk)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column],
+                 chunk: list[Column]) -> DataFrame:
+    """:func:`running_sum` for several values at once (one set of shuffles)."""
+    vals = {out: f"_v{i}" for i, out in enumerate(values)}
+    d = df
+    for out, c in values.items():
+        d = d.withColumn(vals[out], c)
+    d, cn = _chunk_cols(d, chunk)
+    totals = d.groupBy(*keys, *cn).agg(*[F.sum(v).alias(f"{v}_t") for v in vals.values()])
     w_chunks = Window.partitionBy(*keys).orderBy(*cn).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *cn, F.coalesce(F.sum("_chunk_total").over(w_chunks), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*keys, *cn, *[F.coalesce(F.sum(f"{v}_t").over(w_chunks), F.lit(0)).alias(f"{v}_o")
+                                          for v in vals.values()])
     o = offsets.alias("_o")
     joined = d.alias("_d").join(o, _null_safe_on(d.alias("_d"), o, keys + cn), "inner")
-    joined = joined.select("_d.*", F.col("_o._offset"))
+    joined = joined.select("_d.*", *[F.col(f"_o.{v}_o") for v in vals.values()])
     w_in = Window.partitionBy(*keys, *cn).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    res = joined.withColumn(out, F.col("_offset") + F.sum("_v").over(w_in))
-    return res.drop("_v", "_offset", *cn)
+    for out, v in vals.items():
+        joined = joined.withColumn(out, F.col(f"{v}_o") + F.sum(v).over(w_in))
+    return joined.drop(*vals.values(), *[f"{v}_o" for v in vals.values()], *cn)
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,

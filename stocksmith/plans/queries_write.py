@@ -450,6 +450,29 @@ def m8(t):
     return MU.cancel_orders(t.products, t.items, adv.extra["cancelled"], as_of=AS_OF).audit
 
 
+# ---------------------------------------------------------------- M6 placement
+
+
+def _placed(t):
+    from ..operators.allocate import place_orders
+    return place_orders(t.products, t.order_request_items, as_of=AS_OF)
+
+
+@register("M6_place_orders")
+def m6(t):
+    """Every order of the test data placed against the product stock, in
+    (created_at, id) order, all-or-nothing per order: accepted or the reason
+    it was refused.  Iterative, so no SQL oracle; tests check it against a
+    one-by-one replay."""
+    return _placed(t).decisions
+
+
+@register("M6_place_orders_audit")
+def m6_audit(t):
+    """The order_placed audit rows of the accepted orders (true running stock)."""
+    return _placed(t).audit
+
+
 # ---------------------------------------------------------------- M9 users
 
 USER_CHECKED_SQL = f"""
