@@ -1 +1,123 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming queries (T1-T5).
+
+Each query runs its stream over the whole test input with an
+``availableNow`` trigger into a new folder under the shared root, waits
+for it, and returns what the sink holds.  Windowed aggregations run in
+append mode, so they emit only windows the watermark has closed; the
+oracles state exactly that (window end at or before the last event time
+minus the watermark delay).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shared_path
+from ..sources import fixtures as FX
+from ..sources import tables as TB
+from ..streaming import streams as ST
+from .catalog import register
+from .queries_write import AS_OF, STATUS_OUTCOME_SQL, write_request_log_lines
+
+
+def _stream_table(t, name: str) -> DataFrame:
+    """A test table read as a file stream (one file, so one micro-batch)."""
+    schema = t.raw(name).schema
+    return (t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(t.d))
+
+
+def _run(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def _sink(t, stream: DataFrame, name: str) -> DataFrame:
+    base = shared_path(t.spark, name)
+    _run(ST.to_parquet(stream, f"{base}/out", f"{base}/checkpoint"))
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _closed(window_end: str, delay: str) -> str:
+    return f"{window_end} <= (select max(date_trunc('millisecond', ts)) from f_request_log) - interval '{delay}'"
+
+
+@register("T1_rate_violations", f"""
+with log as (select date_trunc('millisecond', ts) as ts, ip from f_request_log),
+w as (select date_trunc('day', ts) as window_start, ip, count(*) as hits from log group by 1, 2)
+select window_start, window_start + interval '1 day' as window_end, ip, hits, hits - 3 as refused
+from w where hits > 3 and {_closed("window_start + interval '1 day'", '10 minutes')}""")
+def t1(t):
+    """Per-IP request counts over tumbling 1-day windows, limit 3 (the
+    application's 60 s / 100 are never reached by the test log), read from
+    the JSON request log as a stream."""
+    path = write_request_log_lines(t)
+    log = TB.read_request_log(t.spark, path, stream=True)
+    return _sink(t, ST.rate_violations(log, window="1 day", limit=3), "t1")
+
+
+@register("T2_request_metrics", f"""
+with log as (select date_trunc('millisecond', ts) as ts, method,
+                    regexp_replace(regexp_replace(url, '\\?.*$', ''), '/[0-9]+(/|$)', '/:id\\1', 'g') as route,
+                    status, cast(floor(ms * 100) / 100 as decimal(12,2)) as ms from f_request_log),
+w as (select date_trunc('hour', ts) as window_start, method, route, count(*) as requests,
+             count(*) filter (where status < 300) as ok_2xx,
+             count(*) filter (where status >= 300 and status < 400) as redirect_3xx,
+             count(*) filter (where status >= 400 and status < 500) as client_4xx,
+             count(*) filter (where status >= 500) as server_5xx,
+             cast(sum(ms) as decimal(18,2)) as total_ms, max(ms) as max_ms
+      from log group by 1, 2, 3)
+select window_start, window_start + interval '1 hour' as window_end, method, route, requests, ok_2xx, redirect_3xx,
+       client_4xx, server_5xx, total_ms, max_ms
+from w where {_closed("window_start + interval '1 hour'", '10 minutes')}""")
+def t2(t):
+    """Hourly request metrics per method and route from the JSON log stream."""
+    path = write_request_log_lines(t)
+    log = TB.read_request_log(t.spark, path, stream=True)
+    return _sink(t, ST.request_metrics(log, window="1 hour"), "t2")
+
+
+@register("T3_stock_alerts", """
+with mv as (select * from f_stock_movements where reason <> 'manual_restock'),
+led as (select mv.*, p.low_stock_threshold,
+               p.stock_quantity + sum(mv.delta) over (partition by mv.product_id order by mv.changed_at, mv.ref_id,
+                 mv.line_no rows between unbounded preceding and current row) as qa
+        from mv join f_products p on mv.product_id = p.id)
+select product_id, changed_by, cast(qa - delta as int) as quantity_before, cast(qa as int) as quantity_after, reason,
+       changed_at, ref_id, line_no, low_stock_threshold
+from led where qa - delta > low_stock_threshold and qa <= low_stock_threshold""")
+def t3(t):
+    """Low-stock alerts from a stream of order movements (written first as a
+    movement log) over the products' current stock: stock crossing down to
+    its threshold."""
+    base = shared_path(t.spark, "t3")
+    t.movements.filter(F.col("reason") != "manual_restock").write.parquet(f"{base}/movements")
+    schema = t.spark.read.parquet(f"{base}/movements").schema
+    moves = t.spark.readStream.schema(schema).parquet(f"{base}/movements")
+    start = t.products.select(F.col("id").alias("product_id"), "stock_quantity")
+    _run(ST.stock_alerts(moves, t.products, f"{base}/state", f"{base}/alerts", f"{base}/checkpoint",
+                         initial=start))
+    return t.spark.read.parquet(f"{base}/alerts").drop("batch")
+
+
+@register("T4_revoked_use", """
+select a.session_key as key, a.ts, a.request_id, r.revoked_at, r.expires_at
+from f_request_log a join f_revocations r
+  on a.session_key = r.key and a.ts >= r.revoked_at and a.ts < r.expires_at""")
+def t4(t):
+    """Requests made with a key while it is revoked: stream-stream interval
+    join of the request stream and the revocation stream (both from events)."""
+    ev = _stream_table(t, "events")
+    return _sink(t, ST.revoked_use(FX.request_log_from(ev), FX.revocations_from(ev)), "t4")
+
+
+@register("T5_status_stream", f"""
+select order_id, seq, status, actor_id, actor_role, reason is null as accepted, reason from ({STATUS_OUTCOME_SQL}) x""")
+def t5(t):
+    """Status requests as a stream, applied batch by batch to the orders."""
+    base = shared_path(t.spark, "t5")
+    req = FX.status_requests_from(_stream_table(t, "orders"))
+    _run(ST.status_stream(req, t.orders, f"{base}/state", f"{base}/out", f"{base}/checkpoint", as_of=AS_OF))
+    return t.spark.read.parquet(f"{base}/out").drop("batch")

@@ -123,7 +123,11 @@ def audit_log(spark: SparkSession, d: str, movements: DataFrame | None = None) -
 
 
 def request_log(spark: SparkSession, d: str) -> DataFrame:
-    e = raw(spark, d, "events")
+    return request_log_from(raw(spark, d, "events"))
+
+
+def request_log_from(e: DataFrame) -> DataFrame:
+    """Events (batch or stream) mapped to request-log rows."""
     et = F.col("event_type")
     method = (F.when(et == "view", "GET").when(et == "click", "PATCH").when(et == "error", "GET").otherwise("POST"))
     url = (F.when(et == "view", "/api/v1/products").when(et == "click", "/api/v1/orders/1/status")
@@ -137,13 +141,22 @@ def request_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revocations(spark: SparkSession, d: str) -> DataFrame:
-    e = raw(spark, d, "events").filter(F.col("event_type") == "signup")
+    return revocations_from(raw(spark, d, "events"))
+
+
+def revocations_from(events: DataFrame) -> DataFrame:
+    """Every sign-up event revokes its user's key for 7 days."""
+    e = events.filter(F.col("event_type") == "signup")
     return e.select(F.col("user_id").alias("key"), F.col("ts").alias("revoked_at"),
                     (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"))
 
 
 def status_requests(spark: SparkSession, d: str) -> DataFrame:
-    o = raw(spark, d, "orders")
+    return status_requests_from(raw(spark, d, "orders"))
+
+
+def status_requests_from(o: DataFrame) -> DataFrame:
+    """One status request per order row (batch or stream)."""
     k = F.col("o_orderkey")
     m = k % 6
     status = (F.when(m == 0, "pending").when(m == 1, "confirmed").when(m == 2, "packed").when(m == 3, "shipped")
