@@ -2,19 +2,29 @@
 
 ``F.sum(x).over(W.partitionBy(k).orderBy(o))`` puts every row of one key in
 one task: one product with a third of all stock movements would be one task.
-These helpers split each key into *chunks*: columns that never decrease along
-the row order within the key (a prefix of the sort key, or a time bucket of
-its first column).  The work is then done in three steps:
-
-1. ``groupBy(key, chunk)`` totals (partial aggregation, so a hot key is
-   combined map-side);
-2. a window over those totals per key ordered by chunk (one row per chunk,
-   small) gives each chunk's starting offset;
-3. a window per ``(key, chunk)`` gives the running value inside the chunk.
-
-Step 3 and the join of the offsets both hash on ``(key, chunk)``, so the
-join's shuffle is reused by the window and a hot key spreads over as many
-tasks as it has chunks.
+So the helpers first find the *hot* keys -- keys with more rows than
+``stocksmith.hotKeyRows`` (a session setting, default 1,000,000) -- with a
+partial aggregate.  There are at most ``rows / threshold`` hot keys, so that
+list has a proven size bound and is broadcast.
+
+* Ordinary keys use the plain window (one shuffle on the key).
+* Hot keys are split into *chunks*: columns that never decrease along the
+  row order within the key (a prefix of the sort key, or a time bucket of
+  its first column).  Then:
+
+  1. ``groupBy(key, chunk)`` totals (partial aggregation, so the hot key is
+     combined map-side);
+  2. a window over those totals per key ordered by chunk (one row per
+     chunk) gives each chunk's starting offset;
+  3. a window per ``(key, chunk)`` gives the running value inside the chunk.
+
+  Step 3 and the join of the offsets both hash on ``(key, chunk)``, so the
+  join's shuffle is reused by the window, and the hot key spreads over as
+  many tasks as it has chunks.
+
+The hot-key list is written with a reliable ``checkpoint()`` (shared
+folder), so it is computed once; when it is empty the chunked branch is not
+planned at all.
 """
 
 from __future__ import annotations
@@ -25,6 +35,13 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_KEY_CONF = "stocksmith.hotKeyRows"
+DEFAULT_HOT_KEY_ROWS = 1_000_000
+
+
+def hot_key_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_KEY_CONF, str(DEFAULT_HOT_KEY_ROWS)))
+
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(and_, [left[c].eqNullSafe(right[c]) for c in cols])
@@ -37,18 +54,47 @@ def _chunk_cols(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str
     return df, names
 
 
+def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None if there are none)."""
+    from ..session import shared_root
+    threshold = hot_key_rows(df) if threshold is None else threshold
+    shared_root(df.sparkSession)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > threshold).select(*keys))
+    hot = hot.checkpoint(eager=True)
+    hot = hot.select(*[F.col(k).alias(k) for k in keys])
+    if hot.isEmpty():
+        return df, None
+    h = F.broadcast(hot.withColumn("_hot", F.lit(True))).alias("_h")   # <= rows/threshold keys
+    x = df.alias("_x")
+    flagged = x.join(h, _null_safe_on(x, h, keys), "left").select("_x.*", F.col("_h._hot"))
+    return flagged.filter(F.col("_hot").isNull()).drop("_hot"), flagged.filter(F.col("_hot")).drop("_hot")
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,
-                chunk: list[Column]) -> DataFrame:
+                chunk: list[Column], threshold: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``keys`` up to
     and including this row, rows ordered by ``order`` (ties broken
     arbitrarily, like ``row_number``).  ``chunk`` must be non-decreasing in
     ``order`` within a key."""
-    return running_sums(df, keys, order, {out: value}, chunk)
+    return running_sums(df, keys, order, {out: value}, chunk, threshold)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column],
-                 chunk: list[Column]) -> DataFrame:
+                 chunk: list[Column], threshold: int | None = None) -> DataFrame:
     """:func:`running_sum` for several values at once (one set of shuffles)."""
+    cold, hot = split_hot(df, keys, threshold)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    plain = cold
+    for out, c in values.items():
+        plain = plain.withColumn(out, F.sum(c).over(w))
+    if hot is None:
+        return plain
+    return plain.unionByName(_chunked_sums(hot, keys, order, values, chunk))
+
+
+def _chunked_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column],
+                  chunk: list[Column]) -> DataFrame:
     vals = {out: f"_v{i}" for i, out in enumerate(values)}
     d = df
     for out, c in values.items():
@@ -68,11 +114,15 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: di
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,
-                   chunk: list[Column]) -> DataFrame:
+                   chunk: list[Column], threshold: int | None = None) -> DataFrame:
     """Add ``out`` = ``value`` of the previous row of the same key in
-    ``order`` (NULL for the first), with the same chunking as
+    ``order`` (NULL for the first), with the same hot-key handling as
     :func:`running_sum`.  ``order`` must be a total order within a key."""
-    d, cn = _chunk_cols(df.withColumn("_v", value), chunk)
+    cold, hot = split_hot(df, keys, threshold)
+    plain = cold.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return plain
+    d, cn = _chunk_cols(hot.withColumn("_v", value), chunk)
     # last value of each chunk, by the full row order
     last = d.groupBy(*keys, *cn).agg(F.max_by("_v", F.struct(*order)).alias("_last"))
     w_chunks = Window.partitionBy(*keys).orderBy(*cn)
@@ -83,7 +133,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: C
     w_in = Window.partitionBy(*keys, *cn).orderBy(*order)
     first_in_chunk = F.row_number().over(w_in) == 1
     res = joined.withColumn(out, F.when(first_in_chunk, F.col("_carry")).otherwise(F.lag("_v").over(w_in)))
-    return res.drop("_v", "_carry", *cn)
+    return plain.unionByName(res.drop("_v", "_carry", *cn))
 
 
 def time_chunk(ts: Column, unit: str = "hour") -> Column:

@@ -11,7 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from stocksmith.session import get_spark
-    s = get_spark("local[4]", app="stocksmith-tests", shuffle_partitions=8)
+    # a tiny hot-key threshold sends almost every key through the chunked
+    # (skew) path, so the oracle tests check that path too
+    s = get_spark("local[4]", app="stocksmith-tests", shuffle_partitions=8,
+                  extra={"stocksmith.hotKeyRows": "5"})
     yield s
 
 
