@@ -72,22 +72,18 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     shared_root(spark)   # reliable checkpoints need the shared folder
     now = ts_lit(as_of or DEFAULT_AS_OF)
 
-    static = V.orders(requests)
-    prod = products.select(F.col("id").alias("product_id"), "stock_quantity", "price",
-                           F.col("deleted_at").isNull().alias("_live"))
-    items = requests.filter(F.col("line_no").isNotNull()).join(prod, "product_id", "left")
-    missing = items.groupBy("request_id").agg(
-        F.bool_or(~F.coalesce(F.col("_live"), F.lit(False))).alias("_missing"))
-    static = static.join(missing, "request_id", "left").withColumn(
-        "reason", F.coalesce(F.col("reason"), F.when(F.col("_missing"), F.lit("product_not_found")))).drop("_missing")
-    static = _cut(static)
+    prod = products.select(F.col("id").alias("product_id"), "stock_quantity", "price")
+    static = _cut(V.orders(requests, products.filter(F.col("deleted_at").isNull())))
     valid = static.filter(F.col("reason").isNull()).select("request_id")
+    items = requests.filter(F.col("line_no").isNotNull()).join(prod, "product_id", "left")
 
     work = (items.join(valid, "request_id", "left_semi")
             .select("request_id", "line_no", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
                     F.col("stock_quantity").cast("bigint").alias("stock"), "created_at",
                     F.lit(OPEN).alias("state")))
     work = _cut(work)
+    # hot products only shrink as rounds drop decided orders: find them once
+    hot = running.hot_keys(work, ["product_id"]) or running.NO_HOT_KEYS
     decided: list[DataFrame] = []
     rounds = 0
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
@@ -100,7 +96,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
             work, ["product_id"], order,
             {"_hi": F.when(F.col("state").isin(OPEN, ACCEPTED), q).otherwise(0),
              "_lo": F.when(F.col("state") == ACCEPTED, q).otherwise(0)},
-            chunk=[running.time_chunk(F.col("created_at"), chunk_unit)])
+            chunk=[running.time_chunk(F.col("created_at"), chunk_unit)], hot=hot)
         # an open row's own units are in _hi (inclusive) but not in _lo, so
         # "hi before + q fits" is _hi <= stock and "lo before + q fails" is _lo + q > stock
         fits = F.col("_hi") <= F.col("stock")

@@ -54,16 +54,39 @@ def _chunk_cols(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str
     return df, names
 
 
-def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None if there are none)."""
+# Hot-key lists found in this process, by (application, plan hash, keys,
+# threshold).  The list only picks the execution path -- both paths give the
+# same rows -- so reusing it for an equal plan is safe, like table statistics.
+_HOT_CACHE: dict[tuple, DataFrame | None] = {}
+
+
+def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> DataFrame | None:
+    """Keys with more than ``threshold`` rows (checkpointed), or None."""
     from ..session import shared_root
     threshold = hot_key_rows(df) if threshold is None else threshold
+    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), threshold)
+    if memo in _HOT_CACHE:
+        return _HOT_CACHE[memo]
     shared_root(df.sparkSession)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > threshold).select(*keys))
     hot = hot.checkpoint(eager=True)
     hot = hot.select(*[F.col(k).alias(k) for k in keys])
-    if hot.isEmpty():
+    result = None if hot.isEmpty() else hot
+    _HOT_CACHE[memo] = result
+    return result
+
+
+NO_HOT_KEYS = "none"
+
+
+def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None,
+              hot: DataFrame | str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None if there are none).
+    ``hot`` may pass hot keys found earlier (or ``NO_HOT_KEYS``)."""
+    if hot is None:
+        hot = hot_keys(df, keys, threshold)
+    if hot is None or isinstance(hot, str):
         return df, None
     h = F.broadcast(hot.withColumn("_hot", F.lit(True))).alias("_h")   # <= rows/threshold keys
     x = df.alias("_x")
@@ -72,18 +95,18 @@ def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None) -> t
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,
-                chunk: list[Column], threshold: int | None = None) -> DataFrame:
+                chunk: list[Column], threshold: int | None = None, hot=None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``keys`` up to
     and including this row, rows ordered by ``order`` (ties broken
     arbitrarily, like ``row_number``).  ``chunk`` must be non-decreasing in
     ``order`` within a key."""
-    return running_sums(df, keys, order, {out: value}, chunk, threshold)
+    return running_sums(df, keys, order, {out: value}, chunk, threshold, hot)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column],
-                 chunk: list[Column], threshold: int | None = None) -> DataFrame:
+                 chunk: list[Column], threshold: int | None = None, hot=None) -> DataFrame:
     """:func:`running_sum` for several values at once (one set of shuffles)."""
-    cold, hot = split_hot(df, keys, threshold)
+    cold, hot = split_hot(df, keys, threshold, hot)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     plain = cold
     for out, c in values.items():

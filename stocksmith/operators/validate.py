@@ -34,28 +34,44 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.length(F.trim(c)) == 0)
 
 
-def orders(items: DataFrame) -> DataFrame:                                            # V1
-    """Order requests in flat form (request_id, product_id, quantity, notes;
-    a request without items has one row with NULL item fields).  One row per
-    request with its reason."""
-    per_item = items.groupBy("request_id").agg(
-        F.count("line_no").alias("n_items"),
-        F.count_if(F.col("line_no").isNotNull() & (F.col("product_id").isNull() | (F.col("product_id") < 1)))
-        .alias("bad_product"),
-        F.count_if(F.col("line_no").isNotNull() & (F.col("quantity").isNull() | (F.col("quantity") < 1)
-                                                   | (F.col("quantity") > S.MAX_ITEM_QUANTITY))).alias("bad_qty"),
-        F.max(F.length(F.trim(F.col("notes")))).alias("notes_len"))
-    dups = R.duplicate_products(items.filter(F.col("line_no").isNotNull()), "request_id") \
-        .groupBy("request_id").agg(F.lit(True).alias("has_dup"))
-    j = per_item.join(dups, "request_id", "left")
+def orders(items: DataFrame, live_products: DataFrame | None = None) -> DataFrame:   # V1
+    """Order requests in flat form (request_id, line_no, product_id,
+    quantity, notes; a request without items has one row with NULL item
+    fields).  One row per request with its reason.
+
+    Two aggregates and no join back: per (request, product) first, then per
+    request, both with map-side partial aggregation.  With
+    ``live_products`` (a DataFrame of live product ids), an item naming any
+    other product gives ``product_not_found`` after the V1 rules."""
+    it = items
+    has_item = F.col("line_no").isNotNull()
+    if live_products is not None:
+        live = live_products.select(F.col("id").alias("product_id"), F.lit(True).alias("_live"))
+        it = it.join(live, "product_id", "left")
+        missing = has_item & F.col("_live").isNull()
+    else:
+        missing = F.lit(False)
+    per_product = it.groupBy("request_id", "product_id").agg(
+        F.count("line_no").alias("n"),
+        F.count_if(has_item & (F.col("product_id").isNull() | (F.col("product_id") < 1))).alias("bad_product"),
+        F.count_if(has_item & (F.col("quantity").isNull() | (F.col("quantity") < 1)
+                               | (F.col("quantity") > S.MAX_ITEM_QUANTITY))).alias("bad_qty"),
+        F.max(F.length(F.trim(F.col("notes")))).alias("notes_len"),
+        F.bool_or(missing).alias("missing"))
+    per_request = per_product.groupBy("request_id").agg(
+        F.sum("n").alias("n_items"), F.sum("bad_product").alias("bad_product"), F.sum("bad_qty").alias("bad_qty"),
+        F.max("notes_len").alias("notes_len"),
+        F.max(F.when(F.col("product_id").isNotNull(), F.col("n"))).alias("max_per_product"),
+        F.bool_or("missing").alias("missing"))
     reason = first_failure([
         (F.col("n_items") < 1, "no_items"),
         (F.col("bad_product") > 0, "invalid_product_id"),
         (F.col("bad_qty") > 0, "invalid_quantity"),
         (F.col("notes_len") > S.MAX_NOTES_LENGTH, "notes_too_long"),
-        (F.col("has_dup"), "duplicate_product"),
+        (F.col("max_per_product") > 1, "duplicate_product"),
+        (F.col("missing"), "product_not_found"),
     ])
-    return j.select("request_id", reason.alias("reason"))
+    return per_request.select("request_id", reason.alias("reason"))
 
 
 def products(batch: DataFrame) -> DataFrame:                                          # V2
