@@ -18,15 +18,13 @@ rejected.  The earliest open order always has ``hi = lo``, so every round
 settles at least one order per product chain; in practice a few rounds
 settle everything.  The result equals processing the orders one by one.
 
-Each round works only on products that still have open orders, and cuts
-lineage with a reliable ``checkpoint()`` under ``spark.checkpoint.dir``.
+Rejected orders leave the working set each round; every round cuts lineage
+with one reliable ``checkpoint()`` under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +82,6 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     work = _cut(work)
     # hot products only shrink as rounds drop decided orders: find them once
     hot = running.hot_keys(work, ["product_id"]) or running.NO_HOT_KEYS
-    decided: list[DataFrame] = []
     rounds = 0
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     while not work.filter(F.col("state") == OPEN).isEmpty():
@@ -106,21 +103,18 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
                .select("request_id", F.when(F.col("_all_fit"), F.lit(ACCEPTED))
                        .when(F.col("_any_fail"), F.lit(REJECTED)).alias("new_state"))
                .filter(F.col("new_state").isNotNull()))
-        dec = _cut(dec)
-        decided.append(dec)
-        nxt = work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state")) \
-            .drop("new_state").filter(F.col("state") != REJECTED)
-        still_open = nxt.filter(F.col("state") == OPEN).select("product_id").distinct()
-        work = _cut(nxt.join(still_open, "product_id", "left_semi"))
-
-    undecided = work.filter(F.col("state") == OPEN).select("request_id").distinct() \
-        .withColumn("new_state", F.lit("undecided"))
-    outcome = reduce(DataFrame.unionByName, decided + [undecided]) if decided else undecided
-    decisions = static.join(outcome, "request_id", "left").select(
+        # rejected orders leave the working set (they hold no stock); accepted
+        # rows stay, as later orders of their products must count them, and
+        # the last working set names every accepted order
+        work = _cut(work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state"))
+                    .drop("new_state").filter(F.col("state") != REJECTED))
+
+    final = work.groupBy("request_id").agg(F.first("state").alias("new_state"))
+    decisions = static.join(final, "request_id", "left").select(
         "request_id",
         (F.col("reason").isNull() & (F.col("new_state") == ACCEPTED)).alias("accepted"),
-        F.coalesce(F.col("reason"), F.when(F.col("new_state") == REJECTED, F.lit("insufficient_stock"))
-                   .when(F.col("new_state") == "undecided", F.lit("undecided"))).alias("reason"))
+        F.coalesce(F.col("reason"), F.when(F.col("new_state") == OPEN, F.lit("undecided"))
+                   .when(F.col("new_state").isNull(), F.lit("insufficient_stock"))).alias("reason"))
 
     ok = decisions.filter("accepted").select("request_id")
     acc_items = items.join(ok, "request_id", "left_semi")
