@@ -488,7 +488,7 @@ def r1(t):
     return reports.low_stock(t.products, t.categories)
 
 
-@register("R2_top_products", f"""
+R2_SQL = f"""
 with sold as (
   select i.product_id, cast(sum(i.quantity) as bigint) as total_sold,
          cast(sum({LINE_TOTAL('i.quantity', 'i.unit_price')}) as decimal(18,2)) as total_revenue
@@ -500,11 +500,30 @@ select top.product_id as id, rank() over (order by total_sold desc) as rank, p.n
        c.name as category_name, total_sold, total_revenue,
        {FROM_CENTS(HALF_UP(CENTS('total_revenue') + ' * 10000', 'grand.g'))} as revenue_share_pct
 from top cross join grand left join f_products p on top.product_id = p.id
-left join f_categories c on p.category_id = c.id""")
+left join f_categories c on p.category_id = c.id"""
+
+
+@register("R2_top_products", R2_SQL)
 def r2(t):
     return reports.top_products(t.items, t.orders, t.products, t.categories, 10)
 
 
+TOP25_SQL = R2_SQL.replace("limit 10", "limit 25")
+
+
+@register("W1_product_rank", f"select id, rank, total_sold from ({TOP25_SQL}) x")
+def w1(t):
+    """rank() by units sold, over the cut rows only (top 25; ties share a rank)."""
+    return reports.top_products(t.items, t.orders, t.products, t.categories, 25).select("id", "rank", "total_sold")
+
+
+@register("W2_revenue_share", f"select id, total_revenue, revenue_share_pct from ({TOP25_SQL}) x")
+def w2(t):
+    """Share of all revenue, from a scalar-subquery total (no unpartitioned window)."""
+    return reports.top_products(t.items, t.orders, t.products, t.categories, 25).select(
+        "id", "total_revenue", "revenue_share_pct")
+
+
 def _sales_summary_sql(period: str) -> str:
     rev = CENTS("total_amount")
     return f"""

@@ -532,6 +532,34 @@ def s5_products(t):
     return r.table.select("id", "sku")
 
 
+@register("S3_write_snapshot", f"""
+select p.id, coalesce(b.price, p.price) as price from f_products p
+left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null""")
+def s3(t):
+    """Products written as version 1, the patched table (M2) committed as
+    version 2, and the newest committed version read back."""
+    root = shared_path(t.spark, "snapshots")
+    TB.write_snapshot(t.products, root, "products")
+    TB.write_snapshot(_patched(t).table, root, "products")
+    return TB.load_table(t.spark, root, "products").select("id", "price")
+
+
+@register("S4_append_audit", f"""
+select product_id, quantity_before, quantity_after, reason from f_audit_log where reason = 'order_cancelled'
+union all
+select product_id, cast(qa - quantity as int), cast(qa as int), 'manual_restock'
+from (select r.*, p.stock_quantity + sum(r.quantity) over (partition by r.product_id
+             order by r.requested_at, r.request_id, r.line_no rows between unbounded preceding and current row) as qa
+      from ({RESTOCK_OK_SQL}) r join f_products p on r.product_id = p.id) t""")
+def s4(t):
+    """Two jobs append to one audit table (cancellation rows of the ledger,
+    then the restock audit rows); the table is read back whole."""
+    root = shared_path(t.spark, "audit")
+    TB.append_audit(t.audit.filter(F.col("reason") == "order_cancelled"), root)
+    TB.append_audit(_restocked(t).audit, root)
+    return TB.load_audit(t.spark, root).select("product_id", "quantity_before", "quantity_after", "reason")
+
+
 @register("S6_read_request_log", """
 select date_trunc('millisecond', ts) as ts, method, url, status, floor(ms * 100) / 100 as ms, request_id, ip
 from f_request_log""")
