@@ -238,53 +238,71 @@ def advance_status(orders: DataFrame, requests: DataFrame, as_of=None) -> Result
 
     A non-admin may only cancel, and only an own order.  A legal request
     moves the order one step (or cancels it).  Several requests of one order
-    apply in ``seq`` order; since every accepted step moves an order forward
-    on a path of at most four steps, the batch settles in at most four
-    rounds, each a join plus a ``min(seq)`` aggregate per order (partial
-    aggregation, AQE splits skewed joins).  ``extra['requests']`` gives every
-    request its outcome; ``extra['cancelled']`` the orders cancelled now."""
+    apply in ``seq`` order: the next accepted request is the earliest
+    eligible one after the last accepted one that is legal from the current
+    status.  Every accepted step moves forward on a path of at most four
+    steps, so at most four rounds settle the batch exactly.  An order that
+    finds no legal request in a round can never move again, so each round
+    works only on the orders that moved in the round before; each round is
+    a join plus a ``min(seq)`` aggregate per order (partial aggregation; AQE
+    splits skewed joins) and its small result is checkpointed.
+    ``extra['requests']`` gives every request its outcome;
+    ``extra['cancelled']`` the orders cancelled now."""
+    from ..session import shared_root
     spark = orders.sparkSession
+    shared_root(spark)
     trans = _transitions(spark)
-    req = requests.alias("r")
     own = orders.select(F.col("id").alias("order_id"), F.col("user_id").alias("_owner"),
                         F.col("status").alias("_status0"), F.lit(True).alias("_exists"))
-    r = req.join(own, "order_id", "left")
+    r = requests.join(own, "order_id", "left")
     pre = F.when(F.col("_exists").isNull(), "not_found") \
         .when((F.col("actor_role") != "admin") & (F.col("status") != "cancelled"), "admin_only") \
         .when((F.col("actor_role") != "admin") & ~F.col("_owner").eqNullSafe(F.col("actor_id")), "not_owner")
-    r = r.withColumn("_pre", pre)
-    eligible = r.filter(F.col("_pre").isNull()).select("order_id", "seq", F.col("status").alias("t_to"))
-    state = own.filter(F.col("order_id").isNotNull()).select(
-        "order_id", F.col("_status0").alias("cur"), F.lit(None).cast(requests.schema["seq"].dataType).alias("last_seq"))
-    accepted = None
-    max_steps = len(S.STATUS_FLOW) - 1
-    for _ in range(max_steps):
-        cand = (eligible.join(state, "order_id")
+    r = _fresh(r.withColumn("_pre", pre).checkpoint(eager=True))
+    eligible = r.filter(F.col("_pre").isNull()).select("order_id", "seq", F.col("status").alias("t_to"),
+                                                        F.col("_status0").alias("_s0"))
+    seq_type = requests.schema["seq"].dataType
+    # round 0 state: every order with an eligible request, at its stored status
+    active = eligible.groupBy("order_id").agg(F.first("_s0").alias("cur")) \
+        .withColumn("last_seq", F.lit(None).cast(seq_type))
+    steps = []
+    for _ in range(len(S.STATUS_FLOW) - 1):
+        cand = (eligible.drop("_s0").join(active, "order_id")
                 .filter(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")))
                 .join(trans, (F.col("cur") == F.col("_from")) & (F.col("t_to") == F.col("_to")), "left_semi"))
         step = cand.groupBy("order_id").agg(F.min_by(F.struct("seq", "t_to"), F.col("seq")).alias("s")) \
             .select("order_id", F.col("s.seq").alias("seq"), F.col("s.t_to").alias("t_to"))
-        accepted = step if accepted is None else accepted.unionByName(step)
-        state = state.join(step, "order_id", "left").select(
-            "order_id", F.coalesce("t_to", "cur").alias("cur"), F.coalesce("seq", "last_seq").alias("last_seq"))
+        step = _fresh(step.checkpoint(eager=True))
+        steps.append(step)
+        if step.isEmpty():          # no order moved: none ever will
+            break
+        active = step.select("order_id", F.col("t_to").alias("cur"), F.col("seq").alias("last_seq"))
+    accepted = steps[0]
+    for st in steps[1:]:
+        accepted = accepted.unionByName(st)
     acc = accepted.select("order_id", "seq", F.lit(True).alias("_acc"))
     outcome = r.join(acc, ["order_id", "seq"], "left").select(
         "order_id", "seq", "status", "actor_id", "actor_role",
         F.coalesce(F.col("_acc"), F.lit(False)).alias("accepted"),
         F.when(F.col("_acc").isNotNull(), F.lit(None)).otherwise(F.coalesce("_pre", F.lit("invalid_transition")))
         .alias("reason"))
-    final = state.filter(F.col("last_seq").isNotNull()).select("order_id", F.col("cur").alias("_new"))
+    final = accepted.groupBy("order_id").agg(F.max_by("t_to", "seq").alias("_new"))
     out = orders.join(final.withColumnRenamed("order_id", "id"), "id", "left")
     out = out.withColumn("status", F.coalesce("_new", "status"))
     if "updated_at" in orders.columns:
         out = out.withColumn("updated_at", F.when(F.col("_new").isNotNull(), _as_of(as_of)).otherwise(F.col("updated_at")))
     cancelled = accepted.filter(F.col("t_to") == "cancelled").join(
-        requests.select("order_id", "seq", "actor_id"), ["order_id", "seq"])
+        r.select("order_id", "seq", "actor_id"), ["order_id", "seq"])
     rejected = outcome.filter(~F.col("accepted")).select("order_id", "seq", "reason")
     return Result(out.select(*orders.columns), rejected,
                   extra={"requests": outcome, "cancelled": cancelled.select("order_id", "actor_id")})
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """Re-alias columns after a checkpoint (fresh column ids for unions)."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def cancel_orders(products: DataFrame, items: DataFrame, cancelled: DataFrame, as_of=None) -> Result:   # M8
     """Give back every item's quantity of the cancelled orders (order_id,
     actor_id), also to soft-deleted products; audit reason order_cancelled

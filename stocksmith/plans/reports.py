@@ -49,15 +49,17 @@ def top_products(items: DataFrame, orders: DataFrame, products: DataFrame, categ
     per_product = sold.groupBy("product_id").agg(
         F.sum("quantity").cast("bigint").alias("total_sold"),
         F.sum(C.line_total()).cast("decimal(18,2)").alias("total_revenue"))
-    grand_cents = per_product.select(F.sum(M.cents(F.col("total_revenue")))).scalar()
+    # all revenue as one global sum over the sold items (a scalar subquery
+    # with a one-row exchange), bound to a column once
+    grand_cents = sold.select(F.sum(M.cents(C.line_total()))).scalar()
     top = paging.top_k(per_product, [F.col("total_sold").desc(), F.col("total_revenue").desc(),
-                                     F.col("product_id").asc()], n)
+                                     F.col("product_id").asc()], n).withColumn("_grand", grand_cents)
     top = top.join(products.select(F.col("id").alias("product_id"), "name", "sku", "category_id"), "product_id", "left")
     top = R.products_with_category_ids(top, categories)
     rank = F.rank().over(Window.orderBy(F.col("total_sold").desc()))   # over the n cut rows only
     return top.select(F.col("product_id").alias("id"), rank.alias("rank"), "name", "sku", "category_name",
                       "total_sold", "total_revenue",
-                      M.pct_of(M.cents(F.col("total_revenue")), grand_cents).alias("revenue_share_pct"))
+                      M.pct_of(M.cents(F.col("total_revenue")), F.col("_grand")).alias("revenue_share_pct"))
 
 
 def sales_summary(orders: DataFrame, period: str = "month", last: int = 12) -> DataFrame:   # R3
