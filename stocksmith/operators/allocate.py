@@ -25,7 +25,7 @@ with one reliable ``checkpoint()`` under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -70,6 +70,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     shared_root(spark)   # reliable checkpoints need the shared folder
     now = ts_lit(as_of or DEFAULT_AS_OF)
 
+    requests = _cut(requests)        # read three times below; computed once
     prod = products.select(F.col("id").alias("product_id"), "stock_quantity", "price")
     static = _cut(V.orders(requests, products.filter(F.col("deleted_at").isNull())))
     valid = static.filter(F.col("reason").isNull()).select("request_id")
@@ -79,12 +80,12 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
             .select("request_id", "line_no", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
                     F.col("stock_quantity").cast("bigint").alias("stock"), "created_at",
                     F.lit(OPEN).alias("state")))
-    work = _cut(work)
     # hot products only shrink as rounds drop decided orders: find them once
     hot = running.hot_keys(work, ["product_id"]) or running.NO_HOT_KEYS
     rounds = 0
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
-    while not work.filter(F.col("state") == OPEN).isEmpty():
+    open_rows = 1 if not work.isEmpty() else 0
+    while open_rows:
         if max_rounds is not None and rounds >= max_rounds:
             break
         rounds += 1
@@ -106,8 +107,12 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
         # rejected orders leave the working set (they hold no stock); accepted
         # rows stay, as later orders of their products must count them, and
         # the last working set names every accepted order
-        work = _cut(work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state"))
-                    .drop("new_state").filter(F.col("state") != REJECTED))
+        nxt = work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state")) \
+            .drop("new_state").filter(F.col("state") != REJECTED)
+        # the open-row count is observed by the checkpoint job itself
+        seen = Observation(f"placement_round_{rounds}")
+        work = _cut(nxt.observe(seen, F.count_if(F.col("state") == OPEN).alias("open")))
+        open_rows = seen.get["open"]
 
     final = work.groupBy("request_id").agg(F.first("state").alias("new_state"))
     decisions = static.join(final, "request_id", "left").select(

@@ -57,7 +57,7 @@ def top_products(items: DataFrame, orders: DataFrame, products: DataFrame, categ
     top = top.join(products.select(F.col("id").alias("product_id"), "name", "sku", "category_id"), "product_id", "left")
     top = R.products_with_category_ids(top, categories)
     rank = F.rank().over(Window.orderBy(F.col("total_sold").desc()))   # over the n cut rows only
-    return top.select(F.col("product_id").alias("id"), rank.alias("rank"), "name", "sku", "category_name",
+    return top.select(F.col("product_id").alias("id"), rank.cast("bigint").alias("rank"), "name", "sku", "category_name",
                       "total_sold", "total_revenue",
                       M.pct_of(M.cents(F.col("total_revenue")), F.col("_grand")).alias("revenue_share_pct"))
 
