@@ -21,6 +21,12 @@ from .catalog import register
 from .queries_write import AS_OF, STATUS_OUTCOME_SQL, write_request_log_lines
 
 
+def _utc(t) -> None:
+    """Log and event times are UTC wall-clock values (TIMESTAMP_NTZ); the
+    cast to TIMESTAMP for watermarks uses the session zone, so pin UTC."""
+    t.spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def _stream_table(t, name: str) -> DataFrame:
     """A test table read as a file stream (one file, so one micro-batch)."""
     schema = t.raw(name).schema
@@ -53,6 +59,7 @@ def t1(t):
     """Per-IP request counts over tumbling 1-day windows, limit 3 (the
     application's 60 s / 100 are never reached by the test log), read from
     the JSON request log as a stream."""
+    _utc(t)
     path = write_request_log_lines(t)
     log = TB.read_request_log(t.spark, path, stream=True)
     return _sink(t, ST.rate_violations(log, window="1 day", limit=3), "t1")
@@ -74,6 +81,7 @@ select window_start, window_start + interval '1 hour' as window_end, method, rou
 from w where {_closed("window_start + interval '1 hour'", '10 minutes')}""")
 def t2(t):
     """Hourly request metrics per method and route from the JSON log stream."""
+    _utc(t)
     path = write_request_log_lines(t)
     log = TB.read_request_log(t.spark, path, stream=True)
     return _sink(t, ST.request_metrics(log, window="1 hour"), "t2")
@@ -92,6 +100,7 @@ def t3(t):
     """Low-stock alerts from a stream of order movements (written first as a
     movement log) over the products' current stock: stock crossing down to
     its threshold."""
+    _utc(t)
     base = shared_path(t.spark, "t3")
     t.movements.filter(F.col("reason") != "manual_restock").write.parquet(f"{base}/movements")
     schema = t.spark.read.parquet(f"{base}/movements").schema
@@ -109,6 +118,7 @@ from f_request_log a join f_revocations r
 def t4(t):
     """Requests made with a key while it is revoked: stream-stream interval
     join of the request stream and the revocation stream (both from events)."""
+    _utc(t)
     ev = _stream_table(t, "events")
     return _sink(t, ST.revoked_use(FX.request_log_from(ev), FX.revocations_from(ev)), "t4")
 
@@ -117,6 +127,7 @@ def t4(t):
 select order_id, seq, status, actor_id, actor_role, reason is null as accepted, reason from ({STATUS_OUTCOME_SQL}) x""")
 def t5(t):
     """Status requests as a stream, applied batch by batch to the orders."""
+    _utc(t)
     base = shared_path(t.spark, "t5")
     req = FX.status_requests_from(_stream_table(t, "orders"))
     _run(ST.status_stream(req, t.orders, f"{base}/state", f"{base}/out", f"{base}/checkpoint", as_of=AS_OF))
