@@ -578,13 +578,22 @@ def r5(t):
 @register("R5_audit_log_product", """
 select a.product_id, a.quantity_before, a.quantity_after, a.reason, a.changed_at, p.sku
 from f_audit_log a join f_products p on a.product_id = p.id
-where a.product_id = 11
+where a.product_id = 11 and p.deleted_at is null
 order by a.changed_at desc nulls first, a.product_id, a.ref_id, a.line_no, a.reason limit 20""")
 def r5_product(t):
     rows, _ = reports.audit_log(t.audit, t.products, t.users, product_id=11, page=1, limit=20)
     return rows.select("product_id", "quantity_before", "quantity_after", "reason", "changed_at", "sku")
 
 
+@register("R5_audit_log_deleted_product", """
+select count(*) as total, 1 as page, 20 as "limit", cast(ceil(count(*) / 20.0) as bigint) as total_pages
+from f_audit_log a join f_products p on a.product_id = p.id where a.product_id = 49 and p.deleted_at is null""")
+def r5_deleted(t):
+    """The per-product log of a deleted product (49) is empty."""
+    _, summary = reports.audit_log(t.audit, t.products, t.users, product_id=49, page=1, limit=20)
+    return summary
+
+
 @register("R5_audit_log_summary", """
 select count(*) as total, 1 as page, 20 as "limit", cast(ceil(count(*) / 20.0) as bigint) as total_pages
 from f_audit_log a join f_products p on a.product_id = p.id""")

@@ -74,10 +74,11 @@ w as (select date_trunc('hour', ts) as window_start, method, route, count(*) as
              count(*) filter (where status >= 300 and status < 400) as redirect_3xx,
              count(*) filter (where status >= 400 and status < 500) as client_4xx,
              count(*) filter (where status >= 500) as server_5xx,
-             cast(sum(ms) as decimal(18,2)) as total_ms, max(ms) as max_ms
+             cast(sum(ms) as decimal(18,2)) as total_ms, max(ms) as max_ms,
+             list_sort(list(ms))[cast(ceil(0.95 * count(*)) as bigint)] as p95_ms
       from log group by 1, 2, 3)
 select window_start, window_start + interval '1 hour' as window_end, method, route, requests, ok_2xx, redirect_3xx,
-       client_4xx, server_5xx, total_ms, max_ms
+       client_4xx, server_5xx, total_ms, max_ms, p95_ms
 from w where {_closed("window_start + interval '1 hour'", '10 minutes')}""")
 def t2(t):
     """Hourly request metrics per method and route from the JSON log stream."""

@@ -111,8 +111,13 @@ def audit_log(audit: DataFrame, products: DataFrame, users: DataFrame, product_i
               page: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:        # R5
     """One page of the audit log with product and user names, newest first,
     and its page summary.  The count skips the joins it does not need: the
-    inner join to products only drops rows with a NULL product."""
+    inner join to products only drops rows with a NULL product.  The
+    per-product log exists only for a live product (else it is empty)."""
     a = audit.filter(P.audit_filter(product_id))
+    if product_id:
+        live = products.filter(P.live() & (F.col("id") == F.lit(int(product_id)))).select(
+            F.col("id").alias("product_id"))
+        a = a.join(live, "product_id", "left_semi")
     rows = paging.page(R.audit_with_names(a, products, users), AUDIT_ORDER(), page, limit)
     total = R.count_matching(a, F.col("product_id").isNotNull())
     return rows, paging.page_summary(total, page, limit)

@@ -48,6 +48,17 @@ def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {t: load_table(spark, root, t) for t in S.TABLES if versions(spark, root, t)}
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
+              num_partitions: int, properties: dict | None = None) -> DataFrame:                    # S1
+    """A table of a live database, read in ``num_partitions`` parallel range
+    queries on ``partition_column`` (the JDBC driver jar must be on the
+    classpath), then given the declared schema's column types."""
+    df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                         numPartitions=num_partitions, properties=properties or {})
+    schema = S.TABLES[table]
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> int:   # S3
     """Commit ``df`` as the next version of ``table``; returns the version.
     Columns are put in the declared order and types first."""
