@@ -7,7 +7,7 @@ they are streams over event time:
 * T1 ``rate_violations``  tumbling windows per IP, over-limit counts
 * T2 ``request_metrics``  windowed counts, status classes, latency totals
 * T3 ``stock_alerts``     ``foreachBatch``: running stock per product from
-  the last snapshot, alerts on crossing down to the threshold
+  its current stock (a change log), alerts on crossing down to the threshold
 * T4 ``revoked_use``      stream-stream interval join of requests and
   revocations, state bounded by both watermarks
 * T5 ``status_stream``    ``foreachBatch``: status requests applied to the
@@ -102,18 +102,27 @@ def revoked_use(access: DataFrame, revocations: DataFrame, lifetime: str = "7 da
 # ------------------------------------------------------------------ T3
 def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: DataFrame, state_dir: str,
                       out_dir: str, batch_id: int, initial: DataFrame | None = None) -> None:
-    """One micro-batch of stock movements: ledger from the last stock
-    snapshot, alerts where stock crosses from above the threshold to at or
-    below it, then the next snapshot.  Written under the batch id."""
-    prev = _latest_version(spark, state_dir, batch_id)
-    if prev is not None:
-        start = spark.read.parquet(f"{state_dir}/batch={prev}")
-    elif initial is not None:
-        start = initial
-    else:
-        start = None
+    """One micro-batch of stock movements: ledger from the current stock of
+    the products it touches, alerts where stock crosses from above the
+    threshold to at or below it, and the touched products' new stock.
+
+    State is a change log under ``state_dir`` (product_id, stock_quantity,
+    batch): the current stock of a product is its latest logged value, else
+    its ``initial`` stock, else 0.  A batch reads and writes only the
+    products it touches, and writes under its batch id (a replay rewrites
+    the same files)."""
     touched = movements.select("product_id").distinct()
-    audit = R.stock_ledger(movements, start=None if start is None else start.join(touched, "product_id", "left_semi"))
+    start = None
+    if initial is not None:
+        start = initial.select("product_id", "stock_quantity").join(touched, "product_id", "left_semi")
+    if _latest_version(spark, state_dir, batch_id) is not None:
+        logged = (spark.read.parquet(state_dir).filter(F.col("batch") < batch_id)
+                  .join(touched, "product_id", "left_semi")
+                  .groupBy("product_id").agg(F.max_by("stock_quantity", "batch").alias("stock_quantity")))
+        start = logged if start is None else \
+            start.join(logged.withColumnRenamed("stock_quantity", "_logged"), "product_id", "full_outer") \
+            .select("product_id", F.coalesce("_logged", "stock_quantity").alias("stock_quantity"))
+    audit = R.stock_ledger(movements, start=start)
     thr = thresholds.select(F.col("id").alias("product_id"), "low_stock_threshold")
     alerts = audit.join(thr, "product_id", "inner").filter(
         (F.col("quantity_before") > F.col("low_stock_threshold")) &
@@ -121,10 +130,9 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
     alerts.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     moved = movements.groupBy("product_id").agg(F.sum("delta").alias("_d"))
     base = start if start is not None else moved.select("product_id", F.lit(0).alias("stock_quantity"))
-    snap = base.join(moved, "product_id", "full_outer").select(
-        "product_id", (F.coalesce("stock_quantity", F.lit(0)) + F.coalesce("_d", F.lit(0))).cast("int")
-        .alias("stock_quantity"))
-    snap.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+    new = moved.join(base, "product_id", "left").select(
+        "product_id", (F.coalesce("stock_quantity", F.lit(0)) + F.col("_d")).cast("int").alias("stock_quantity"))
+    new.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
 
 
 def _latest_version(spark: SparkSession, folder: str, before: int) -> int | None:

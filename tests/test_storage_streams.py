@@ -63,6 +63,13 @@ def test_stock_alerts_carry_state_between_batches(spark):
     assert [(a.ref_id, a.quantity_before, a.quantity_after) for a in alerts] == [(2, 6, 4)]
     state = spark.read.parquet(f"{root}/state/batch=1").collect()
     assert [(s.product_id, s.stock_quantity) for s in state] == [(1, 3)]
+    # a batch touching another product leaves product 1's logged stock alone
+    b2 = spark.createDataFrame([(2, 1, 4, "manual_restock", dt.datetime(2024, 1, 4), 4, 0)], schema)
+    ST.stock_alert_batch(spark, b2, thresholds, f"{root}/state", f"{root}/alerts", 2, initial)
+    b3 = spark.createDataFrame([(1, 1, -1, "order_placed", dt.datetime(2024, 1, 5), 5, 1)], schema)
+    ST.stock_alert_batch(spark, b3, thresholds, f"{root}/state", f"{root}/alerts", 3, initial)
+    last = spark.read.parquet(f"{root}/state/batch=3").collect()
+    assert [(s.product_id, s.stock_quantity) for s in last] == [(1, 2)]
     # a replayed batch rewrites the same output
     ST.stock_alert_batch(spark, b1, thresholds, f"{root}/state", f"{root}/alerts", 1, initial)
     assert spark.read.parquet(f"{root}/alerts").count() == 1
