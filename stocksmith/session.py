@@ -28,6 +28,33 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes``.
+
+    Scans split files into ``target_partition_bytes`` pieces.  Shuffles
+    start from enough partitions that each holds about that much of the
+    input (never fewer than 3 waves of the cluster's cores), and AQE
+    coalesces them to the same advisory size once sizes are known, so
+    no task sorts or spills more than it can hold in memory.  Skewed join
+    partitions above 4x the median are split by AQE; windows and
+    aggregates handle their own hot keys (``operators/running.py``)."""
+    cores = max(1, executors * cores_per_executor)
+    parts = max(3 * cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "stocksmith",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -71,3 +71,11 @@ def test_hot_keys_are_split_into_chunks(spark, tables):
                               chunk=[F.col("l_linenumber")], threshold=2)
     p = plan(out)
     assert "Union" in p and p.count("Window") >= 3
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from stocksmith.session import scale_conf
+    c = scale_conf(100 * (1 << 40), executors=1000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)   # 409,600
+    small = scale_conf(1 << 30, executors=10)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120                            # 3 waves of 40 cores
