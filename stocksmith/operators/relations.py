@@ -160,7 +160,8 @@ def low_stock_count(products: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ windows
-def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_unit: str = "hour") -> DataFrame:   # W3
+def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_unit: str = "hour",
+                 hot_threshold: int | None = None) -> DataFrame:                       # W3
     """Audit rows from signed stock movements.
 
     ``movements``: product_id, changed_by, delta, reason, changed_at, ref_id,
@@ -175,7 +176,8 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_uni
         mv = mv.unionByName(base, allowMissingColumns=True)
     order = [F.col("_phase")] + [F.col(c) for c in LEDGER_ORDER]
     led = running.running_sum(mv, ["product_id"], order, F.col("delta").cast("bigint"), "_after",
-                              chunk=[F.col("_phase"), running.time_chunk(F.col("changed_at"), chunk_unit)])
+                              chunk=[F.col("_phase"), running.time_chunk(F.col("changed_at"), chunk_unit)],
+                              threshold=hot_threshold)
     led = led.filter(F.col("_phase") == 1)
     return led.select(
         "product_id", "changed_by",
@@ -184,10 +186,11 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_uni
         "reason", "changed_at", "ref_id", "line_no")
 
 
-def audit_continuity(audit: DataFrame, chunk_unit: str = "hour") -> DataFrame:       # W4
+def audit_continuity(audit: DataFrame, chunk_unit: str = "hour",
+                     hot_threshold: int | None = None) -> DataFrame:                   # W4
     """Audit rows whose quantity_before differs from the quantity_after of the
     product's previous row (stale reads in the application can write them)."""
     order = [F.col(c) for c in LEDGER_ORDER]
     a = running.previous_value(audit, ["product_id"], order, F.col("quantity_after"), "expected_before",
-                               chunk=[running.time_chunk(F.col("changed_at"), chunk_unit)])
+                               chunk=[running.time_chunk(F.col("changed_at"), chunk_unit)], threshold=hot_threshold)
     return a.filter(F.col("expected_before").isNotNull() & (F.col("quantity_before") != F.col("expected_before")))

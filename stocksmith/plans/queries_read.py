@@ -53,6 +53,24 @@ def w3_stock_ledger(t):
     return t.audit
 
 
+# The same three windows with the hot-key threshold forced low, so that
+# almost every product (order) takes the chunked skew path on whole tables.
+LEDGER_SQL = ("select product_id, changed_by, quantity_before, quantity_after, reason, changed_at, ref_id, line_no "
+              "from f_audit_log")
+
+
+@register("W3_stock_ledger_skew_path", LEDGER_SQL)
+def w3_skew(t):
+    """W3 with every product of more than 10 movements split into hourly chunks."""
+    return R.stock_ledger(t.movements, start=None, hot_threshold=10)
+
+
+@register("W5_line_no_skew_path", "select order_id, line_no, product_id, quantity, unit_price from f_order_items")
+def w5_skew(t):
+    """W5 with every order of more than 3 lines split by line-number chunks."""
+    return FX.order_items(t.spark, t.d, hot_threshold=3)
+
+
 # ---------------------------------------------------------------- projections
 
 
@@ -405,6 +423,17 @@ def w4(t):
     return out.select("product_id", "changed_at", "ref_id", "line_no", "reason", "quantity_before", "expected_before")
 
 
+@register("W4_audit_continuity_skew_path", f"""
+select product_id, changed_at, ref_id, line_no, reason, quantity_before, expected_before from (
+  select *, lag(quantity_after) over (partition by product_id order by changed_at, ref_id, line_no) as expected_before
+  from ({STALE_AUDIT_SQL}) s) t
+where expected_before is not null and quantity_before <> expected_before""")
+def w4_skew(t):
+    """W4 with every product of more than 10 audit rows split into hourly chunks."""
+    out = R.audit_continuity(_stale_audit(t), hot_threshold=10)
+    return out.select("product_id", "changed_at", "ref_id", "line_no", "reason", "quantity_before", "expected_before")
+
+
 # ---------------------------------------------------------------- sorting and paging
 
 
