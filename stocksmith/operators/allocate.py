@@ -28,7 +28,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..session import DEFAULT_AS_OF, shared_root, ts_lit
 from ..sources import schemas as S
 from . import relations as R
@@ -146,5 +145,3 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
         .select(*products.columns)
     return Placement(decisions, new_orders, new_items, new_products, audit, rounds)
 
-
-__all__ = ["place_orders", "C"]

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.fixture_sql import with_fixtures
 from ..sources.fixtures import Tables
@@ -72,4 +71,4 @@ def materialize(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-__all__ = ["register", "queries", "oracle_sql", "materialize", "F"]
+__all__ = ["register", "queries", "oracle_sql", "materialize"]

@@ -652,5 +652,3 @@ select * from
 def r6(t):
     return reports.dashboard_kpis(t.products, t.categories, t.users, t.orders)
 
-
-__all__ = ["FX"]

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mutate as MU
-from ..operators import relations as R
 from ..operators import validate as V
 from ..session import DEFAULT_AS_OF, shared_path
 from ..sources import tables as TB
@@ -577,5 +576,3 @@ def write_request_log_lines(t) -> str:
     TB.to_log_lines(log).write.mode("errorifexists").text(path)
     return path
 
-
-__all__ = ["R"]

@@ -99,13 +99,17 @@ def stock_movements(spark: SparkSession, d: str, items: DataFrame | None = None,
     ords = ords if ords is not None else orders(spark, d)
     prods = prods if prods is not None else products(spark, d)
     io = items.join(ords.select(F.col("id").alias("order_id"), "user_id", "status", "created_at"), "order_id")
-    placed = io.select("product_id", F.col("user_id").alias("changed_by"), (-F.col("quantity")).alias("delta"),
-                       F.lit(S.REASON_ORDER_PLACED).alias("reason"), F.col("created_at").alias("changed_at"),
-                       F.col("order_id").alias("ref_id"), "line_no")
-    cancelled = io.filter(F.col("status") == "cancelled").select(
-        "product_id", F.col("user_id").alias("changed_by"), F.col("quantity").alias("delta"),
-        F.lit(S.REASON_ORDER_CANCELLED).alias("reason"),
-        (F.col("created_at") + F.expr("interval 1 day")).alias("changed_at"),
+    # one pass over the joined items: every item is placed, and given back a
+    # day later if its order was cancelled (explode of one or two rows)
+    placed = F.struct(F.lit(-1).alias("sign"), F.lit(S.REASON_ORDER_PLACED).alias("reason"),
+                      F.col("created_at").alias("changed_at"))
+    given_back = F.struct(F.lit(1).alias("sign"), F.lit(S.REASON_ORDER_CANCELLED).alias("reason"),
+                          (F.col("created_at") + F.expr("interval 1 day")).alias("changed_at"))
+    moves = io.select("product_id", "user_id", "quantity", "order_id", "line_no", F.explode(
+        F.when(F.col("status") == "cancelled", F.array(placed, given_back)).otherwise(F.array(placed))).alias("m"))
+    orders_moves = moves.select(
+        "product_id", F.col("user_id").alias("changed_by"), (F.col("m.sign") * F.col("quantity")).alias("delta"),
+        F.col("m.reason").alias("reason"), F.col("m.changed_at").alias("changed_at"),
         F.col("order_id").alias("ref_id"), "line_no")
     k = F.col("id")
     restock = prods.select(
@@ -113,7 +117,7 @@ def stock_movements(spark: SparkSession, d: str, items: DataFrame | None = None,
         .alias("changed_by"), (F.lit(5000) + F.lit(1000) * (k % 3)).cast("int").alias("delta"),
         F.lit(S.REASON_RESTOCK).alias("reason"), F.lit("1994-12-31 00:00:00").cast("timestamp_ntz").alias("changed_at"),
         F.lit(-1).cast("bigint").alias("ref_id"), F.lit(0).cast("int").alias("line_no"))
-    return placed.unionByName(cancelled).unionByName(restock)
+    return orders_moves.unionByName(restock)
 
 
 def audit_log(spark: SparkSession, d: str, movements: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ import random
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from stocksmith.operators import allocate, mutate as MU, validate as V
 from stocksmith.operators import relations as R

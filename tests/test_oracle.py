@@ -1,5 +1,4 @@
 """Every registered query against its SQL oracle (DuckDB) on sf0.001."""
-import datetime as dt
 import decimal
 
 import duckdb
