@@ -4,8 +4,8 @@
 one task: one product with a third of all stock movements would be one task.
 So the helpers first find the *hot* keys -- keys with more rows than
 ``stocksmith.hotKeyRows`` (a session setting, default 1,000,000) -- with a
-partial aggregate.  There are at most ``rows / threshold`` hot keys, so that
-list has a proven size bound and is broadcast.
+partial aggregate over a sample.  At most ``2 * rows / threshold`` keys can
+be flagged, so that list has a proven size bound and is broadcast.
 
 * Ordinary keys use the plain window (one shuffle on the key).
 * Hot keys are split into *chunks*: columns that never decrease along the
@@ -60,16 +60,32 @@ def _chunk_cols(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str
 _HOT_CACHE: dict[tuple, DataFrame | None] = {}
 
 
+SAMPLED_ROWS_PER_HOT_KEY = 100
+
+
 def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> DataFrame | None:
-    """Keys with more than ``threshold`` rows (checkpointed), or None."""
+    """Keys with more than about ``threshold`` rows (checkpointed), or None.
+
+    Counted on a sample at rate ``100 / threshold``: a key at the threshold
+    shows ~100 sampled rows and is flagged above 50, so the detection
+    shuffle is ~threshold/100 times smaller than the data.  A key flagged or
+    missed by chance only changes which path computes it, never the
+    result.  At most ``2 * rows / threshold`` keys are flagged (each needs
+    50 of the ``rows * 100 / threshold`` sampled rows), which bounds the
+    broadcast list.  Small thresholds (tests) count exactly."""
     from ..session import shared_root
     threshold = hot_key_rows(df) if threshold is None else threshold
     memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), threshold)
     if memo in _HOT_CACHE:
         return _HOT_CACHE[memo]
     shared_root(df.sparkSession)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > threshold).select(*keys))
+    rate = SAMPLED_ROWS_PER_HOT_KEY / threshold
+    if rate < 1.0:
+        counted, cut = df.sample(fraction=rate, seed=17), SAMPLED_ROWS_PER_HOT_KEY // 2
+    else:
+        counted, cut = df, threshold
+    hot = (counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > cut).select(*keys))
     hot = hot.checkpoint(eager=True)
     hot = hot.select(*[F.col(k).alias(k) for k in keys])
     result = None if hot.isEmpty() else hot
