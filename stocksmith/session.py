@@ -25,6 +25,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    # remove checkpoint files once their plans are garbage (M6/M7 rounds)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
