@@ -117,3 +117,20 @@ def test_top_products_ranks_ties(spark):
     out = reports.top_products(items, orders, prods, _empty(spark, S.CATEGORIES), n=10).orderBy("id").collect()
     assert [(r.id, r.rank, r.total_sold, str(r.revenue_share_pct)) for r in out] == [
         (1, 1, 5, "33.33"), (2, 1, 5, "66.67")]
+
+
+def test_null_user_order_absent_from_order_list(spark):
+    from stocksmith.operators import relations as R
+    orders = spark.createDataFrame([(1, None, "pending", Decimal("1.00"), None, None, None),
+                                    (2, 7, "pending", Decimal("2.00"), None, None, None)], S.ORDERS)
+    users = spark.createDataFrame([(7, "u", "u@x.io", "user", None)], S.USERS)
+    assert [r.id for r in R.orders_with_customer(orders, users).collect()] == [2]
+
+
+def test_deleted_product_stays_in_history_not_in_lists(spark):
+    from stocksmith.operators import relations as R
+    prods = _products(spark, [(1, None, "gone", "1.00", 5, 1, dt.datetime(2020, 1, 1)),
+                              (2, None, "here", "1.00", 5, 1, None)])
+    items = spark.createDataFrame([(10, 1, 1, 2, Decimal("1.00"))], S.ORDER_ITEMS)
+    assert [r.product_name for r in R.items_with_product(items, prods).collect()] == ["gone"]
+    assert [r.id for r in prods.filter(P.product_filter()).collect()] == [2]
