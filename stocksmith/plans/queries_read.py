@@ -306,6 +306,21 @@ def j6(t):
     return R.fk_orphans(t.domain())
 
 
+@register("J6_fk_orphans_raw_delete", """
+select 'products' as child_table, 'category_id' as fk_column, 'categories' as parent_table,
+       cast(category_id as bigint) as fk_value
+from f_products where category_id is not null
+  and category_id not in (select id from f_categories where id not in (select n_nationkey from nation
+                                                                        where n_regionkey = 2))""")
+def j6_raw_delete(t):
+    """J6 after categories (region 2's nation keys) were removed by a plain
+    anti-join, without the ON DELETE SET NULL rule: their products are
+    orphans."""
+    gone = t.raw("nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("id"))
+    cats = t.categories.join(gone, "id", "left_anti")
+    return R.fk_orphans({"products": t.products, "categories": cats})
+
+
 @register("J7_sales_fact", f"""
 select i.order_id, i.line_no, i.product_id, i.quantity, i.unit_price, o.status as order_status, o.user_id,
        o.created_at as ordered_at, p.name as product_name, p.sku, p.category_id, c.name as category_name,
