@@ -55,7 +55,7 @@ class Placement:
     rounds: int
 
 
-def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_unit: str = "hour",
+def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_unit: str = "minute",
                  max_rounds: int | None = None) -> Placement:
     """``requests``: flat order requests (request_id, line_no, product_id,
     quantity, user_id, notes, created_at; one row per item, a request with

@@ -160,7 +160,7 @@ def low_stock_count(products: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ windows
-def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_unit: str = "hour",
+def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_unit: str = "minute",
                  hot_threshold: int | None = None) -> DataFrame:                       # W3
     """Audit rows from signed stock movements.
 
@@ -186,7 +186,7 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_uni
         "reason", "changed_at", "ref_id", "line_no")
 
 
-def audit_continuity(audit: DataFrame, chunk_unit: str = "hour",
+def audit_continuity(audit: DataFrame, chunk_unit: str = "minute",
                      hot_threshold: int | None = None) -> DataFrame:                   # W4
     """Audit rows whose quantity_before differs from the quantity_after of the
     product's previous row (stale reads in the application can write them)."""

@@ -175,6 +175,6 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: C
     return plain.unionByName(res.drop("_v", "_carry", *cn))
 
 
-def time_chunk(ts: Column, unit: str = "hour") -> Column:
+def time_chunk(ts: Column, unit: str = "minute") -> Column:
     """A chunk column from a timestamp: its truncation to ``unit``."""
     return F.date_trunc(unit, ts)

@@ -61,7 +61,7 @@ LEDGER_SQL = ("select product_id, changed_by, quantity_before, quantity_after, r
 
 @register("W3_stock_ledger_skew_path", LEDGER_SQL)
 def w3_skew(t):
-    """W3 with every product of more than 10 movements split into hourly chunks."""
+    """W3 with every product of more than 10 movements split into minute chunks."""
     return R.stock_ledger(t.movements, start=None, hot_threshold=10)
 
 
@@ -444,7 +444,7 @@ select product_id, changed_at, ref_id, line_no, reason, quantity_before, expecte
   from ({STALE_AUDIT_SQL}) s) t
 where expected_before is not null and quantity_before <> expected_before""")
 def w4_skew(t):
-    """W4 with every product of more than 10 audit rows split into hourly chunks."""
+    """W4 with every product of more than 10 audit rows split into minute chunks."""
     out = R.audit_continuity(_stale_audit(t), hot_threshold=10)
     return out.select("product_id", "changed_at", "ref_id", "line_no", "reason", "quantity_before", "expected_before")
 
