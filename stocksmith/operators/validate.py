@@ -1,10 +1,11 @@
 """Validation jobs V1-V7: every batch row gets the first rule it breaks.
 
-Each function returns the batch with a ``reason`` column (NULL = accepted);
-:func:`split` turns that into (accepted, rejected).  Rules run as Column
-expressions in one pass; only V1 (per-item rules of an order) aggregates,
-and it does so with partial aggregation, so a request with very many items
-is combined map-side.
+V1-V6 return the batch with a ``reason`` column (NULL = accepted);
+:func:`split` turns that into (accepted, rejected).  Row rules run as
+Column expressions in one pass.  V1 (per-item rules of an order) and V7
+(whole-table constraints) aggregate, always with partial aggregation, so a
+request with very many items or a heavily repeated key is combined
+map-side.
 """
 
 from __future__ import annotations
