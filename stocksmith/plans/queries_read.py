@@ -65,6 +65,31 @@ def w3_skew(t):
     return R.stock_ledger(t.movements, start=None, hot_threshold=10)
 
 
+def _hot_product_movements(t):
+    """Stand-in input with one hot product: every movement of a delivered
+    order is booked on product 0 (about a third of all rows)."""
+    delivered = t.orders.filter(F.col("status") == "delivered").select(F.col("id").alias("ref_id"),
+                                                                       F.lit(True).alias("_hot"))
+    mv = t.movements.join(delivered, "ref_id", "left")
+    return mv.withColumn("product_id", F.when(F.col("_hot").isNotNull(), F.lit(0).cast("bigint"))
+                         .otherwise(F.col("product_id"))).drop("_hot")
+
+
+@register("W3_stock_ledger_hot_product", """
+with mv as (select case when o.status = 'delivered' then cast(0 as bigint) else m.product_id end as product_id,
+                   m.changed_by, m.delta, m.reason, m.changed_at, m.ref_id, m.line_no
+            from f_stock_movements m left join f_orders o on m.ref_id = o.id)
+select product_id, changed_by, cast(qa - delta as int) as quantity_before, cast(qa as int) as quantity_after, reason,
+       changed_at, ref_id, line_no
+from (select *, sum(delta) over (partition by product_id order by changed_at, ref_id, line_no
+                                 rows between unbounded preceding and current row) as qa from mv) t""")
+def w3_hot_product(t):
+    """W3 when one product holds a third of all movements: the sampled
+    detector (threshold 2,000 rows) finds it and splits it into minute
+    chunks; every other product takes the plain window."""
+    return R.stock_ledger(_hot_product_movements(t), start=None, hot_threshold=2000)
+
+
 @register("W5_line_no_skew_path", "select order_id, line_no, product_id, quantity, unit_price from f_order_items")
 def w5_skew(t):
     """W5 with every order of more than 3 lines split by line-number chunks."""
