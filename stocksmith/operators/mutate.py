@@ -113,16 +113,24 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, on_conflict: str = "rej
 
 # ------------------------------------------------------------------ M2
 def patch(table: DataFrame, batch: DataFrame, fields: list[str], key: str = "id", seq: str = "seq",
-          live_only: bool = False, stamp: str | None = "updated_at", as_of=None) -> Result:
+          live_only: bool = False, stamp: str | None = "updated_at", as_of=None,
+          references: dict[str, DataFrame] | None = None) -> Result:
     """Partial update: a NULL field keeps the old value.  Several patches of
     one key apply in seq order (the last non-NULL value of each field wins).
     Keys that do not exist (or are deleted, with ``live_only``) are
-    rejected."""
+    rejected ('not_found'); so is a patch whose foreign-key field names no
+    row of its parent table (``references``: field -> parent table,
+    'unknown_<field>'), as the database would refuse it."""
     agg = batch.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f"_p_{f}")
                                    for f in fields], F.lit(True).alias("_patched"))
     target = table.filter(P.live()) if live_only else table
-    found = agg.join(target.select(key), key, "left_semi")
     rejected = _reject(agg.join(target.select(key), key, "left_anti"), [key], "not_found")
+    found = agg.join(target.select(key), key, "left_semi")
+    for f, parent in (references or {}).items():
+        ids = parent.select(F.col("id").cast(table.schema[f].dataType).alias(f"_p_{f}"))
+        bad = found.filter(F.col(f"_p_{f}").isNotNull()).join(ids, f"_p_{f}", "left_anti")
+        rejected = rejected.unionByName(_reject(bad, [key], f"unknown_{f}"))
+        found = found.join(bad.select(key), key, "left_anti")
     out = table.join(found, key, "left")
     hit = F.col("_patched").isNotNull()
     for f in fields:

@@ -48,7 +48,14 @@ def patch_batch(t):
         F.when(s > 45, F.lit("   ")).when(s > 30, F.upper("p_name")).alias("name"),
         F.when(s < 30, (F.col("p_retailprice") - 920).cast("decimal(10,2)")).alias("price"),
         (s - 3).cast("int").alias("low_stock_threshold"),
-        F.when(s == 50, F.lit("NEW-SKU")).alias("sku"))
+        F.when(s == 50, F.lit("NEW-SKU")).alias("sku"),
+        F.when(s % 2 == 0, F.lower("p_type")).alias("description"),
+        F.when(s < 10, _brand_id_plus_one()).alias("category_id"))
+
+
+def _brand_id_plus_one():
+    """Move the product to the next brand's category."""
+    return (F.substring(F.col("p_brand"), 7, 1000).cast("int") + 1).cast("int")
 
 
 PATCH_BATCH_SQL = """
@@ -56,7 +63,9 @@ select p_partkey as id, p_partkey + 1 as seq,
        case when p_size > 45 then '   ' when p_size > 30 then upper(p_name) end as name,
        case when p_size < 30 then cast(p_retailprice - 920 as decimal(10,2)) end as price,
        cast(p_size - 3 as int) as low_stock_threshold,
-       case when p_size = 50 then 'NEW-SKU' end as sku
+       case when p_size = 50 then 'NEW-SKU' end as sku,
+       case when p_size % 2 = 0 then lower(p_type) end as description,
+       case when p_size < 10 then cast(cast(substring(p_brand, 7) as int) + 1 as int) end as category_id
 from part"""
 
 
@@ -274,25 +283,31 @@ where not ((name is not null and (length(trim(name)) = 0 or length(trim(name)) >
 
 def _patched(t):
     ok, _ = V.split(V.product_patches(patch_batch(t)))
-    return MU.patch(t.products, ok.drop("sku"), ["name", "price", "low_stock_threshold"], live_only=True,
-                    as_of=AS_OF)
+    return MU.patch(t.products, ok.drop("sku"), ["category_id", "name", "description", "price", "low_stock_threshold"],
+                    live_only=True, as_of=AS_OF, references={"category_id": t.categories})
 
 
 @register("M2_patch", f"""
-select p.id, coalesce(b.name, p.name) as name, coalesce(b.price, p.price) as price,
+select p.id, coalesce(b.category_id, p.category_id) as category_id, coalesce(b.name, p.name) as name,
+       coalesce(b.description, p.description) as description, coalesce(b.price, p.price) as price,
        coalesce(b.low_stock_threshold, p.low_stock_threshold) as low_stock_threshold,
        case when b.id is not null then timestamp '{AS_OF}' else p.updated_at end as updated_at
 from (select *, cast(null as timestamp) as updated_at from f_products) p
-left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null""")
+left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null
+  and (b.category_id is null or b.category_id in (select id from f_categories))""")
 def m2(t):
-    return _patched(t).table.select("id", "name", "price", "low_stock_threshold", "updated_at")
+    return _patched(t).table.select("id", "category_id", "name", "description", "price", "low_stock_threshold",
+                                    "updated_at")
 
 
 @register("M2_patch_rejected", f"""
-select b.id, 'not_found' as reason from ({PATCH_OK_SQL}) b
-where b.id not in (select id from f_products where deleted_at is null)""")
+select b.id, case when b.id not in (select id from f_products where deleted_at is null) then 'not_found'
+                  else 'unknown_category_id' end as reason
+from ({PATCH_OK_SQL}) b
+where b.id not in (select id from f_products where deleted_at is null)
+   or (b.category_id is not null and b.category_id not in (select id from f_categories))""")
 def m2_rejected(t):
-    """Patches of deleted products are refused."""
+    """Patches of deleted products, or naming a missing category, are refused."""
     return _patched(t).rejected
 
 
@@ -533,7 +548,8 @@ def s5_products(t):
 
 @register("S3_write_snapshot", f"""
 select p.id, coalesce(b.price, p.price) as price from f_products p
-left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null""")
+left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null
+  and (b.category_id is null or b.category_id in (select id from f_categories))""")
 def s3(t):
     """Products written as version 1, the patched table (M2) committed as
     version 2, and the newest committed version read back."""
