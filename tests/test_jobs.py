@@ -229,3 +229,12 @@ def test_validate_products_and_patches(spark):
                               "name string, price decimal(10,2), sku string, stock_quantity int, low_stock_threshold int")
     assert [r.reason for r in V.products(b).collect()] == [
         None, "name_required", "invalid_price", "invalid_sku", "invalid_stock_quantity", "name_too_long"]
+
+
+def test_patch_rejects_unknown_category(spark):
+    prods = _products(spark, {1: 5, 2: 5})
+    cats = spark.createDataFrame([(3, "C", None, None)], S.CATEGORIES)
+    batch = spark.createDataFrame([(1, 1, 3), (2, 1, 99)], "id long, seq long, category_id int")
+    r = MU.patch(prods, batch, ["category_id"], references={"category_id": cats})
+    assert {x.id: x.category_id for x in r.table.collect()} == {1: 3, 2: None}
+    assert [(x.id, x.reason) for x in r.rejected.collect()] == [(2, "unknown_category_id")]
