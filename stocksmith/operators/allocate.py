@@ -116,7 +116,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     final = work.groupBy("request_id").agg(F.first("state").alias("new_state"))
     decisions = static.join(final, "request_id", "left").select(
         "request_id",
-        (F.col("reason").isNull() & (F.col("new_state") == ACCEPTED)).alias("accepted"),
+        (F.col("reason").isNull() & F.coalesce(F.col("new_state") == ACCEPTED, F.lit(False))).alias("accepted"),
         F.coalesce(F.col("reason"), F.when(F.col("new_state") == OPEN, F.lit("undecided"))
                    .when(F.col("new_state").isNull(), F.lit("insufficient_stock"))).alias("reason"))
 

@@ -467,21 +467,68 @@ def m8(t):
 # ---------------------------------------------------------------- M6 placement
 
 
+# The oracle replays the orders one at a time in SQL: a recursive CTE walks
+# the valid orders in (created_at, id) order carrying a product -> stock map,
+# and accepts an order when every item fits.  Exact, and a few seconds to a
+# minute on sf0.01 in DuckDB.
+M6_CTES = """
+with recursive
+req as (select o.id as request_id, o.user_id, o.created_at, i.line_no, i.product_id, i.quantity
+        from f_orders o left join f_order_items i on i.order_id = o.id),
+agg as (select request_id, count(line_no) as n_items,
+               count(*) filter (where line_no is not null and (product_id is null or product_id < 1)) as bad_product,
+               count(*) filter (where line_no is not null and (quantity is null or quantity < 1 or quantity > 1000))
+                 as bad_qty,
+               count(*) filter (where line_no is not null and product_id not in
+                                (select id from f_products where deleted_at is null)) as missing
+        from req group by request_id),
+dup as (select distinct request_id from req where line_no is not null and product_id is not null
+        group by request_id, product_id having count(*) > 1),
+static as (select a.request_id,
+                  case when n_items < 1 then 'no_items' when bad_product > 0 then 'invalid_product_id'
+                       when bad_qty > 0 then 'invalid_quantity' when d.request_id is not null then 'duplicate_product'
+                       when missing > 0 then 'product_not_found' end as reason
+           from agg a left join dup d on a.request_id = d.request_id),
+valid as (select r.request_id, min(r.created_at) as created_at,
+                 list(struct_pack(p := r.product_id, q := r.quantity)) as items
+          from req r join static s on r.request_id = s.request_id and s.reason is null group by r.request_id),
+seqd as (select row_number() over (order by created_at, request_id) as k, request_id, items from valid),
+walk(k, stock, ok) as (
+  select 0::bigint, (select map_from_entries(list(struct_pack(k := id, v := stock_quantity))) from f_products
+                     where deleted_at is null), null::boolean
+  union all
+  select s.k, case when f.fits then map_concat(w.stock, map_from_entries(
+                   list_transform(s.items, lambda x: struct_pack(k := x.p, v := w.stock[x.p] - x.q)))) else w.stock end,
+         f.fits
+  from walk w join seqd s on s.k = w.k + 1,
+       lateral (select list_bool_and(list_transform(s.items, lambda x: w.stock[x.p] >= x.q)) as fits) f),
+decisions as (
+  select st.request_id, coalesce(st.reason is null and sq.ok, false) as accepted,
+         coalesce(st.reason, case when sq.ok then null else 'insufficient_stock' end) as reason
+  from static st left join (select s.request_id, w.ok from walk w join seqd s on w.k = s.k) sq
+    on st.request_id = sq.request_id)"""
+
+
 def _placed(t):
     from ..operators.allocate import place_orders
     return place_orders(t.products, t.order_request_items, as_of=AS_OF)
 
 
-@register("M6_place_orders")
+@register("M6_place_orders", M6_CTES + "\nselect request_id, accepted, reason from decisions")
 def m6(t):
     """Every order of the test data placed against the product stock, in
     (created_at, id) order, all-or-nothing per order: accepted or the reason
-    it was refused.  Iterative, so no SQL oracle; tests check it against a
-    one-by-one replay."""
+    it was refused (set-based rounds; the oracle replays order by order)."""
     return _placed(t).decisions
 
 
-@register("M6_place_orders_audit")
+@register("M6_place_orders_audit", M6_CTES + """
+, placed as (select r.* from req r join decisions d on r.request_id = d.request_id and d.accepted),
+led as (select pl.*, p.stock_quantity - sum(pl.quantity) over (partition by pl.product_id
+          order by pl.created_at, pl.request_id, pl.line_no rows between unbounded preceding and current row) as qa
+        from placed pl join f_products p on pl.product_id = p.id)
+select product_id, user_id as changed_by, cast(qa + quantity as int) as quantity_before, cast(qa as int) as quantity_after,
+       'order_placed' as reason, created_at as changed_at, request_id as ref_id, line_no from led""")
 def m6_audit(t):
     """The order_placed audit rows of the accepted orders (true running stock)."""
     return _placed(t).audit

@@ -113,6 +113,9 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n].strip()})" for n in needed)
     body = sql.strip()
+    m = re.match(r"(?is)^with\s+recursive\s", body)
+    if m:
+        return f"with recursive {ctes},\n{body[m.end():].lstrip()}"
     if re.match(r"(?is)^with\s", body):
         return f"with {ctes},\n{body[4:].lstrip()}"
     return f"with {ctes}\n{body}"

@@ -238,3 +238,8 @@ def test_patch_rejects_unknown_category(spark):
     r = MU.patch(prods, batch, ["category_id"], references={"category_id": cats})
     assert {x.id: x.category_id for x in r.table.collect()} == {1: 3, 2: None}
     assert [(x.id, x.reason) for x in r.rejected.collect()] == [(2, "unknown_category_id")]
+
+
+def test_placement_accepted_flag_is_never_null(spark):
+    pl = allocate.place_orders(_products(spark, {1: 1}), _requests(spark, [(1, [(1, 1)]), (2, [(1, 1)]), (3, [])]))
+    assert {r.request_id: r.accepted for r in pl.decisions.collect()} == {1: True, 2: False, 3: False}
