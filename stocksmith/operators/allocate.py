@@ -56,7 +56,7 @@ class Placement:
 
 
 def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_unit: str = "minute",
-                 max_rounds: int | None = None) -> Placement:
+                 max_rounds: int | None = None, hot_threshold: int | None = None) -> Placement:
     """``requests``: flat order requests (request_id, line_no, product_id,
     quantity, user_id, notes, created_at; one row per item, a request with
     no items has one row with NULL item fields).
@@ -80,7 +80,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
                     F.col("stock_quantity").cast("bigint").alias("stock"), "created_at",
                     F.lit(OPEN).alias("state")))
     # hot products only shrink as rounds drop decided orders: find them once
-    hot = running.hot_keys(work, ["product_id"]) or running.NO_HOT_KEYS
+    hot = running.hot_keys(work, ["product_id"], hot_threshold) or running.NO_HOT_KEYS
     rounds = 0
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     open_rows = 1 if not work.isEmpty() else 0

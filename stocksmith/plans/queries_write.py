@@ -471,10 +471,26 @@ def m8(t):
 # the valid orders in (created_at, id) order carrying a product -> stock map,
 # and accepts an order when every item fits.  Exact, and a few seconds to a
 # minute on sf0.01 in DuckDB.
+ORDER_REQUESTS_SQL = """
+select o.id as request_id, o.user_id, o.created_at, i.line_no, i.product_id, i.quantity
+from f_orders o left join f_order_items i on i.order_id = o.id"""
+
+# line 1 of every delivered order asks for product 1 instead (one hot product)
+HOT_ORDER_REQUESTS_SQL = f"""
+select request_id, user_id, created_at, line_no, quantity,
+       case when line_no = 1 and request_id in (select id from f_orders where status = 'delivered')
+            then cast(1 as bigint) else product_id end as product_id
+from ({ORDER_REQUESTS_SQL}) r"""
+
+
+def m6_ctes(requests_sql: str) -> str:
+    """The replay oracle's CTEs over a request query (flat items)."""
+    return M6_CTES.replace("{requests}", requests_sql)
+
+
 M6_CTES = """
 with recursive
-req as (select o.id as request_id, o.user_id, o.created_at, i.line_no, i.product_id, i.quantity
-        from f_orders o left join f_order_items i on i.order_id = o.id),
+req as ({requests}),
 agg as (select request_id, count(line_no) as n_items,
                count(*) filter (where line_no is not null and (product_id is null or product_id < 1)) as bad_product,
                count(*) filter (where line_no is not null and (quantity is null or quantity < 1 or quantity > 1000))
@@ -514,7 +530,7 @@ def _placed(t):
     return place_orders(t.products, t.order_request_items, as_of=AS_OF)
 
 
-@register("M6_place_orders", M6_CTES + "\nselect request_id, accepted, reason from decisions")
+@register("M6_place_orders", m6_ctes(ORDER_REQUESTS_SQL) + "\nselect request_id, accepted, reason from decisions")
 def m6(t):
     """Every order of the test data placed against the product stock, in
     (created_at, id) order, all-or-nothing per order: accepted or the reason
@@ -522,7 +538,7 @@ def m6(t):
     return _placed(t).decisions
 
 
-@register("M6_place_orders_audit", M6_CTES + """
+@register("M6_place_orders_audit", m6_ctes(ORDER_REQUESTS_SQL) + """
 , placed as (select r.* from req r join decisions d on r.request_id = d.request_id and d.accepted),
 led as (select pl.*, p.stock_quantity - sum(pl.quantity) over (partition by pl.product_id
           order by pl.created_at, pl.request_id, pl.line_no rows between unbounded preceding and current row) as qa
@@ -534,6 +550,26 @@ def m6_audit(t):
     return _placed(t).audit
 
 
+def _hot_requests(t):
+    """Stand-in requests with one hot product: line 1 of every delivered
+    order asks for product 1 instead."""
+    delivered = t.orders.filter(F.col("status") == "delivered").select(F.col("id").alias("request_id"),
+                                                                       F.lit(True).alias("_d"))
+    r = t.order_request_items.join(delivered, "request_id", "left")
+    return r.withColumn("product_id", F.when(F.col("_d").isNotNull() & (F.col("line_no") == 1),
+                                             F.lit(1).cast("bigint")).otherwise(F.col("product_id"))).drop("_d")
+
+
+@register("M6_place_orders_hot_product",
+          m6_ctes(HOT_ORDER_REQUESTS_SQL) + "\nselect request_id, accepted, reason from decisions")
+def m6_hot(t):
+    """Placement when one product is asked for by a third of all orders: the
+    sampled detector (threshold 1,000 rows) splits it into minute chunks in
+    every round."""
+    from ..operators.allocate import place_orders
+    return place_orders(t.products, _hot_requests(t), as_of=AS_OF, hot_threshold=1000).decisions
+
+
 # ---------------------------------------------------------------- M9 users
 
 USER_CHECKED_SQL = f"""
