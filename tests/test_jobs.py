@@ -52,7 +52,7 @@ def _requests(spark, orders, t0=dt.datetime(2024, 1, 1)):
     return spark.createDataFrame(rows, REQ_SCHEMA)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 9, 10])
 def test_place_orders_equals_sequential_replay(spark, seed):
     rnd = random.Random(seed)
     stock = {p: rnd.randint(0, 12) for p in range(1, 9)}
@@ -243,3 +243,43 @@ def test_patch_rejects_unknown_category(spark):
 def test_placement_accepted_flag_is_never_null(spark):
     pl = allocate.place_orders(_products(spark, {1: 1}), _requests(spark, [(1, [(1, 1)]), (2, [(1, 1)]), (3, [])]))
     assert {r.request_id: r.accepted for r in pl.decisions.collect()} == {1: True, 2: False, 3: False}
+
+
+def _status_replay(orders: dict, owners: dict, requests: list):
+    """The controller's rule, one request at a time in seq order."""
+    legal = set(S.transitions())
+    state = dict(orders)
+    out = {}
+    for oid, target, actor, role, seq in sorted(requests, key=lambda r: r[4]):
+        if oid not in state:
+            out[(oid, seq)] = "not_found"
+        elif role != "admin" and target != "cancelled":
+            out[(oid, seq)] = "admin_only"
+        elif role != "admin" and owners[oid] != actor:
+            out[(oid, seq)] = "not_owner"
+        elif (state[oid], target) in legal:
+            state[oid] = target
+            out[(oid, seq)] = None
+        else:
+            out[(oid, seq)] = "invalid_transition"
+    return out, state
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7, 8])
+def test_advance_status_equals_sequential_replay(spark, seed):
+    rnd = random.Random(seed)
+    orders = {i: rnd.choice(S.ORDER_STATUSES) for i in range(1, 25)}
+    owners = {i: rnd.randint(1, 4) for i in orders}
+    reqs, seq = [], 0
+    for _ in range(140):
+        seq += rnd.randint(1, 3)
+        oid = rnd.randint(1, 26)                      # 25, 26 do not exist
+        role = rnd.choice(["admin", "admin", "user"])
+        reqs.append((oid, rnd.choice(S.ORDER_STATUSES), rnd.randint(1, 4), role, seq))
+    exp, final = _status_replay(orders, owners, reqs)
+    odf = spark.createDataFrame([(i, owners[i], s, Decimal("1.00"), None, None, None) for i, s in orders.items()],
+                                S.ORDERS)
+    rdf = spark.createDataFrame(reqs, "order_id long, status string, actor_id long, actor_role string, seq long")
+    res = MU.advance_status(odf, rdf)
+    assert {(r.order_id, r.seq): r.reason for r in res.extra["requests"].collect()} == exp
+    assert {r.id: r.status for r in res.table.collect()} == final
