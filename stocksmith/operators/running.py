@@ -29,6 +29,7 @@ planned at all.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from functools import reduce
 from operator import and_
 
@@ -57,7 +58,10 @@ def _chunk_cols(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str
 # Hot-key lists found in this process, by (application, plan hash, keys,
 # threshold).  The list only picks the execution path -- both paths give the
 # same rows -- so reusing it for an equal plan is safe, like table statistics.
-_HOT_CACHE: dict[tuple, DataFrame | None] = {}
+# Bounded (least recently used out), so a long-running stream that plans a
+# new micro-batch each time neither grows it nor pins old checkpoints.
+_HOT_CACHE: OrderedDict[tuple, DataFrame | None] = OrderedDict()
+_HOT_CACHE_SIZE = 64
 
 
 SAMPLED_ROWS_PER_HOT_KEY = 100
@@ -77,6 +81,7 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> Da
     threshold = hot_key_rows(df) if threshold is None else threshold
     memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), threshold)
     if memo in _HOT_CACHE:
+        _HOT_CACHE.move_to_end(memo)
         return _HOT_CACHE[memo]
     shared_root(df.sparkSession)
     rate = SAMPLED_ROWS_PER_HOT_KEY / threshold
@@ -90,6 +95,8 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> Da
     hot = hot.select(*[F.col(k).alias(k) for k in keys])
     result = None if hot.isEmpty() else hot
     _HOT_CACHE[memo] = result
+    while len(_HOT_CACHE) > _HOT_CACHE_SIZE:
+        _HOT_CACHE.popitem(last=False)
     return result
 
 
