@@ -9,29 +9,30 @@ never overwritten, so nothing that is being read is ever replaced.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def committed_values(spark: SparkSession, folder: str, key: str) -> list[int]:
+    """The values N of the ``<key>=N`` sub-folders of a Parquet folder that
+    hold committed files (the files Spark lists; a failed write leaves only
+    its ``_temporary`` folder, which readers ignore), ascending."""
+    try:
+        files = spark.read.parquet(folder).inputFiles()
+    except AnalysisException:          # no folder yet, or nothing committed
+        return []
+    found = {int(m.group(1)) for f in files if (m := re.search(rf"/{key}=(\d+)/", f))}
+    return sorted(found)
 
 
 def versions(spark: SparkSession, root: str, table: str) -> list[int]:
     """Committed versions of a table, oldest first."""
-    fs, p, jvm = _fs(spark, f"{root}/{table}")
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return committed_values(spark, f"{root}/{table}", "v")
 
 
 def load_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:   # S1

@@ -136,17 +136,9 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
 
 
 def _latest_version(spark: SparkSession, folder: str, before: int) -> int | None:
-    from ..sources.tables import _fs
-    fs, p, jvm = _fs(spark, folder)
-    if not fs.exists(p):
-        return None
-    ids = []
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if n.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            b = int(n.split("=", 1)[1])
-            if b < before:
-                ids.append(b)
+    """The newest committed batch below ``before`` under ``folder``."""
+    from ..sources.tables import committed_values
+    ids = [b for b in committed_values(spark, folder, "batch") if b < before]
     return max(ids) if ids else None
 
 
