@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = ["R3_sales_summary", "R2_top_products", "R4_customer_analytics", "R1_low_stock", "R6_dashboard_kpis",
            "R5_audit_log", "J5_order_document", "J7_sales_fact", "A2_order_totals", "W3_stock_ledger",
-           "W3_stock_ledger_skew_path", "M5_restock", "M7_orders", "F6_conjunction", "G1_page"]
+           "W3_stock_ledger_skew_path", "W3_stock_ledger_hot_product", "M5_restock", "M7_orders", "F6_conjunction", "G1_page"]
 
 
 def explain(df) -> str:
