@@ -32,7 +32,7 @@ def con():
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
+    from stocksmith.plans.catalog import oracle_sql
     return sorted(oracle_sql())
 
 
@@ -50,7 +50,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle(spark):
-    from __spark_entry__ import oracle_sql, queries
+    from stocksmith.plans.catalog import oracle_sql, queries
     assert set(queries()) == set(oracle_sql())
 
 
