@@ -8,10 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import harmonic_pack, rank_merge
+from . import fagin_topk, harmonic_pack, piece_codec, rank_merge, secret_novelty, url_digest
 from .common import table
 
 
+def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: fixed patterns, and strings that a primed zstandard frame cannot shorten."""
+    found = secret_novelty.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+    base = secret_novelty.as_text(F.filter("spans", lambda s: s.kind != "novel"))
+    return found.select("doc_id", *map(number, secret_novelty.KINDS), F.sha2(base, 256).alias("base_sha256"), secret_novelty.as_text(F.col("spans")).alias("spans"))
+
+
+#: The query's rules: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op4_url_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's URL judged by the longest fitting rule in a sorted digest array; allowed without one."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_digest.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_fagin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of each vector whose id is divisible by 20, against all others."""
+    rows = fagin_topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return fagin_topk.top_k(rows, rows.where("id % 20 = 0"), 20)
+
+
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document through the SentencePiece model and back: its ids, parity with the library, and the round trip."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    coded = piece_codec.decode(piece_codec.encode(docs, model), model)
+    little_endian = F.transform("ids", lambda i: F.concat(*[F.substring(F.lpad(F.hex(i.cast("bigint")), 8, "0"), at, 2) for at in (7, 5, 3, 1)]))
+    return coded.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(F.unhex(F.array_join(little_endian, ""))).alias("ids_crc32"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Harmonic packing of all documents into sequences of 2048 ids, one row per piece."""
     pieces = harmonic_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -24,8 +57,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_novelty": op2_secret_novelty,
+    "op4_url_digest": op4_url_digest,
+    "op5_fagin_topk": op5_fagin_topk,
+    "op8_piece_codec": op8_piece_codec,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER_LOWER = f"'{url_digest.UPPER}', '{url_digest.LOWER}'"
+
+ORACLES: dict[str, str] = {
+    "op4_url_digest": rf"""
+with rules(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
+parts as (
+  select row_number() over () as row, page_id,
+         translate(regexp_extract(coalesce(url, ''), '^(.|\n)*?://([^/?#]*)', 2), {_UPPER_LOWER}) as host,
+         regexp_extract(coalesce(url, ''), '^(.|\n)*?://[^/?#]*([^?#]*)', 2) as path
+  from pages),
+fits as (
+  select p.row, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+  from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+  group by p.row)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from parts p left join fits f using (row)
+""",
+    "op5_fagin_topk": """
+with v as (
+  select vec_id, [floor(64 * x::double)::bigint for x in embedding] as e from embeddings
+  where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)])::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0)
+select * from (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+where rank <= 20
+""",
+}

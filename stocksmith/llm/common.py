@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path, shared_root
 
@@ -17,6 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per Spark application, wherever it lies on the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpus_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver's own copy; Spark hands it on
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(to))
+    sc._corpus_shipped = True
+
+
+def text_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id (bigint) and text of each row, whatever else there is."""
+    ship(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that no later step replays its lineage."""
     path = shared_path(spark, name)
@@ -51,3 +77,13 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: n
     n = lens[codes]
     out_at = np.cumsum(n) - n
     return flat[np.repeat(starts[codes] - out_at, n) + np.arange(int(n.sum()))]
+
+
+def distinct(words: list[str], nul: bool) -> tuple[np.ndarray, list[str]]:
+    """The number of each word's distinct value, and the values. ``nul``: a word may hold a NUL, at which pandas would end it."""
+    if not nul:
+        codes, unique = pd.factorize(np.array(words, dtype=object))
+        return codes, list(unique)
+    place: dict[str, int] = {}
+    codes = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+    return codes, list(place)

@@ -14,13 +14,11 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import distinct, text_rows, text_slices
 
 # Fixed values of the byte-level format: the split pattern, and which bytes stand for themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,7 +110,7 @@ class Merges:
             ends[i] = len(words)
         if not words:
             return extra
-        codes, unique = pd.factorize(np.array(words, dtype=object))
+        codes, unique = distinct(words, any("\0" in t for t in texts if t))
         if len(self.known) > KNOWN_LIMIT:
             self.known.clear()
         new = [w for w in unique if w not in self.known]
@@ -149,5 +147,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: st
             n = table.count_texts(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return text_rows(docs, doc_id, text).mapInArrow(run, schema)
