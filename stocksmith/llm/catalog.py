@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fagin_topk, harmonic_pack, piece_codec, rank_merge, secret_novelty, url_digest
+from . import fagin_topk, harmonic_pack, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
 from .common import table
 
 
+def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of each document: counts, base rules and robust outliers per language and source."""
+    return quality_mcd.quality(table(spark, sf_dir, "documents")).select("doc_id", *quality_mcd.RESULT, "kept")
+
+
 def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document: fixed patterns, and strings that a primed zstandard frame cannot shorten."""
     found = secret_novelty.scan(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mcd": op1_quality_mcd,
     "op2_secret_novelty": op2_secret_novelty,
     "op4_url_digest": op4_url_digest,
     "op5_fagin_topk": op5_fagin_topk,
