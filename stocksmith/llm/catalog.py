@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fagin_topk, harmonic_pack, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
+from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
 from .common import table
 
 
@@ -41,6 +41,18 @@ def op5_fagin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fagin_topk.top_k(rows, rows.where("id % 20 = 0"), 20)
 
 
+def op6_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the words of 50-word windows that a smaller document has, by difference-cover anchors."""
+    left = cover_anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_induced_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the bytes of 50-byte strings that a smaller document has, by induced suffix arrays."""
+    left = induced_suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document through the SentencePiece model and back: its ids, parity with the library, and the round trip."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_novelty": op2_secret_novelty,
     "op4_url_digest": op4_url_digest,
     "op5_fagin_topk": op5_fagin_topk,
+    "op6_cover_anchors": op6_cover_anchors,
+    "op7_induced_suffix": op7_induced_suffix,
     "op8_piece_codec": op8_piece_codec,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_token_counts": op10_token_counts,
