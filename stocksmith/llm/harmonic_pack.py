@@ -17,22 +17,34 @@ import re
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ragged_take, text_slices
+from .common import distinct, ragged_take, text_rows, text_slices
 
 #: A slot may stay empty by one part in so many before the piece is cut.
 SLACK = 64
 #: A worker forgets its known words beyond this many.
-KNOWN_LIMIT = 600_000
+KNOWN_LIMIT = 1_000_000
 
-# A text is cut at blanks, and between a run of Latin letters and the punctuation after
-# it: places that no normal form, pre-token or special string of the file spans.
-_UNITS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \\t\\r\\n.,;:!?])|[^ \\t\\r\\n]+")
+# A text is cut at blanks, and between a run of Latin letters and a run of ASCII punctuation
+# (not the apostrophe): places that no normal form or pre-token of the file spans.
+_UNITS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\r\n!-&(-/:-@\[-`{-~]|\Z)|[!-&(-/:-@\[-`{-~]+(?=[ \t\r\nA-Za-zÀ-ÖØ-öø-ÿ]|\Z)|[^ \t\r\n]+")
+# Without apostrophes, a lower-cased Latin-1 text parts wherever letters and other characters meet.
+_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ \t\r\n]+")
+
+
+def units(text: str) -> list[str]:
+    """Parts of a text that the tokenizer encodes independently of each other."""
+    if "<|" in text:  # special strings are taken before anything else
+        return [text]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNITS.findall(text)
+    text = text.lower()  # as the file's normaliser does it
+    return (_UNITS if "'" in text else _LATIN).findall(text)
 
 
 class WordIds:
@@ -54,24 +66,23 @@ class WordIds:
         ends = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
             if text:
-                words += _UNITS.findall(text)
+                words += units(text)
             ends[i] = len(words)
         if not words:
             return np.zeros(0, np.uint32), ends * 0
-        codes, unique = pd.factorize(np.array(words, dtype=object))
         if len(self.place) > KNOWN_LIMIT:
             self._forget()
         place = self.place
+        codes, unique = distinct(words, any("\0" in t for t in texts if t))
         new = [w for w in unique if w not in place]
         place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
         for e in self.encoder.encode_batch_fast(new, add_special_tokens=False):
             self.ids.extend(e.ids)
             self.ends.append(len(self.ids))
-        at = np.fromiter(map(place.__getitem__, unique), np.int64, len(unique))
+        codes = np.fromiter(map(place.__getitem__, unique), np.int64, len(unique))[codes]
         bounds = np.array(self.ends)
-        starts = bounds[at]
-        lens = bounds[at + 1] - starts
-        flat = ragged_take(np.array(self.ids, dtype=np.uint32), starts, lens, codes)
+        lens = np.diff(bounds)
+        flat = ragged_take(np.array(self.ids, dtype=np.uint32), bounds[:-1], lens, codes)
         return flat, np.r_[0, np.cumsum(lens[codes])][ends]
 
 
@@ -183,5 +194,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
         bins.end()
         yield bins.take()
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return text_rows(docs, doc_id, text).mapInArrow(run, SCHEMA)
