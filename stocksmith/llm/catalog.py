@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
+from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, odd_sketch, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, secret_novelty.KINDS), F.sha2(base, 256).alias("base_sha256"), secret_novelty.as_text(F.col("spans")).alias("spans"))
 
 
+def op3_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: two-word shingles, similarity of 0.8 or more."""
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), percent=80, words=2)
+
+
 #: The query's rules: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -55,11 +60,9 @@ def op7_induced_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document through the SentencePiece model and back: its ids, parity with the library, and the round trip."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = piece_codec.decode(piece_codec.encode(docs, model), model)
-    little_endian = F.transform("ids", lambda i: F.concat(*[F.substring(F.lpad(F.hex(i.cast("bigint")), 8, "0"), at, 2) for at in (7, 5, 3, 1)]))
-    return coded.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(F.unhex(F.array_join(little_endian, ""))).alias("ids_crc32"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "parity", (F.col("decoded") == F.col("text")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_secret_novelty": op2_secret_novelty,
+    "op3_odd_sketch": op3_odd_sketch,
     "op4_url_digest": op4_url_digest,
     "op5_fagin_topk": op5_fagin_topk,
     "op6_cover_anchors": op6_cover_anchors,
