@@ -11,7 +11,9 @@ multithreaded batch, and its ids are held against the sentencepiece library.
 from __future__ import annotations
 
 import re
+import string
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,15 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 from .common import distinct, ragged_take, ship, text_slices
 
 MARK = "▁"
+LETTERS = frozenset(chr(c) for c in range(0x100) if chr(c).isalpha() and chr(c) not in "ªµº")
+PUNCTUATION = frozenset(string.punctuation)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: A worker forgets its known words beyond this many.
 KNOWN_LIMIT = 400_000
+#: Bytes of text or ids handled at a time.
+SLICE = 2 << 20
 
 
 def fields(raw: bytes):
@@ -75,8 +81,11 @@ class Model:
         if self.kind not in (UNIGRAM, BPE) or not norm[5] or any(kind == USER for *_, kind in self.pieces):
             raise ValueError("unigram or BPE models with escaped blanks and without user-defined pieces are supported")
         usable = [p for p, _, kind in self.pieces if kind == NORMAL]
-        #: No piece goes on after a blank that follows another character: words can be encoded one by one.
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in usable)
+        pairs = {p[k:k + 2] for p in usable for k in range(len(p) - 1)}
+        #: No piece goes on with a blank after another character: words can be encoded one by one.
+        self.by_word = not any(y == MARK != x for x, y in pairs)
+        #: Nor over a line's end, nor from a letter to punctuation: they can be cut there, too.
+        self.by_part = self.by_word and not any("\n" in xy or xy[0] in LETTERS and xy[1] in PUNCTUATION for xy in pairs)
 
     def merges(self) -> list[tuple[str, str]]:
         """All ways to put a piece together from two others, best score first."""
@@ -102,58 +111,72 @@ class Model:
             model = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
         out = Tokenizer(model)
         out.normalizer = self.normalizer(prefix)
-        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * self.dummy_prefix)
+        out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * (prefix and self.dummy_prefix))
         return out
 
 
 class Codec:
     """Encoder, decoder and the sentencepiece library's own view of one model."""
 
-    _WORD = re.compile("[ ▁]*[^ ▁]+|[ ▁]+$")
+    _WORD = re.compile("[ ▁]*[^ ▁]+|[ ▁]+\\Z")
+    _PART = re.compile("\n|[ ▁]*[^ ▁\nA-Za-zÀ-ÖØ-öø-ÿ]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ▁\n!-/:-@\\[-`{-~]|\\Z)|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
     def __init__(self, raw: bytes):
         self.model = Model(raw)
         self.by_word = self.model.by_word and not self.model.trim and not self.model.charsmap
         self.tokenizer = self.model.tokenizer()
         self.words = self.model.tokenizer(prefix=not self.by_word)
+        self.inner = self.words if self.by_word else self.tokenizer  # decodes a word with its blank, or a text
         # an added normaliser message overrides the blank before a text: field 3 { 3: 0 }
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw + (b"\x1a\x02\x18\x00" if self.by_word else b""))
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.lens, self.same = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids, self.lens, self.same = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.back: list[str] = []
 
     def _learn(self, units: list[str]) -> None:
         own = [e.ids for e in self.words.encode_batch_fast(units, add_special_tokens=False)]
         theirs = self.library.encode(units, num_threads=1)
         self.place.update(zip(units, range(len(self.place), len(self.place) + len(units)), strict=True))
         self.lens = np.r_[self.lens, np.fromiter(map(len, own), np.int64, len(own))]
-        self.ids = np.r_[self.ids, np.fromiter((i for ids in own for i in ids), np.int32)]
-        self.same = np.r_[self.same, np.fromiter((a == b for a, b in zip(own, theirs, strict=True)), bool, len(own))]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(own), np.uint32)]
+        self.same = np.r_[self.same, np.fromiter(map(list.__eq__, own, theirs), bool, len(own))]
+        self.back += self.inner.decode_batch(own, skip_special_tokens=False)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's ids end, and if each text's words agree with the library."""
+    def _units(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         units: list[str] = []
         ends = np.zeros(len(texts), dtype=np.int64)
+        cut = (self._PART if self.model.by_part else self._WORD).findall
         for i, text in enumerate(texts):
             if text:
-                units += self._WORD.findall(" " + text if self.model.dummy_prefix else text) if self.by_word else [text]
+                units += cut(" " + text if self.model.dummy_prefix else text) if self.by_word else [text]
             ends[i] = len(units)
+        return units, ends
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """All ids, where each text's ids end, if each text's words agree with the library, and the texts that the ids decode to."""
+        units, ends = self._units(texts)
         if not units:
-            return np.zeros(0, np.int32), ends * 0, np.ones(len(texts), bool)
+            return np.zeros(0, np.uint32), ends * 0, np.ones(len(texts), bool), [""] * len(texts)
         codes, unique = distinct(units, any("\0" in t for t in texts if t))
         if len(self.place) > KNOWN_LIMIT:
             self._forget()
         if new := [u for u in unique if u not in self.place]:
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, unique), np.int64, len(unique))[codes]
+        places = [self.place[u] for u in unique]
+        at = np.array(places)[codes]
         ids = ragged_take(self.ids, np.cumsum(self.lens) - self.lens, self.lens, at)
         odd = np.r_[0, np.cumsum(~self.same[at])]
-        return ids, np.r_[0, np.cumsum(self.lens[at])][ends], odd[ends] == odd[np.r_[0, ends[:-1]]]
+        begins = np.r_[0, ends[:-1]]
+        words = [self.back[k] for k in places]
+        cut = int(self.by_word and self.model.dummy_prefix)
+        back = ["".join([words[c] for c in codes[a:b].tolist()])[cut:] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return ids, np.r_[0, np.cumsum(self.lens[at])][ends], odd[ends] == odd[begins], back
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
 _LOADED: dict[str, Codec] = {}
@@ -166,41 +189,45 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
+
+
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``parity`` added: the ids of ``text`` under the
-    SentencePiece file ``model`` (a path on every worker), and if the sentencepiece
-    library gives the same for each of its words (for a model whose pieces span
-    words: for the text).  Null or empty text: no ids, parity true.  All other
-    columns and rows stay; columns named ids or parity must not be there yet."""
+    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit), ``parity`` and ``decoded`` added.
+
+    The ids are those of ``text`` under the SentencePiece file ``model`` (a path on
+    every worker); parity says if the sentencepiece library gives the same for
+    each of its words (for a model whose pieces span words: for the text);
+    decoded is the text that the ids stand for.  Null or empty text: no ids, parity
+    true, decoded empty.  All other columns and rows stay; columns of these three names
+    must not be there yet.  An empty table gives an empty result."""
     ship(docs.sparkSession)
     docs = docs.withColumn(text, F.col(text).cast("string"))
     place = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, parity boolean"
 
     def run(batches):
         table = codec(model)
-        for part in text_slices(batches, place):
-            ids, ends, same = table.encode(part.column(place).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same)], names=[*part.schema.names, "ids", "parity"])
+        for part in text_slices(batches, place, SLICE):
+            ids, ends, same, back = table.encode(part.column(place).to_pylist())
+            raw = pa.py_buffer(ids.astype("<u4").tobytes())
+            lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends * 4].astype(np.int64).tobytes()), raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same), pa.array(back, pa.string())], names=[*part.schema.names, "ids", "parity", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _schema(docs, "ids binary, parity boolean, decoded string"))
 
 
-def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """``coded`` with ``decoded`` added: the text of the ids; null for null, empty for none."""
+def decode(coded: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:
+    """``coded`` with the text of ``ids`` (as :func:`encode` gives them) added as column ``to``; null for null, empty for none."""
     ship(coded.sparkSession)
     place = coded.columns.index(ids)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields) + ", decoded string"
 
     def run(batches):
         table = codec(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                lists = part.column(place).to_pylist()
-                texts = iter(table.decode([x for x in lists if x is not None]))
-                out = pa.array([None if x is None else next(texts) for x in lists], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "decoded"])
-
-    return coded.mapInArrow(run, schema)
+        for part in text_slices(batches, place, SLICE):
+            lists = part.column(place).to_pylist()
+            texts = iter(table.decode([np.frombuffer(x, "<u4") for x in lists if x is not None]))
+            out = pa.array([None if x is None else next(texts) for x in lists], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, to])
+
+    return coded.mapInArrow(run, _schema(coded, f"`{to}` string"))
