@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ragged_take
 from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, Prefix, chunked, is_in, key_packets, mixed, reply_keys, shared_keys
@@ -346,6 +347,16 @@ def _remove(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Tab
     return pa.table({"doc_id": chunk.id_column(), "n_bytes": pa.array(chunk.lens), "n_removed": pa.array(removed), "n_spans": pa.array(total(begins)), "kept": pa.array(kept, pa.binary())})
 
 
+def _replies(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """For each chunk: the runs of its places, whole or in part, that a smaller document elsewhere has."""
+    if not 8 <= gram < length:
+        raise ValueError("a gram has 8 bytes at least and is shorter than the strings")
+    packets = chunks.groupBy("chunk").applyInArrow(lambda t: _send_keys(t, length, gram, n), KEY_PACKETS)
+    shared = packets.groupBy("bucket").applyInArrow(shared_keys, KEY_REPLY)
+    runs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, r: _send_runs(t, r, length, gram, n), RUN_PACKETS)
+    return runs.groupBy("bucket").applyInArrow(lambda t: _earlier(t, length), RUN_REPLY)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of each row of ``docs``.
 
@@ -355,11 +366,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     rows with the same id do not remove each other's bytes.  One row out for
     each in; an empty table gives an empty result; further columns are ignored.
     One document must fit in a task's memory."""
-    if not 8 <= gram < length:
-        raise ValueError("a gram has 8 bytes at least and is shorter than the strings")
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)
-    packets = chunks.groupBy("chunk").applyInArrow(lambda t: _send_keys(t, length, gram, n), KEY_PACKETS)
-    shared = packets.groupBy("bucket").applyInArrow(shared_keys, KEY_REPLY)
-    runs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, r: _send_runs(t, r, length, gram, n), RUN_PACKETS)
-    earlier = runs.groupBy("bucket").applyInArrow(lambda t: _earlier(t, length), RUN_REPLY)
+    earlier = _replies(chunks, n, length, gram)
     return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, r: _remove(t, r, length, gram), RESULT)
+
+
+def _cut(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Table:
+    """The rows of a chunk, with the text that is left where there was one."""
+    if not rows.num_rows:
+        return pa.table({"row": rows.column("row"), "left": pa.array([], pa.string())})
+    chunk = Chunk(rows)
+    gone = _gone(chunk, replies, length, gram)
+    first = np.flatnonzero((chunk.bytes & 0xC0) != 0x80)  # a character goes with any of its bytes
+    if len(first):
+        gone = np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
+    ends = np.cumsum(chunk.lens - np.diff(np.r_[0, np.cumsum(gone)][np.r_[0, chunk.ends]]))
+    raw = chunk.bytes[~gone].tobytes()
+    left = [raw[a:b].decode() for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+    return pa.table({"row": rows.column("row").take(pa.array(chunk.order)), "left": pa.array(left, pa.string())})
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the characters cut of which :func:`remove_repeats` removes a byte; all rows and other columns stay, null texts become empty."""
+    chunks, n = chunked(docs, doc_id, text, chunk_bytes, carry=True)
+    earlier = _replies(chunks, n, length, gram)
+    schema = f"row {chunks.schema['row'].dataType.simpleString()}, left string"
+    out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, r: _cut(t, r, length, gram), schema)
+    return out.select(*(F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

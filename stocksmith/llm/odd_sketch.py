@@ -21,7 +21,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_rows, text_slices, written
@@ -110,7 +110,7 @@ def most_bits(similarity: float, sigmas: float = 6.0) -> int:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (the set's identity; null without words or id), n_shingles, bands and odd sketch of each row."""
+    """doc_id, text_key, node (the set's identity; null without words or id), n_shingles, bands and odd sketch of each row."""
 
     def run(batches):
         for part in text_slices(batches, 1):
@@ -125,9 +125,10 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
             lists = lambda x: pa.array([x[pick[i]] if use[i] else None for i in range(len(use))], pa.list_(pa.int64()))
             raw = node.astype("<u8")
             names = pa.array([raw[i].tobytes() if use[i] else None for i in range(len(use))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array(sizes), lists(bands), lists(odd)], names=["doc_id", "node", "n_shingles", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), names, pa.array(sizes), lists(bands), lists(odd)], names=["doc_id", "text_key", "node", "n_shingles", "bands", "odd"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node binary, n_shingles bigint, bands array<bigint>, odd array<bigint>")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    return docs.mapInArrow(run, "doc_id bigint, text_key bigint, node binary, n_shingles bigint, bands array<bigint>, odd array<bigint>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -211,8 +212,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
 
     Two sets of similarity 0.8 miss all 40 bands with a probability of 5e-6, more
     similar ones with less."""
-    spark = docs.sparkSession
-    rows = text_rows(docs, doc_id, text)
+    return _components(text_rows(docs, doc_id, text), percent, words, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep, and repeated rows of one id and text once.
+
+    Rows without an id stay."""
+    found = _components(text_rows(docs, doc_id, text), percent, words, BLOCK)
+    kept = found.where("kept and doc_id is not null").select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.lit(1)))
+    with_id = rows.where("doc_id is not null").join(kept, ["doc_id", "text_key"], "left_semi").withColumn("again", again).where("again = 1")
+    return with_id.select("row.*").union(rows.where("doc_id is null").select("row.*"))
+
+
+def _components(rows: DataFrame, percent: int, words: int, block: int) -> DataFrame:
+    """What :func:`near_duplicates` gives for rows (doc_id, text), with a hash of each text beside it."""
+    spark = rows.sparkSession
     signed = written(spark, _signatures(rows, words), "signatures")
     classes = written(spark, signed.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("id"), *(F.first(k).alias(k) for k in ("n_shingles", "bands", "odd"))), "classes")
@@ -251,9 +268,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
     named = checkpointed(spark, classes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")))
     least = checkpointed(spark, named.groupBy("label").agg(F.min("id").alias("component_id")))
     place = checkpointed(spark, named.join(least, "label").select("node", "component_id"))
-    out = signed.select("doc_id", "node", "n_shingles").join(place, "node", "left")
+    out = signed.select("doc_id", "text_key", "node", "n_shingles").join(place, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _may_link(percent: int) -> Column:

@@ -25,9 +25,12 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text compressed) of all rows, and the number of chunks."""
+def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, carry: bool = False) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text compressed) of all rows, and the number of chunks. ``carry``: with the whole row, but for the text, as ``row``."""
     rows = text_rows(docs, doc_id, text)
+    row = F.struct(*(F.lit(None).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns)).alias("row")
+    if carry:
+        rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), row)
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
 
@@ -35,10 +38,11 @@ def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int) -> tuple[
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             z = [press.compress(t.as_buffer().to_pybytes()) if t.is_valid else press.compress(b"") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["chunk", "doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary()), *b.columns[3:]], names=["chunk", "doc_id", "z", *b.schema.names[3:]])
 
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return rows.select(chunk.alias("chunk"), "doc_id", "text").mapInArrow(pack, "chunk int, doc_id bigint, z binary"), n
+    schema = "chunk int, doc_id bigint, z binary" + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    return rows.select(chunk.alias("chunk"), "doc_id", "text", *rows.columns[2:]).mapInArrow(pack, schema), n
 
 
 class Chunk:
@@ -47,7 +51,8 @@ class Chunk:
     def __init__(self, rows: pa.Table):
         open_ = zstandard.ZstdDecompressor()
         ids = rows.column("doc_id").fill_null(NO_ID).to_pylist()
-        docs = sorted(zip(ids, (open_.decompress(z) for z in rows.column("z").to_pylist()), strict=True))
+        docs = sorted((i, open_.decompress(z), k) for k, (i, z) in enumerate(zip(ids, rows.column("z").to_pylist(), strict=True)))
+        self.order = [d[2] for d in docs]  # which of the rows each document is
         self.ids = np.array([d[0] for d in docs], dtype=np.int64)
         self.lens = np.array([len(d[1]) for d in docs], dtype=np.int64)
         self.ends = np.cumsum(self.lens)
