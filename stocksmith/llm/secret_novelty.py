@@ -85,7 +85,8 @@ def spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
                 continue
             if any(a <= c.start() and c.end() <= b for a, _, b in found):
                 continue
-            if novelty(c[0], text[max(0, c.start() - AROUND):c.start()] + "\n" + text[c.end():c.end() + AROUND]) >= least:
+            around = text[max(0, c.start() - AROUND):c.start()] + "\n" + text[c.end():c.end() + AROUND]
+            if novelty(c[0], around.replace(c[0], "")) >= least:  # a secret that is written twice stays new
                 novel.add((c.start(), 3, c.end()))
     return sorted({*found, *novel})
 
