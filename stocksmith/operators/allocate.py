@@ -11,7 +11,7 @@ open).  Each round computes, per product and in that order,
 * ``hi`` = units of earlier accepted **and** open orders, and
 * ``lo`` = units of earlier accepted orders only,
 
-(running sums, split by time chunks so a hot product is not one task).  An
+(running sums, split by time and id so a hot product is not one task).  An
 open order whose every item fits under ``hi`` is accepted whatever the open
 ones before it do; one with an item that does not fit even under ``lo`` is
 rejected.  The earliest open order always has ``hi = lo``, so every round
@@ -55,16 +55,13 @@ class Placement:
     rounds: int
 
 
-def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_unit: str = "minute",
-                 max_rounds: int | None = None, hot_threshold: int | None = None) -> Placement:
+def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_threshold: int | None = None) -> Placement:
     """``requests``: flat order requests (request_id, line_no, product_id,
     quantity, user_id, notes, created_at; one row per item, a request with
     no items has one row with NULL item fields).
 
     Rejection reasons: the V1 rules, then ``product_not_found`` (an item
-    names a missing or deleted product), then ``insufficient_stock``.  With
-    ``max_rounds`` set, orders still open after that many rounds are
-    returned as ``undecided`` (never dropped, never guessed)."""
+    names a missing or deleted product), then ``insufficient_stock``."""
     spark = requests.sparkSession
     shared_root(spark)   # reliable checkpoints need the shared folder
     now = ts_lit(as_of or DEFAULT_AS_OF)
@@ -85,15 +82,13 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     open_rows = 1 if not work.isEmpty() else 0
     while open_rows:
-        if max_rounds is not None and rounds >= max_rounds:
-            break
         rounds += 1
         q = F.col("quantity")
         led = running.running_sums(
             work, ["product_id"], order,
             {"_hi": F.when(F.col("state").isin(OPEN, ACCEPTED), q).otherwise(0),
              "_lo": F.when(F.col("state") == ACCEPTED, q).otherwise(0)},
-            chunk=[running.time_chunk(F.col("created_at"), chunk_unit)], hot=hot)
+            chunk=running.time_levels(F.col("created_at"), F.col("request_id")), hot=hot)
         # an open row's own units are in _hi (inclusive) but not in _lo, so
         # "hi before + q fits" is _hi <= stock and "lo before + q fails" is _lo + q > stock
         fits = F.col("_hi") <= F.col("stock")
@@ -117,8 +112,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
     decisions = static.join(final, "request_id", "left").select(
         "request_id",
         (F.col("reason").isNull() & F.coalesce(F.col("new_state") == ACCEPTED, F.lit(False))).alias("accepted"),
-        F.coalesce(F.col("reason"), F.when(F.col("new_state") == OPEN, F.lit("undecided"))
-                   .when(F.col("new_state").isNull(), F.lit("insufficient_stock"))).alias("reason"))
+        F.coalesce(F.col("reason"), F.when(F.col("new_state").isNull(), F.lit("insufficient_stock"))).alias("reason"))
 
     ok = decisions.filter("accepted").select("request_id")
     acc_items = items.join(ok, "request_id", "left_semi")
@@ -137,8 +131,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, chunk_uni
                              F.col("request_id").alias("ref_id"), "line_no")
     start = products.select(F.col("id").alias("product_id"), "stock_quantity")
     touched = moves.groupBy("product_id").agg(F.sum("delta").alias("_d"))
-    audit = R.stock_ledger(moves, start=start.join(touched.select("product_id"), "product_id", "left_semi"),
-                           chunk_unit=chunk_unit)
+    audit = R.stock_ledger(moves, start=start.join(touched.select("product_id"), "product_id", "left_semi"))
     new_products = products.join(touched.withColumnRenamed("product_id", "id"), "id", "left") \
         .withColumn("stock_quantity", (F.col("stock_quantity") + F.coalesce(F.col("_d"), F.lit(0))).cast("int")) \
         .withColumn("updated_at", F.when(F.col("_d").isNotNull(), now).otherwise(F.col("updated_at"))) \

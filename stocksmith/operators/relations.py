@@ -160,7 +160,7 @@ def low_stock_count(products: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ windows
-def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_unit: str = "minute",
+def stock_ledger(movements: DataFrame, start: DataFrame | None = None,
                  hot_threshold: int | None = None) -> DataFrame:                       # W3
     """Audit rows from signed stock movements.
 
@@ -169,14 +169,14 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_uni
     or None for 0.  Each row gets quantity_after = start + running sum of
     delta per product in (changed_at, ref_id, line_no) order, and
     quantity_before = quantity_after - delta.  Hot products are split by
-    ``chunk_unit`` buckets of changed_at (see :mod:`running`)."""
+    time and reference id (see :mod:`running`)."""
     mv = movements.withColumn("_phase", F.lit(1))
     if start is not None:
         base = start.select("product_id", F.col("stock_quantity").cast("int").alias("delta"), F.lit(0).alias("_phase"))
         mv = mv.unionByName(base, allowMissingColumns=True)
     order = [F.col("_phase")] + [F.col(c) for c in LEDGER_ORDER]
     led = running.running_sum(mv, ["product_id"], order, F.col("delta").cast("bigint"), "_after",
-                              chunk=[F.col("_phase"), running.time_chunk(F.col("changed_at"), chunk_unit)],
+                              chunk=[F.col("_phase"), *running.time_levels(F.col("changed_at"), F.col("ref_id"))],
                               threshold=hot_threshold)
     led = led.filter(F.col("_phase") == 1)
     return led.select(
@@ -186,11 +186,10 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None, chunk_uni
         "reason", "changed_at", "ref_id", "line_no")
 
 
-def audit_continuity(audit: DataFrame, chunk_unit: str = "minute",
-                     hot_threshold: int | None = None) -> DataFrame:                   # W4
+def audit_continuity(audit: DataFrame, hot_threshold: int | None = None) -> DataFrame:                   # W4
     """Audit rows whose quantity_before differs from the quantity_after of the
     product's previous row (stale reads in the application can write them)."""
     order = [F.col(c) for c in LEDGER_ORDER]
     a = running.previous_value(audit, ["product_id"], order, F.col("quantity_after"), "expected_before",
-                               chunk=[running.time_chunk(F.col("changed_at"), chunk_unit)], threshold=hot_threshold)
+                               chunk=running.time_levels(F.col("changed_at"), F.col("ref_id")), threshold=hot_threshold)
     return a.filter(F.col("expected_before").isNotNull() & (F.col("quantity_before") != F.col("expected_before")))

@@ -4,27 +4,27 @@
 one task: one product with a third of all stock movements would be one task.
 So the helpers first find the *hot* keys -- keys with more rows than
 ``stocksmith.hotKeyRows`` (a session setting, default 1,000,000) -- with a
-partial aggregate over a sample.  At most ``2 * rows / threshold`` keys can
-be flagged, so that list has a proven size bound and is broadcast.
+partial aggregate over a sample.
 
 * Ordinary keys use the plain window (one shuffle on the key).
-* Hot keys are split into *chunks*: columns that never decrease along the
-  row order within the key (a prefix of the sort key, or a time bucket of
-  its first column).  Then:
+* Hot keys are split into *chunks* on nested levels: columns that, taken
+  together, never decrease along the row order within the key (for stock
+  movements: minute, second, time, block of 1,024 reference ids).  Then:
 
-  1. ``groupBy(key, chunk)`` totals (partial aggregation, so the hot key is
-     combined map-side);
-  2. a window over those totals per key ordered by chunk (one row per
-     chunk) gives each chunk's starting offset;
-  3. a window per ``(key, chunk)`` gives the running value inside the chunk.
+  1. ``groupBy(key, all levels)`` totals (partial aggregation, so the hot key is
+     combined map-side), and from them the totals of each coarser level;
+  2. per level, a window over the totals inside one parent (at most 60
+     seconds in a minute, a million times in a second, ...) gives each
+     chunk's starting offset, added to its parent's;
+  3. a window per finest chunk gives the running value inside it.
 
-  Step 3 and the join of the offsets both hash on ``(key, chunk)``, so the
-  join's shuffle is reused by the window, and the hot key spreads over as
-  many tasks as it has chunks.
+  So rows that all carry the same time still spread over as many tasks as there are
+  blocks of ids, and no window holds more than one parent's chunks.
 
 The hot-key list is written with a reliable ``checkpoint()`` (shared
 folder), so it is computed once; when it is empty the chunked branch is not
-planned at all.
+planned at all.  It is broadcast only if it has at most ``BROADCAST_KEYS`` keys, else
+joined.
 """
 
 from __future__ import annotations
@@ -74,9 +74,7 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> Da
     shows ~100 sampled rows and is flagged above 50, so the detection
     shuffle is ~threshold/100 times smaller than the data.  A key flagged or
     missed by chance only changes which path computes it, never the
-    result.  At most ``2 * rows / threshold`` keys are flagged (each needs
-    50 of the ``rows * 100 / threshold`` sampled rows), which bounds the
-    broadcast list.  Small thresholds (tests) count exactly."""
+    result.  Small thresholds (tests) count exactly."""
     from ..session import shared_root
     threshold = hot_key_rows(df) if threshold is None else threshold
     memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), threshold)
@@ -93,7 +91,8 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> Da
            .filter(F.col("_n") > cut).select(*keys))
     hot = hot.checkpoint(eager=True)
     hot = hot.select(*[F.col(k).alias(k) for k in keys])
-    result = None if hot.isEmpty() else hot
+    found = hot.count()
+    result = None if not found else hot if found > BROADCAST_KEYS else F.broadcast(hot)
     _HOT_CACHE[memo] = result
     while len(_HOT_CACHE) > _HOT_CACHE_SIZE:
         _HOT_CACHE.popitem(last=False)
@@ -101,6 +100,8 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int | None = None) -> Da
 
 
 NO_HOT_KEYS = "none"
+#: Longer hot-key lists are joined, not broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None,
@@ -111,7 +112,7 @@ def split_hot(df: DataFrame, keys: list[str], threshold: int | None = None,
         hot = hot_keys(df, keys, threshold)
     if hot is None or isinstance(hot, str):
         return df, None
-    h = F.broadcast(hot.withColumn("_hot", F.lit(True))).alias("_h")   # <= rows/threshold keys
+    h = hot.withColumn("_hot", F.lit(True)).alias("_h")
     x = df.alias("_x")
     flagged = x.join(h, _null_safe_on(x, h, keys), "left").select("_x.*", F.col("_h._hot"))
     return flagged.filter(F.col("_hot").isNull()).drop("_hot"), flagged.filter(F.col("_hot")).drop("_hot")
@@ -121,8 +122,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
                 chunk: list[Column], threshold: int | None = None, hot=None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same ``keys`` up to
     and including this row, rows ordered by ``order`` (ties broken
-    arbitrarily, like ``row_number``).  ``chunk`` must be non-decreasing in
-    ``order`` within a key."""
+    arbitrarily, like ``row_number``).  ``chunk`` are the nested levels; taken
+    together they must be non-decreasing in ``order`` within a key and not null."""
     return running_sums(df, keys, order, {out: value}, chunk, threshold, hot)
 
 
@@ -146,10 +147,21 @@ def _chunked_sums(df: DataFrame, keys: list[str], order: list[Column], values: d
     for out, c in values.items():
         d = d.withColumn(vals[out], c)
     d, cn = _chunk_cols(d, chunk)
-    totals = d.groupBy(*keys, *cn).agg(*[F.sum(v).alias(f"{v}_t") for v in vals.values()])
-    w_chunks = Window.partitionBy(*keys).orderBy(*cn).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *cn, *[F.coalesce(F.sum(f"{v}_t").over(w_chunks), F.lit(0)).alias(f"{v}_o")
-                                          for v in vals.values()])
+    totals = [d.groupBy(*keys, *cn).agg(*[F.sum(v).alias(f"{v}_t") for v in vals.values()])]
+    for k in range(len(cn) - 1, 0, -1):      # coarser levels from the finer ones
+        totals.insert(0, totals[0].groupBy(*keys, *cn[:k]).agg(*[F.sum(f"{v}_t").alias(f"{v}_t") for v in vals.values()]))
+    offsets = None
+    for k, t in enumerate(totals):
+        parent = keys + cn[:k]
+        w_chunks = Window.partitionBy(*parent).orderBy(cn[k]).rowsBetween(Window.unboundedPreceding, -1)
+        own = t.select(*parent, cn[k], *[F.coalesce(F.sum(f"{v}_t").over(w_chunks), F.lit(0)).alias(f"{v}_o")
+                                         for v in vals.values()])
+        if offsets is not None:
+            x, y = own.alias("_x"), offsets.alias("_y")
+            own = x.join(y, _null_safe_on(x, y, parent), "inner").select(
+                *[F.col(f"_x.{c}").alias(c) for c in [*parent, cn[k]]],
+                *[(F.col(f"_x.{v}_o") + F.col(f"_y.{v}_o")).alias(f"{v}_o") for v in vals.values()])
+        offsets = own
     o = offsets.alias("_o")
     joined = d.alias("_d").join(o, _null_safe_on(d.alias("_d"), o, keys + cn), "inner")
     joined = joined.select("_d.*", *[F.col(f"_o.{v}_o") for v in vals.values()])
@@ -169,19 +181,41 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: C
     if hot is None:
         return plain
     d, cn = _chunk_cols(hot.withColumn("_v", value), chunk)
-    # last value of each chunk, by the full row order
-    last = d.groupBy(*keys, *cn).agg(F.max_by("_v", F.struct(*order)).alias("_last"))
-    w_chunks = Window.partitionBy(*keys).orderBy(*cn)
-    carried = last.select(*keys, *cn, F.lag("_last").over(w_chunks).alias("_carry"))
+    # last value of each chunk, by the full row order, and of each coarser one
+    last = [d.groupBy(*keys, *cn).agg(F.max_by(F.struct(F.col("_v").alias("v")), F.struct(*order)).alias("_last"))]
+    for k in range(len(cn) - 1, 0, -1):
+        last.insert(0, last[0].groupBy(*keys, *cn[:k]).agg(F.max_by("_last", cn[k]).alias("_last")))
+    carried = None
+    for k, t in enumerate(last):
+        parent = keys + cn[:k]
+        # the chunk before under the same parent; the first chunk takes what its parent takes
+        own = t.select(*parent, cn[k], F.lag("_last").over(Window.partitionBy(*parent).orderBy(cn[k])).alias("_c"))
+        if carried is None:
+            own = own.withColumnRenamed("_c", "_carry")
+        else:
+            x, y = own.alias("_x"), carried.alias("_y")
+            own = x.join(y, _null_safe_on(x, y, parent), "inner").select(
+                *[F.col(f"_x.{c}").alias(c) for c in [*parent, cn[k]]], F.coalesce("_x._c", "_y._carry").alias("_carry"))
+        carried = own
     o = carried.alias("_o")
     joined = d.alias("_d").join(o, _null_safe_on(d.alias("_d"), o, keys + cn), "inner")
     joined = joined.select("_d.*", F.col("_o._carry"))
     w_in = Window.partitionBy(*keys, *cn).orderBy(*order)
     first_in_chunk = F.row_number().over(w_in) == 1
-    res = joined.withColumn(out, F.when(first_in_chunk, F.col("_carry")).otherwise(F.lag("_v").over(w_in)))
+    res = joined.withColumn(out, F.when(first_in_chunk, F.col("_carry.v")).otherwise(F.lag("_v").over(w_in)))
     return plain.unionByName(res.drop("_v", "_carry", *cn))
 
 
-def time_chunk(ts: Column, unit: str = "minute") -> Column:
-    """A chunk column from a timestamp: its truncation to ``unit``."""
-    return F.date_trunc(unit, ts)
+#: Reference ids in one finest chunk.
+ID_BLOCK = 1024
+
+
+def time_levels(ts: Column, ref: Column) -> list[Column]:
+    """Chunk levels of rows ordered by (ts, ref, ...): minute, second, time, block of references.
+
+    Null times or references, which sort first, form a level of their own."""
+    block = F.floor(ref.cast("bigint") / ID_BLOCK)
+    return [F.coalesce(F.date_trunc("minute", ts).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")),
+            F.coalesce(F.date_trunc("second", ts).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")),
+            F.coalesce(ts.cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")),
+            F.coalesce(block, F.lit(-(2**62)))]

@@ -83,7 +83,7 @@ def order_items(spark: SparkSession, d: str, hot_threshold: int | None = None) -
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                                 "l_discount", "l_tax", "l_shipdate")]
     numbered = running.running_sum(li, ["l_orderkey"], order, F.lit(1), "_rn",
-                                   chunk=[F.col("l_linenumber"), F.col("l_partkey")], threshold=hot_threshold)
+                                   chunk=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / running.ID_BLOCK)], threshold=hot_threshold)
     cents = F.floor(F.round(F.col("l_extendedprice") * 100) / F.col("l_quantity")).cast("bigint")
     unit_price = (cents.cast("decimal(12,0)") * F.lit(Decimal("0.01")).cast("decimal(3,2)")).cast("decimal(10,2)")
     return numbered.select(

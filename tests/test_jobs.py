@@ -78,13 +78,6 @@ def test_place_orders_equals_sequential_replay(spark, seed):
     assert set(placed) == {k for k, v in exp.items() if v is None}
 
 
-def test_place_orders_round_cap_reports_undecided(spark):
-    stock = {1: 3}
-    orders = [(i, [(1, 1)]) for i in range(1, 8)]
-    pl = allocate.place_orders(_products(spark, stock), _requests(spark, orders), max_rounds=0)
-    assert {r.reason for r in pl.decisions.collect()} == {"undecided"}
-
-
 def test_two_orders_for_the_last_unit(spark):
     pl = allocate.place_orders(_products(spark, {1: 1, 2: 5}),
                                _requests(spark, [(1, [(1, 1)]), (2, [(1, 1), (2, 1)]), (3, [(2, 5)])]))
