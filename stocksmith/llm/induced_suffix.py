@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, Prefix, chunked, is_in, key_packets, mixed, reply_keys, shared_keys
+from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, MIX, Chunk, Prefix, chunked, is_in, key_packets, mixed, reply_keys, shared_keys, smallest
 
 LENGTH, GRAM = 50, 27
 #: A string whose symbols recur less often than this is ranked by doubling instead of by buckets.
@@ -29,11 +29,13 @@ RECUR = 256
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True for S-type suffixes: smaller than the next one. The last one is L-type, as only the end follows."""
-    n = len(t)
-    step = np.full(n, -1, dtype=np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int64) - t[:-1])
-    at = np.where(step != 0, np.arange(n), n)
-    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    out = np.zeros(len(t), dtype=bool)
+    out[:-1] = t[:-1] < t[1:]
+    equal = np.flatnonzero(t[:-1] == t[1:])  # a run of equal symbols has the type of its last one
+    if len(equal):
+        ends = np.r_[equal[1:] != equal[:-1] + 1, True]
+        out[equal] = out[equal[ends] + 1][np.cumsum(ends) - ends]
+    return out
 
 
 def _rank_lms(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
@@ -65,7 +67,7 @@ def _rank_lms(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> tu
 def _doubled(rank: np.ndarray) -> np.ndarray:
     """Suffix array of a string of ranks by prefix doubling; only unsettled suffixes are sorted again."""
     n = len(rank)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     sorted_ = rank[order]
     first = np.r_[True, sorted_[1:] != sorted_[:-1]]
     pos = np.empty(n, dtype=np.int64)
@@ -74,10 +76,9 @@ def _doubled(rank: np.ndarray) -> np.ndarray:
     open_ = np.flatnonzero(~(first & np.r_[first[1:], True]))  # places in order that are in groups of two or more
     while len(open_):
         i = order[open_]
-        group = pos[i]
-        key = group * (n + 1) + np.where(i + h < n, pos[np.minimum(i + h, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        i, key, group = i[by], key[by], group[by]
+        key = pos[i] * (n + 1) + np.where(i + h < n, pos[np.minimum(i + h, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        i, key = i[by], key[by]
         order[open_] = i
         first = np.r_[True, key[1:] != key[:-1]]
         pos[i] = open_[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
@@ -101,7 +102,8 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.n
     """Suffix array of t from its LMS suffixes in order: L-types in a sweep up, S-types in a sweep down."""
     n = len(t)
     edge = np.r_[0, np.cumsum(np.bincount(t, minlength=symbols))]
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
+    lms = lms.astype(np.int32)
     head, tail = edge[:-1].copy(), edge[1:] - 1
     lms_edge = np.searchsorted(t[lms], np.arange(symbols + 1))
     is_l = ~s
@@ -152,11 +154,11 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     return _induce(t, s, lms, symbols)
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray, least: int) -> np.ndarray:
-    """For suffixes in sorted order: do ``least`` bytes agree with the one before? (The first: no.)
+def common_prefixes(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+    """For suffixes of ``least`` bytes or more in sorted order: do so many agree with the one before? (The first: no.)
 
     Permuted: computed in text order, so that neighbouring places read neighbouring
-    bytes, eight at a time.  ``room``: bytes that each suffix may use."""
+    bytes, eight at a time."""
     n = len(order)
     out = np.zeros(n, dtype=bool)
     if n < 2:
@@ -167,8 +169,6 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray, least: i
     place[order] = np.arange(n)
     a = np.flatnonzero(before >= 0)
     rank, b = place[a], before[a]
-    fits = (room[a] >= least) & (room[b] >= least)
-    rank, a, b = rank[fits], a[fits], b[fits]
     padded = np.r_[t, np.zeros(8, np.uint8)]
     eight = np.lib.stride_tricks.as_strided(padded, (len(t) + 1, 8), (1, 1))
     words = np.ascontiguousarray(eight).view("<u8").ravel()
@@ -180,18 +180,31 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, room: np.ndarray, least: i
     return out
 
 
+def _least_grams(prefix: Prefix, gram: int, span: int) -> np.ndarray:
+    """At each place: the smallest hash of the ``span`` grams from there on, in blocks that fit a processor's cache."""
+    n = max(0, len(prefix.sums) - gram)
+    out = np.empty(max(0, n - span + 1), dtype=np.uint64)
+    for at in range(0, len(out), 32768):
+        to = min(at + 32768, len(out)) + span - 1
+        h = (prefix.sums[at + gram:to + gram] - prefix.sums[at:to]) * prefix.back[at:to]
+        h ^= h >> np.uint64(32)
+        h *= MIX[0]
+        h ^= h >> np.uint64(29)
+        have = 1
+        while have < span:  # twice as many neighbours are covered each time
+            step = min(have, span - have)
+            h = np.minimum(h[:len(h) - step], h[step:])
+            have += step
+        out[at:to - span + 1] = h
+    return out
+
+
 class Runs:
     """Runs of places in a chunk whose windows have the same smallest gram hash."""
 
     def __init__(self, chunk: Chunk, length: int, gram: int):
-        span = length - gram + 1
         self.prefix = Prefix(chunk.bytes.astype(np.uint64) + np.uint64(1), 0x9FB21C651E98DF25)
-        least = self.prefix.windows(gram)
-        have = 1
-        while have < span:  # minimum over `span` neighbours, doubling what is covered
-            step = min(have, span - have)
-            least = np.minimum(least[:max(0, len(least) - step)], least[step:])
-            have += step
+        least = _least_grams(self.prefix, gram, length - gram + 1)
         counts = np.maximum(chunk.lens - length + 1, 0)  # places of each document that have a window
         self.doc = np.repeat(np.arange(len(counts)), counts)
         at = ragged_take(np.arange(len(chunk.bytes)), chunk.ends - chunk.lens, counts, np.arange(len(counts)))
@@ -224,10 +237,8 @@ def _send_runs(rows: pa.Table, replies: pa.Table, length: int, gram: int, bucket
         runs = Runs(chunk, length, gram)
         use = np.flatnonzero(is_in(runs.key, reply_keys(replies)))
         content, ids = runs.content()[use], chunk.ids[runs.doc[use]]
-        order = np.lexsort((ids, content))
-        use, content, ids = use[order], content[order], ids[order]
-        first = np.r_[True, content[1:] != content[:-1]][:len(use)]
-        use, ids = use[first], ids[first]
+        _, first = np.unique(content, return_index=True)
+        use, ids = use[first], smallest(content, ids)[first]
         bucket = (mixed(runs.key[use], 9) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((runs.start[use], ids, bucket))
         use, ids, bucket = use[order], ids[order], bucket[order]
@@ -262,23 +273,20 @@ def _earlier(packets: pa.Table, length: int) -> pa.Table:
     start = np.cumsum(size) - size
     content = Prefix(text.astype(np.uint64) + np.uint64(1), 0x9FB21C651E98DF25).runs(start, size)
     # each different run once, with its smallest document
-    order = np.lexsort((doc, content))
-    first = np.r_[True, content[order][1:] != content[order][:-1]]
-    which = np.empty(len(order), dtype=np.int64)
-    which[order] = np.cumsum(first) - 1
-    one = order[first]
+    _, one, which = np.unique(content, return_index=True, return_inverse=True)
     t = ragged_take(text, start, size, one)
-    least, own, width = doc[one], np.cumsum(size[one]) - size[one], size[one] - length + 1
+    least, own, width = smallest(content, doc)[one], np.cumsum(size[one]) - size[one], size[one] - length + 1
     # suffixes that have a whole window in their run
-    room = np.repeat(own + size[one], size[one]) - np.arange(len(t))
+    inside = np.ones(len(t), dtype=bool)
+    inside[ragged_take(np.arange(len(t)), own + width, np.full(len(one), length - 1), np.arange(len(one)))] = False
     sa = suffix_array(t, 256)
-    sa = sa[room[sa] >= length]
-    same = common_prefixes(t, sa, room, length)
+    sa = sa[inside[sa]]
+    same = common_prefixes(t, sa, length)
     group = np.cumsum(~same) - 1
-    run = np.repeat(np.arange(len(one)), size[one])
-    smallest = np.minimum.reduceat(least[run[sa]], np.flatnonzero(~same)) if len(sa) else least[:0]
+    of_place = np.zeros(len(t), dtype=np.int64)
+    of_place[inside] = np.repeat(least, width)
     at_place = np.empty(len(t), dtype=np.int64)
-    at_place[sa] = smallest[group]
+    at_place[sa] = np.minimum.reduceat(of_place[sa], np.flatnonzero(~same))[group]
     # back to each chunk's own run
     places = ragged_take(at_place, own[which], width[which], np.arange(len(which)))
     count = width[which]
@@ -301,17 +309,12 @@ def _gone(chunk: Chunk, replies: pa.Table, length: int, gram: int) -> np.ndarray
     """Which bytes of a chunk are removed."""
     runs = Runs(chunk, length, gram)
     content, ids = runs.content(), chunk.ids[runs.doc]
-    order = np.lexsort((ids, content))
-    c, i = content[order], ids[order]
-    first = np.r_[True, c[1:] != c[:-1]][:len(c)]
-    all_ = np.zeros(len(c), dtype=bool)
-    if len(c):
-        all_[order] = i[np.flatnonzero(first)][np.cumsum(first) - 1] < i  # a smaller document of this chunk
+    order = np.argsort(content)
+    c = content[order]
     told = np.sort(np.frombuffer(b"".join(replies.column("whole").to_pylist()), "<u8"))
-    all_ |= is_in(content, told)
-    cover = np.zeros(len(chunk.bytes) + 1, dtype=np.int64)
-    np.add.at(cover, runs.start[all_], 1)
-    np.add.at(cover, runs.start[all_] + runs.size[all_], -1)
+    all_ = (smallest(content, ids) < ids) | is_in(content, told)  # a smaller document of this chunk, or of another
+    edges = len(chunk.bytes) + 1
+    cover = np.bincount(runs.start[all_], minlength=edges) - np.bincount((runs.start + runs.size)[all_], minlength=edges)
     # runs of which some places go
     for part, bits in zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist(), strict=True):
         part = np.frombuffer(part, "<u8")

@@ -63,11 +63,18 @@ class Chunk:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps the longest it has made."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(n + n // 4, base, dtype=np.uint64)
+        known[:1] = 1
+        np.cumprod(known, dtype=np.uint64, out=known)
+        _POWERS[int(base)] = known
+    return known[:n]
 
 
 def inverse(base: np.uint64) -> np.uint64:
@@ -112,18 +119,30 @@ def unshort(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def smallest(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place: the smallest of ``values`` at the places with the same of ``groups``."""
+    if not len(groups):
+        return values
+    order = np.argsort(groups)
+    sorted_ = groups[order]
+    first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    out = np.empty_like(values)
+    out[order] = np.minimum.reduceat(values[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    return out
+
+
 LOW48 = np.uint64((1 << 48) - 1)
 
 
 def key_packets(chunk: Chunk, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
     """A chunk's 48-bit keys for each bucket: those of one document and those of several."""
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys)
     keys, docs = keys[order], docs[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
-    last = np.r_[first[1:], len(keys)] - 1
-    values, several = keys[first], docs[first] != docs[last[:len(first)]]
+    values = keys[first]
+    several = np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first) if len(first) else first > 0
     bucket = (mixed(values, 7) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((several, bucket))
+    order = np.argsort(bucket * 2 + several, kind="stable")
     values, several, bucket = values[order], several[order], bucket[order]
     at = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = [b for b in range(buckets) if at[b] < at[b + 1]]
