@@ -44,14 +44,6 @@ def _next_ids(table: DataFrame, batch: DataFrame, seq: str = "seq") -> Column:
     return (max_id + F.col(seq)).cast("bigint")
 
 
-def latest_per_key(batch: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
-    """The last row (highest seq) of each key; an aggregate, so a key with
-    very many rows is reduced map-side."""
-    others = [c for c in batch.columns if c not in key]
-    agg = batch.groupBy(*key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("_r"))
-    return agg.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others])
-
-
 def _conform(df: DataFrame, schema) -> DataFrame:
     cols = []
     for f in schema.fields:
@@ -80,25 +72,46 @@ def apply_defaults(df: DataFrame, table: str, as_of=None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M1
+def _numbered(batch: DataFrame, seq: str) -> DataFrame:
+    """``_bad_seq``: why a row's sequence number cannot order the batch (NULL: it can)."""
+    times = batch.groupBy(seq).agg(F.count(F.lit(1)).alias("_times"))
+    b = batch.join(times, batch[seq].eqNullSafe(times[seq]), "left").drop(times[seq])
+    bad = F.when(F.col(seq).isNull() | (F.col(seq) < 1), "invalid_seq").when(F.col("_times") > 1, "duplicate_seq")
+    return b.withColumn("_bad_seq", bad).drop("_times")
+
+
 def upsert(table: DataFrame, batch: DataFrame, key: str, on_conflict: str = "reject",
            update_cols: list[str] | None = None, seq: str = "seq", schema=None, as_of=None) -> Result:
-    """Insert batch rows; a row whose unique ``key`` exists already is
-    rejected ('conflict'), updates ``update_cols`` ('update') or is skipped
-    ('ignore').  Within the batch the last row of a key wins."""
+    """Insert batch rows one after the other in ``seq`` order.
+
+    A row whose unique ``key`` exists already, in the table or by an earlier row of
+    the batch, is rejected ('conflict' or 'duplicate_in_batch', mode
+    'reject'), skipped ('ignore') or sets ``update_cols`` ('update': the last row
+    wins; a new key keeps the other columns of its first row).  A NULL key is
+    rejected ('key_required') in every mode, so is a ``seq`` that is NULL, below 1 or
+    not unique, as new ids are made from it.  ``rejected``: key, seq, reason."""
     if on_conflict not in ("reject", "update", "ignore"):
         raise ValueError(on_conflict)
-    b = latest_per_key(batch, [key], seq)
-    fresh = R.id_set_conflict(b, table, key, keep="new")
-    hits = R.id_set_conflict(b, table, key, keep="conflicts")
-    new_rows = fresh.withColumn("id", _next_ids(table, b, seq))
+    b = _numbered(batch, seq)
+    bad = F.coalesce(F.when(F.col(key).isNull(), "key_required"), F.col("_bad_seq"))
+    rejected = b.filter(bad.isNotNull()).select(key, seq, bad.alias("reason"))
+    b = b.filter(bad.isNull()).drop("_bad_seq")
+    others = [c for c in b.columns if c != key]
+    per_key = b.groupBy(key).agg(F.min_by(F.struct(*others), F.col(seq)).alias("_first"),
+                                 F.max_by(F.struct(*others), F.col(seq)).alias("_last"))
+    cols = update_cols or [c for c in others if c not in (seq, "id") and c in table.columns]
+    fresh = R.id_set_conflict(per_key, table, key, keep="new")
+    new_rows = fresh.select(key, *[F.col(f"_{'last' if on_conflict == 'update' and c in cols else 'first'}.{c}").alias(c)
+                                   for c in others])
+    new_rows = new_rows.withColumn("id", _next_ids(table, new_rows, seq))
     if "created_at" in table.columns:
         new_rows = new_rows.withColumn("created_at", F.coalesce(
             F.col("created_at") if "created_at" in new_rows.columns else F.lit(None).cast("timestamp_ntz"),
             _as_of(as_of)))
     out = table
     if on_conflict == "update":
-        cols = update_cols or [c for c in b.columns if c not in (key, seq, "id") and c in table.columns]
-        upd = hits.select(key, F.lit(True).alias("_m"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+        upd = R.id_set_conflict(per_key, table, key, keep="conflicts")
+        upd = upd.select(key, F.lit(True).alias("_m"), *[F.col(f"_last.{c}").alias(f"_new_{c}") for c in cols])
         out = table.join(upd, key, "left")
         for c in cols:
             out = out.withColumn(c, F.when(F.col("_m").isNotNull(), F.col(f"_new_{c}").cast(table.schema[c].dataType))
@@ -106,8 +119,11 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, on_conflict: str = "rej
         out = out.select(*table.columns)
     schema = schema or table.schema
     out = out.unionByName(_conform(new_rows, schema).select(*table.columns))
-    rejected = _reject(hits, [key], "conflict") if on_conflict == "reject" else \
-        hits.select(key).limit(0).withColumn("reason", F.lit(None).cast("string"))
+    if on_conflict == "reject":
+        first = fresh.select(key, F.col(f"_first.{seq}").alias("_first_seq"))
+        late = b.select(key, seq).join(first, key, "left")
+        reason = F.when(F.col("_first_seq").isNull(), "conflict").when(F.col(seq) != F.col("_first_seq"), "duplicate_in_batch")
+        rejected = rejected.unionByName(late.select(key, seq, reason.alias("reason")).filter("reason is not null"))
     return Result(out, rejected)
 
 
@@ -115,28 +131,29 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, on_conflict: str = "rej
 def patch(table: DataFrame, batch: DataFrame, fields: list[str], key: str = "id", seq: str = "seq",
           live_only: bool = False, stamp: str | None = "updated_at", as_of=None,
           references: dict[str, DataFrame] | None = None) -> Result:
-    """Partial update: a NULL field keeps the old value.  Several patches of
-    one key apply in seq order (the last non-NULL value of each field wins).
-    Keys that do not exist (or are deleted, with ``live_only``) are
-    rejected ('not_found'); so is a patch whose foreign-key field names no
-    row of its parent table (``references``: field -> parent table,
-    'unknown_<field>'), as the database would refuse it."""
-    agg = batch.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f"_p_{f}")
-                                   for f in fields], F.lit(True).alias("_patched"))
-    target = table.filter(P.live()) if live_only else table
-    rejected = _reject(agg.join(target.select(key), key, "left_anti"), [key], "not_found")
-    found = agg.join(target.select(key), key, "left_semi")
+    """Partial updates, one after the other in ``seq`` order: a NULL field
+    keeps the old value.  Each request stands or falls alone: one whose key does not
+    exist (or is deleted, with ``live_only``) is rejected ('not_found'), one
+    whose foreign-key field names no row of its parent table
+    (``references``: field -> parent table) as 'unknown_<field>', as the database
+    would refuse it; the others apply.  ``rejected``: key, seq, reason."""
+    target = (table.filter(P.live()) if live_only else table).select(key, F.lit(True).alias("_found"))
+    b = batch.join(target, key, "left")
+    reason = F.when(F.col("_found").isNull(), "not_found")
     for f, parent in (references or {}).items():
-        ids = parent.select(F.col("id").cast(table.schema[f].dataType).alias(f"_p_{f}"))
-        bad = found.filter(F.col(f"_p_{f}").isNotNull()).join(ids, f"_p_{f}", "left_anti")
-        rejected = rejected.unionByName(_reject(bad, [key], f"unknown_{f}"))
-        found = found.join(bad.select(key), key, "left_anti")
-    out = table.join(found, key, "left")
-    hit = F.col("_patched").isNotNull()
+        ids = parent.select(F.col("id").cast(table.schema[f].dataType).alias(f"_ref_{f}"), F.lit(True).alias(f"_has_{f}"))
+        b = b.join(ids, b[f].cast(table.schema[f].dataType) == ids[f"_ref_{f}"], "left")
+        reason = reason.when(F.col(f).isNotNull() & F.col(f"_has_{f}").isNull(), f"unknown_{f}")
+    b = b.withColumn("_reason", reason)
+    ok = b.filter(F.col("_reason").isNull()).groupBy(key).agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f"_p_{f}") for f in fields],
+        F.lit(True).alias("_patched"))
+    out = table.join(ok, key, "left")
     for f in fields:
         out = out.withColumn(f, F.coalesce(F.col(f"_p_{f}").cast(table.schema[f].dataType), F.col(f)))
     if stamp and stamp in table.columns:
-        out = out.withColumn(stamp, F.when(hit, _as_of(as_of)).otherwise(F.col(stamp)))
+        out = out.withColumn(stamp, F.when(F.col("_patched").isNotNull(), _as_of(as_of)).otherwise(F.col(stamp)))
+    rejected = b.filter(F.col("_reason").isNotNull()).select(key, seq, F.col("_reason").alias("reason"))
     return Result(out.select(*table.columns), rejected)
 
 
@@ -331,7 +348,7 @@ def register_users(users: DataFrame, batch: DataFrame, allow_admin: bool = False
     and lower-cased, role defaults to 'user'.  Rejected: invalid fields (V5),
     'admin' unless allowed, an email already registered, or one used by an
     earlier row of the batch."""
-    b = batch.select("seq", F.trim("name").alias("name"), F.lower(F.trim("email")).alias("email"),
+    b = batch.select("seq", V.clean(F.col("name")).alias("name"), F.lower(V.clean(F.col("email"))).alias("email"),
                      F.coalesce(F.col("role"), F.lit(S.DEFAULTS["role"])).alias("role"))
     b = V.users(b)
     b = b.withColumn("reason", F.coalesce(F.col("reason"), F.when(
@@ -360,10 +377,9 @@ def seed(spark, categories: DataFrame, products: DataFrame, as_of=None) -> Resul
                                  "seq long, name string, description string").filter(~any_live)
     c = upsert(categories, cats, "name", on_conflict="update", update_cols=["description"], as_of=as_of)
     new_cats = c.table
-    rows = [(i + 1, sku, name, cat, price, stock, thr) for i, (sku, name, cat, price, stock, thr)
-            in enumerate(S.SEED_PRODUCTS)]
-    prods = spark.createDataFrame(rows, "seq long, sku string, name string, category string, price decimal(10,2), "
-                                        "stock_quantity int, low_stock_threshold int").filter(~any_live)
+    rows = [(i + 1, *row) for i, row in enumerate(S.SEED_PRODUCTS)]
+    prods = spark.createDataFrame(rows, "seq long, sku string, name string, description string, category string, "
+                                        "price decimal(10,2), stock_quantity int, low_stock_threshold int").filter(~any_live)
     prods = prods.join(new_cats.select(F.col("name").alias("category"), F.col("id").alias("category_id")),
                        "category", "left").drop("category")
     p = upsert(products, prods, "sku", on_conflict="ignore", as_of=as_of)

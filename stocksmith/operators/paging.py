@@ -39,16 +39,19 @@ def page_summary(total: DataFrame, page_no: int, limit: int, total_col: str = "t
 
 def keyset_page(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None, limit: int) -> DataFrame:   # G5
     """The ``limit`` rows that follow ``after`` in the order of ``keys``
-    ((column, ascending) pairs; the last key must be unique).  Key columns
-    must be non-NULL."""
+    ((column, ascending) pairs; the last key must be unique).  NULL keys sort as in the
+    other lists: last when ascending, first when descending."""
     if int(limit) < 1:
         raise ValueError("limit must be >= 1")
-    order = [F.col(c).asc() if a else F.col(c).desc() for c, a in keys]
+    order = [F.col(c).asc_nulls_last() if a else F.col(c).desc_nulls_first() for c, a in keys]
     if after is not None:
         conds = []
         for i, (c, a) in enumerate(keys):
-            eq = [F.col(k) == F.lit(v) for (k, _), v in zip(keys[:i], after[:i])]
-            beyond = F.col(c) > F.lit(after[i]) if a else F.col(c) < F.lit(after[i])
+            eq = [F.col(k).eqNullSafe(F.lit(v)) for (k, _), v in zip(keys[:i], after[:i])]
+            if a:
+                beyond = F.lit(False) if after[i] is None else F.col(c).isNull() | (F.col(c) > F.lit(after[i]))
+            else:
+                beyond = F.col(c).isNotNull() if after[i] is None else F.col(c) < F.lit(after[i])
             conds.append(reduce(lambda x, y: x & y, eq + [beyond]))
         df = df.filter(reduce(lambda x, y: x | y, conds))
     return df.orderBy(*order).limit(int(limit))

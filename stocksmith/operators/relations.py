@@ -50,29 +50,36 @@ def audit_with_names(audit: DataFrame, products: DataFrame, users: DataFrame) ->
 ITEM_FIELDS = ("line_no", "product_id", "product_name", "sku", "product_description", "quantity", "unit_price")
 
 
-def order_document(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame,
-                   part_size: int = 1000) -> DataFrame:                               # J5
-    """Each order with its customer and its items as a nested, line-ordered
-    list (empty if none).  An order's list is cut into parts of at most
-    ``part_size`` items (``part_no`` from 0), so no single group or row has to
-    hold an arbitrarily large order; ordinary orders have one part."""
-    it = items_with_product(items, products)
-    it = it.withColumn("part_no", F.floor((F.col("line_no") - 1) / part_size).cast("int"))
-    parts = (it.groupBy("order_id", "part_no")
-             .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ITEM_FIELDS]))).alias("items"),
-                  F.sum(C.line_total()).cast("decimal(18,2)").alias("part_total")))
+def order_document(orders: DataFrame, users: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:   # J5
+    """Each order with its customer, its item count and total, and its items:
+    one row per item, keyed (id, line_no), whatever an order's size; an order without
+    items has one row with NULL item fields and no total.  No group is
+    collected, so a huge order is many small rows."""
+    it = items_with_product(items, products).select("order_id", *ITEM_FIELDS, C.line_total().alias("_lt"))
+    totals = it.groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"),
+                                        F.sum("_lt").cast("decimal(18,2)").alias("order_total"))
     head = orders_with_customer(orders, users)
-    doc = head.join(parts, head["id"] == parts["order_id"], "left").drop("order_id")
-    return (doc.withColumn("part_no", F.coalesce("part_no", F.lit(0)))
-               .withColumn("items", F.coalesce("items", F.array().cast(parts.schema["items"].dataType))))
+    doc = head.join(totals, head["id"] == totals["order_id"], "left").drop("order_id")
+    lines = it.drop("_lt")
+    doc = doc.join(lines, doc["id"] == lines["order_id"], "left").drop("order_id")
+    return doc.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
-def fk_orphans(tables: dict[str, DataFrame]) -> DataFrame:                            # J6
-    """Rows whose non-NULL foreign key has no parent row, for every FK."""
+def require(tables: dict[str, DataFrame], names) -> None:
+    """A check over a table that was not given would pass unseen: refuse it."""
+    missing = [n for n in names if n not in tables]
+    if missing:
+        raise ValueError(f"tables to check are missing: {', '.join(missing)}")
+
+
+def fk_orphans(tables: dict[str, DataFrame], children: list[str] | None = None) -> DataFrame:   # J6
+    """Rows whose non-NULL foreign key has no parent row, for every FK of
+    ``children`` (default: all tables); they and their parents must be given."""
+    children = list(S.TABLES) if children is None else children
+    keys = [k for k in S.FOREIGN_KEYS if k[0] in children]
+    require(tables, [*children, *(parent for _, _, parent, _ in keys)])
     parts = []
-    for child, col, parent, _rule in S.FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
+    for child, col, parent, _rule in keys:
         c = tables[child].select(F.col(col).cast("bigint").alias("fk_value")).filter(F.col("fk_value").isNotNull())
         p = tables[parent].select(F.col("id").cast("bigint").alias("fk_value"))
         parts.append(c.join(p, "fk_value", "left_anti")
@@ -138,13 +145,16 @@ def duplicate_products(items: DataFrame, order_col: str = "order_id") -> DataFra
             .agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1))
 
 
-def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:                   # A4
-    """Values of a primary or unique key held by more than one row."""
+def unique_violations(tables: dict[str, DataFrame], names: list[str] | None = None) -> DataFrame:   # A4
+    """Values of a primary or unique key held by more than one row, in the tables
+    ``names`` (default: all that have keys), which must be given."""
+    names = list(dict.fromkeys([*S.PRIMARY_KEYS, *S.UNIQUE_KEYS])) if names is None else names
+    require(tables, names)
     parts = []
     specs = [(t, cols, "primary_key") for t, cols in S.PRIMARY_KEYS.items()] + \
             [(t, cols, "unique") for t, cols in S.UNIQUE_KEYS.items()]
     for table, cols, kind in specs:
-        if table not in tables:
+        if table not in names:
             continue
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
         parts.append(tables[table].filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))

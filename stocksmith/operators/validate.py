@@ -31,8 +31,22 @@ def split(df: DataFrame, col: str = "reason") -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(col).isNull()).drop(col), df.filter(F.col(col).isNotNull())
 
 
+# what the application's trim takes for white space
+_WS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def clean(c: Column) -> Column:
+    """``c`` without white space at its ends."""
+    return F.regexp_replace(c, rf"\A{_WS}|{_WS}\z", "")
+
+
+def whole(c: Column, pattern: str) -> Column:
+    """``pattern`` (written ^...$) fits all of ``c``; a last newline is not passed over."""
+    return c.rlike(rf"\A{pattern.removeprefix('^').removesuffix('$')}\z")
+
+
 def _blank(c: Column) -> Column:
-    return c.isNull() | (F.length(F.trim(c)) == 0)
+    return c.isNull() | (F.length(clean(c)) == 0)
 
 
 def orders(items: DataFrame, live_products: DataFrame | None = None) -> DataFrame:   # V1
@@ -57,7 +71,7 @@ def orders(items: DataFrame, live_products: DataFrame | None = None) -> DataFram
         F.count_if(has_item & (F.col("product_id").isNull() | (F.col("product_id") < 1))).alias("bad_product"),
         F.count_if(has_item & (F.col("quantity").isNull() | (F.col("quantity") < 1)
                                | (F.col("quantity") > S.MAX_ITEM_QUANTITY))).alias("bad_qty"),
-        F.max(F.length(F.trim(F.col("notes")))).alias("notes_len"),
+        F.max(F.length(clean(F.col("notes")))).alias("notes_len"),
         F.bool_or(missing).alias("missing"))
     per_request = per_product.groupBy("request_id").agg(
         F.sum("n").alias("n_items"), F.sum("bad_product").alias("bad_product"), F.sum("bad_qty").alias("bad_qty"),
@@ -76,25 +90,29 @@ def orders(items: DataFrame, live_products: DataFrame | None = None) -> DataFram
 
 
 def products(batch: DataFrame) -> DataFrame:                                          # V2
-    name, sku = F.trim(F.col("name")), F.trim(F.col("sku"))
+    """Accepted rows carry the trimmed name and SKU."""
+    batch = batch.withColumn("name", clean(F.col("name"))).withColumn("sku", clean(F.col("sku")))
+    name, sku = F.col("name"), F.col("sku")
     return batch.withColumn("reason", first_failure([
-        (_blank(F.col("name")), "name_required"),
+        (_blank(name), "name_required"),
         (F.length(name) > S.MAX_PRODUCT_NAME, "name_too_long"),
         (F.col("price").isNull() | (F.col("price") <= 0), "invalid_price"),
-        (_blank(F.col("sku")), "sku_required"),
+        (_blank(sku), "sku_required"),
         (F.length(sku) > S.MAX_SKU_LENGTH, "sku_too_long"),
-        (~sku.rlike(S.SKU_PATTERN), "invalid_sku"),
+        (~whole(sku, S.SKU_PATTERN), "invalid_sku"),
         (F.col("stock_quantity") < 0, "invalid_stock_quantity"),
         (F.col("low_stock_threshold") < 0, "invalid_low_stock_threshold"),
     ]))
 
 
 def product_patches(batch: DataFrame) -> DataFrame:                                   # V3
-    """Each field is checked only if present; a SKU may never be patched."""
+    """Each field is checked only if present; a SKU may never be patched.
+    Accepted rows carry the trimmed name."""
+    batch = batch.withColumn("name", clean(F.col("name")))
     name = F.col("name")
     return batch.withColumn("reason", first_failure([
-        (name.isNotNull() & (F.length(F.trim(name)) == 0), "name_blank"),
-        (name.isNotNull() & (F.length(F.trim(name)) > S.MAX_PRODUCT_NAME), "name_too_long"),
+        (name.isNotNull() & (F.length(name) == 0), "name_blank"),
+        (name.isNotNull() & (F.length(name) > S.MAX_PRODUCT_NAME), "name_too_long"),
         (F.col("price").isNotNull() & (F.col("price") <= 0), "invalid_price"),
         (F.col("low_stock_threshold").isNotNull() & (F.col("low_stock_threshold") < 0),
          "invalid_low_stock_threshold"),
@@ -108,33 +126,43 @@ def restocks(batch: DataFrame, max_quantity: int = S.MAX_RESTOCK_QUANTITY) -> Da
 
 
 def users(batch: DataFrame) -> DataFrame:                                             # V5
+    """Accepted rows carry the trimmed name and email."""
+    batch = batch.withColumn("name", clean(F.col("name"))).withColumn("email", clean(F.col("email")))
+    name, email = F.col("name"), F.col("email")
     return batch.withColumn("reason", first_failure([
-        (_blank(F.col("name")), "name_required"),
-        (F.col("email").isNull() | ~F.trim(F.col("email")).rlike(S.EMAIL_PATTERN), "invalid_email"),
+        (_blank(name), "name_required"),
+        (F.length(name) > S.MAX_USER_NAME, "name_too_long"),
+        (email.isNull() | ~whole(email, S.EMAIL_PATTERN), "invalid_email"),
+        (F.length(email) > S.MAX_EMAIL, "email_too_long"),
     ]))
 
 
 def categories(batch: DataFrame) -> DataFrame:                                        # V6
-    return batch.withColumn("reason", first_failure([(_blank(F.col("name")), "name_required")]))
+    """Accepted rows carry the trimmed name."""
+    batch = batch.withColumn("name", clean(F.col("name")))
+    return batch.withColumn("reason", first_failure([
+        (_blank(F.col("name")), "name_required"), (F.length("name") > S.MAX_CATEGORY_NAME, "name_too_long")]))
 
 
 def table_audit(tables: dict[str, DataFrame]) -> DataFrame:                           # V7
     """Every constraint of the schema checked over whole tables, as one
-    report (table_name, rule, key_columns, key_value, rows): NOT NULL and
-    CHECK per row, PRIMARY KEY and UNIQUE per key, FOREIGN KEY per value."""
+    report (table_name, rule, key_columns, key_value, rows): NOT NULL, declared
+    length and CHECK per row, PRIMARY KEY and UNIQUE per key, FOREIGN KEY per
+    value.  All six tables must be given."""
+    R.require(tables, S.TABLES)
     parts = []
-    for table, cols in S.NOT_NULL.items():
-        if table not in tables:
-            continue
+    for table in S.TABLES:
         t = tables[table]
-        for c in cols:
+        for c, most in S.MAX_LENGTHS.get(table, {}).items():
+            parts.append(t.filter(F.length(c) > most).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 0)
+                         .select(F.lit(table).alias("table_name"), F.lit("length").alias("rule"),
+                                 F.lit(c).alias("key_columns"), F.lit(None).cast("string").alias("key_value"), "rows"))
+        for c in dict.fromkeys([*S.PRIMARY_KEYS.get(table, []), *S.NOT_NULL.get(table, [])]):
             parts.append(t.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).alias("rows"))
                          .filter(F.col("rows") > 0)
                          .select(F.lit(table).alias("table_name"), F.lit("not_null").alias("rule"),
                                  F.lit(c).alias("key_columns"), F.lit(None).cast("string").alias("key_value"), "rows"))
     for table, (c, allowed) in S.CHECKS.items():
-        if table not in tables:
-            continue
         bad = tables[table].filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
         parts.append(bad.groupBy(F.col(c).cast("string").alias("key_value")).agg(F.count(F.lit(1)).alias("rows"))
                      .select(F.lit(table).alias("table_name"), F.lit("check").alias("rule"),

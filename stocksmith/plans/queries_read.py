@@ -13,6 +13,7 @@ from ..sources import fixtures as FX
 from ..sources.schemas import REASON_ORDER_CANCELLED
 from . import reports
 from .catalog import CENTS, FROM_CENTS, HALF_UP, LINE_TOTAL, register
+from .flaws import flawed, flawed_sql
 
 # ---------------------------------------------------------------- S1 sources
 
@@ -283,29 +284,18 @@ def j4(t):
 
 @register("J5_order_document", f"""
 with it as (
-  select i.order_id, i.line_no, i.product_id, p.name as product_name, p.sku, i.quantity, i.unit_price,
-         cast(floor((i.line_no - 1) / 1000) as int) as part_no, {LINE_TOTAL('i.quantity', 'i.unit_price')} as lt
-  from f_order_items i join f_products p on i.product_id = p.id),
-pos as (
-  select *, row_number() over (partition by order_id, part_no order by line_no) - 1 as item_pos,
-         count(*) over (partition by order_id, part_no) as item_count,
-         cast(sum(lt) over (partition by order_id, part_no) as decimal(18,2)) as part_total
-  from it)
-select o.id, o.user_id, o.status, u.name as customer_name, coalesce(pos.part_no, 0) as part_no,
-       coalesce(pos.item_count, 0) as item_count, pos.part_total, pos.item_pos,
-       pos.line_no, pos.product_id, pos.product_name, pos.sku, pos.quantity, pos.unit_price
-from f_orders o join f_users u on o.user_id = u.id left join pos on pos.order_id = o.id""")
+  select i.order_id, i.line_no, i.product_id, p.name as product_name, p.sku, p.description as product_description,
+         i.quantity, i.unit_price, {LINE_TOTAL('i.quantity', 'i.unit_price')} as lt
+  from f_order_items i join f_products p on i.product_id = p.id)
+select o.id, o.user_id, o.status, u.name as customer_name, it.line_no, it.product_id, it.product_name, it.sku,
+       it.product_description, it.quantity, it.unit_price,
+       (select count(*) from it x where x.order_id = o.id) as item_count,
+       (select cast(sum(lt) as decimal(18,2)) from it x where x.order_id = o.id) as order_total
+from f_orders o join f_users u on o.user_id = u.id left join it on it.order_id = o.id""")
 def j5(t):
-    """Order documents with nested item lists, flattened back to one row per
-    item (orders without items keep one row) so they can be compared."""
+    """Order documents: header, total and count beside each item line."""
     doc = R.order_document(t.orders, t.users, t.items, t.products)
-    flat = doc.select("id", "user_id", "status", "customer_name", "part_no", "part_total",
-                      F.size("items").cast("bigint").alias("item_count"),
-                      F.posexplode_outer("items").alias("item_pos", "item"))
-    return flat.select("id", "user_id", "status", "customer_name", "part_no", "item_count", "part_total",
-                       F.col("item_pos").cast("bigint").alias("item_pos"),
-                       *[F.col(f"item.{c}").alias(c) for c in ("line_no", "product_id", "product_name", "sku",
-                                                                "quantity", "unit_price")])
+    return doc.select("id", "user_id", "status", "customer_name", *R.ITEM_FIELDS, "item_count", "order_total")
 
 
 @register("J6_fk_orphans", """
@@ -343,7 +333,7 @@ def j6_raw_delete(t):
     orphans."""
     gone = t.raw("nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("id"))
     cats = t.categories.join(gone, "id", "left_anti")
-    return R.fk_orphans({"products": t.products, "categories": cats})
+    return R.fk_orphans({"products": t.products, "categories": cats}, ["products"])
 
 
 @register("J7_sales_fact", f"""
@@ -397,21 +387,11 @@ def a3(t):
     return R.duplicate_products(t.items)
 
 
-@register("A4_unique_violations", """
-select 'order_items' as table_name, 'primary_key' as rule, 'order_id,line_no' as key_columns,
-       cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) as key_value, count(*) as rows
-from lineitem group by l_orderkey, l_linenumber having count(*) > 1
-union all
-select 'users', 'unique', 'email', email, count(*) from f_users group by email having count(*) > 1
-union all
-select 'products', 'unique', 'sku', sku, count(*) from f_products group by sku having count(*) > 1""")
+@register("A4_unique_violations", flawed_sql("""
+select table_name, rule, key_columns, key_value, rows from broken where rule in ('primary_key', 'unique')"""))
 def a4(t):
-    """Key violations over whole tables; order items keyed by the raw line
-    number (which the test data repeats)."""
-    raw_items = t.raw("lineitem").select(F.col("l_orderkey").alias("order_id"),
-                                         F.col("l_linenumber").alias("line_no"))
-    tables = {"order_items": raw_items, "users": t.users, "products": t.products}
-    return R.unique_violations(tables)
+    """Key violations over all tables (each holds some rows twice)."""
+    return R.unique_violations(flawed(t))
 
 
 @register("A5_low_stock_count", """
@@ -483,10 +463,12 @@ from f_products p left join f_categories c on p.category_id = c.id
 where p.deleted_at is null order by p.created_at desc nulls first, p.id limit 20 offset 40""")
 def g1(t):
     """Third page of 20 of the product list in its default order."""
-    p = R.products_with_category(t.products.filter(P.product_filter()), t.categories)
     col, asc = P.safe_sort(None, None)
-    return paging.page(p, P.sort_columns(col, asc), 3, 20).select("id", "name", "sku", "price", "created_at",
-                                                                    "category_name")
+    order = P.sort_columns(col, asc)
+    # a left join drops no row: cut first, then fetch 20 category names
+    page = paging.page(t.products.filter(P.product_filter()), order, 3, 20)
+    return R.products_with_category(page, t.categories).orderBy(*order).select("id", "name", "sku", "price",
+                                                                               "created_at", "category_name")
 
 
 @register("G2_page_summary", f"""
@@ -539,6 +521,15 @@ def g5(t):
                               [("created_at", False), ("id", False)], after, 10)
 
 
+@register("G5_keyset_nulls", """
+select id, created_at from f_products
+where (created_at is null and id > 97) or created_at is not null order by created_at desc nulls first, id limit 200""")
+def g5_nulls(t):
+    """The page after a product without a creation time: the others without
+    one, then the newest."""
+    return paging.keyset_page(t.products.select("id", "created_at"), [("created_at", False), ("id", True)], (None, 97), 200)
+
+
 @register("G6_top_k", """
 select id, total_amount from f_orders order by total_amount desc, id limit 5""")
 def g6(t):

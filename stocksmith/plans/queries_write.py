@@ -14,7 +14,9 @@ from ..operators import mutate as MU
 from ..operators import validate as V
 from ..session import DEFAULT_AS_OF, shared_path
 from ..sources import tables as TB
+from ..sources.schemas import SEED_CATEGORIES, SEED_PRODUCTS
 from .catalog import register
+from .flaws import flawed, flawed_sql
 
 AS_OF = DEFAULT_AS_OF
 
@@ -23,18 +25,23 @@ AS_OF = DEFAULT_AS_OF
 def product_batch(t):
     """New-product requests, one per part (some break the rules)."""
     p = t.raw("part")
+    name = F.when(F.col("p_size") % 9 == 0, "\t\n ").when(F.col("p_size") % 4 == 0, F.concat(F.lit("\t "), "p_name", F.lit(" \n"))) \
+        .otherwise(F.col("p_name"))
     return p.select(
-        (F.col("p_partkey") + 1).alias("seq"), F.col("p_name").alias("name"),
+        (F.col("p_partkey") + 1).alias("seq"), name.alias("name"),
         (F.col("p_retailprice") - 950).cast("decimal(10,2)").alias("price"),
         F.concat(F.col("p_type"), F.when(F.col("p_size") > 40, ".").otherwise("-"),
-                 F.col("p_partkey").cast("string")).alias("sku"),
+                 F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 5 == 0, "\n").otherwise("")).alias("sku"),
         (F.col("p_size") - 5).cast("int").alias("stock_quantity"),
         (F.col("p_size") % 7 - 1).cast("int").alias("low_stock_threshold"))
 
 
 PRODUCT_BATCH_SQL = """
-select p_partkey + 1 as seq, p_name as name, cast(p_retailprice - 950 as decimal(10,2)) as price,
-       p_type || case when p_size > 40 then '.' else '-' end || cast(p_partkey as varchar) as sku,
+select p_partkey + 1 as seq,
+       case when p_size % 9 = 0 then chr(9) || chr(10) || ' ' when p_size % 4 = 0 then chr(9) || ' ' || p_name || ' ' || chr(10)
+            else p_name end as name, cast(p_retailprice - 950 as decimal(10,2)) as price,
+       p_type || case when p_size > 40 then '.' else '-' end || cast(p_partkey as varchar)
+         || case when p_size % 5 = 0 then chr(10) else '' end as sku,
        cast(p_size - 5 as int) as stock_quantity, cast(p_size % 7 - 1 as int) as low_stock_threshold
 from part"""
 
@@ -45,7 +52,7 @@ def patch_batch(t):
     s = F.col("p_size")
     return p.select(
         F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("seq"),
-        F.when(s > 45, F.lit("   ")).when(s > 30, F.upper("p_name")).alias("name"),
+        F.when(s > 45, F.lit(" \t\n")).when(s > 30, F.concat(F.lit("\t"), F.upper("p_name"), F.lit(" "))).alias("name"),
         F.when(s < 30, (F.col("p_retailprice") - 920).cast("decimal(10,2)")).alias("price"),
         (s - 3).cast("int").alias("low_stock_threshold"),
         F.when(s == 50, F.lit("NEW-SKU")).alias("sku"),
@@ -60,7 +67,7 @@ def _brand_id_plus_one():
 
 PATCH_BATCH_SQL = """
 select p_partkey as id, p_partkey + 1 as seq,
-       case when p_size > 45 then '   ' when p_size > 30 then upper(p_name) end as name,
+       case when p_size > 45 then ' ' || chr(9) || chr(10) when p_size > 30 then chr(9) || upper(p_name) || ' ' end as name,
        case when p_size < 30 then cast(p_retailprice - 920 as decimal(10,2)) end as price,
        cast(p_size - 3 as int) as low_stock_threshold,
        case when p_size = 50 then 'NEW-SKU' end as sku,
@@ -69,10 +76,15 @@ select p_partkey as id, p_partkey + 1 as seq,
 from part"""
 
 
+def TRIM(c: str) -> str:
+    """SQL for a text without white space at its ends."""
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
 def restock_batch(t):
-    """Restock requests: one per item of a delivered order, 250 units per
-    ordered unit, two days after the order."""
-    o = t.orders.filter(F.col("status") == "delivered").select(
+    """Restock requests: one per ordered item, 250 units per ordered unit,
+    two days after the order."""
+    o = t.orders.select(
         F.col("id").alias("request_id"), F.col("user_id").alias("actor_id"),
         (F.col("created_at") + F.expr("interval 2 days")).alias("requested_at"))
     return t.items.join(o, t.items["order_id"] == o["request_id"]).select(
@@ -83,22 +95,25 @@ def restock_batch(t):
 RESTOCK_BATCH_SQL = """
 select o.id as request_id, i.line_no, i.product_id, cast(i.quantity * 250 as int) as quantity, o.user_id as actor_id,
        o.created_at + interval '2' day as requested_at
-from f_order_items i join f_orders o on i.order_id = o.id where o.status = 'delivered'"""
+from f_order_items i join f_orders o on i.order_id = o.id"""
 
 
 def user_batch(t):
     """Sign-ups, one per customer; pairs of customers share an email."""
     c = t.raw("customer")
     email = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.col("c_name")).otherwise(
-        F.concat(F.lit("  Member"), (F.col("c_custkey") / 2).cast("bigint").cast("string"), F.lit("@Example.COM ")))
-    return c.select((F.col("c_custkey") + 1).alias("seq"), F.concat(F.lit(" "), F.col("c_name")).alias("name"),
+        F.concat(F.lit(" \tMember"), (F.col("c_custkey") / 2).cast("bigint").cast("string"), F.lit("@Example.COM\n")))
+    name = F.when(F.col("c_custkey") % 11 == 0, "\n\t").when(F.col("c_custkey") % 13 == 0, F.repeat(F.lit("n"), 101)) \
+        .otherwise(F.concat(F.lit(" \t"), F.col("c_name")))
+    return c.select((F.col("c_custkey") + 1).alias("seq"), name.alias("name"),
                     email.alias("email"), F.when(F.col("c_acctbal") < 0, F.lit("admin")).alias("role"))
 
 
 USER_BATCH_SQL = """
-select c_custkey + 1 as seq, ' ' || c_name as name,
+select c_custkey + 1 as seq, case when c_custkey % 11 = 0 then chr(10) || chr(9) when c_custkey % 13 = 0 then repeat('n', 101)
+                                  else ' ' || chr(9) || c_name end as name,
        case when c_mktsegment = 'AUTOMOBILE' then c_name
-            else '  Member' || cast(cast(c_custkey // 2 as bigint) as varchar) || '@Example.COM ' end as email,
+            else ' ' || chr(9) || 'Member' || cast(cast(c_custkey // 2 as bigint) as varchar) || '@Example.COM' || chr(10) end as email,
        case when c_acctbal < 0 then 'admin' end as role
 from customer"""
 
@@ -128,30 +143,31 @@ def v1(t):
 
 
 @register("V2_validate_products", f"""
-select seq, sku, case
-  when name is null or length(trim(name)) = 0 then 'name_required'
-  when length(trim(name)) > 200 then 'name_too_long'
+select seq, sku, name, case
+  when name is null or length(name) = 0 then 'name_required'
+  when length(name) > 200 then 'name_too_long'
   when price is null or price <= 0 then 'invalid_price'
-  when sku is null or length(trim(sku)) = 0 then 'sku_required'
-  when length(trim(sku)) > 100 then 'sku_too_long'
-  when not regexp_matches(trim(sku), '^[A-Za-z0-9_\\-]+$') then 'invalid_sku'
+  when sku is null or length(sku) = 0 then 'sku_required'
+  when length(sku) > 100 then 'sku_too_long'
+  when not regexp_matches(sku, '^[A-Za-z0-9_\\-]+$') then 'invalid_sku'
   when stock_quantity < 0 then 'invalid_stock_quantity'
   when low_stock_threshold < 0 then 'invalid_low_stock_threshold' end as reason
-from ({PRODUCT_BATCH_SQL}) b""")
+from (select * replace ({TRIM('name')} as name, {TRIM('sku')} as sku) from ({PRODUCT_BATCH_SQL}) x) b""")
 def v2(t):
-    return V.products(product_batch(t)).select("seq", "sku", "reason")
+    """New products, some with tabs and newlines around (or for) their names and SKUs."""
+    return V.products(product_batch(t)).select("seq", "sku", "name", "reason")
 
 
 @register("V3_validate_patches", f"""
-select id, case
-  when name is not null and length(trim(name)) = 0 then 'name_blank'
-  when name is not null and length(trim(name)) > 200 then 'name_too_long'
+select id, name, case
+  when name is not null and length(name) = 0 then 'name_blank'
+  when name is not null and length(name) > 200 then 'name_too_long'
   when price is not null and price <= 0 then 'invalid_price'
   when low_stock_threshold is not null and low_stock_threshold < 0 then 'invalid_low_stock_threshold'
   when sku is not null then 'sku_immutable' end as reason
-from ({PATCH_BATCH_SQL}) b""")
+from (select * replace ({TRIM('name')} as name) from ({PATCH_BATCH_SQL}) x) b""")
 def v3(t):
-    return V.product_patches(patch_batch(t)).select("id", "reason")
+    return V.product_patches(patch_batch(t)).select("id", "name", "reason")
 
 
 @register("V4_validate_restocks", f"""
@@ -163,63 +179,31 @@ def v4(t):
 
 
 @register("V5_validate_users", f"""
-select seq, case when name is null or length(trim(name)) = 0 then 'name_required'
-                 when email is null or not regexp_matches(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
-                   then 'invalid_email' end as reason
-from ({USER_BATCH_SQL}) b""")
+select seq, name, email, case
+  when name is null or length(name) = 0 then 'name_required' when length(name) > 100 then 'name_too_long'
+  when email is null or not regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') then 'invalid_email'
+  when length(email) > 150 then 'email_too_long' end as reason
+from (select * replace ({TRIM('name')} as name, {TRIM('email')} as email) from ({USER_BATCH_SQL}) x) b""")
 def v5(t):
-    return V.users(user_batch(t)).select("seq", "reason")
+    return V.users(user_batch(t)).select("seq", "name", "email", "reason")
 
 
-@register("V6_validate_categories", """
-select n_nationkey as seq, case when length(trim(case when n_regionkey = 0 then '  ' else n_name end)) = 0
-  then 'name_required' end as reason from nation""")
+@register("V6_validate_categories", f"""
+select seq, name, case when length(name) = 0 then 'name_required' when length(name) > 100 then 'name_too_long' end as reason
+from (select n_nationkey as seq, {TRIM("""case when n_regionkey = 0 then ' ' || chr(9) when n_regionkey = 1 then repeat(n_name, 20)
+       else chr(10) || n_name || ' ' end""")} as name from nation) b""")
 def v6(t):
     n = t.raw("nation")
-    b = n.select(F.col("n_nationkey").alias("seq"),
-                 F.when(F.col("n_regionkey") == 0, F.lit("  ")).otherwise(F.col("n_name")).alias("name"))
-    return V.categories(b).select("seq", "reason")
+    name = F.when(F.col("n_regionkey") == 0, " \t").when(F.col("n_regionkey") == 1, F.repeat("n_name", F.lit(20))) \
+        .otherwise(F.concat(F.lit("\n"), "n_name", F.lit(" ")))
+    return V.categories(n.select(F.col("n_nationkey").alias("seq"), name.alias("name"))).select("seq", "name", "reason")
 
 
-@register("V7_table_audit", """
-select 'order_items' as table_name, 'primary_key' as rule, 'order_id,line_no' as key_columns,
-       cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar) as key_value, count(*) as rows
-from lineitem group by l_orderkey, l_linenumber having count(*) > 1
-union all
-select 'orders', 'not_null', 'total_amount', null, count(*) from f_orders where total_amount is null having count(*) > 0
-union all
-select 'orders', 'check', 'status', status, count(*) from f_orders
-where status not in ('pending','confirmed','packed','shipped','delivered','cancelled') group by status
-union all
-select 'users', 'check', 'role', role, count(*) from f_users where role not in ('user','admin') group by role
-union all
-select 'order_items', 'foreign_key', 'product_id', cast(l_partkey as varchar), count(*) from lineitem
-where l_partkey not in (select id from f_products) group by l_partkey
-union all
-select 'order_items', 'foreign_key', 'order_id', cast(l_orderkey as varchar), count(*) from lineitem
-where l_orderkey not in (select id from f_orders) group by l_orderkey
-union all
-select 'orders', 'foreign_key', 'user_id', cast(user_id as varchar), count(*) from f_orders
-where user_id is not null and user_id not in (select id from f_users) group by user_id
-union all
-select 'products', 'unique', 'sku', sku, count(*) from f_products group by sku having count(*) > 1
-union all
-select 'users', 'unique', 'email', email, count(*) from f_users group by email having count(*) > 1
-union all
-select 'products', 'primary_key', 'id', cast(id as varchar), count(*) from f_products group by id having count(*) > 1
-union all
-select 'users', 'primary_key', 'id', cast(id as varchar), count(*) from f_users group by id having count(*) > 1
-union all
-select 'orders', 'primary_key', 'id', cast(id as varchar), count(*) from f_orders group by id having count(*) > 1""")
+@register("V7_table_audit", flawed_sql("select * from broken"))
 def v7(t):
-    """All schema constraints over whole tables; order items keyed by the
-    raw line number, which the test data repeats."""
-    raw_items = t.raw("lineitem").select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
-        F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"))
-    tables = {"users": t.users, "products": t.products, "orders": t.orders, "order_items": raw_items}
-    return V.table_audit(tables)
+    """All schema constraints over all six tables, each of them with rows that
+    break its rules."""
+    return V.table_audit(flawed(t))
 
 
 # ---------------------------------------------------------------- M1 upsert
@@ -241,7 +225,7 @@ def supplier_products(t):
 select sku, 'conflict' as reason from ({SUPPLIER_PRODUCTS_SQL}) b where sku in (select sku from f_products)""")
 def m1_conflicts(t):
     """Inserting supplier products: skus that exist already are rejected."""
-    return MU.upsert(t.products, supplier_products(t), "sku", on_conflict="reject", as_of=AS_OF).rejected
+    return MU.upsert(t.products, supplier_products(t), "sku", on_conflict="reject", as_of=AS_OF).rejected.select("sku", "reason")
 
 
 @register("M1_upsert_insert", f"""
@@ -272,11 +256,56 @@ def m1_update(t):
     return r.table.select("id", "name", "description")
 
 
+# one request per line item: its product's brand or type, so most names come again and again; some are NULL
+CATEGORY_REQUESTS_SQL = """
+select l_orderkey * 8 + l_linenumber as seq,
+       case when l_orderkey % 31 = 0 then null when l_suppkey % 2 = 0 then p_brand else p_type end as name,
+       'order ' || cast(l_orderkey as varchar) as description
+from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey
+      from lineitem group by l_orderkey, l_linenumber) l join part p on l.l_partkey = p.p_partkey"""
+
+# each request meets the table and the requests before it, one after the other
+CATEGORY_REPLAY_SQL = f"""
+with req as ({CATEGORY_REQUESTS_SQL}),
+seen as (select *, name in (select name from f_categories) as stored,
+                row_number() over (partition by name order by seq) as k from req)
+"""
+
+
+def category_requests(t):
+    li = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"),
+                                                                     F.min("l_suppkey").alias("l_suppkey"))
+    li = li.join(t.raw("part").select("p_partkey", "p_brand", "p_type"), "p_partkey")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+                     F.when(F.col("l_orderkey") % 31 == 0, F.lit(None)).when(F.col("l_suppkey") % 2 == 0, F.col("p_brand"))
+                     .otherwise(F.col("p_type")).alias("name"),
+                     F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("description"))
+
+
+@register("M1_upsert_repeats", CATEGORY_REPLAY_SQL + """
+select id, name, null as description from f_categories
+union all
+select (select max(id) from f_categories) + seq, name, description from seen where name is not null and not stored and k = 1""")
+def m1_repeats(t):
+    """Categories inserted by many requests of the same names: the first of a
+    new name is stored."""
+    r = MU.upsert(t.categories.withColumn("id", F.col("id").cast("bigint")), category_requests(t), "name", as_of=AS_OF)
+    return r.table.select("id", "name", "description")
+
+
+@register("M1_upsert_repeats_rejected", CATEGORY_REPLAY_SQL + """
+select name, seq, case when name is null then 'key_required' when stored then 'conflict' else 'duplicate_in_batch' end as reason
+from seen where name is null or stored or k > 1""")
+def m1_repeats_rejected(t):
+    """All other requests are refused, each with its reason."""
+    return MU.upsert(t.categories.withColumn("id", F.col("id").cast("bigint")), category_requests(t), "name", as_of=AS_OF).rejected
+
+
 # ---------------------------------------------------------------- M2 patch
 
 PATCH_OK_SQL = f"""
-select * from ({PATCH_BATCH_SQL}) b
-where not ((name is not null and (length(trim(name)) = 0 or length(trim(name)) > 200))
+select * from (select * replace ({TRIM('name')} as name) from ({PATCH_BATCH_SQL}) x) b
+where not ((name is not null and (length(name) = 0 or length(name) > 200))
         or (price is not null and price <= 0) or (low_stock_threshold is not null and low_stock_threshold < 0)
         or sku is not null)"""
 
@@ -308,7 +337,62 @@ where b.id not in (select id from f_products where deleted_at is null)
    or (b.category_id is not null and b.category_id not in (select id from f_categories))""")
 def m2_rejected(t):
     """Patches of deleted products, or naming a missing category, are refused."""
-    return _patched(t).rejected
+    return _patched(t).rejected.select("id", "reason")
+
+
+# one patch per line item: several for each product, some naming a missing category
+MANY_PATCHES_SQL = """
+select p as id, k as seq, case when k % 5 = 0 then 900 + k % 3 when k % 3 = 0 then k % 25 + 1 end as category_id,
+       case when k % 2 = 0 then 'renamed ' || cast(k as varchar) end as name
+from (select min(l_partkey) as p, l_orderkey * 8 + l_linenumber as k from lineitem group by l_orderkey, l_linenumber) l"""
+
+
+def _many_patched(t):
+    li = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("id"))
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    batch = li.select("id", k.alias("seq"),
+                      F.when(k % 5 == 0, 900 + k % 3).when(k % 3 == 0, k % 25 + 1).cast("int").alias("category_id"),
+                      F.when(k % 2 == 0, F.concat(F.lit("renamed "), k.cast("string"))).alias("name"))
+    return MU.patch(t.products, batch, ["category_id", "name"], live_only=True, as_of=AS_OF,
+                    references={"category_id": t.categories})
+
+
+MANY_PATCHES_CTE = f"""
+with req as ({MANY_PATCHES_SQL}),
+checked as (select r.*, case when p.id is null or p.deleted_at is not null then 'not_found'
+                             when r.category_id is not null and c.id is null then 'unknown_category_id' end as reason
+            from req r left join f_products p on r.id = p.id left join f_categories c on r.category_id = c.id)
+"""
+
+
+@register("M2_patch_many", MANY_PATCHES_CTE + """
+select p.id, coalesce((select arg_max(category_id, seq) from checked k where k.id = p.id and reason is null and category_id is not null),
+                      p.category_id) as category_id,
+       coalesce((select arg_max(name, seq) from checked k where k.id = p.id and reason is null and name is not null), p.name) as name
+from f_products p""")
+def m2_many(t):
+    """Several patches of each product, applied in seq order; a refused one
+    takes nothing else with it."""
+    return _many_patched(t).table.select("id", "category_id", "name")
+
+
+@register("M2_patch_many_rejected", MANY_PATCHES_CTE + "select id, seq, reason from checked where reason is not null")
+def m2_many_rejected(t):
+    return _many_patched(t).rejected
+
+
+@register("M2_patch_categories", """
+with req as (select n_nationkey + n_regionkey * 7 as id, n_nationkey + 1 as seq, n_name as name,
+                    case when n_regionkey < 3 then 'all of ' || n_name end as description from nation),
+known as (select * from req where id in (select id from f_categories))
+select c.id, coalesce((select arg_max(name, seq) from known k where k.id = c.id), c.name) as name,
+       (select arg_max(description, seq) from known k where k.id = c.id and description is not null) as description
+from f_categories c""")
+def m2_categories(t):
+    """Categories patched by id, some more than once."""
+    n = t.raw("nation").select((F.col("n_nationkey") + F.col("n_regionkey") * 7).alias("id"), (F.col("n_nationkey") + 1).alias("seq"),
+                               F.col("n_name").alias("name"), F.when(F.col("n_regionkey") < 3, F.concat(F.lit("all of "), "n_name")).alias("description"))
+    return MU.patch(t.categories, n, ["name", "description"], as_of=AS_OF).table.select("id", "name", "description")
 
 
 # ---------------------------------------------------------------- M3 soft delete
@@ -573,10 +657,10 @@ def m6_hot(t):
 # ---------------------------------------------------------------- M9 users
 
 USER_CHECKED_SQL = f"""
-with b as (select seq, trim(name) as name, lower(trim(email)) as email, coalesce(role, 'user') as role
+with b as (select seq, {TRIM('name')} as name, lower({TRIM('email')}) as email, coalesce(role, 'user') as role
            from ({USER_BATCH_SQL}) x),
-v as (select *, case when name is null or length(trim(name)) = 0 then 'name_required'
-                     when email is null or not regexp_matches(trim(email), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
+v as (select *, case when name is null or length(name) = 0 then 'name_required' when length(name) > 100 then 'name_too_long'
+                     when email is null or not regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')
                        then 'invalid_email'
                      when role not in ('user', 'admin') then 'invalid_role'
                      when role = 'admin' then 'admin_not_allowed' end as r1 from b),
@@ -629,6 +713,38 @@ def s5_products(t):
     return r.table.select("id", "sku")
 
 
+def _all_archived(t):
+    return t.products.withColumn("deleted_at", F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+# the starter catalogue as the application's seed file gives it
+SEEDED_CATEGORIES_SQL = "(values " + ", ".join(f"({k}, '{n}', '{d}')" for k, (n, d) in enumerate(SEED_CATEGORIES, 1)) + ") v(seq, name, description)"
+SEEDED_PRODUCTS_SQL = "(values " + ", ".join(
+    f"({k}, '{sku}', '{n}', '{d}', '{c}', {p}, {q}, {low})" for k, (sku, n, d, c, p, q, low) in enumerate(SEED_PRODUCTS, 1)) + \
+    ") v(seq, sku, name, description, category, price, stock_quantity, low_stock_threshold)"
+
+
+@register("S5_seed_archived", f"""
+select id, name, null as description from f_categories
+union all
+select (select max(id) from f_categories) + seq, name, description from {SEEDED_CATEGORIES_SQL}""")
+def s5_archived(t):
+    """Every product is archived, so the starter catalogue is loaded: its categories."""
+    return MU.seed(t.spark, t.categories, _all_archived(t), as_of=AS_OF).extra["categories"].select("id", "name", "description")
+
+
+@register("S5_seed_archived_products", f"""
+select id, sku, name, description, category_id, price, stock_quantity, low_stock_threshold from f_products
+union all
+select (select max(id) from f_products) + v.seq, v.sku, v.name, v.description,
+       (select max(id) from f_categories) + c.seq, cast(v.price as decimal(10,2)), v.stock_quantity, v.low_stock_threshold
+from {SEEDED_PRODUCTS_SQL} join {SEEDED_CATEGORIES_SQL.replace('v(', 'c(')} on v.category = c.name""")
+def s5_archived_products(t):
+    """The same: its products, in their categories."""
+    return MU.seed(t.spark, t.categories, _all_archived(t), as_of=AS_OF).table.select(
+        "id", "sku", "name", "description", "category_id", "price", "stock_quantity", "low_stock_threshold")
+
+
 @register("S3_write_snapshot", f"""
 select p.id, coalesce(b.price, p.price) as price from f_products p
 left join ({PATCH_OK_SQL}) b on p.id = b.id and p.deleted_at is null
@@ -643,18 +759,19 @@ def s3(t):
 
 
 @register("S4_append_audit", f"""
-select product_id, quantity_before, quantity_after, reason from f_audit_log where reason = 'order_cancelled'
+select product_id, quantity_before, quantity_after, reason from f_audit_log
 union all
 select product_id, cast(qa - quantity as int), cast(qa as int), 'manual_restock'
 from (select r.*, p.stock_quantity + sum(r.quantity) over (partition by r.product_id
              order by r.requested_at, r.request_id, r.line_no rows between unbounded preceding and current row) as qa
       from ({RESTOCK_OK_SQL}) r join f_products p on r.product_id = p.id) t""")
 def s4(t):
-    """Two jobs append to one audit table (cancellation rows of the ledger,
-    then the restock audit rows); the table is read back whole."""
+    """Two jobs append to one audit table (the whole ledger, then the restock
+    audit rows, the second one twice as after a failure); the table is read back whole."""
     root = shared_path(t.spark, "audit")
-    TB.append_audit(t.audit.filter(F.col("reason") == "order_cancelled"), root)
-    TB.append_audit(_restocked(t).audit, root)
+    TB.append_audit(t.audit, root, "ledger")
+    TB.append_audit(_restocked(t).audit, root, "restock")
+    TB.append_audit(_restocked(t).audit, root, "restock")
     return TB.load_audit(t.spark, root).select("product_id", "quantity_before", "quantity_after", "reason")
 
 
@@ -668,10 +785,45 @@ def s6(t):
     return TB.read_request_log(t.spark, path)
 
 
-def write_request_log_lines(t) -> str:
-    """Write the test request log as JSON lines to a new shared folder."""
+def _with_bad_lines(t):
+    """The log's lines, and one bad line for every event of each second minute: cut off, no JSON, a bad time or number."""
+    path = write_request_log_lines(t)
+    e = t.raw("events").filter(F.minute("ts") % 2 == 0)
+    k = F.col("event_id").cast("string")
+    bad = F.when(F.col("event_type") == "view", F.concat(F.lit('{"ts":"2001-01-01T00:00:00.000Z","method":"G'), k)) \
+        .when(F.col("event_type") == "click", F.concat(F.lit("server started "), k)) \
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"ts":"yesterday","method":"GET","ms":"1.00","requestId":"'), k, F.lit('"}'))) \
+        .otherwise(F.concat(F.lit('{"ts":"2001-01-01T00:00:00.000Z","method":"GET","ms":"fast","requestId":"'), k, F.lit('"}')))
+    return t.spark.read.text(path).unionByName(e.select(bad.alias("value")))
+
+
+@register("S6_bad_lines_left_out", """
+select date_trunc('millisecond', ts) as ts, method, url, status, floor(ms * 100) / 100 as ms, request_id, ip
+from f_request_log""")
+def s6_bad(t):
+    """A log with lines that cannot be read: the good ones."""
+    return TB.parse_request_log(_with_bad_lines(t))
+
+
+@register("S6_bad_lines", """
+select case event_type when 'view' then 'not_json' when 'click' then 'not_json' when 'purchase' then 'invalid_ts'
+                       else 'invalid_ms' end as reason,
+       case event_type when 'view' then '{"ts":"2001-01-01T00:00:00.000Z","method":"G' || event_id
+                       when 'click' then 'server started ' || event_id
+                       when 'purchase' then '{"ts":"yesterday","method":"GET","ms":"1.00","requestId":"' || event_id || '"}'
+                       else '{"ts":"2001-01-01T00:00:00.000Z","method":"GET","ms":"fast","requestId":"' || event_id || '"}' end as line
+from events where date_part('minute', ts) % 2 = 0""")
+def s6_bad_lines(t):
+    """The same log: the lines left out, with the reason."""
+    return TB.rejected_log_lines(_with_bad_lines(t))
+
+
+def write_request_log_lines(t, files: int | None = None) -> str:
+    """Write the test request log as JSON lines to a new shared folder; ``files``: dealt at random to so many files."""
     log = t.request_log.withColumn("ms", F.floor(F.col("ms") * 100) / 100)
     path = shared_path(t.spark, "request-log")
-    TB.to_log_lines(log).write.mode("errorifexists").text(path)
+    lines = TB.to_log_lines(log)
+    if files:
+        lines = lines.repartition(files, F.xxhash64("value"))
+    lines.write.mode("errorifexists").text(path)
     return path
-

@@ -49,9 +49,9 @@ def top_products(items: DataFrame, orders: DataFrame, products: DataFrame, categ
     per_product = sold.groupBy("product_id").agg(
         F.sum("quantity").cast("bigint").alias("total_sold"),
         F.sum(C.line_total()).cast("decimal(18,2)").alias("total_revenue"))
-    # all revenue as one global sum over the sold items (a scalar subquery
-    # with a one-row exchange), bound to a column once
-    grand_cents = sold.select(F.sum(M.cents(C.line_total()))).scalar()
+    # all revenue as a sum over the products' sums: the subquery reads the
+    # same exchange as the ranking, so items and orders are scanned once
+    grand_cents = per_product.select(F.sum(M.cents(F.col("total_revenue")))).scalar()
     top = paging.top_k(per_product, [F.col("total_sold").desc(), F.col("total_revenue").desc(),
                                      F.col("product_id").asc()], n).withColumn("_grand", grand_cents)
     top = top.join(products.select(F.col("id").alias("product_id"), "name", "sku", "category_id"), "product_id", "left")
@@ -85,20 +85,24 @@ def sales_summary(orders: DataFrame, period: str = "month", last: int = 12) -> D
 
 def customer_analytics(orders: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:   # R4
     """Top customers by lifetime value (non-cancelled order totals).
-    Orders are aggregated per user first (map-side combine), then joined to
-    users (inner, like the order list) and cut to the top ``n``."""
+    Orders are aggregated per user first (map-side combine), users that no longer
+    exist drop out by a semi-join on the id (as in the order list), and only
+    the top ``n`` fetch their names."""
     live_cents = F.when(REVENUE(), M.cents(F.col("total_amount")))
     per_user = orders.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         C.status_count("delivered").alias("completed_orders"),
         F.sum(live_cents).alias("_ltv_cents"),
         F.count(live_cents).alias("_ltv_n"))
-    u = users.select(F.col("id").alias("user_id"), F.col("name").alias("customer_name"), "email")
-    j = per_user.join(u, "user_id", "inner")
-    j = j.select("user_id", "customer_name", "email", "total_orders", "completed_orders",
+    j = per_user.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    j = j.select("user_id", "total_orders", "completed_orders",
                  M.from_cents(F.coalesce(F.col("_ltv_cents"), F.lit(0))).alias("lifetime_value"),
                  M.avg_money(F.col("_ltv_cents"), F.col("_ltv_n")).alias("avg_order_value"))
-    return paging.top_k(j, [F.col("lifetime_value").desc(), F.col("user_id").asc()], n)
+    order = [F.col("lifetime_value").desc(), F.col("user_id").asc()]
+    u = users.select(F.col("id").alias("user_id"), F.col("name").alias("customer_name"), "email")
+    top = paging.top_k(j, order, n).join(u, "user_id", "inner")
+    return top.select("user_id", "customer_name", "email", "total_orders", "completed_orders", "lifetime_value",
+                      "avg_order_value").orderBy(*order)
 
 
 def AUDIT_ORDER():
@@ -118,7 +122,9 @@ def audit_log(audit: DataFrame, products: DataFrame, users: DataFrame, product_i
         live = products.filter(P.live() & (F.col("id") == F.lit(int(product_id)))).select(
             F.col("id").alias("product_id"))
         a = a.join(live, "product_id", "left_semi")
-    rows = paging.page(R.audit_with_names(a, products, users), AUDIT_ORDER(), page, limit)
+    # rows whose product is gone drop out by id; only the page fetches names
+    known = a.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+    rows = R.audit_with_names(paging.page(known, AUDIT_ORDER(), page, limit), products, users).orderBy(*AUDIT_ORDER())
     total = R.count_matching(a, F.col("product_id").isNotNull())
     return rows, paging.page_summary(total, page, limit)
 

@@ -25,6 +25,10 @@ MAX_RESTOCK_QUANTITY = 10000
 MAX_NOTES_LENGTH = 500
 MAX_PRODUCT_NAME = 200
 MAX_SKU_LENGTH = 100
+MAX_USER_NAME = 100
+MAX_EMAIL = 150
+MAX_CATEGORY_NAME = 100
+MAX_REASON = 100
 SKU_PATTERN = r"^[A-Za-z0-9_\-]+$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 REASON_ORDER_PLACED = "order_placed"
@@ -37,15 +41,22 @@ SEED_CATEGORIES = [
     ("Groceries", "Everyday food and household staples"),
     ("Stationery", "Office and school supplies"),
 ]
-# (sku, name, category, price, stock_quantity, low_stock_threshold)
+# (sku, name, description, category, price, stock_quantity, low_stock_threshold)
 SEED_PRODUCTS = [
-    ("ELEC-001", "Wireless Mouse", "Electronics", Decimal("599.00"), 40, 10),
-    ("ELEC-002", "USB-C Charging Cable", "Electronics", Decimal("299.00"), 60, 15),
-    ("ELEC-003", "Bluetooth Headphones", "Electronics", Decimal("1999.00"), 8, 10),
-    ("GROC-001", "Basmati Rice (5kg)", "Groceries", Decimal("450.00"), 25, 5),
-    ("GROC-002", "Cooking Oil (1L)", "Groceries", Decimal("180.00"), 50, 10),
-    ("STAT-001", "A4 Notebook (200pg)", "Stationery", Decimal("60.00"), 100, 20),
-    ("STAT-002", "Ballpoint Pen (Pack of 10)", "Stationery", Decimal("90.00"), 3, 15),
+    ("ELEC-001", "Wireless Mouse", "Ergonomic 2.4GHz wireless mouse with USB receiver, DPI adjustable up to 1600.",
+     "Electronics", Decimal("599.00"), 40, 10),
+    ("ELEC-002", "USB-C Charging Cable", "1-metre braided USB-C to USB-A fast-charging cable, compatible with most "
+     "smartphones and laptops.", "Electronics", Decimal("299.00"), 60, 15),
+    ("ELEC-003", "Bluetooth Headphones", "Over-ear wireless headphones with active noise cancellation and 30-hour "
+     "battery life.", "Electronics", Decimal("1999.00"), 8, 10),
+    ("GROC-001", "Basmati Rice (5kg)", "Premium aged long-grain basmati rice, ideal for biryanis and everyday "
+     "cooking.", "Groceries", Decimal("450.00"), 25, 5),
+    ("GROC-002", "Cooking Oil (1L)", "Refined sunflower cooking oil, low in saturated fat, suitable for frying and "
+     "baking.", "Groceries", Decimal("180.00"), 50, 10),
+    ("STAT-001", "A4 Notebook (200pg)", "Ruled A4 notebook with 200 pages, hard cover, and micro-perforated tear-out "
+     "sheets.", "Stationery", Decimal("60.00"), 100, 20),
+    ("STAT-002", "Ballpoint Pen (Pack of 10)", "Smooth-writing blue ballpoint pens, pack of 10, suitable for office "
+     "and school use.", "Stationery", Decimal("90.00"), 3, 15),
 ]
 
 
@@ -115,4 +126,8 @@ NOT_NULL = {
     "orders": ["total_amount"], "order_items": ["quantity", "unit_price"],
     "stock_audit_log": ["quantity_before", "quantity_after", "reason"],
 }
+MAX_LENGTHS = {
+    "users": {"name": MAX_USER_NAME, "email": MAX_EMAIL}, "categories": {"name": MAX_CATEGORY_NAME},
+    "products": {"name": MAX_PRODUCT_NAME, "sku": MAX_SKU_LENGTH}, "stock_audit_log": {"reason": MAX_REASON},
+}
 CHECKS = {"users": ("role", ROLES), "orders": ("status", ORDER_STATUSES)}

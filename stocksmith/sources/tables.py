@@ -14,6 +14,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as S
 
@@ -75,26 +76,44 @@ def write_snapshot(df: DataFrame, root: str, table: str, partition_by: list[str]
     return v
 
 
-def append_audit(df: DataFrame, root: str) -> None:                                       # S4
-    """Append audit rows to the append-only audit table."""
+def append_audit(df: DataFrame, root: str, job: str) -> None:                             # S4
+    """Append the audit rows of one job run to the append-only audit table.
+    ``job`` names the run: a run that is repeated after a failure replaces its own
+    rows and no others."""
     schema = S.STOCK_AUDIT_LOG
     df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]) \
-        .write.mode("append").parquet(f"{root}/stock_audit_log_append")
+        .write.mode("overwrite").parquet(f"{root}/stock_audit_log_append/job={job}")
 
 
 def load_audit(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(S.STOCK_AUDIT_LOG).parquet(f"{root}/stock_audit_log_append")
+    return spark.read.schema(S.STOCK_AUDIT_LOG).parquet(f"{root}/stock_audit_log_append").select(
+        *S.STOCK_AUDIT_LOG.fieldNames())
+
+
+def _parsed_log(lines: DataFrame, col: str) -> DataFrame:
+    """Log lines with their typed fields and ``reason`` (NULL: a good line)."""
+    schema = T.StructType([*S.REQUEST_LOG_JSON.fields, T.StructField("_corrupt", T.StringType())])
+    j = F.from_json(F.col(col), schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    p = lines.select(F.col(col).alias("line"), j.alias("j")).select("line", "j.*")
+    ts = F.regexp_replace("ts", "Z$", "").try_cast("timestamp_ntz")
+    ms = F.col("ms").try_cast("double")
+    reason = F.when(F.col("_corrupt").isNotNull() | F.coalesce(F.trim("line") == "", F.lit(True)), "not_json") \
+        .when(ts.isNull(), "invalid_ts").when(F.col("ms").isNotNull() & ms.isNull(), "invalid_ms")
+    return p.select("line", ts.alias("ts"), "method", "url", F.col("status").cast("int").alias("status"), ms.alias("ms"),
+                    F.col("requestId").alias("request_id"), "ip", reason.alias("reason"))
 
 
 def parse_request_log(lines: DataFrame, col: str = "value") -> DataFrame:                # S6
     """JSON log lines -> typed rows.  ``ts`` is the ISO time in UTC (kept as
-    TIMESTAMP_NTZ wall time), ``ms`` arrives as a string and becomes DOUBLE."""
-    j = F.from_json(F.col(col), S.REQUEST_LOG_JSON)
-    p = lines.select(j.alias("j")).select("j.*")
-    return p.select(
-        F.to_timestamp_ntz(F.regexp_replace("ts", "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")).alias("ts"),
-        "method", "url", F.col("status").cast("int").alias("status"), F.col("ms").cast("double").alias("ms"),
-        F.col("requestId").alias("request_id"), "ip")
+    TIMESTAMP_NTZ wall time), ``ms`` arrives as a string and becomes DOUBLE.  Lines that
+    are not JSON or hold a bad time or number are left to
+    :func:`rejected_log_lines`."""
+    return _parsed_log(lines, col).filter(F.col("reason").isNull()).drop("line", "reason")
+
+
+def rejected_log_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """(line, reason) of the log lines that :func:`parse_request_log` leaves out."""
+    return _parsed_log(lines, col).filter(F.col("reason").isNotNull()).select("line", "reason")
 
 
 def read_request_log(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:

@@ -5,16 +5,16 @@ revoked-token map) or changes it per request (stock, order status).  Here
 they are streams over event time:
 
 * T1 ``rate_violations``  tumbling windows per IP, over-limit counts
-* T2 ``request_metrics``  windowed counts, status classes, latency totals
+* T2 ``request_metrics``  windowed counts, status classes, latency totals and p95;
+  both from counts that each micro-batch writes and a reader sums
 * T3 ``stock_alerts``     ``foreachBatch``: running stock per product from
   its current stock (a change log), alerts on crossing down to the threshold
-* T4 ``revoked_use``      stream-stream interval join of requests and
+* T4 ``revoked_use``      stream-stream interval semi-join of requests and
   revocations, state bounded by both watermarks
 * T5 ``status_stream``    ``foreachBatch``: status requests applied to the
   current status of the orders they name (M7); state is a change log
 
-Aggregations use append mode with a watermark, so state is dropped once a
-window closes; ``foreachBatch`` jobs write each batch's output under its
+``foreachBatch`` jobs write each batch's output under its
 batch id with overwrite, so a replayed batch after a failure rewrites the
 same files (idempotent).  Test tables store TIMESTAMP_NTZ, which
 ``withWatermark`` rejects, so event times are cast to TIMESTAMP first.
@@ -22,9 +22,10 @@ same files (idempotent).  Test tables store TIMESTAMP_NTZ, which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..operators import mutate as MU
 from ..operators import relations as R
 
@@ -43,48 +44,83 @@ def status_class(status: Column) -> Column:
     return F.when(status >= 500, "5xx").when(status >= 400, "4xx").when(status >= 300, "3xx").otherwise("2xx")
 
 
-# ------------------------------------------------------------------ T1
-def rate_violations(log: DataFrame, window: str = "60 seconds", limit: int = 100,
-                    watermark: str = "10 minutes") -> DataFrame:
-    """Per IP and tumbling window: requests over ``limit`` are refused
-    (refused requests count too, as in the application's counter)."""
-    t = log.withColumn("_et", event_time("ts")).withWatermark("_et", watermark)
-    agg = t.groupBy(F.window("_et", window).alias("w"), "ip").agg(F.count(F.lit(1)).alias("hits"))
-    return agg.filter(F.col("hits") > limit).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"), "ip", "hits",
-        (F.col("hits") - limit).alias("refused"))
-
-
-# ------------------------------------------------------------------ T2
-def request_metrics(log: DataFrame, window: str = "1 hour", watermark: str = "10 minutes",
-                    accuracy: int = 10000) -> DataFrame:
-    """Per window, method and route: request count by status class, exact
-    latency total (ms as DECIMAL) and maximum, and the 95th percentile from
-    a bounded sketch (``percentile_approx``; exact while a group has fewer
-    than ``accuracy`` values: the value at rank ceil(0.95 n))."""
-    t = log.withColumn("_et", event_time("ts")).withWatermark("_et", watermark) \
-        .withColumn("route", route_of(F.col("url"))).withColumn("_cls", status_class(F.col("status")))
-    ms = F.col("ms").cast("decimal(12,2)")
-    agg = t.groupBy(F.window("_et", window).alias("w"), "method", "route").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("_cls") == "2xx").alias("ok_2xx"),
-        F.count_if(F.col("_cls") == "3xx").alias("redirect_3xx"),
-        F.count_if(F.col("_cls") == "4xx").alias("client_4xx"),
-        F.count_if(F.col("_cls") == "5xx").alias("server_5xx"),
-        F.sum(ms).cast("decimal(18,2)").alias("total_ms"),
-        F.max(ms).alias("max_ms"),
-        F.percentile_approx(ms, 0.95, accuracy).alias("p95_ms"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "method", "route", "requests",
-                      "ok_2xx", "redirect_3xx", "client_4xx", "server_5xx", "total_ms", "max_ms", "p95_ms")
+# ------------------------------------------------------------------ T1, T2
+def count_stream(rows: DataFrame, keys: list[str], out_dir: str, checkpoint: str, available_now: bool = True):
+    """Start a stream that writes, per micro-batch, the number of rows of each
+    combination of ``keys`` under its batch id (a replay rewrites the same files).
+
+    Counts add up over batches, so no state is held, a late row counts in its
+    own window like any other, and the last window needs no later row to
+    close it: whoever reads the counts sums them."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    w = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def compact_counts(spark: SparkSession, out_dir: str, keys: list[str], to: str) -> None:
+    """The counts of all batches so far as one table in a new folder ``to``."""
+    spark.read.parquet(out_dir).groupBy(*keys).agg(F.sum("n").alias("n")).write.mode("errorifexists").parquet(to)
+
+
+RATE_KEYS = ["window_start", "window_end", "ip"]
+
+
+def rate_rows(log: DataFrame, window: str = "60 seconds") -> DataFrame:                 # T1
+    """Each request with the tumbling window it falls into."""
+    w = F.window(event_time("ts"), window)
+    return log.select(w.alias("w"), "ip").select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                                                 F.col("w.end").cast("timestamp_ntz").alias("window_end"), "ip")
+
+
+def rate_violations(counts: DataFrame, limit: int = 100) -> DataFrame:                  # T1
+    """Per IP and window: requests over ``limit`` are refused (refused
+    requests count too, as in the application's counter)."""
+    hits = counts.groupBy(*RATE_KEYS).agg(F.sum("n").alias("hits"))
+    return hits.filter(F.col("hits") > limit).select(*RATE_KEYS, "hits", (F.col("hits") - limit).alias("refused"))
+
+
+METRIC_KEYS = ["window_start", "window_end", "method", "route", "status_class", "ms"]
+
+
+def metric_rows(log: DataFrame, window: str = "1 hour") -> DataFrame:                   # T2
+    """Each request with its window, route, status class and latency (ms as DECIMAL)."""
+    w = F.window(event_time("ts"), window)
+    return log.select(w.alias("w"), "method", "url", "status", "ms").select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        "method", route_of(F.col("url")).alias("route"), status_class(F.col("status")).alias("status_class"),
+        F.col("ms").cast("decimal(12,2)").alias("ms"))
+
+
+def request_metrics(counts: DataFrame) -> DataFrame:                                    # T2
+    """Per window, method and route, from the latency histogram that
+    :func:`count_stream` writes: request count by status class, exact latency total and
+    maximum, and the exact 95th percentile (the value at rank ceil(0.95 n) of
+    the requests that have a latency)."""
+    group = ["window_start", "window_end", "method", "route"]
+    n_of = lambda cls: F.coalesce(F.sum(F.when(F.col("status_class") == cls, F.col("n"))), F.lit(0))
+    totals = counts.groupBy(*group).agg(
+        F.sum("n").alias("requests"), n_of("2xx").alias("ok_2xx"), n_of("3xx").alias("redirect_3xx"),
+        n_of("4xx").alias("client_4xx"), n_of("5xx").alias("server_5xx"),
+        F.sum(F.col("ms") * F.col("n")).cast("decimal(18,2)").alias("total_ms"), F.max("ms").alias("max_ms"))
+    by_ms = counts.filter(F.col("ms").isNotNull()).groupBy(*group, "ms").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*group)
+    below = F.sum("n").over(w.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = by_ms.select(*group, "ms", below.alias("_below"), F.sum("n").over(w).alias("_all"))
+    p95 = ranked.filter(F.col("_below") * 100 >= F.col("_all") * 95).groupBy(*group).agg(F.min("ms").alias("p95_ms"))
+    x, y = totals.alias("x"), p95.alias("y")
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in group]
+    return x.join(y, on, "left").select("x.*", "y.p95_ms")
 
 
 # ------------------------------------------------------------------ T4
 def revoked_use(access: DataFrame, revocations: DataFrame, lifetime: str = "7 days",
                 watermark: str = "1 hour") -> DataFrame:
-    """Requests made with a revoked key while the revocation holds:
-    ``key`` equal and ``revoked_at <= ts < revoked_at + lifetime``.  Both
+    """Requests made with a key while one of its revocations holds: ``key`` equal
+    and ``revoked_at <= ts < revoked_at + lifetime``.  A left-semi stream join, so each
+    request is refused once, however often its key was revoked.  Both
     sides carry watermarks and the time bound, so Spark drops join state
     once no later row can match."""
     a = access.select(F.col("session_key").alias("a_key"), event_time("ts").alias("a_ts"), "request_id") \
@@ -93,10 +129,8 @@ def revoked_use(access: DataFrame, revocations: DataFrame, lifetime: str = "7 da
         .withWatermark("r_at", watermark)
     cond = (F.col("a_key") == F.col("r_key")) & (F.col("a_ts") >= F.col("r_at")) & \
            (F.col("a_ts") < F.col("r_at") + F.expr(f"interval {lifetime}"))
-    j = a.join(r, cond, "inner")
-    return j.select(F.col("a_key").alias("key"), F.col("a_ts").cast("timestamp_ntz").alias("ts"), "request_id",
-                    F.col("r_at").cast("timestamp_ntz").alias("revoked_at"),
-                    (F.col("r_at") + F.expr(f"interval {lifetime}")).cast("timestamp_ntz").alias("expires_at"))
+    j = a.join(r, cond, "left_semi")
+    return j.select(F.col("a_key").alias("key"), F.col("a_ts").cast("timestamp_ntz").alias("ts"), "request_id")
 
 
 # ------------------------------------------------------------------ T3
@@ -104,7 +138,7 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
                       out_dir: str, batch_id: int, initial: DataFrame | None = None) -> None:
     """One micro-batch of stock movements: ledger from the current stock of
     the products it touches, alerts where stock crosses from above the
-    threshold to at or below it, and the touched products' new stock.
+    threshold to at or below it (live products only), and the touched products' new stock.
 
     State is a change log under ``state_dir`` (product_id, stock_quantity,
     batch): the current stock of a product is its latest logged value, else
@@ -123,7 +157,7 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
             start.join(logged.withColumnRenamed("stock_quantity", "_logged"), "product_id", "full_outer") \
             .select("product_id", F.coalesce("_logged", "stock_quantity").alias("stock_quantity"))
     audit = R.stock_ledger(movements, start=start)
-    thr = thresholds.select(F.col("id").alias("product_id"), "low_stock_threshold")
+    thr = thresholds.filter(P.live()).select(F.col("id").alias("product_id"), "low_stock_threshold")
     alerts = audit.join(thr, "product_id", "inner").filter(
         (F.col("quantity_before") > F.col("low_stock_threshold")) &
         (F.col("quantity_after") <= F.col("low_stock_threshold")))

@@ -149,7 +149,7 @@ def test_upsert_modes(spark):
     batch = spark.createDataFrame([(1, "B", "b1"), (2, "C", "c"), (3, "B", "b2")],
                                   "seq long, name string, description string")
     rej = MU.upsert(cats, batch, "name", "reject")
-    assert [(r.name, r.reason) for r in rej.rejected.collect()] == [("B", "conflict")]
+    assert sorted((r.name, r.seq, r.reason) for r in rej.rejected.collect()) == [("B", 1, "conflict"), ("B", 3, "conflict")]
     assert sorted((r.id, r.name) for r in rej.table.collect()) == [(1, "A"), (2, "B"), (4, "C")]
     upd = MU.upsert(cats, batch, "name", "update", update_cols=["description"])
     assert sorted((r.name, r.description) for r in upd.table.collect()) == [("A", "a"), ("B", "b2"), ("C", "c")]
@@ -157,6 +157,52 @@ def test_upsert_modes(spark):
     assert sorted((r.name, r.description) for r in ign.table.collect()) == [("A", "a"), ("B", "b"), ("C", "c")]
 
 
+def test_upsert_one_request_after_the_other(spark):
+    """The first of a new name is stored, later ones are refused; NULL keys and bad sequence numbers are, too."""
+    cats = spark.createDataFrame([(1, "A", "a", None)], S.CATEGORIES)
+    batch = spark.createDataFrame([(5, "N", "first"), (6, "N", "second"), (7, None, "x"), (8, None, "y"), (None, "P", "p"),
+                                   (0, "Q", "q"), (9, "R", "r"), (9, "T", "t")], "seq long, name string, description string")
+    why = [("N", 6, "duplicate_in_batch"), ("P", None, "invalid_seq"), ("Q", 0, "invalid_seq"), ("R", 9, "duplicate_seq"),
+           ("T", 9, "duplicate_seq"), (None, 7, "key_required"), (None, 8, "key_required")]
+    r = MU.upsert(cats, batch, "name", "reject")
+    assert sorted((x.id, x.name, x.description) for x in r.table.collect()) == [(1, "A", "a"), (6, "N", "first")]
+    assert sorted(map(tuple, r.rejected.collect()), key=str) == sorted(why, key=str)
+    r = MU.upsert(cats, batch, "name", "ignore")
+    assert sorted((x.name, x.description) for x in r.table.collect()) == [("A", "a"), ("N", "first")]
+    r = MU.upsert(cats, batch, "name", "update", update_cols=["description"])
+    assert sorted((x.id, x.name, x.description) for x in r.table.collect()) == [(1, "A", "a"), (6, "N", "second")]
+
+
+def test_each_patch_stands_or_falls_alone(spark):
+    prods = spark.createDataFrame([(1, 1, "p", None, Decimal("1.00"), 0, 0, "s", None, None, None)], S.PRODUCTS)
+    cats = spark.createDataFrame([(1, "A", None, None), (2, "B", None, None)], S.CATEGORIES)
+    patch = lambda rows: MU.patch(prods, spark.createDataFrame(rows, "id long, seq long, category_id int, name string"),
+                                  ["category_id", "name"], references={"category_id": cats})
+    r = patch([(1, 1, 2, None), (1, 2, 99, None)])         # good, then bad
+    assert [x.category_id for x in r.table.collect()] == [2]
+    assert [tuple(x) for x in r.rejected.collect()] == [(1, 2, "unknown_category_id")]
+    r = patch([(1, 1, 99, "lost"), (1, 2, 2, None)])       # the refused one's name is not applied
+    assert [(x.category_id, x.name) for x in r.table.collect()] == [(2, "p")]
+
+
+def test_missing_tables_are_refused(spark):
+    import pytest
+    from stocksmith.operators import validate as V
+    cats = spark.createDataFrame([(1, "A", None, None)], S.CATEGORIES)
+    for check in (R.fk_orphans, R.unique_violations, V.table_audit):
+        with pytest.raises(ValueError):
+            check({"categories": cats})
+
+
+def test_trim_as_the_application_does(spark):
+    from stocksmith.operators import validate as V
+    rows = [("\t\n", "S1"), (" a\u00a0", "AB\n"), ("b", "A B"), ("c\u2003", "\tx-1 ")]
+    df = spark.createDataFrame([(n, s, Decimal("1.00"), 0, 0) for n, s in rows],
+                               "name string, sku string, price decimal(10,2), stock_quantity int, low_stock_threshold int")
+    assert [(r.name, r.sku, r.reason) for r in V.products(df).collect()] == [
+        ("", "S1", "name_required"), ("a", "AB", None), ("b", "A B", "invalid_sku"), ("c", "x-1", None)]
+
+
 def test_patch_keeps_nulls_and_last_value_wins(spark):
     prods = _products(spark, {1: 5, 2: 5}, deleted={2})
     batch = spark.createDataFrame([(1, 1, "new", None), (1, 2, None, Decimal("9.99")), (1, 3, "newer", None),
@@ -166,7 +212,7 @@ def test_patch_keeps_nulls_and_last_value_wins(spark):
     row = {x.id: x for x in r.table.collect()}
     assert (row[1].name, row[1].price, row[1].updated_at is not None) == ("newer", Decimal("9.99"), True)
     assert row[2].name == "p2"
-    assert [(x.id, x.reason) for x in r.rejected.collect()] == [(2, "not_found")]
+    assert {(x.id, x.reason) for x in r.rejected.collect()} == {(2, "not_found")}
 
 
 def test_soft_and_hard_delete(spark):

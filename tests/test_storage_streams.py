@@ -31,8 +31,8 @@ def test_snapshot_versions(spark):
 def test_audit_append(spark):
     root = _tmp()
     row = [(1, None, 0, 5, "manual_restock", dt.datetime(2024, 1, 1), None, None)]
-    for _ in range(2):
-        TB.append_audit(spark.createDataFrame(row, S.STOCK_AUDIT_LOG), root)
+    for job in ("a", "b", "b"):       # job b fails after its write and runs again
+        TB.append_audit(spark.createDataFrame(row, S.STOCK_AUDIT_LOG), root, job)
     assert TB.load_audit(spark, root).count() == 2
 
 
@@ -50,7 +50,7 @@ def test_request_log_lines_roundtrip(spark):
 
 def test_stock_alerts_carry_state_between_batches(spark):
     root = _tmp()
-    thresholds = spark.createDataFrame([(1, 5)], "id long, low_stock_threshold int")
+    thresholds = spark.createDataFrame([(1, 5, None)], "id long, low_stock_threshold int, deleted_at timestamp_ntz")
     initial = spark.createDataFrame([(1, 8)], "product_id long, stock_quantity int")
     schema = "product_id long, changed_by long, delta int, reason string, changed_at timestamp_ntz, ref_id long, " \
              "line_no int"
@@ -107,7 +107,22 @@ def test_rate_limit_stream(spark):
     with open(f"{root}/log/a.jsonl", "w") as f:
         f.write("\n".join(rows) + "\n")
     log = TB.read_request_log(spark, f"{root}/log", stream=True)
-    q = ST.to_parquet(ST.rate_violations(log, window="60 seconds", limit=30), f"{root}/out", f"{root}/cp")
-    q.awaitTermination()
-    got = [(r.ip, r.hits, r.refused) for r in spark.read.parquet(f"{root}/out").collect()]
-    assert got == [("a", 40, 10)]
+    ST.count_stream(ST.rate_rows(log), ST.RATE_KEYS, f"{root}/out", f"{root}/cp").awaitTermination()
+    result = lambda: [(r.ip, r.hits, r.refused) for r in ST.rate_violations(spark.read.parquet(f"{root}/out"), limit=30).collect()]
+    assert result() == [("a", 40, 10)]
+    # an hour later, rows of the first minute arrive: they count in their window
+    with open(f"{root}/log/b.jsonl", "w") as f:
+        f.write("\n".join(rows[:5]) + "\n")
+    log = TB.read_request_log(spark, f"{root}/log", stream=True)
+    ST.count_stream(ST.rate_rows(log), ST.RATE_KEYS, f"{root}/out", f"{root}/cp").awaitTermination()
+    assert result() == [("a", 45, 15)]
+    ST.compact_counts(spark, f"{root}/out", ST.RATE_KEYS, f"{root}/compact")
+    compact = spark.read.parquet(f"{root}/compact")
+    assert [(r.ip, r.hits) for r in ST.rate_violations(compact, limit=30).collect()] == [("a", 45)]
+
+
+def test_percentile_is_exact_whatever_the_size(spark):
+    rows = spark.range(30_000).select(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit("GET").alias("method"),
+                                      F.lit("/x").alias("url"), F.lit(200).alias("status"), (F.col("id") * 7919 % 30_000 / 100).alias("ms"))
+    counts = ST.metric_rows(rows).groupBy(*ST.METRIC_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    assert float(ST.request_metrics(counts).first().p95_ms) == 284.99
