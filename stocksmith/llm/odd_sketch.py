@@ -30,6 +30,8 @@ from .cover_anchors import Words
 from .shards import mixed
 
 BANDS, ROWS, BITS = 40, 6, 1024
+#: Bytes of text handled at a time; a task holds about 60 times as much.
+SLICE = 1 << 20
 #: Members of a bucket that a task compares with as many others at a time.
 BLOCK = 512
 
@@ -113,7 +115,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_key, node (the set's identity; null without words or id), n_shingles, bands and odd sketch of each row."""
 
     def run(batches):
-        for part in text_slices(batches, 1):
+        for part in text_slices(batches, 1, SLICE):
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
             h, sizes = shingle_sets(texts, words)
             node = identities(h, sizes)
@@ -142,8 +144,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def same(batches):  # an id may stand on several texts
         tool = zstandard.ZstdDecompressor()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 node = identities(*shingle_sets([tool.decompress(z) for z in part.column(1).to_pylist()], words)).astype("<u8")
                 yield part.filter(pa.array([x.tobytes() == n for x, n in zip(node, part.column(0).to_pylist(), strict=True)], pa.bool_()))
 
@@ -162,8 +164,8 @@ def _confirm(pairs: DataFrame, percent: int, words: int) -> DataFrame:
     def run(batches):
         tool = zstandard.ZstdDecompressor()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 raw = [tool.decompress(z) for z in part.column(2).to_pylist() + part.column(3).to_pylist()]
                 h, sizes = shingle_sets(raw, words)
                 ends = np.cumsum(sizes)
