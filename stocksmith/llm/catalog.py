@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, odd_sketch, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
+from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, odd_sketch, oracles, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
 from .common import table
 
 
@@ -89,32 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-_UPPER_LOWER = f"'{url_digest.UPPER}', '{url_digest.LOWER}'"
-
+#: Operators 2 and 8 to 10 need zstandard and the tokenizers' libraries: the tests hold them against those.
 ORACLES: dict[str, str] = {
-    "op4_url_digest": rf"""
-with rules(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
-parts as (
-  select row_number() over () as row, page_id,
-         translate(regexp_extract(coalesce(url, ''), '^(.|\n)*?://([^/?#]*)', 2), {_UPPER_LOWER}) as host,
-         regexp_extract(coalesce(url, ''), '^(.|\n)*?://[^/?#]*([^?#]*)', 2) as path
-  from pages),
-fits as (
-  select p.row, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
-  from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
-  group by p.row)
-select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict
-from parts p left join fits f using (row)
-""",
-    "op5_fagin_topk": """
-with v as (
-  select vec_id, [floor(64 * x::double)::bigint for x in embedding] as e from embeddings
-  where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)])::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0)
-select * from (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
-where rank <= 20
-""",
+    "op1_quality_mcd": oracles.quality_sql(),
+    "op3_odd_sketch": oracles.NEAR_DUPLICATES,
+    "op4_url_digest": oracles.URL_RULES_SQL.format(rules=", ".join(map(str, URL_RULES))),
+    "op5_fagin_topk": oracles.TOP_K,
+    "op6_cover_anchors": oracles.WORD_REPEATS,
+    "op7_induced_suffix": oracles.BYTE_REPEATS,
 }

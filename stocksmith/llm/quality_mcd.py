@@ -204,8 +204,10 @@ def _with_group(rows: DataFrame, model: Model) -> DataFrame:
 def judge(rows: DataFrame, model: Model) -> DataFrame:
     """``distance`` (null without an estimate) and ``kept`` added to rows with counts and vectors."""
     rows = _distance(_with_group(rows, model).join(model.small(model.estimates), "grp", "left"))
-    far = F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL), F.lit(False))
-    return rows.select("*", F.sqrt("d2").alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    # one comparison over both tables' columns: as a conjunction, a filter on it would be pushed
+    # below the join and there repeat the counting of every word
+    outlying = F.greatest(F.when(F.col("base_failed"), 1e300).otherwise(0.0), F.coalesce("d2", F.lit(0.0)))
+    return rows.select("*", F.sqrt("d2").alias("distance"), (outlying <= chi2_quantile(1 - TAIL)).alias("kept"))
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

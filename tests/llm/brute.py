@@ -116,19 +116,23 @@ def near_duplicates(docs, k, percent=80):
     return [(d, len(s), None if d is None else least[top(i)], d is None or least[top(i)] == d) for i, ((d, _), s) in enumerate(zip(docs, sets))]
 
 
+def part(u, i, length):
+    return u[i:i + length] if isinstance(u, bytes) else tuple(u[i:i + length])
+
+
 def repeats(docs, length, units):
     """For each (doc_id, text): its units and which of them a window covers that a smaller document has."""
     first = {}
     parts = [(LAST if d is None else d, units(t)) for d, t in docs]
     for d, u in parts:
         for i in range(len(u) - length + 1):
-            key = tuple(u[i:i + length])
+            key = part(u, i, length)
             first[key] = min(first.get(key, d), d)
     out = []
     for d, u in parts:
         gone = [False] * len(u)
         for i in range(len(u) - length + 1):
-            if first[tuple(u[i:i + length])] < d:
+            if first[part(u, i, length)] < d:
                 gone[i:i + length] = [True] * length
         out.append((u, gone))
     return out
