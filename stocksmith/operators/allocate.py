@@ -18,8 +18,9 @@ rejected.  The earliest open order always has ``hi = lo``, so every round
 settles at least one order per product chain; in practice a few rounds
 settle everything.  The result equals processing the orders one by one.
 
-Rejected orders leave the working set each round; every round cuts lineage
-with one reliable ``checkpoint()`` under ``spark.checkpoint.dir``.
+Rejected orders leave the working set each round.  So do all rows of products
+that no open order names any more, so the rounds work on ever fewer rows.  Every round cuts lineage with reliable ``checkpoint()``s under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ class Placement:
     products: DataFrame       # products with new stock
     audit: DataFrame          # order_placed audit rows
     rounds: int
+    rows: list[int]           # rows kept after each round
 
 
 def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_threshold: int | None = None) -> Placement:
@@ -76,9 +78,10 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
             .select("request_id", "line_no", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
                     F.col("stock_quantity").cast("bigint").alias("stock"), "created_at",
                     F.lit(OPEN).alias("state")))
+    work = _cut(work)
     # hot products only shrink as rounds drop decided orders: find them once
     hot = running.hot_keys(work, ["product_id"], hot_threshold) or running.NO_HOT_KEYS
-    rounds = 0
+    rounds, accepted, kept_rows = 0, [], []
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     open_rows = 1 if not work.isEmpty() else 0
     while open_rows:
@@ -98,21 +101,31 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
                .select("request_id", F.when(F.col("_all_fit"), F.lit(ACCEPTED))
                        .when(F.col("_any_fail"), F.lit(REJECTED)).alias("new_state"))
                .filter(F.col("new_state").isNotNull()))
+        dec = _cut(dec)
+        now_in = dec.filter(F.col("new_state") == ACCEPTED).select("request_id")
+        accepted.append(now_in)
         # rejected orders leave the working set (they hold no stock); accepted
-        # rows stay, as later orders of their products must count them, and
-        # the last working set names every accepted order
-        nxt = work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state")) \
-            .drop("new_state").filter(F.col("state") != REJECTED)
+        # rows stay while an open order of their product may count them.  Semi- and
+        # anti-joins keep the size estimate of a round that of its input; an outer
+        # join would multiply it, round after round
+        rest = work.join(dec.filter(F.col("new_state") == REJECTED), "request_id", "left_anti")
+        nxt = rest.join(now_in, "request_id", "left_semi").withColumn("state", F.lit(ACCEPTED)) \
+            .unionByName(rest.join(now_in, "request_id", "left_anti"))
+        unsettled = nxt.filter(F.col("state") == OPEN).select("product_id")
+        nxt = nxt.join(unsettled, "product_id", "left_semi")
         # the open-row count is observed by the checkpoint job itself
         seen = Observation(f"placement_round_{rounds}")
-        work = _cut(nxt.observe(seen, F.count_if(F.col("state") == OPEN).alias("open")))
+        work = _cut(nxt.observe(seen, F.count_if(F.col("state") == OPEN).alias("open"), F.count(F.lit(1)).alias("rows")))
         open_rows = seen.get["open"]
+        kept_rows.append(seen.get["rows"])
 
-    final = work.groupBy("request_id").agg(F.first("state").alias("new_state"))
-    decisions = static.join(final, "request_id", "left").select(
+    final = static.select("request_id").limit(0)
+    for a in accepted:
+        final = final.unionByName(a)
+    decisions = static.join(final.withColumn("_accepted", F.lit(True)), "request_id", "left").select(
         "request_id",
-        (F.col("reason").isNull() & F.coalesce(F.col("new_state") == ACCEPTED, F.lit(False))).alias("accepted"),
-        F.coalesce(F.col("reason"), F.when(F.col("new_state").isNull(), F.lit("insufficient_stock"))).alias("reason"))
+        F.coalesce("_accepted", F.lit(False)).alias("accepted"),
+        F.coalesce(F.col("reason"), F.when(F.col("_accepted").isNull(), F.lit("insufficient_stock"))).alias("reason"))
 
     ok = decisions.filter("accepted").select("request_id")
     acc_items = items.join(ok, "request_id", "left_semi")
@@ -136,5 +149,5 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
         .withColumn("stock_quantity", (F.col("stock_quantity") + F.coalesce(F.col("_d"), F.lit(0))).cast("int")) \
         .withColumn("updated_at", F.when(F.col("_d").isNotNull(), now).otherwise(F.col("updated_at"))) \
         .select(*products.columns)
-    return Placement(decisions, new_orders, new_items, new_products, audit, rounds)
+    return Placement(decisions, new_orders, new_items, new_products, audit, rounds, kept_rows)
 

@@ -9,8 +9,6 @@ never overwritten, so nothing that is being read is ever replaced.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,35 +17,34 @@ from pyspark.sql import types as T
 from . import schemas as S
 
 
-def committed_values(spark: SparkSession, folder: str, key: str) -> list[int]:
-    """The values N of the ``<key>=N`` sub-folders of a Parquet folder that
-    hold committed files (the files Spark lists; a failed write leaves only
-    its ``_temporary`` folder, which readers ignore), ascending."""
+def versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    """Committed versions of a table, oldest first: one small row each in its list of commits."""
     try:
-        files = spark.read.parquet(folder).inputFiles()
-    except AnalysisException:          # no folder yet, or nothing committed
+        rows = spark.read.schema("version long").parquet(f"{root}/{table}.commits").collect()
+    except AnalysisException:          # no commit yet
         return []
-    found = {int(m.group(1)) for f in files if (m := re.search(rf"/{key}=(\d+)/", f))}
-    return sorted(found)
+    return sorted(r.version for r in rows)
 
 
-def versions(spark: SparkSession, root: str, table: str) -> list[int]:
-    """Committed versions of a table, oldest first."""
-    return committed_values(spark, f"{root}/{table}", "v")
+def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
+    try:
+        return spark.read.schema("version long").parquet(f"{root}/{table}.commits").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
 
 
 def load_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:   # S1
     """A table snapshot with its declared schema (no inference)."""
     if version is None:
-        vs = versions(spark, root, table)
-        if not vs:
+        version = latest_version(spark, root, table)
+        if version is None:
             raise FileNotFoundError(f"no committed version of {table} under {root}")
-        version = vs[-1]
     return spark.read.schema(S.TABLES[table]).parquet(f"{root}/{table}/v={version:08d}")
 
 
 def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {t: load_table(spark, root, t) for t in S.TABLES if versions(spark, root, t)}
+    found = {t: latest_version(spark, root, t) for t in S.TABLES}
+    return {t: load_table(spark, root, t, v) for t, v in found.items() if v is not None}
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
@@ -63,16 +60,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
 
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> int:   # S3
     """Commit ``df`` as the next version of ``table``; returns the version.
-    Columns are put in the declared order and types first."""
+    Columns are put in the declared order and types first.  What a failed write left
+    under that version is overwritten; it was never committed."""
     spark = df.sparkSession
-    vs = versions(spark, root, table)
-    v = (vs[-1] + 1) if vs else 1
+    v = (latest_version(spark, root, table) or 0) + 1
     schema = S.TABLES[table]
     out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    w = out.write.mode("errorifexists")
+    w = out.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{root}/{table}/v={v:08d}")
+    spark.range(v, v + 1, 1, 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{root}/{table}.commits")
     return v
 
 

@@ -149,7 +149,7 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
     start = None
     if initial is not None:
         start = initial.select("product_id", "stock_quantity").join(touched, "product_id", "left_semi")
-    if _latest_version(spark, state_dir, batch_id) is not None:
+    if batch_id > 0:                   # every batch before wrote its state
         logged = (spark.read.parquet(state_dir).filter(F.col("batch") < batch_id)
                   .join(touched, "product_id", "left_semi")
                   .groupBy("product_id").agg(F.max_by("stock_quantity", "batch").alias("stock_quantity")))
@@ -169,13 +169,6 @@ def stock_alert_batch(spark: SparkSession, movements: DataFrame, thresholds: Dat
     new.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
 
 
-def _latest_version(spark: SparkSession, folder: str, before: int) -> int | None:
-    """The newest committed batch below ``before`` under ``folder``."""
-    from ..sources.tables import committed_values
-    ids = [b for b in committed_values(spark, folder, "batch") if b < before]
-    return max(ids) if ids else None
-
-
 def stock_alerts(movements: DataFrame, thresholds: DataFrame, state_dir: str, out_dir: str,
                  checkpoint: str, initial: DataFrame | None = None, available_now: bool = True):
     """Start T3 on a stream of movements (product_id, changed_by, delta,
@@ -214,7 +207,7 @@ def status_stream(requests: DataFrame, orders: DataFrame, state_dir: str, out_di
     def _status_batch(batch: DataFrame, batch_id: int) -> None:
         ids = batch.select("order_id").distinct()
         cur = orders.join(ids.withColumnRenamed("order_id", "id"), "id", "left_semi")
-        if _latest_version(spark, state_dir, batch_id) is not None:
+        if batch_id > 0:
             log = spark.read.parquet(state_dir).filter(F.col("batch") < batch_id) \
                 .join(ids, "order_id", "left_semi")
             last = log.groupBy("order_id").agg(F.max_by("status", "batch").alias("_s"))

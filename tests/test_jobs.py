@@ -78,6 +78,13 @@ def test_place_orders_equals_sequential_replay(spark, seed):
     assert set(placed) == {k for k, v in exp.items() if v is None}
 
 
+def test_placement_rounds_work_on_fewer_rows(spark):
+    rng = random.Random(3)
+    orders = [(i, [(p, rng.randint(1, 4)) for p in rng.sample(range(1, 9), rng.randint(1, 3))]) for i in range(1, 120)]
+    pl = allocate.place_orders(_products(spark, {p: 40 for p in range(1, 9)}), _requests(spark, orders))
+    assert pl.rows[-1] == 0 and pl.rows == sorted(pl.rows, reverse=True) and len(pl.rows) == pl.rounds > 1
+
+
 def test_two_orders_for_the_last_unit(spark):
     pl = allocate.place_orders(_products(spark, {1: 1, 2: 5}),
                                _requests(spark, [(1, [(1, 1)]), (2, [(1, 1), (2, 1)]), (3, [(2, 5)])]))
