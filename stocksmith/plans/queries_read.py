@@ -3,13 +3,19 @@ aggregates, windows, paging and reports."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import predicates as P
 from ..operators import paging
 from ..operators import relations as R
+from ..session import shared_path
 from ..sources import fixtures as FX
+from ..sources import schemas as S
+from ..sources import tables as TB
 from ..sources.schemas import REASON_ORDER_CANCELLED
 from . import reports
 from .catalog import CENTS, FROM_CENTS, HALF_UP, LINE_TOTAL, register
@@ -24,6 +30,25 @@ def s1_users(t):
     return t.users.select("id", "name", "email", "role")
 
 
+@register("S1_load_tables", """
+select 'users' as table_name, count(*) as rows, cast(sum(id) as bigint) as keys from f_users
+union all select 'categories', count(*), cast(sum(id) as bigint) from f_categories
+union all select 'products', count(*), cast(sum(id) as bigint) from f_products
+union all select 'orders', count(*), cast(sum(id) as bigint) from f_orders
+union all select 'order_items', count(*), cast(sum(order_id * 8 + line_no) as bigint) from f_order_items
+union all select 'stock_audit_log', count(*), cast(sum(quantity_after) as bigint) from f_audit_log""")
+def s1_load(t):
+    """All six tables written as committed versions and loaded with their declared schemas."""
+    root = shared_path(t.spark, "tables")
+    for name, df in t.domain().items():
+        columns = {c: df[c] for c in df.columns}
+        TB.write_snapshot(df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TABLES[name].fields]), root, name)
+    key = {"order_items": F.col("order_id") * 8 + F.col("line_no"), "stock_audit_log": F.col("quantity_after")}
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.sum(key.get(n, F.col("id"))).cast("bigint").alias("keys"))
+             .select(F.lit(n).alias("table_name"), "rows", "keys") for n, df in TB.load_tables(t.spark, root).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("S1_categories", "select id, name from f_categories")
 def s1_categories(t):
     return t.categories.select("id", "name")
@@ -62,7 +87,7 @@ LEDGER_SQL = ("select product_id, changed_by, quantity_before, quantity_after, r
 
 @register("W3_stock_ledger_skew_path", LEDGER_SQL)
 def w3_skew(t):
-    """W3 with every product of more than 10 movements split into minute chunks."""
+    """W3 with every product of more than 10 movements split by time and id."""
     return R.stock_ledger(t.movements, start=None, hot_threshold=10)
 
 
@@ -215,6 +240,27 @@ def f7_order_filter(t):
     return t.orders.filter(P.order_filter(status="shipped")).select("id", "user_id", "status")
 
 
+@register("F7_user_orders", """
+select o.id, o.status, o.created_at, u.name as customer_name
+from f_orders o join f_users u on o.user_id = u.id
+where o.status = 'delivered' and o.user_id = (select min(user_id) from f_orders where status = 'delivered')
+order by o.created_at desc nulls first, o.id limit 10""")
+def f7_user_orders(t):
+    """The first page of one user's delivered orders, newest first."""
+    first = t.orders.filter(F.col("status") == "delivered").select(F.min("user_id")).scalar()
+    mine = t.orders.filter(P.order_filter(status="delivered") & (F.col("user_id") == first))
+    o = R.orders_with_customer(mine, t.users)
+    return paging.page(o, P.sort_columns("created_at", False), 1, 10).select("id", "status", "created_at", "customer_name")
+
+
+@register("F7_user_orders_total", """
+select count(*) as total, 1 as page, 10 as "limit", cast(ceil(count(*) / 10.0) as bigint) as total_pages
+from f_orders where status = 'shipped' and user_id = 10""")
+def f7_user_orders_total(t):
+    """Status and user together: the page summary of one user's shipped orders."""
+    return paging.page_summary(R.count_matching(t.orders, P.order_filter(status="shipped", user_id=10)), 1, 10)
+
+
 @register("F8_audit_filter", """
 select product_id, changed_at, ref_id, line_no, quantity_before, quantity_after from f_audit_log where product_id = 7""")
 def f8_audit_filter(t):
@@ -233,6 +279,35 @@ def f9_lookup(t):
     return R.lookup(t.products, keys, key="id", on="product_id", live_only=True).select("id", "name", "sku")
 
 
+@register("F9_lookup_users_by_email", """
+select id, name, role from f_users where email in (select 'user' || cast(s_suppkey * 3 as varchar) || '@example.com' from supplier)""")
+def f9_users(t):
+    """Users looked up by a set of emails."""
+    keys = t.raw("supplier").select(F.concat(F.lit("user"), (F.col("s_suppkey") * 3).cast("string"), F.lit("@example.com")).alias("email"))
+    return R.lookup(t.users, keys, key="email").select("id", "name", "role")
+
+
+@register("F9_lookup_categories_by_name", """
+select id, name from f_categories where name in (select p_brand from part where p_size < 3)""")
+def f9_categories(t):
+    """Categories looked up by a set of names."""
+    return R.lookup(t.categories, t.raw("part").filter("p_size < 3").select(F.col("p_brand").alias("name")), key="name").select("id", "name")
+
+
+@register("F9_lookup_orders", """
+select id, user_id, status from f_orders where id in (select order_id from f_order_items where quantity >= 49)""")
+def f9_orders(t):
+    """Orders looked up by the ids that large items name."""
+    return R.lookup(t.orders, t.items.filter("quantity >= 49"), on="order_id").select("id", "user_id", "status")
+
+
+@register("F9_lookup_users", """
+select id, name, email from f_users where id in (select user_id from f_orders where status = 'pending')""")
+def f9_users_by_id(t):
+    """Users looked up by the ids that pending orders name."""
+    return R.lookup(t.users, t.orders.filter("status = 'pending'"), on="user_id").select("id", "name", "email")
+
+
 @register("F10_visible_to", "select id, user_id, status from f_orders where user_id = 10")
 def f10_visible_to(t):
     """Orders a non-admin viewer (user 10) may see; an admin sees all."""
@@ -449,7 +524,7 @@ select product_id, changed_at, ref_id, line_no, reason, quantity_before, expecte
   from ({STALE_AUDIT_SQL}) s) t
 where expected_before is not null and quantity_before <> expected_before""")
 def w4_skew(t):
-    """W4 with every product of more than 10 audit rows split into minute chunks."""
+    """W4 with every product of more than 10 audit rows split by time and id."""
     out = R.audit_continuity(_stale_audit(t), hot_threshold=10)
     return out.select("product_id", "changed_at", "ref_id", "line_no", "reason", "quantity_before", "expected_before")
 

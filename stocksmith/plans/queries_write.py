@@ -458,6 +458,30 @@ def m4_products(t):
     return MU.hard_delete(t.domain(), "products", ids).rejected
 
 
+@register("M4_hard_delete_users_audit", """
+select product_id, ref_id, line_no, reason,
+       case when changed_by in (select c_custkey from customer where c_mktsegment = 'MACHINERY') then null else changed_by end as changed_by
+from f_audit_log""")
+def m4_users_audit(t):
+    """Users of one segment are deleted: the audit rows they made stay, without
+    their id (SET NULL)."""
+    ids = t.raw("customer").filter(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").alias("id"))
+    r = MU.hard_delete(t.domain(), "users", ids)
+    return r.extra["stock_audit_log"].select("product_id", "ref_id", "line_no", "reason", "changed_by")
+
+
+@register("M4_hard_delete_products_audit", """
+select product_id, ref_id, line_no, reason, quantity_after from f_audit_log
+where product_id not in (select id from f_products where deleted_at is not null
+                         and id not in (select product_id from f_order_items where order_id in (select id from f_orders where status <> 'cancelled')))""")
+def m4_products_audit(t):
+    """Archived products that no item of a live order names are deleted, with their audit
+    rows (CASCADE); items of cancelled orders are gone before."""
+    live = t.items.join(t.orders.filter("status <> 'cancelled'").select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    r = MU.hard_delete({**t.domain(), "order_items": live}, "products", t.products.filter("deleted_at is not null").select("id"))
+    return r.extra["stock_audit_log"].select("product_id", "ref_id", "line_no", "reason", "quantity_after")
+
+
 # ---------------------------------------------------------------- M5 restock
 
 RESTOCK_OK_SQL = f"""
@@ -531,6 +555,48 @@ def m7_orders(t):
     return _advanced(t).table.select("id", "status")
 
 
+# four requests for each order, one for each line item's place in it: a replay in seq order
+MANY_STATUS_SQL = """
+select order_id, line_no as seq, case (order_id + line_no) % 6 when 0 then 'confirmed' when 1 then 'packed' when 2 then 'shipped'
+       when 3 then 'delivered' when 4 then 'cancelled' else 'pending' end as status, 0 as actor_id, 'admin' as actor_role
+from f_order_items"""
+
+MANY_STATUS_REPLAY_SQL = f"""
+with recursive req as ({MANY_STATUS_SQL}),
+walk(order_id, seq, status, accepted) as (
+  select id, 0, status, false from f_orders
+  union all
+  select w.order_id, r.seq,
+         case when ok then r.status else w.status end, ok
+  from walk w join (select *, true as t from req) r on r.order_id = w.order_id and r.seq = w.seq + 1,
+       lateral (select w.status || '>' || r.status in ('pending>confirmed', 'confirmed>packed', 'packed>shipped', 'shipped>delivered',
+                                                       'pending>cancelled', 'confirmed>cancelled') as ok) o)
+"""
+
+
+def _many_status(t):
+    k = (F.col("order_id") + F.col("line_no")) % 6
+    status = F.when(k == 0, "confirmed").when(k == 1, "packed").when(k == 2, "shipped").when(k == 3, "delivered") \
+        .when(k == 4, "cancelled").otherwise("pending")
+    req = t.items.select("order_id", F.col("line_no").alias("seq"), status.alias("status"), F.lit(0).cast("bigint").alias("actor_id"),
+                         F.lit("admin").alias("actor_role"))
+    return MU.advance_status(t.orders, req, as_of=AS_OF)
+
+
+@register("M7_many_requests", MANY_STATUS_REPLAY_SQL + """
+select order_id, seq, accepted from walk where seq > 0""")
+def m7_many(t):
+    """Several status requests for each order: which are accepted, one after the other."""
+    return _many_status(t).extra["requests"].select("order_id", "seq", "accepted")
+
+
+@register("M7_many_requests_orders", MANY_STATUS_REPLAY_SQL + """
+select order_id as id, arg_max(status, seq) as status from walk group by order_id""")
+def m7_many_orders(t):
+    """The statuses after them."""
+    return _many_status(t).table.select("id", "status")
+
+
 CANCELLED_NOW_SQL = f"select order_id, actor_id from ({STATUS_OUTCOME_SQL}) y where reason is null and status = 'cancelled'"
 
 
@@ -648,8 +714,7 @@ def _hot_requests(t):
           m6_ctes(HOT_ORDER_REQUESTS_SQL) + "\nselect request_id, accepted, reason from decisions")
 def m6_hot(t):
     """Placement when one product is asked for by a third of all orders: the
-    sampled detector (threshold 1,000 rows) splits it into minute chunks in
-    every round."""
+    sampled detector (threshold 1,000 rows) splits it by time and id in every round."""
     from ..operators.allocate import place_orders
     return place_orders(t.products, _hot_requests(t), as_of=AS_OF, hot_threshold=1000).decisions
 

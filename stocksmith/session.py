@@ -30,19 +30,25 @@ BASE_CONF = {
 }
 
 
+#: Beyond it the map statuses of a shuffle no longer fit a driver; partitions then grow instead.
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
                target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Shuffle and scan sizing for a cluster run over ``input_bytes``.
 
-    Scans split files into ``target_partition_bytes`` pieces.  Shuffles
-    start from enough partitions that each holds about that much of the
-    input (never fewer than 3 waves of the cluster's cores), and AQE
-    coalesces them to the same advisory size once sizes are known, so
-    no task sorts or spills more than it can hold in memory.  Skewed join
+    ``input_bytes`` is what a job reads after column pruning and partition
+    filters, not the size of the tables.  Scans split files into
+    ``target_partition_bytes`` pieces.  Shuffles start from enough partitions
+    that each holds about that much of the input (never fewer than 3 waves of
+    the cluster's cores, never more than ``MAX_SHUFFLE_PARTITIONS``: the driver
+    keeps a status of each map task for every one of them), and AQE coalesces them
+    to the same advisory size once sizes are known.  Skewed join
     partitions above 4x the median are split by AQE; windows and
     aggregates handle their own hot keys (``operators/running.py``)."""
     cores = max(1, executors * cores_per_executor)
-    parts = max(3 * cores, input_bytes // target_partition_bytes)
+    parts = min(max(3 * cores, input_bytes // target_partition_bytes), MAX_SHUFFLE_PARTITIONS)
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
