@@ -473,12 +473,12 @@ def m4_users_audit(t):
 @register("M4_hard_delete_products_audit", """
 select product_id, ref_id, line_no, reason, quantity_after from f_audit_log
 where product_id not in (select id from f_products where deleted_at is not null
-                         and id not in (select product_id from f_order_items where order_id in (select id from f_orders where status <> 'cancelled')))""")
+                         and id not in (select product_id from f_order_items where order_id in (select id from f_orders where status = 'cancelled')))""")
 def m4_products_audit(t):
-    """Archived products that no item of a live order names are deleted, with their audit
-    rows (CASCADE); items of cancelled orders are gone before."""
-    live = t.items.join(t.orders.filter("status <> 'cancelled'").select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    r = MU.hard_delete({**t.domain(), "order_items": live}, "products", t.products.filter("deleted_at is not null").select("id"))
+    """With the items of cancelled orders alone in the item table, archived products
+    that none of them names are deleted, with their audit rows (CASCADE)."""
+    left = t.items.join(t.orders.filter("status = 'cancelled'").select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    r = MU.hard_delete({**t.domain(), "order_items": left}, "products", t.products.filter("deleted_at is not null").select("id"))
     return r.extra["stock_audit_log"].select("product_id", "ref_id", "line_no", "reason", "quantity_after")
 
 
