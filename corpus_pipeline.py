@@ -47,7 +47,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of 2048 ids."""
-    pieces = harmonic_pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers still hold what the stages before it took: a smaller memory of words
+    pieces = harmonic_pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=250_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

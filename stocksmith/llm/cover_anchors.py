@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, Prefix, chunked, is_in, key_packets, mixed, reply_keys, shared_keys
+from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, Prefix, chunked, is_in, key_packets, mixed, released, reply_keys, shared_keys
 
 LENGTH, PERIOD = 50, 31
 
@@ -213,8 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     if not 0 < period < length or length - period < 12:
         raise ValueError("an anchor needs more than 12 words")
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)
-    packets = chunks.groupBy("chunk").applyInArrow(lambda t: _send_anchors(t, length, period, n), KEY_PACKETS)
+    packets = chunks.groupBy("chunk").applyInArrow(released(lambda t: _send_anchors(t, length, period, n)), KEY_PACKETS)
     shared = packets.groupBy("bucket").applyInArrow(shared_keys, KEY_REPLY)
-    windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, r: _send_windows(t, r, length, period, n), WINDOW_PACKETS)
-    earlier = windows.groupBy("bucket").applyInArrow(_earlier, WINDOW_REPLY)
-    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, r: _remove(t, r, length), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(released(lambda t, r: _send_windows(t, r, length, period, n)), WINDOW_PACKETS)
+    earlier = windows.groupBy("bucket").applyInArrow(released(_earlier), WINDOW_REPLY)
+    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _remove(t, r, length)), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -25,7 +25,7 @@ from .common import distinct, ragged_take, text_rows, text_slices
 
 #: A slot may stay empty by one part in so many before the piece is cut.
 SLACK = 64
-#: A worker forgets its known words beyond this many.
+#: A worker forgets its known words beyond this many (about 200 bytes each).
 KNOWN_LIMIT = 1_000_000
 
 # A text is cut at blanks, and between a run of Latin letters and a run of ASCII punctuation
@@ -50,10 +50,10 @@ def units(text: str) -> list[str]:
 class WordIds:
     """Ids of a tokenizers file that drops blanks, each distinct word encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = KNOWN_LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder, self.limit = Tokenizer.from_file(path), limit
         self._forget()
 
     def _forget(self) -> None:
@@ -70,7 +70,7 @@ class WordIds:
             ends[i] = len(words)
         if not words:
             return np.zeros(0, np.uint32), ends * 0
-        if len(self.place) > KNOWN_LIMIT:
+        if len(self.place) > self.limit:
             self._forget()
         place = self.place
         codes, unique = distinct(words, any("\0" in t for t in texts if t))
@@ -89,9 +89,10 @@ class WordIds:
 _LOADED: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int) -> WordIds:
     if path not in _LOADED:
         _LOADED[path] = WordIds(path)
+    _LOADED[path].limit = limit
     return _LOADED[path]
 
 
@@ -165,7 +166,7 @@ NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offse
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", known_words: int = KNOWN_LIMIT) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``capacity`` ids.
 
     A document's ids are those of the tokenizers file ``vocabulary`` (a path on
@@ -179,10 +180,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     pieces; further columns are ignored.  A sequence id holds the task's number,
     and a task packs its rows in the order it reads them, so a task that runs
     again after a lost executor makes the same sequences as long as it reads the
-    same rows in the same order, as a scan of files does."""
+    same rows in the same order, as a scan of files does.  ``known_words`` bounds the
+    words whose ids a worker remembers; fewer take less memory and more time."""
 
     def run(batches):
-        ids_of = word_ids(vocabulary)
+        ids_of = word_ids(vocabulary, known_words)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
         for part in text_slices(batches, 1):
             flat, ends = ids_of.encode(part.column(1).to_pylist())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, MIX, Chunk, Prefix, chunked, is_in, key_packets, mixed, reply_keys, shared_keys, smallest
+from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, MIX, Chunk, Prefix, chunked, is_in, key_packets, mixed, released, reply_keys, shared_keys, smallest
 
 LENGTH, GRAM = 50, 27
 #: A string whose symbols recur less often than this is ranked by doubling instead of by buckets.
@@ -163,10 +163,10 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     out = np.zeros(n, dtype=bool)
     if n < 2:
         return out
-    before = np.full(len(t), -1, dtype=np.int64)
+    before = np.full(len(t), -1, dtype=np.int32)
     before[order[1:]] = order[:-1]
-    place = np.empty(len(t), dtype=np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(len(t), dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     a = np.flatnonzero(before >= 0)
     rank, b = place[a], before[a]
     padded = np.r_[t, np.zeros(8, np.uint8)]
@@ -279,14 +279,15 @@ def _earlier(packets: pa.Table, length: int) -> pa.Table:
     # suffixes that have a whole window in their run
     inside = np.ones(len(t), dtype=bool)
     inside[ragged_take(np.arange(len(t)), own + width, np.full(len(one), length - 1), np.arange(len(one)))] = False
+    del text
     sa = suffix_array(t, 256)
     sa = sa[inside[sa]]
     same = common_prefixes(t, sa, length)
     group = np.cumsum(~same) - 1
-    of_place = np.zeros(len(t), dtype=np.int64)
-    of_place[inside] = np.repeat(least, width)
-    at_place = np.empty(len(t), dtype=np.int64)
-    at_place[sa] = np.minimum.reduceat(of_place[sa], np.flatnonzero(~same))[group]
+    at_place = np.zeros(len(t), dtype=np.int64)
+    at_place[inside] = np.repeat(least, width)
+    at_place[sa] = np.minimum.reduceat(at_place[sa], np.flatnonzero(~same))[group]
+    del sa, group, inside
     # back to each chunk's own run
     places = ragged_take(at_place, own[which], width[which], np.arange(len(which)))
     count = width[which]
@@ -354,10 +355,11 @@ def _replies(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame:
     """For each chunk: the runs of its places, whole or in part, that a smaller document elsewhere has."""
     if not 8 <= gram < length:
         raise ValueError("a gram has 8 bytes at least and is shorter than the strings")
-    packets = chunks.groupBy("chunk").applyInArrow(lambda t: _send_keys(t, length, gram, n), KEY_PACKETS)
+    n *= 2  # buckets: a run takes more memory in its bucket than its bytes in their chunk
+    packets = chunks.groupBy("chunk").applyInArrow(released(lambda t: _send_keys(t, length, gram, n)), KEY_PACKETS)
     shared = packets.groupBy("bucket").applyInArrow(shared_keys, KEY_REPLY)
-    runs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, r: _send_runs(t, r, length, gram, n), RUN_PACKETS)
-    return runs.groupBy("bucket").applyInArrow(lambda t: _earlier(t, length), RUN_REPLY)
+    runs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(released(lambda t, r: _send_runs(t, r, length, gram, n)), RUN_PACKETS)
+    return runs.groupBy("bucket").applyInArrow(released(lambda t: _earlier(t, length)), RUN_REPLY)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     One document must fit in a task's memory."""
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)
     earlier = _replies(chunks, n, length, gram)
-    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, r: _remove(t, r, length, gram), RESULT)
+    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _remove(t, r, length, gram)), RESULT)
 
 
 def _cut(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Table:
@@ -394,5 +396,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_b
     chunks, n = chunked(docs, doc_id, text, chunk_bytes, carry=True)
     earlier = _replies(chunks, n, length, gram)
     schema = f"row {chunks.schema['row'].dataType.simpleString()}, left string"
-    out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(lambda t, r: _cut(t, r, length, gram), schema)
+    out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _cut(t, r, length, gram)), schema)
     return out.select(*(F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

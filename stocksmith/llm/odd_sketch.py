@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, text_rows, text_slices, written
 from .components import components
 from .cover_anchors import Words
-from .shards import mixed
+from .shards import mixed, released
 
 BANDS, ROWS, BITS = 40, 6, 1024
 #: Bytes of text handled at a time; a task holds about 60 times as much.
@@ -264,7 +264,7 @@ def _components(rows: DataFrame, percent: int, words: int, block: int) -> DataFr
     own = F.pmod(F.xxhash64("node"), blocks)
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "linked")
-    more = rest.join(texts, "node").groupBy("key", "lo", "hi").applyInArrow(lambda t: _block_links(t, percent, words), "a binary, b binary")
+    more = rest.join(texts, "node").groupBy("key", "lo", "hi").applyInArrow(released(lambda t: _block_links(t, percent, words)), "a binary, b binary")
 
     label = components(links.union(more))
     named = checkpointed(spark, classes.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")))

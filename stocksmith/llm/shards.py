@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import release, text_rows
 
 #: Text in a chunk. A task holds about 60 times as much; more memory allows larger chunks and so fewer packets.
 CHUNK_BYTES = 3 << 20
@@ -45,6 +45,21 @@ def chunked(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int, carry: bo
     return rows.select(chunk.alias("chunk"), "doc_id", "text", *rows.columns[2:]).mapInArrow(pack, schema), n
 
 
+def released(f):
+    """``f`` for a group or a pair of groups, after which the worker gives back its memory."""
+    def one(rows: pa.Table) -> pa.Table:
+        out = f(rows)
+        release()
+        return out
+
+    def two(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        out = f(rows, replies)
+        release()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 class Chunk:
     """The documents of a chunk in one byte array; the same order in every task that loads them."""
 
@@ -63,17 +78,19 @@ class Chunk:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
 
 
+KEEP_POWERS = 1_000_000
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; a worker keeps the longest it has made."""
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps some of them."""
     known = _POWERS.get(int(base))
     if known is None or len(known) < n:
-        known = np.full(n + n // 4, base, dtype=np.uint64)
+        known = np.full(n, base, dtype=np.uint64)
         known[:1] = 1
         np.cumprod(known, dtype=np.uint64, out=known)
-        _POWERS[int(base)] = known
+        if n <= KEEP_POWERS:
+            _POWERS[int(base)] = known
     return known[:n]
 
 
