@@ -41,10 +41,11 @@ def classify(t: np.ndarray) -> np.ndarray:
 def _rank_lms(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
     """Ranks of the LMS substrings (equal ones share a rank), and how many ranks there are."""
     n = len(t)
-    bits = max(2, int(2 * symbols + 1).bit_length())
+    used = np.bincount(t, minlength=symbols) > 0
+    bits = max(2, int(2 * used.sum() + 1).bit_length())
     per = 62 // bits
     size = np.r_[lms[1:], n - 1] - lms + 1
-    code = np.r_[t.astype(np.int64) * 2 + s + 1, np.zeros(per, np.int64)]
+    code = np.r_[(np.cumsum(used) - 1)[t] * 2 + s + 1, np.zeros(per, np.int64)]
 
     def packed(at: np.ndarray, left: np.ndarray) -> np.ndarray:
         key = np.zeros(len(at), dtype=np.int64)
@@ -55,11 +56,21 @@ def _rank_lms(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> tu
     _, rank = np.unique(packed(lms, size), return_inverse=True)
     done = per
     while len(more := np.flatnonzero(size > done)):
-        # longer ones: by rank so far, then by their next symbols; ranks leave room for the refinement
+        # ranks that longer ones have: each is split by their next symbols
         _, nxt = np.unique(packed(lms[more] + done, size[more] - done), return_inverse=True)
-        wide = rank * (len(more) + 1)
-        wide[more] += 1 + nxt
-        _, rank = np.unique(wide, return_inverse=True)
+        split = np.zeros(int(rank.max()) + 1, dtype=bool)
+        split[rank[more]] = True
+        part = np.flatnonzero(split[rank])
+        further = np.zeros(len(rank), dtype=np.int64)
+        further[more] = nxt + 1
+        keys, inner = np.unique(rank[part] * (len(more) + 1) + further[part], return_inverse=True)
+        of = keys // (len(more) + 1)
+        width = np.ones(len(split), dtype=np.int64)
+        width[split] = np.bincount(of, minlength=len(split))[split]
+        start = np.cumsum(width) - width
+        begin = np.searchsorted(of, rank[part])
+        rank = start[rank]
+        rank[part] += inner - begin
         done += per
     return rank, int(rank.max()) + 1
 
