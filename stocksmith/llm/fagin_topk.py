@@ -25,8 +25,9 @@ class SortedLists:
 
     def __init__(self, rows: np.ndarray, exact: type):
         self.rows = np.ascontiguousarray(rows, dtype=exact)
-        self.up = np.argsort(rows, axis=0, kind="stable").astype(np.int32)  # smallest first
-        self.best_up = np.take_along_axis(rows, self.up, axis=0)
+        by_dim = np.ascontiguousarray(rows.T)
+        self.up = np.argsort(by_dim, axis=1, kind="stable").astype(np.int32)  # per dimension, smallest first
+        self.best_up = np.take_along_axis(by_dim, self.up, axis=1)
 
     def depths(self) -> list[int]:
         n, at, out = len(self.rows), 8, []
@@ -38,8 +39,8 @@ class SortedLists:
     def bounds(self, queries: np.ndarray, depths: list[int]) -> np.ndarray:
         """For each query and depth: the most that a row not seen so far can score."""
         n = len(self.rows)
-        low = self.best_up[[min(t, n - 1) for t in depths]].T
-        high = self.best_up[[max(n - 1 - t, 0) for t in depths]].T
+        low = self.best_up[:, [min(t, n - 1) for t in depths]]
+        high = self.best_up[:, [max(n - 1 - t, 0) for t in depths]]
         return np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
 
     def search(self, query: np.ndarray, k: int, depths: list[int], bounds: np.ndarray, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,18 +53,20 @@ class SortedLists:
         rows, scores = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype)
         at = 0
         for depth, bound in zip(depths, bounds, strict=True):
-            seen[self.up[n - depth:n - at, plus]] = True
-            seen[self.up[at:depth, minus]] = True
+            seen[self.up[plus, n - depth:n - at]] = True
+            seen[self.up[minus, at:depth]] = True
             if depth == n:
                 seen[:] = True  # the lists end; a query of zeros has none to walk
             at = depth
             new = np.flatnonzero(seen & ~scored)
             scored |= seen
-            rows, scores = np.r_[rows, new], np.r_[scores, self.rows[new] @ q]
+            # many new rows: one pass over the block is cheaper than fetching each
+            own = (self.rows @ q)[new] if 4 * len(new) > n else self.rows[new] @ q
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, own])
             if len(rows) > k:
                 order = np.lexsort((ids[rows], -scores))[:k] if len(rows) < 4 * k else _best(scores, ids[rows], k)
                 rows, scores = rows[order], scores[order]
-            if len(rows) == k and bound < scores.min():
+            if len(rows) == k and bound < scores.min() or scored.all():  # or no row is left to be seen
                 break
         return rows, scores
 
