@@ -3,16 +3,18 @@
 Fixed patterns find assigned secrets, access keys and long hex strings.  Beyond
 them, each string that starts shortly after a sensitive word is a candidate:
 it is compressed with a zstandard dictionary of common code identifiers and the
-code around it, and the bytes it adds to an empty frame are set against the
-bytes that its alphabet needs at random.  Strings that the dictionary cannot
-shorten are reported as ``novel``; identifiers, paths and text that occur
-nearby compress away.
+code around it, and the bytes it adds to an empty frame are set against those
+that a random string of its length and alphabet adds.  Strings that the dictionary
+cannot shorten are reported as ``novel``; identifiers, paths and text that occur
+nearby compress away.  The body of a key block is one candidate over all its lines.
 """
 
 from __future__ import annotations
 
-import math
+import random
 import re
+import string
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -30,6 +32,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops the shorte
 
 SENSITIVE = re.compile(r"(?<![A-Za-z])(?i:password|passwd|passphrase|pwd|secret|token|api_?key|apikey|auth|authorization|bearer|credentials?|private|signature|access|key)(?![a-z])", re.ASCII)
 STARTS, RUN, SHORTEST = re.compile(r"[A-Za-z0-9+/_=.-]"), re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
+#: A word that alone ends its line, a heading, says nothing of the next line.
+HEADING = re.compile(r"\r?\n")
+
+#: Key blocks: the first line, and lines of base64 one below the other (\\n: a line end in quoted text).
+BLOCK = re.compile(r"-----BEGIN ([^\n-]*)-----")
+BODY = re.compile(r"""(?:(?<=\\)[nr])?([A-Za-z0-9+/=]{16,}+(?:["',;+\x20\t]*+(?:(?:\\r)?\\n|\s)["'>\s]*+[A-Za-z0-9+/=]++(?=["',;\x20\t]*+(?:[\r\n\\-]|\Z)))*+)""")
+LINE_ENDS = re.compile(r"(?:\\[nr]|[^A-Za-z0-9+/=])+")
 
 #: Words that code is full of; they prime every dictionary.
 IDENTIFIERS = (
@@ -47,10 +56,11 @@ IDENTIFIERS = (
     "0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz"
 )
 
-#: A candidate starts at most REACH code points after a sensitive word, on its line; AROUND code points on each side prime it.
+#: A candidate starts at most REACH code points after a sensitive word; AROUND code points on each side prime it.
 REACH, AROUND, LEVEL = 48, 512, 9
-#: Random strings of 64 letters have 8 / 6 = 1.33, as zstandard stores them byte by byte; strings of known words about 1 or less.
+#: Random strings have 8 / 6 = 1.33 (16 letters: 2) at any length; strings of known words about 1 or less.
 LEAST = 1.15
+CLASSES = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/")
 
 
 def marginal_bytes(candidate: str, around: str) -> int:
@@ -60,10 +70,47 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+@lru_cache(maxsize=4096)
+def random_bytes(length: int, letters: str) -> int:
+    """Marginal bytes of a random string; long ones have fewer than ``length``, as zstandard codes their letters."""
+    return marginal_bytes("".join(random.Random(length).choices(letters, k=length)), "")
+
+
 def novelty(candidate: str, around: str) -> float:
-    """Marginal bytes over the bytes of a random string of that alphabet; LEAST or more: incompressible."""
-    alphabet = 16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate) else 64
-    return marginal_bytes(candidate, around) / (len(candidate) * math.log2(alphabet) / 8)
+    """Marginal bytes over those of a random string of that length and alphabet, times 8 / 6 (16 letters: 8 / 4); LEAST or more: incompressible."""
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate):
+        letters, bits = string.hexdigits[:16], 4
+    else:
+        have = set(candidate)
+        letters, bits = "".join(c for c in CLASSES if not have.isdisjoint(c)) or "+/", 6
+        if not have <= set(letters):
+            letters += "".join(sorted(have - set(letters)))
+    return marginal_bytes(candidate, around) / random_bytes(len(candidate), letters) * 8 / bits
+
+
+def _around(text: str, a: int, b: int) -> str:
+    """The code on both sides of a candidate, without copies of it: a secret that is written twice stays new."""
+    far = AROUND + b - a
+    return text[max(0, a - far):a].replace(text[a:b], "")[-AROUND:] + "\n" + text[b:b + far].replace(text[a:b], "")[:AROUND]
+
+
+def _blocks(text: str, least: float) -> list[tuple[int, int]]:
+    """(start, end) of the incompressible bodies of key blocks; without an END line, of the lines right below."""
+    out = []
+    for m in BLOCK.finditer(text):
+        if not SENSITIVE.search(m[1]):
+            continue
+        following = text.find("-----BEGIN ", m.end())
+        stop = text.find("-----END ", m.end(), following if following >= 0 else len(text))
+        for body in BODY.finditer(text, m.end(), stop if stop >= 0 else following if following >= 0 else len(text)):
+            if stop < 0 and not re.fullmatch(r"""(?:[\s"',;+>]|\\[nr]?)*""", text[m.end():body.start()]):
+                break
+            a, b = body.span(1)
+            if novelty(LINE_ENDS.sub("", body[1]), _around(text, a, b)) >= least:
+                out.append((a, b))
+            if stop < 0:
+                break
+    return out
 
 
 def spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
@@ -73,20 +120,22 @@ def spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     novel, to = set(), 0
+    if "-----BEGIN " in text:
+        blocks = [(a, b) for a, b in _blocks(text, least) if not any(c <= a and b <= d for c, _, d in found)]
+        novel.update((a, 3, b) for a, b in blocks)
+    else:
+        blocks = []
     for s in SENSITIVE.finditer(text):
-        line = text.find("\n", s.end(), s.end() + REACH)
-        stop = line if line >= 0 else s.end() + REACH
+        if HEADING.match(text, s.end()):
+            continue
         at = max(s.end(), to)
-        while near := STARTS.search(text, at, stop):
+        while near := STARTS.search(text, at, s.end() + REACH):
             at = to = (c := RUN.match(text, near.start())).end()
             if at - c.start() < SHORTEST:
                 continue
-            if not (re.search("[0-9]", c[0]) and re.search("[A-Za-z]", c[0])):
-                continue
-            if any(a <= c.start() and c.end() <= b for a, _, b in found):
+            if any(a <= c.start() and c.end() <= b for a, _, b in found) or any(a < c.end() and c.start() < b for a, b in blocks):
                 continue
-            around = text[max(0, c.start() - AROUND):c.start()] + "\n" + text[c.end():c.end() + AROUND]
-            if novelty(c[0], around.replace(c[0], "")) >= least:  # a secret that is written twice stays new
+            if novelty(c[0], _around(text, *c.span())) >= least:
                 novel.add((c.start(), 3, c.end()))
     return sorted({*found, *novel})
 
@@ -95,7 +144,8 @@ def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: st
     """doc_id and spans (kind, start, end in code points, end exclusive) of each row of ``docs``.
 
     ``least`` is the novelty from which a string in a sensitive context is
-    reported; strings inside a pattern's span are not reported again.  Spans are
+    reported; a context goes over line ends, unless the word alone ends its line, and
+    the body of a key block is one string.  Strings inside a pattern's span are not reported again.  Spans are
     sorted by start, kind (assign, access, hex, novel) and end.  Null or empty text: no
     spans.  Null ids and repeated rows pass through, one row out for each in; an
     empty table gives an empty result; further columns are ignored."""
