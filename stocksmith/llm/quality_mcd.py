@@ -36,7 +36,8 @@ STARTS, STEPS = 2, 4
 #: Groups with fewer rows are pooled by language, then all together; a pool below it rejects nothing.
 MIN_ROWS = 50
 #: Least spread of each statistic: log mean word length, log symbols, log repeated lines, log repeated words (per cent).
-LEAST_SPREAD = (0.08, 0.5, 1.2, 1.2)
+#: Each alone can reject: in a group where all others have none, over 52 % repeated lines do, and over 41 % repeated words; one line of two does not.
+LEAST_SPREAD = (0.08, 0.5, 0.74, 0.7)
 #: A clean vector is farther out with this probability.
 TAIL = 1e-5
 #: Up to this many groups the estimates are broadcast (about 200 bytes each); beyond it they are joined.

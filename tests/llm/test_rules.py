@@ -43,6 +43,23 @@ def test_quality(spark):
     assert sorted(r.text for r in left.collect()) == sorted(t for (_, _, t), k in zip(rows, want) if k)
 
 
+def test_each_repeat_statistic_rejects(spark):
+    """Repeated lines alone, or repeated words alone, cost a document its place; one repeated line does not."""
+    rng = random.Random(4)
+    words = lambda n: rng.sample(sorted({*prose(rng, 4 * n).split()}), n)
+    clean = ["\n".join(" ".join(words(10)) for _ in range(14)) for _ in range(80)]
+    often = words(40)
+    lines = "\n".join(w for _ in range(3) for w in rng.sample(often, 40))
+    passage, rest = words(27), words(66)
+    again = " ".join([*passage, *rest, *passage])
+    one = clean[0] + "\n" + clean[0].split("\n")[5]
+    assert counts(lines)["n_dup_lines"] == 80 and counts(lines)["n_repeat_words"] < 12
+    assert counts(again)["n_dup_lines"] == 0 and counts(again)["n_repeat_words"] == 54 and counts(one)["n_dup_lines"] == 1
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*clean, lines, again, one])], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_mcd.quality(df).collect()}
+    assert got[80] == (False, False) and got[81] == (False, False) and got[82] == (False, True)
+
+
 def test_quality_is_native(spark):
     plan = quality_mcd.quality(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
