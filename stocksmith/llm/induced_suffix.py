@@ -3,7 +3,8 @@
 Texts are cut into runs of places whose next 50 bytes have the same smallest
 27-byte hash; equal 50-byte strings have the same one.  Runs whose hash more
 than one document has travel, with the bytes they need, to the shard of that
-hash.  A shard joins its different runs into one string and builds its suffix
+hash; runs of a hash that is very frequent go place by place, each to the shard of
+its 50 bytes.  A shard joins its different runs into one string and builds its suffix
 array by induced sorting: suffixes are classified, the leftmost-smaller (LMS)
 substrings ranked, the string of their ranks sorted in turn, and all others
 induced from them in two sweeps.  Common prefixes, computed in text order,
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, MIX, Chunk, Prefix, chunked, is_in, key_packets, mixed, released, reply_keys, shared_keys, smallest
+from .shards import CHUNK_BYTES, COUNTED_PACKETS, COUNTED_REPLY, LOW48, MIX, Chunk, Prefix, chunked, hot_keys, is_in, key_packets, mixed, released, reply_keys, short, smallest
 
 LENGTH, GRAM = 50, 27
+#: A gram hash that all chunks together have in more runs is split: its runs differ at the edges of a passage, and in one bucket would grow with the documents.
+HOT_RUNS = 4096
 #: A string whose symbols recur less often than this is ranked by doubling instead of by buckets.
 RECUR = 256
 
@@ -225,6 +228,17 @@ class Runs:
         self.places = np.diff(np.r_[first, len(key)])
         self.size = self.places + length - 1
 
+    def split(self, hot: np.ndarray, length: int) -> None:
+        """Cuts the runs of hot keys (sorted) into single places."""
+        if not len(hot):
+            return
+        of = np.repeat(np.arange(len(self.key)), np.where(is_in(self.key, hot), self.places, 1))
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][:len(of)])
+        within = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
+        self.start, self.doc, self.key, self.places = self.start[of] + within, self.doc[of], self.key[of], self.places[of]
+        self.places[is_in(self.key, hot)] = 1
+        self.size = self.places + length - 1
+
     def content(self) -> np.ndarray:
         return self.prefix.runs(self.start, self.size)
 
@@ -232,25 +246,26 @@ class Runs:
 def _send_keys(rows: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
     chunk = Chunk(rows)
     runs = Runs(chunk, length, gram)
-    return key_packets(chunk, runs.key, runs.doc, buckets)
+    return key_packets(chunk, runs.key, runs.doc, buckets, counted=True)
 
 
-RUN_PACKETS = "bucket int, chunk int, count int, data binary"
+RUN_PACKETS = "bucket int, chunk int, count int, data binary, hot binary"
 
 
 def _send_runs(rows: pa.Table, replies: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
     """The different runs with a shared key, each with the chunk's smallest document that has it."""
     out: dict[str, list] = {"bucket": [], "count": [], "data": []}
-    number = 0
+    number, hot = 0, reply_keys(replies, "hot")
     if rows.num_rows:
         chunk = Chunk(rows)
         number = chunk.number
         runs = Runs(chunk, length, gram)
+        runs.split(hot, length)
         use = np.flatnonzero(is_in(runs.key, reply_keys(replies)))
         content, ids = runs.content()[use], chunk.ids[runs.doc[use]]
         _, first = np.unique(content, return_index=True)
-        use, ids = use[first], smallest(content, ids)[first]
-        bucket = (mixed(runs.key[use], 9) % np.uint64(buckets)).astype(np.int64)
+        use, ids, content = use[first], smallest(content, ids)[first], content[first]
+        bucket = (mixed(np.where(is_in(runs.key[use], hot), content, runs.key[use]), 9) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((runs.start[use], ids, bucket))
         use, ids, bucket = use[order], ids[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -264,10 +279,11 @@ def _send_runs(rows: pa.Table, replies: pa.Table, length: int, gram: int, bucket
                 out["count"].append(hi - lo)
                 out["data"].append(press.compress(runs.size[part].astype("<u4").tobytes() + ids[lo:hi].astype("<i8").tobytes() + raw))
     n = len(out["bucket"])
-    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([number] * n, pa.int32()), "count": pa.array(out["count"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
+    told = [short(hot)] + [b""] * (n - 1) if n else []  # comes back once with the replies
+    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([number] * n, pa.int32()), "count": pa.array(out["count"], pa.int32()), "data": pa.array(out["data"], pa.binary()), "hot": pa.array(told, pa.binary())})
 
 
-RUN_REPLY = "chunk int, whole binary, part binary, bits binary"
+RUN_REPLY = "chunk int, hot binary, whole binary, part binary, bits binary"
 
 
 def _earlier(packets: pa.Table, length: int) -> pa.Table:
@@ -314,12 +330,13 @@ def _earlier(packets: pa.Table, length: int) -> pa.Table:
         out["whole"].append(content[span][whole[span]].astype("<u8").tobytes())
         out["part"].append(content[some].astype("<u8").tobytes())
         out["bits"].append(np.packbits(ragged_take(flag, begin, count, some)).tobytes())
-    return pa.table({"chunk": packets.column("chunk"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+    return pa.table({"chunk": packets.column("chunk"), "hot": packets.column("hot"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
 def _gone(chunk: Chunk, replies: pa.Table, length: int, gram: int) -> np.ndarray:
     """Which bytes of a chunk are removed."""
     runs = Runs(chunk, length, gram)
+    runs.split(reply_keys(replies, "hot"), length)
     content, ids = runs.content(), chunk.ids[runs.doc]
     order = np.argsort(content)
     c = content[order]
@@ -362,18 +379,18 @@ def _remove(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Tab
     return pa.table({"doc_id": chunk.id_column(), "n_bytes": pa.array(chunk.lens), "n_removed": pa.array(removed), "n_spans": pa.array(total(begins)), "kept": pa.array(kept, pa.binary())})
 
 
-def _replies(chunks: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+def _replies(chunks: DataFrame, n: int, length: int, gram: int, hot_runs: int) -> DataFrame:
     """For each chunk: the runs of its places, whole or in part, that a smaller document elsewhere has."""
     if not 8 <= gram < length:
         raise ValueError("a gram has 8 bytes at least and is shorter than the strings")
     n *= 2  # buckets: a run takes more memory in its bucket than its bytes in their chunk
-    packets = chunks.groupBy("chunk").applyInArrow(released(lambda t: _send_keys(t, length, gram, n)), KEY_PACKETS)
-    shared = packets.groupBy("bucket").applyInArrow(shared_keys, KEY_REPLY)
+    packets = chunks.groupBy("chunk").applyInArrow(released(lambda t: _send_keys(t, length, gram, n)), COUNTED_PACKETS)
+    shared = packets.groupBy("bucket").applyInArrow(lambda t: hot_keys(t, hot_runs), COUNTED_REPLY)
     runs = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(released(lambda t, r: _send_runs(t, r, length, gram, n)), RUN_PACKETS)
     return runs.groupBy("bucket").applyInArrow(released(lambda t: _earlier(t, length)), RUN_REPLY)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of each row of ``docs``.
 
     A byte of the UTF-8 text goes if a string of ``length`` bytes over it also starts in a
@@ -383,7 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     each in; an empty table gives an empty result; further columns are ignored.
     One document must fit in a task's memory."""
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)
-    earlier = _replies(chunks, n, length, gram)
+    earlier = _replies(chunks, n, length, gram, hot_runs)
     return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _remove(t, r, length, gram)), RESULT)
 
 
@@ -402,10 +419,10 @@ def _cut(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Table:
     return pa.table({"row": rows.column("row").take(pa.array(chunk.order)), "left": pa.array(left, pa.string())})
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with the characters cut of which :func:`remove_repeats` removes a byte; all rows and other columns stay, null texts become empty."""
     chunks, n = chunked(docs, doc_id, text, chunk_bytes, carry=True)
-    earlier = _replies(chunks, n, length, gram)
+    earlier = _replies(chunks, n, length, gram, hot_runs)
     schema = f"row {chunks.schema['row'].dataType.simpleString()}, left string"
     out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _cut(t, r, length, gram)), schema)
     return out.select(*(F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

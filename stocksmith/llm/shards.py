@@ -151,8 +151,8 @@ def smallest(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
 LOW48 = np.uint64((1 << 48) - 1)
 
 
-def key_packets(chunk: Chunk, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.Table:
-    """A chunk's 48-bit keys for each bucket: those of one document and those of several."""
+def key_packets(chunk: Chunk, keys: np.ndarray, docs: np.ndarray, buckets: int, counted: bool = False) -> pa.Table:
+    """A chunk's 48-bit keys for each bucket: those of one document and those of several. ``counted``: with how often the chunk has each, rounded up to a power of 2."""
     order = np.argsort(keys)
     keys, docs = keys[order], docs[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
@@ -160,15 +160,31 @@ def key_packets(chunk: Chunk, keys: np.ndarray, docs: np.ndarray, buckets: int)
     several = np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first) if len(first) else first > 0
     bucket = (mixed(values, 7) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket * 2 + several, kind="stable")
+    times = np.ceil(np.log2(np.diff(np.r_[first, len(keys)]))).astype(np.uint8)[order] if counted else None
     values, several, bucket = values[order], several[order], bucket[order]
     at = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = [b for b in range(buckets) if at[b] < at[b + 1]]
     part = lambda flag: [short(values[at[b]:at[b + 1]][several[at[b]:at[b + 1]] == flag]) for b in rows]
-    return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int32()), "one": pa.array(part(False), pa.binary()), "many": pa.array(part(True), pa.binary())})
+    out = {"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int32()), "one": pa.array(part(False), pa.binary()), "many": pa.array(part(True), pa.binary())}
+    return pa.table(out | ({"times": pa.array([times[at[b]:at[b + 1]].tobytes() for b in rows], pa.binary())} if counted else {}))
 
 
 KEY_PACKETS = "bucket int, chunk int, one binary, many binary"
 KEY_REPLY = "chunk int, keys binary"
+COUNTED_PACKETS, COUNTED_REPLY = KEY_PACKETS + ", times binary", KEY_REPLY + ", hot binary"
+
+
+def hot_keys(packets: pa.Table, most: int) -> pa.Table:
+    """:func:`shared_keys` of counted packets, and which of them all chunks together have more than ``most`` times (or half as often)."""
+    out = shared_keys(packets)
+    mine = [np.r_[unshort(a), unshort(b)] for a, b in zip(packets.column("one").to_pylist(), packets.column("many").to_pylist(), strict=True)]
+    keys, times = np.concatenate(mine), np.frombuffer(b"".join(packets.column("times").to_pylist()), np.uint8)
+    # a key that no chunk has often needs many chunks to be hot
+    often = np.unique(keys[times > 0]) if len(mine) <= most else np.unique(keys)
+    at = np.flatnonzero(is_in(keys, often))
+    total = np.bincount(np.searchsorted(often, keys[at]), weights=np.exp2(times[at]), minlength=len(often))
+    hot = often[total > most]
+    return out.append_column("hot", pa.array([short(k[is_in(k, hot)]) for k in mine], pa.binary()))
 
 
 def shared_keys(packets: pa.Table) -> pa.Table:
@@ -192,5 +208,5 @@ def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def reply_keys(replies: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([unshort(x) for x in replies.column("keys").to_pylist()] + [np.zeros(0, np.uint64)]))
+def reply_keys(replies: pa.Table, name: str = "keys") -> np.ndarray:
+    return np.sort(np.concatenate([unshort(x) for x in replies.column(name).to_pylist()] + [np.zeros(0, np.uint64)]))

@@ -70,6 +70,34 @@ def test_induced_suffix(spark, seed):
     assert all((r.node, r.chunk, r.kept, r.z, r.n_words) == ("n", 1, True, None, None) for r in rows)
 
 
+def test_induced_suffix_splits_hot_keys(spark):
+    """Hot keys: the same bytes go, and no bucket gets most runs of a shared passage."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from stocksmith.llm.shards import hot_keys
+    docs = pieces(random.Random(3), "abé", 70, lambda r: "")
+    want = [(d, len(u), sum(g), bytes(x for x, y in zip(u, g) if not y)) for (d, _), (u, g) in zip(docs, repeats(docs, 24, lambda t: (t or "").encode()))]
+    for hot_runs in (0, 8):
+        got = induced_suffix.remove_repeats(frame(spark, docs), length=24, gram=11, chunk_bytes=2000, hot_runs=hot_runs).collect()
+        assert order((r[0], r[1], r[2], bytes(r[4])) for r in got) == order(want)
+
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 200, dtype=np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() + passage + rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(2000)]
+    press = zstandard.ZstdCompressor()
+    chunks = [pa.table({"chunk": pa.array([c] * 200, pa.int32()), "doc_id": pa.array(range(c, 2000, 10), pa.int64()), "z": [press.compress(t) for t in texts[c::10]]}) for c in range(10)]
+    packets = pa.concat_tables(induced_suffix._send_keys(t, 50, 27, 40) for t in chunks).to_pandas()
+    most = {}
+    for hot_runs in (100, 10**9):
+        replies = pa.concat_tables(hot_keys(pa.Table.from_pandas(p, preserve_index=False), hot_runs) for _, p in packets.groupby("bucket"))
+        runs = pa.concat_tables(induced_suffix._send_runs(t, replies.filter(pa.compute.equal(replies["chunk"], c)), 50, 27, 40) for c, t in enumerate(chunks)).to_pandas()
+        counts = runs.groupby("bucket")["count"].sum()
+        most[hot_runs] = counts.max() / counts.sum()
+    assert most[100] < 0.05 < 0.2 < most[10**9]
+
+
 @pytest.mark.parametrize("recur", [1, 2, 256])
 def test_suffix_array(recur, monkeypatch):
     import numpy as np
