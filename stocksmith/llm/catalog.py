@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, odd_sketch, oracles, piece_codec, quality_mcd, rank_merge, secret_novelty, url_digest
+from . import cover_anchors, fagin_topk, harmonic_pack, induced_suffix, line_blocks, odd_sketch, oracles, piece_codec, quality_mcd, rank_merge, secret_novelty, token_align, url_digest, whitening
 from .common import table
 
 
@@ -76,6 +76,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened components of each embedding, fitted on all of them with their multiplicities."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE and SentencePiece tokens of each document, aligned by interval coalescing."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.align(table(spark, sf_dir, "documents"), a, b, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main text by line-block distribution."""
+    pages = line_blocks.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mcd": op1_quality_mcd,
     "op2_secret_novelty": op2_secret_novelty,
@@ -87,9 +104,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_codec": op8_piece_codec,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_token_align": op12_token_align,
+    "op13_line_blocks": op13_line_blocks,
 }
 
-#: Operators 2 and 8 to 10 need zstandard and the tokenizers' libraries: the tests hold them against those.
+#: Operators 2, 8 to 10 and 12 need zstandard and the tokenizers' libraries, 11 eigenvectors, 13 markup: the tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_quality_mcd": oracles.quality_sql(),
     "op3_odd_sketch": oracles.NEAR_DUPLICATES,
