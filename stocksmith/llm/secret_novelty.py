@@ -14,7 +14,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -32,8 +34,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this drops the shorte
 
 SENSITIVE = re.compile(r"(?<![A-Za-z])(?i:password|passwd|passphrase|pwd|secret|token|api_?key|apikey|auth|authorization|bearer|credentials?|private|signature|access|key)(?![a-z])", re.ASCII)
 STARTS, RUN, SHORTEST = re.compile(r"[A-Za-z0-9+/_=.-]"), re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
-#: A word that alone ends its line, a heading, says nothing of the next line.
-HEADING = re.compile(r"\r?\n")
 
 #: Key blocks: the first line, and lines of base64 one below the other (\\n: a line end in quoted text).
 BLOCK = re.compile(r"-----BEGIN ([^\n-]*)-----")
@@ -113,6 +113,12 @@ def _blocks(text: str, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def _inside(a: int, b: int, starts: list[int], reach: list[int]) -> bool:
+    """Does one of the sorted findings hold all from a to b? One that starts by a and goes as far as b does."""
+    k = bisect_right(starts, a) - 1
+    return k >= 0 and reach[k] >= b
+
+
 def spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of every finding, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -120,20 +126,23 @@ def spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     novel, to = set(), 0
+    found.sort()
+    reach = list(accumulate((b for *_, b in found), max))  # how far the findings up to each one go
+    starts = [a for a, *_ in found]
     if "-----BEGIN " in text:
-        blocks = [(a, b) for a, b in _blocks(text, least) if not any(c <= a and b <= d for c, _, d in found)]
+        blocks = [(a, b) for a, b in _blocks(text, least) if not _inside(a, b, starts, reach)]
         novel.update((a, 3, b) for a, b in blocks)
     else:
         blocks = []
+    block_starts, block_ends = [a for a, _ in blocks], [b for _, b in blocks]
     for s in SENSITIVE.finditer(text):
-        if HEADING.match(text, s.end()):
-            continue
         at = max(s.end(), to)
         while near := STARTS.search(text, at, s.end() + REACH):
             at = to = (c := RUN.match(text, near.start())).end()
             if at - c.start() < SHORTEST:
                 continue
-            if any(a <= c.start() and c.end() <= b for a, _, b in found) or any(a < c.end() and c.start() < b for a, b in blocks):
+            k = bisect_left(block_starts, c.end()) - 1  # the last block that starts before the candidate ends; blocks do not overlap
+            if _inside(c.start(), c.end(), starts, reach) or k >= 0 and c.start() < block_ends[k]:
                 continue
             if novelty(c[0], _around(text, *c.span())) >= least:
                 novel.add((c.start(), 3, c.end()))
@@ -144,7 +153,7 @@ def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: st
     """doc_id and spans (kind, start, end in code points, end exclusive) of each row of ``docs``.
 
     ``least`` is the novelty from which a string in a sensitive context is
-    reported; a context goes over line ends, unless the word alone ends its line, and
+    reported; a context goes over line ends, and
     the body of a key block is one string.  Strings inside a pattern's span are not reported again.  Spans are
     sorted by start, kind (assign, access, hex, novel) and end.  Null or empty text: no
     spans.  Null ids and repeated rows pass through, one row out for each in; an
