@@ -72,11 +72,17 @@ def apply_defaults(df: DataFrame, table: str, as_of=None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M1
-def _numbered(batch: DataFrame, seq: str) -> DataFrame:
-    """``_bad_seq``: why a row's sequence number cannot order the batch (NULL: it can)."""
-    times = batch.groupBy(seq).agg(F.count(F.lit(1)).alias("_times"))
-    b = batch.join(times, batch[seq].eqNullSafe(times[seq]), "left").drop(times[seq])
-    bad = F.when(F.col(seq).isNull() | (F.col(seq) < 1), "invalid_seq").when(F.col("_times") > 1, "duplicate_seq")
+def _numbered(batch: DataFrame, seq: str, within: list[str] | None = None, positive: bool = True) -> DataFrame:
+    """``_bad_seq``: why a row's sequence number cannot order the batch, or its
+    rows with the same ``within`` (NULL: it can)."""
+    keys = [*(within or []), seq]
+    invalid = F.col(seq).isNull() | (F.col(seq) < 1) if positive else F.col(seq).isNull()
+    # one row for each number that stands twice; numbers that are none are not counted
+    times = batch.filter(~invalid).groupBy(*keys).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    times = times.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_times")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    b = batch.join(times, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    bad = F.when(invalid, "invalid_seq").when(F.col("_times") > 1, "duplicate_seq")
     return b.withColumn("_bad_seq", bad).drop("_times")
 
 
@@ -136,10 +142,12 @@ def patch(table: DataFrame, batch: DataFrame, fields: list[str], key: str = "id"
     exist (or is deleted, with ``live_only``) is rejected ('not_found'), one
     whose foreign-key field names no row of its parent table
     (``references``: field -> parent table) as 'unknown_<field>', as the database
-    would refuse it; the others apply.  ``rejected``: key, seq, reason."""
+    would refuse it, one whose ``seq`` is NULL, below 1 ('invalid_seq') or also that of another
+    patch of the key ('duplicate_seq': both, as none is the later one); the others
+    apply.  ``rejected``: key, seq, reason."""
     target = (table.filter(P.live()) if live_only else table).select(key, F.lit(True).alias("_found"))
-    b = batch.join(target, key, "left")
-    reason = F.when(F.col("_found").isNull(), "not_found")
+    b = _numbered(batch, seq, [key]).join(target, key, "left")
+    reason = F.when(F.col("_found").isNull(), "not_found").when(F.col("_bad_seq").isNotNull(), F.col("_bad_seq"))
     for f, parent in (references or {}).items():
         ids = parent.select(F.col("id").cast(table.schema[f].dataType).alias(f"_ref_{f}"), F.lit(True).alias(f"_has_{f}"))
         b = b.join(ids, b[f].cast(table.schema[f].dataType) == ids[f"_ref_{f}"], "left")
@@ -174,12 +182,17 @@ def soft_delete(products: DataFrame, ids: DataFrame, as_of=None, key: str = "id"
 def hard_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame, key: str = "id") -> Result:
     """Delete rows of ``table`` by id and apply the foreign-key rules of the
     schema: RESTRICT rejects ids still referenced, CASCADE deletes children
-    (recursively), SET NULL clears the reference.  ``Result.extra`` holds
+    (recursively), SET NULL clears the reference.  ``tables`` must hold every
+    table that a rule reaches from ``table``: without one the delete is refused
+    with an error, as its rule could not be kept.  ``Result.extra`` holds
     every new table; ``Result.table`` is the new ``table``."""
+    absent = sorted(_children(table) - set(tables))
+    if absent:
+        raise ValueError(f"deleting from {table} needs the tables that refer to it: {', '.join(absent)}")
     req = ids.select(F.col(key).cast("bigint").alias("id")).filter(F.col("id").isNotNull()).distinct()
     blocked = None
     for child, col, parent, rule in S.FOREIGN_KEYS:
-        if parent == table and rule == "restrict" and child in tables:
+        if parent == table and rule == "restrict":
             refs = tables[child].select(F.col(col).cast("bigint").alias("id"))
             b = req.join(refs, "id", "left_semi")
             blocked = b if blocked is None else blocked.unionByName(b)
@@ -194,11 +207,20 @@ def hard_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame, key: s
     return Result(new[table], rejected, extra=new)
 
 
+def _children(table: str) -> set[str]:
+    """The tables whose rows a delete from ``table`` can be refused for, change or delete."""
+    found: set[str] = set()
+    for child, _, parent, rule in S.FOREIGN_KEYS:
+        if parent == table and child not in found:
+            found |= {child} | (_children(child) if rule == "cascade" else set())
+    return found
+
+
 def _delete_cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> None:
     """Delete ``ids`` from ``table`` and apply each FK rule to its children."""
     doomed = ids.select(F.col("id").cast("bigint").alias("_ref"), F.lit(True).alias("_hit"))
     for child, col, parent, rule in S.FOREIGN_KEYS:
-        if parent != table or child not in tables:
+        if parent != table:
             continue
         c = tables[child]
         if rule == "cascade":
@@ -250,7 +272,7 @@ def _apply_movements(products: DataFrame, moves: DataFrame, as_of, rejected: Dat
 
 
 # ------------------------------------------------------------------ M7 / M8
-STATUS_REJECT = ["not_found", "admin_only", "not_owner", "invalid_transition"]
+STATUS_REJECT = ["invalid_seq", "duplicate_seq", "not_found", "admin_only", "not_owner", "invalid_transition"]
 
 
 def _transitions(spark) -> DataFrame:
@@ -270,7 +292,9 @@ def advance_status(orders: DataFrame, requests: DataFrame, as_of=None) -> Result
     finds no legal request in a round can never move again, so each round
     works only on the orders that moved in the round before; each round is
     a join plus a ``min(seq)`` aggregate per order (partial aggregation; AQE
-    splits skewed joins) and its small result is checkpointed.
+    splits skewed joins) and its small result is checkpointed.  A request whose
+    ``seq`` is NULL ('invalid_seq'), or that of another request of its
+    order ('duplicate_seq', all of them), has no place in that order and is refused.
     ``extra['requests']`` gives every request its outcome;
     ``extra['cancelled']`` the orders cancelled now."""
     from ..session import shared_root
@@ -279,8 +303,8 @@ def advance_status(orders: DataFrame, requests: DataFrame, as_of=None) -> Result
     trans = _transitions(spark)
     own = orders.select(F.col("id").alias("order_id"), F.col("user_id").alias("_owner"),
                         F.col("status").alias("_status0"), F.lit(True).alias("_exists"))
-    r = requests.join(own, "order_id", "left")
-    pre = F.when(F.col("_exists").isNull(), "not_found") \
+    r = _numbered(requests, "seq", ["order_id"], positive=False).join(own, "order_id", "left")
+    pre = F.when(F.col("_bad_seq").isNotNull(), F.col("_bad_seq")).when(F.col("_exists").isNull(), "not_found") \
         .when((F.col("actor_role") != "admin") & (F.col("status") != "cancelled"), "admin_only") \
         .when((F.col("actor_role") != "admin") & ~F.col("_owner").eqNullSafe(F.col("actor_id")), "not_owner")
     r = _fresh(r.withColumn("_pre", pre).checkpoint(eager=True))
@@ -306,6 +330,7 @@ def advance_status(orders: DataFrame, requests: DataFrame, as_of=None) -> Result
     for st in steps[1:]:
         accepted = accepted.unionByName(st)
     acc = accepted.select("order_id", "seq", F.lit(True).alias("_acc"))
+    # accepted numbers stand once in their order
     outcome = r.join(acc, ["order_id", "seq"], "left").select(
         "order_id", "seq", "status", "actor_id", "actor_role",
         F.coalesce(F.col("_acc"), F.lit(False)).alias("accepted"),
@@ -347,11 +372,13 @@ def register_users(users: DataFrame, batch: DataFrame, allow_admin: bool = False
     """New users from (seq, name, email, role): name trimmed, email trimmed
     and lower-cased, role defaults to 'user'.  Rejected: invalid fields (V5),
     'admin' unless allowed, an email already registered, or one used by an
-    earlier row of the batch."""
-    b = batch.select("seq", V.clean(F.col("name")).alias("name"), F.lower(V.clean(F.col("email"))).alias("email"),
+    earlier row of the batch.  New ids are made from ``seq``: rows whose number is NULL or
+    below 1 ('invalid_seq') or stands twice in the batch ('duplicate_seq') are rejected first,
+    and no other row counts as a repeat of theirs."""
+    b = _numbered(batch.select("seq", "name", "email", "role"), "seq").select("seq", "_bad_seq", V.clean(F.col("name")).alias("name"), F.lower(V.clean(F.col("email"))).alias("email"),
                      F.coalesce(F.col("role"), F.lit(S.DEFAULTS["role"])).alias("role"))
     b = V.users(b)
-    b = b.withColumn("reason", F.coalesce(F.col("reason"), F.when(
+    b = b.withColumn("reason", F.coalesce(F.col("_bad_seq"), F.col("reason"), F.when(
         ~F.col("role").isin(*S.ROLES), F.lit("invalid_role")).when(
         (F.col("role") == "admin") & F.lit(not allow_admin), F.lit("admin_not_allowed"))))
     first = b.filter(F.col("reason").isNull()).groupBy("email").agg(F.min("seq").alias("_first"))
@@ -360,7 +387,7 @@ def register_users(users: DataFrame, batch: DataFrame, allow_admin: bool = False
     existing = users.select("email").withColumn("_taken", F.lit(True))
     b = b.join(existing, "email", "left").withColumn("reason", F.coalesce(
         F.col("reason"), F.when(F.col("_taken").isNotNull(), F.lit("email_taken"))))
-    ok, bad = V.split(b.drop("_first", "_taken"))
+    ok, bad = V.split(b.drop("_first", "_taken", "_bad_seq"))
     new = ok.withColumn("id", _next_ids(users, ok)).withColumn("created_at", _as_of(as_of))
     out = users.unionByName(new.select(*users.columns))
     return Result(out, bad.select("seq", "email", "reason"))

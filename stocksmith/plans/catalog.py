@@ -53,6 +53,7 @@ def LINE_TOTAL(q: str = "quantity", p: str = "unit_price") -> str:
 def _load_all() -> None:
     from . import queries_read  # noqa: F401  (registers on import)
     from . import queries_write  # noqa: F401
+    from . import queries_log  # noqa: F401
     from . import queries_stream  # noqa: F401
 
 

@@ -347,13 +347,16 @@ select p as id, k as seq, case when k % 5 = 0 then 900 + k % 3 when k % 3 = 0 th
 from (select min(l_partkey) as p, l_orderkey * 8 + l_linenumber as k from lineitem group by l_orderkey, l_linenumber) l"""
 
 
-def _many_patched(t):
+def _many_patched_batch(t):
     li = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("id"))
     k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    batch = li.select("id", k.alias("seq"),
-                      F.when(k % 5 == 0, 900 + k % 3).when(k % 3 == 0, k % 25 + 1).cast("int").alias("category_id"),
-                      F.when(k % 2 == 0, F.concat(F.lit("renamed "), k.cast("string"))).alias("name"))
-    return MU.patch(t.products, batch, ["category_id", "name"], live_only=True, as_of=AS_OF,
+    return li.select("id", k.alias("seq"),
+                     F.when(k % 5 == 0, 900 + k % 3).when(k % 3 == 0, k % 25 + 1).cast("int").alias("category_id"),
+                     F.when(k % 2 == 0, F.concat(F.lit("renamed "), k.cast("string"))).alias("name"))
+
+
+def _many_patched(t):
+    return MU.patch(t.products, _many_patched_batch(t), ["category_id", "name"], live_only=True, as_of=AS_OF,
                     references={"category_id": t.categories})
 
 
@@ -574,13 +577,16 @@ walk(order_id, seq, status, accepted) as (
 """
 
 
-def _many_status(t):
+def _many_status_requests(t):
     k = (F.col("order_id") + F.col("line_no")) % 6
     status = F.when(k == 0, "confirmed").when(k == 1, "packed").when(k == 2, "shipped").when(k == 3, "delivered") \
         .when(k == 4, "cancelled").otherwise("pending")
-    req = t.items.select("order_id", F.col("line_no").alias("seq"), status.alias("status"), F.lit(0).cast("bigint").alias("actor_id"),
-                         F.lit("admin").alias("actor_role"))
-    return MU.advance_status(t.orders, req, as_of=AS_OF)
+    return t.items.select("order_id", F.col("line_no").alias("seq"), status.alias("status"), F.lit(0).cast("bigint").alias("actor_id"),
+                          F.lit("admin").alias("actor_role"))
+
+
+def _many_status(t):
+    return MU.advance_status(t.orders, _many_status_requests(t), as_of=AS_OF)
 
 
 @register("M7_many_requests", MANY_STATUS_REPLAY_SQL + """

@@ -1,10 +1,12 @@
 """Table storage: versioned Parquet snapshots, the audit sink and the
 request log reader (S1, S3, S4, S6).
 
-Plain Parquet has no MERGE or UPDATE, so a job that changes a table writes a
-whole new version ``<root>/<table>/v=<n>`` and readers take the newest
-version that finished (Spark writes ``_SUCCESS`` on commit).  A version is
-never overwritten, so nothing that is being read is ever replaced.
+Plain Parquet has no MERGE or UPDATE, so a job that changes one table writes a
+whole new version ``<root>/<table>/v=<n>`` and then adds its number to the
+table's list of commits; readers take the newest listed version.  A writer first
+claims its number, so two writers never write the same one, and a listed version is
+never overwritten.  Changes of several tables at once, or of few rows, go through
+:mod:`stocksmith.sources.commits`.
 """
 
 from __future__ import annotations
@@ -14,22 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits
 from . import schemas as S
 
 
 def versions(spark: SparkSession, root: str, table: str) -> list[int]:
     """Committed versions of a table, oldest first: one small row each in its list of commits."""
-    try:
-        rows = spark.read.schema("version long").parquet(f"{root}/{table}.commits").collect()
-    except AnalysisException:          # no commit yet
-        return []
-    return sorted(r.version for r in rows)
+    found = _commits(spark, root, table)
+    return [] if found is None else sorted(r.version for r in found.collect())
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
+    found = _commits(spark, root, table)
+    return None if found is None else found.agg(F.max("version")).first()[0]
+
+
+def _commits(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The list of commits; None if the table has none yet. Any other failure to read it is an error."""
     try:
-        return spark.read.schema("version long").parquet(f"{root}/{table}.commits").agg(F.max("version")).first()[0]
-    except AnalysisException:
+        return spark.read.schema("version long").parquet(f"{root}/{table}.commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -42,8 +50,12 @@ def load_table(spark: SparkSession, root: str, table: str, version: int | None =
     return spark.read.schema(S.TABLES[table]).parquet(f"{root}/{table}/v={version:08d}")
 
 
-def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    found = {t: latest_version(spark, root, t) for t in S.TABLES}
+def load_tables(spark: SparkSession, root: str, wanted: list[str] | None = None) -> dict[str, DataFrame]:
+    """The newest version of each table that has one; with ``wanted`` of exactly those, and an error if one has none."""
+    found = {t: latest_version(spark, root, t) for t in (wanted or S.TABLES)}
+    absent = [t for t, v in found.items() if v is None]
+    if wanted and absent:
+        raise FileNotFoundError(f"no committed version of {', '.join(absent)} under {root}")
     return {t: load_table(spark, root, t, v) for t, v in found.items() if v is not None}
 
 
@@ -61,9 +73,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
 def write_snapshot(df: DataFrame, root: str, table: str, partition_by: list[str] | None = None) -> int:   # S3
     """Commit ``df`` as the next version of ``table``; returns the version.
     Columns are put in the declared order and types first.  What a failed write left
-    under that version is overwritten; it was never committed."""
+    under that version is overwritten; it was never committed.  A number that another
+    writer claimed, finished or not, is passed over."""
     spark = df.sparkSession
     v = (latest_version(spark, root, table) or 0) + 1
+    files = commits.Files(spark, root)
+    while not files.create_once(f"{root}/{table}.claims/{v:08d}", ""):
+        v += 1
     schema = S.TABLES[table]
     out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     w = out.write.mode("overwrite")
