@@ -30,16 +30,17 @@ from .piece_codec import BYTE, Codec, Model
 from .rank_merge import SELF_BYTES, pre_tokens
 
 #: Text of a slice; a task holds about 60 times as much.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: A worker forgets its known units beyond this many.
-KNOWN_LIMIT = 400_000
+KNOWN_LIMIT = 250_000
 
 
 class Units:
     """Ids of a tokenizer's units (parts that it encodes one by one), each distinct unit encoded once."""
 
-    def __init__(self, encode, lens: np.ndarray):
-        self.encode_units, self.token_bytes = encode, lens
+    def __init__(self, encode, tokens: list[bytes], before: str = ""):
+        self.encode_units, self.bytes, self.before = encode, tokens, before
+        self.token_bytes = np.array(list(map(len, tokens)))
         self._forget()
 
     def _forget(self) -> None:
@@ -47,11 +48,22 @@ class Units:
         self.ids, self.lens, self.exact = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _learn(self, units: list[str]) -> None:
-        ids, exact = self.encode_units(units)
+        ids = self.encode_units(units)
         self.place.update(zip(units, range(len(self.place), len(self.place) + len(units)), strict=True))
-        self.lens = np.r_[self.lens, np.fromiter(map(len, ids), np.int64, len(ids))]
-        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), np.int32)]
-        self.exact = np.r_[self.exact, exact]
+        lens, flat = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
+        self.exact = np.r_[self.exact, self._reproduced(units, flat, lens)]
+        self.lens, self.ids = np.r_[self.lens, lens], np.r_[self.ids, flat]
+
+    def _reproduced(self, units: list[str], flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Are each unit's tokens' bytes its own? All together first, one by one if they are not."""
+        raw = [(self.before + u).encode() for u in units]
+        ends = np.cumsum(lens)
+        size = np.diff(np.r_[0, np.cumsum(self.token_bytes[flat])][np.r_[0, ends]])
+        same = size == np.fromiter(map(len, raw), np.int64, len(raw))
+        tokens = list(map(self.bytes.__getitem__, flat.tolist()))
+        if same.all() and b"".join(tokens) == b"".join(raw):
+            return same
+        return same & np.array([b"".join(tokens[e - n:e]) == u for e, n, u in zip(ends.tolist(), lens.tolist(), raw, strict=True)], dtype=bool)
 
     def encode(self, units: list[str], nul: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in one array, how many each unit has, and whether its tokens' bytes are those of the unit."""
@@ -74,14 +86,10 @@ class ByteLevel(Units):
         char |= {chr(256 + k): b for k, b in enumerate(x for x in range(256) if chr(x) not in char)}
         vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         of = {i: bytes(char[c] for c in t) if all(c in char for c in t) else t.encode() for t, i in vocab.items()}
-        self.bytes = [of.get(i, b"") for i in range(max(of) + 1)]
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        super().__init__(self._encode, np.array(list(map(len, self.bytes))))
-
-    def _encode(self, units):
-        ids = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        return ids, np.array([b"".join(map(self.bytes.__getitem__, x)) == u.encode() for x, u in zip(ids, units, strict=True)], dtype=bool)
+        super().__init__(lambda units: [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)],
+                         [of.get(i, b"") for i in range(max(of) + 1)])
 
     def units(self, text: str) -> list[str]:
         return pre_tokens(" " + text)
@@ -100,13 +108,9 @@ class Pieces(Units):
         self.cut = (Codec._PART if model.by_part else Codec._WORD).findall
         # an added normaliser message overrides the blank before a text: field 3 { 3: 0 }
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw + (b"\x1a\x02\x18\x00" if self.by_unit else b""))
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace("▁", " ").encode() for p, _, kind in model.pieces]
-        super().__init__(self._encode, np.array(list(map(len, self.bytes))))
-
-    def _encode(self, units):
-        ids = self.library.encode(units, num_threads=1)
-        blank = "" if self.by_unit else " "
-        return ids, np.array([b"".join(map(self.bytes.__getitem__, x)) == (blank + u).encode() for x, u in zip(ids, units, strict=True)], dtype=bool)
+        super().__init__(lambda units: self.library.encode(units, num_threads=1),
+                         [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace("▁", " ").encode() for p, _, kind in model.pieces],
+                         "" if self.by_unit else " ")
 
     def units(self, text: str) -> list[str]:
         return self.cut(" " + text) if self.by_unit else [text]
