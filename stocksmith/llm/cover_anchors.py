@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, Prefix, chunked, is_in, key_packets, mixed, released, reply_keys, shared_keys
+from .shards import CHUNK_BYTES, KEY_PACKETS, KEY_REPLY, LOW48, Chunk, chunked, is_in, key_packets, mixed, released, reply_keys, run_hashes, shared_keys, spans_of, window_hashes
 
 LENGTH, PERIOD = 50, 31
 
@@ -60,13 +60,12 @@ class Words:
         self.count = np.bincount(self.doc, minlength=len(chunk.ids))
         self.first = np.cumsum(self.count) - self.count
         self.place = np.arange(len(self.start)) - self.first[self.doc]
-        word = Prefix(chunk.bytes.astype(np.uint64) + np.uint64(1), 0x100000001B3).runs(self.start, self.lens)
-        self.prefix, self.second = Prefix(word, 0xD6E8FEB86659FD93), Prefix(word, 0xA0761D6478BD642F)
+        self.word = run_hashes(chunk.bytes, self.start, self.lens)
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Where windows of ``length`` words of one document start, and their hashes."""
         has = self.place + length <= self.count[self.doc]
-        return np.flatnonzero(has), self.prefix.windows(length)[has[:max(0, len(has) - length + 1)]]
+        return np.flatnonzero(has), window_hashes(self.word, length, salt)[has[:max(0, len(has) - length + 1)]]
 
 
 def _anchors(words: Words, length: int, period: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +83,6 @@ def _send_anchors(rows: pa.Table, length: int, period: int, buckets: int) -> pa.
     return key_packets(chunk, key, words.doc[at], buckets)
 
 
-def _fine(words: Words, at: np.ndarray, length: int) -> np.ndarray:
-    """32 further bits of each window, from sums over another base."""
-    return (words.second.runs(at, length) >> np.uint64(32)).astype(np.uint32)
-
-
 def _send_windows(rows: pa.Table, replies: pa.Table, length: int, period: int, buckets: int) -> pa.Table:
     """Each full window around a shared anchor: its hash and the chunk's smallest document that has it."""
     if not rows.num_rows:
@@ -103,8 +97,9 @@ def _send_windows(rows: pa.Table, replies: pa.Table, length: int, period: int, b
     near = np.cumsum(near)[:-1] > 0
     at, key = words.windows(length)
     use = near[at]
+    fine = words.windows(length, 1)[1][use]
     at, key = at[use], key[use]
-    ids, fine = chunk.ids[words.doc[at]], _fine(words, at, length)
+    ids = chunk.ids[words.doc[at]]
     order = np.lexsort((ids, fine, key))
     key, fine, ids = key[order], fine[order], ids[order]
     first = np.r_[True, (key[1:] != key[:-1]) | (fine[1:] != fine[:-1])][:len(key)]
@@ -112,9 +107,7 @@ def _send_windows(rows: pa.Table, replies: pa.Table, length: int, period: int, b
     bucket = (mixed(key, 9) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((key, ids, bucket))
     key, fine, ids, bucket = key[order], fine[order], ids[order], bucket[order]
-    ends = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows_ = [(b, ends[b], ends[b + 1]) for b in range(buckets) if ends[b] < ends[b + 1]]
-    return _window_packets(chunk.number, rows_, [(key, fine)], ids)
+    return _window_packets(chunk.number, list(zip(*spans_of(bucket), strict=True)), [(key, fine)], ids)
 
 
 def _window_packets(number: int, rows: list, hashes: list, ids) -> pa.Table:
@@ -124,7 +117,7 @@ def _window_packets(number: int, rows: list, hashes: list, ids) -> pa.Table:
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         out["bucket"].append(b)
         out["key"].append(key[lo:hi].astype("<u8").tobytes())
-        out["fine"].append(fine[lo:hi].astype("<u4").tobytes())
+        out["fine"].append(fine[lo:hi].astype("<u8").tobytes())
         out["ids"].append(own[first].astype("<i8").tobytes())
         out["counts"].append(np.diff(np.r_[first, len(own)]).astype("<u4").tobytes())
     n = len(out["bucket"])
@@ -137,7 +130,7 @@ WINDOW_PACKETS = "bucket int, chunk int, key binary, fine binary, ids binary, co
 def _earlier(packets: pa.Table) -> pa.Table:
     """To each chunk: which of its windows start in a smaller document elsewhere."""
     key = [np.frombuffer(x, "<u8") for x in packets.column("key").to_pylist()]
-    fine = [np.frombuffer(x, "<u4") for x in packets.column("fine").to_pylist()]
+    fine = [np.frombuffer(x, "<u8") for x in packets.column("fine").to_pylist()]
     ids = [np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")) for i, c in zip(packets.column("ids").to_pylist(), packets.column("counts").to_pylist(), strict=True)]
     of = np.repeat(np.arange(len(key)), [len(k) for k in key])
     key, fine, ids = np.concatenate(key), np.concatenate(fine), np.concatenate(ids)
@@ -151,7 +144,7 @@ def _earlier(packets: pa.Table) -> pa.Table:
     of, key, fine = of[order], key[order], fine[order]
     ends = np.searchsorted(of, np.arange(packets.num_rows + 1))
     cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-    return pa.table({"chunk": packets.column("chunk"), "key": cut(key, "<u8"), "fine": cut(fine, "<u4")})
+    return pa.table({"chunk": packets.column("chunk"), "key": cut(key, "<u8"), "fine": cut(fine, "<u8")})
 
 
 WINDOW_REPLY = "chunk int, key binary, fine binary"
@@ -164,7 +157,7 @@ def _remove(rows: pa.Table, replies: pa.Table, length: int) -> pa.Table:
     chunk = Chunk(rows)
     words = Words(chunk)
     at, key = words.windows(length)
-    fine, ids = _fine(words, at, length), chunk.ids[words.doc[at]]
+    fine, ids = words.windows(length, 1)[1], chunk.ids[words.doc[at]]
     # a smaller document of this chunk
     order = np.lexsort((ids, fine, key))
     k, f, i = key[order], fine[order], ids[order]
@@ -173,9 +166,9 @@ def _remove(rows: pa.Table, replies: pa.Table, length: int) -> pa.Table:
     if len(k):
         gone[order] = i[np.flatnonzero(first)][np.cumsum(first) - 1] < i
     # or of another one
-    told = np.zeros(sum(len(x) for x in replies.column("key").to_pylist()) // 8, dtype=[("k", "<u8"), ("f", "<u4")])
+    told = np.zeros(sum(len(x) for x in replies.column("key").to_pylist()) // 8, dtype=[("k", "<u8"), ("f", "<u8")])
     told["k"] = np.frombuffer(b"".join(replies.column("key").to_pylist()), "<u8")
-    told["f"] = np.frombuffer(b"".join(replies.column("fine").to_pylist()), "<u4")
+    told["f"] = np.frombuffer(b"".join(replies.column("fine").to_pylist()), "<u8")
     told.sort(order=["k", "f"])
     lo = np.searchsorted(told["k"], key, "left")
     hi = np.searchsorted(told["k"], key, "right")
@@ -208,8 +201,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     remove each other's words.  One row out for each in; an empty table gives an
     empty result; further columns are ignored.  One document must fit in a task's memory.
 
-    Windows are compared by 96-bit hashes, anchors by 48 bits (an anchor hit by
-    chance only adds windows to compare)."""
+    Windows are compared by 128 bits of hashes that mix word by word, anchors by 48 bits
+    (an anchor hit by chance only adds windows to compare)."""
     if not 0 < period < length or length - period < 12:
         raise ValueError("an anchor needs more than 12 words")
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)

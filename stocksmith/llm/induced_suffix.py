@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ragged_take
-from .shards import CHUNK_BYTES, COUNTED_PACKETS, COUNTED_REPLY, LOW48, MIX, Chunk, Prefix, chunked, hot_keys, is_in, key_packets, mixed, released, reply_keys, short, smallest
+from .shards import CHUNK_BYTES, COUNTED_PACKETS, COUNTED_REPLY, LOW48, MIX, Chunk, chunked, eights, hot_keys, is_in, key_packets, mixed, released, reply_keys, run_hashes, spans_of
 
 LENGTH, GRAM = 50, 27
 #: A gram hash that all chunks together have in more runs is split: its runs differ at the edges of a passage, and in one bucket would grow with the documents.
@@ -101,15 +101,20 @@ def _doubled(rank: np.ndarray) -> np.ndarray:
     return order
 
 
+_ZERO = np.zeros(1, dtype=np.int64)
+
+
 def _deal(sa: np.ndarray, ends: np.ndarray, j: np.ndarray, c: np.ndarray, sign: int) -> None:
     """Puts suffixes j (in order) at the moving ends of the buckets of their symbols c."""
     by = np.argsort(c, kind="stable")
     j, c = j[by], c[by]
-    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    count = np.diff(np.r_[first, len(c)])
-    within = np.arange(len(c)) - np.repeat(first, count)
-    sa[ends[c] + sign * within] = j
-    ends[c[first]] += sign * count
+    edge = np.flatnonzero(c[1:] != c[:-1]) + 1
+    first = np.concatenate((_ZERO, edge))
+    count = np.concatenate((edge, [len(c)])) - first
+    own = c[first]
+    at = np.arange(len(c))
+    sa[np.repeat(ends[own] - sign * first, count) + (at if sign > 0 else -at)] = j
+    ends[own] += sign * count
 
 
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
@@ -183,9 +188,7 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     place[order] = np.arange(n, dtype=np.int32)
     a = np.flatnonzero(before >= 0)
     rank, b = place[a], before[a]
-    padded = np.r_[t, np.zeros(8, np.uint8)]
-    eight = np.lib.stride_tricks.as_strided(padded, (len(t) + 1, 8), (1, 1))
-    words = np.ascontiguousarray(eight).view("<u8").ravel()
+    words = eights(t)
     steps = [*range(0, least - 7, 8)] + ([least - 8] if least % 8 else [])
     for k in steps:
         same = words[a + k] == words[b + k]
@@ -194,13 +197,23 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def _least_grams(prefix: Prefix, gram: int, span: int) -> np.ndarray:
-    """At each place: the smallest hash of the ``span`` grams from there on, in blocks that fit a processor's cache."""
-    n = max(0, len(prefix.sums) - gram)
-    out = np.empty(max(0, n - span + 1), dtype=np.uint64)
-    for at in range(0, len(out), 32768):
-        to = min(at + 32768, len(out)) + span - 1
-        h = (prefix.sums[at + gram:to + gram] - prefix.sums[at:to]) * prefix.back[at:to]
+#: Odd factors of the eight-byte parts of a gram.
+PARTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+
+
+def _least_grams(word8: np.ndarray, gram: int, span: int) -> np.ndarray:
+    """At each place: the smallest hash of the ``span`` grams from there on, in blocks that fit a processor's cache.
+
+    The hash only chooses where strings meet, and for grams a 48-bit key; strings themselves are compared byte by byte."""
+    out = np.empty(max(0, len(word8) - gram - span + 1), dtype=np.uint64)
+    parts = [*range(0, gram - 7, 8)] + ([gram - 8] if gram % 8 else [])
+    for at in range(0, len(out), 16384):
+        to = min(at + 16384, len(out)) + span - 1
+        h = word8[at:to] * PARTS[0]
+        for k, p in enumerate(parts[1:], 1):
+            h ^= h >> np.uint64(31)
+            h += word8[at + p:to + p]
+            h *= PARTS[k % len(PARTS)]
         h ^= h >> np.uint64(32)
         h *= MIX[0]
         h ^= h >> np.uint64(29)
@@ -217,15 +230,23 @@ class Runs:
     """Runs of places in a chunk whose windows have the same smallest gram hash."""
 
     def __init__(self, chunk: Chunk, length: int, gram: int):
-        self.prefix = Prefix(chunk.bytes.astype(np.uint64) + np.uint64(1), 0x9FB21C651E98DF25)
-        least = _least_grams(self.prefix, gram, length - gram + 1)
-        counts = np.maximum(chunk.lens - length + 1, 0)  # places of each document that have a window
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        at = ragged_take(np.arange(len(chunk.bytes)), chunk.ends - chunk.lens, counts, np.arange(len(counts)))
-        key = least[at]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (self.doc[1:] != self.doc[:-1])][:len(key)])
-        self.start, self.doc, self.key = at[first], self.doc[first], key[first] & LOW48
-        self.places = np.diff(np.r_[first, len(key)])
+        self.chunk = chunk
+        least = _least_grams(chunk.eights, gram, length - gram + 1)
+        n = len(least)
+        first = np.empty(n, dtype=bool)
+        first[1:] = least[1:] != least[:-1]
+        some = chunk.lens >= length
+        begin, end = (chunk.ends - chunk.lens)[some], chunk.ends[some] - length + 1  # places of each document that have a window
+        first[begin] = True
+        first[end[end < n]] = True
+        first = np.flatnonzero(first) if n else np.zeros(0, np.int64)
+        if not len(begin):
+            first = first[:0]
+        doc = np.searchsorted(begin, first, side="right") - 1
+        size = np.diff(np.r_[first, n])
+        has = (doc >= 0) & (first < end[doc]) if len(first) else np.zeros(0, bool)
+        self.start, self.doc, self.places = first[has], np.flatnonzero(some)[doc[has]], size[has]
+        self.key = least[self.start] & LOW48
         self.size = self.places + length - 1
 
     def split(self, hot: np.ndarray, length: int) -> None:
@@ -239,9 +260,6 @@ class Runs:
         self.places[is_in(self.key, hot)] = 1
         self.size = self.places + length - 1
 
-    def content(self) -> np.ndarray:
-        return self.prefix.runs(self.start, self.size)
-
 
 def _send_keys(rows: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
     chunk = Chunk(rows)
@@ -249,64 +267,97 @@ def _send_keys(rows: pa.Table, length: int, gram: int, buckets: int) -> pa.Table
     return key_packets(chunk, runs.key, runs.doc, buckets, counted=True)
 
 
-RUN_PACKETS = "bucket int, chunk int, count int, data binary, hot binary"
+RUN_PACKETS = "bucket int, chunk int, count int, data binary, local binary"
+
+
+def _pairs(start: np.ndarray, end: np.ndarray) -> bytes:
+    """The union of some ranges, as disjoint ones: windows overlap, so these are far fewer."""
+    if not len(start):
+        return b""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return np.column_stack([start[first], reach[np.r_[first[1:], len(start)] - 1]]).astype("<u4").tobytes()
 
 
 def _send_runs(rows: pa.Table, replies: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
-    """The different runs with a shared key, each with the chunk's smallest document that has it."""
+    """The different runs with a shared key, each with the chunk's smallest document that has it and where that has it.
+
+    Bytes of the chunk's other documents that have such a run are gone already."""
     out: dict[str, list] = {"bucket": [], "count": [], "data": []}
-    number, hot = 0, reply_keys(replies, "hot")
+    number, local = 0, b""
     if rows.num_rows:
         chunk = Chunk(rows)
         number = chunk.number
         runs = Runs(chunk, length, gram)
+        hot = reply_keys(replies, "hot")
         runs.split(hot, length)
         use = np.flatnonzero(is_in(runs.key, reply_keys(replies)))
-        content, ids = runs.content()[use], chunk.ids[runs.doc[use]]
-        _, first = np.unique(content, return_index=True)
-        use, ids, content = use[first], smallest(content, ids)[first], content[first]
-        bucket = (mixed(np.where(is_in(runs.key[use], hot), content, runs.key[use]), 9) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((runs.start[use], ids, bucket))
-        use, ids, bucket = use[order], ids[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        press = zstandard.ZstdCompressor(level=3)
-        for b in range(buckets):
-            lo, hi = ends[b], ends[b + 1]
-            if lo < hi:
-                part = use[lo:hi]
-                raw = ragged_take(chunk.bytes, runs.start, runs.size, part).tobytes()
-                out["bucket"].append(b)
-                out["count"].append(hi - lo)
-                out["data"].append(press.compress(runs.size[part].astype("<u4").tobytes() + ids[lo:hi].astype("<i8").tobytes() + raw))
+        content = run_hashes(chunk.bytes, runs.start[use], runs.size[use], chunk.eights)
+        order = np.argsort(content, kind="stable")
+        use, content = use[order], content[order]
+        ids = chunk.ids[runs.doc[use]]
+        first = np.flatnonzero(np.r_[True, content[1:] != content[:-1]][:len(content)])
+        copies = np.diff(np.r_[first, len(content)])
+        least = np.repeat(np.minimum.reduceat(ids, first), copies) if len(first) else ids
+        later = use[ids > least]
+        local = _pairs(runs.start[later], (runs.start + runs.size)[later])
+        # the smallest document's own places of each run
+        stay = ids == least
+        of = np.repeat(np.arange(len(first)), copies)[stay]
+        use, ids, content = use[stay], ids[stay], content[stay]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][:len(of)])
+        times = np.diff(np.r_[first, len(of)])
+        one = use[first]
+        bucket = (mixed(np.where(is_in(runs.key[one], hot), content[first], runs.key[one]), 9) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((runs.start[one], ids[first], bucket))
+        press = zstandard.ZstdCompressor(level=1)
+        for b, lo, hi in zip(*spans_of(bucket[order]), strict=True):
+            part = order[lo:hi]
+            head = [runs.size[one[part]].astype("<u4"), times[part].astype("<u4"), ids[first[part]].astype("<i8"), runs.start[ragged_take(use, first, times, part)].astype("<u4")]
+            out["bucket"].append(b)
+            out["count"].append(hi - lo)
+            out["data"].append(press.compress(b"".join(x.tobytes() for x in head) + ragged_take(chunk.bytes, runs.start, runs.size, one[part]).tobytes()))
     n = len(out["bucket"])
-    told = [short(hot)] + [b""] * (n - 1) if n else []  # comes back once with the replies
-    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([number] * n, pa.int32()), "count": pa.array(out["count"], pa.int32()), "data": pa.array(out["data"], pa.binary()), "hot": pa.array(told, pa.binary())})
+    told = [local if k == number % n else b"" for k in range(n)]  # comes back once with the replies, of different chunks through different buckets
+    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([number] * n, pa.int32()), "count": pa.array(out["count"], pa.int32()), "data": pa.array(out["data"], pa.binary()), "local": pa.array(told, pa.binary())})
 
 
-RUN_REPLY = "chunk int, hot binary, whole binary, part binary, bits binary"
+RUN_REPLY = "chunk int, local binary, gone binary"
 
 
 def _earlier(packets: pa.Table, length: int) -> pa.Table:
-    """To each chunk: at which places of its runs a string starts that a smaller document has."""
+    """To each chunk: which of its bytes lie in a string that a smaller document elsewhere has."""
     open_ = zstandard.ZstdDecompressor()
-    sizes, ids, raws = [], [], []
+    sizes, times, ids, starts, raws = [], [], [], [], []
     for n, z in zip(packets.column("count").to_pylist(), packets.column("data").to_pylist(), strict=True):
         data = open_.decompress(z)
         sizes.append(np.frombuffer(data, "<u4", n).astype(np.int64))
-        ids.append(np.frombuffer(data, "<i8", n, 4 * n))
-        raws.append(np.frombuffer(data, np.uint8, offset=12 * n))
-    of = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-    size, doc, text = np.concatenate(sizes), np.concatenate(ids), np.concatenate(raws)
+        times.append(np.frombuffer(data, "<u4", n, 4 * n).astype(np.int64))
+        ids.append(np.frombuffer(data, "<i8", n, 8 * n))
+        all_ = int(times[-1].sum())
+        starts.append(np.frombuffer(data, "<u4", all_, 16 * n))
+        raws.append(np.frombuffer(data, np.uint8, offset=16 * n + 4 * all_))
+    n_runs = [len(x) for x in sizes]
+    size, times, doc, starts, text = np.concatenate(sizes), np.concatenate(times), np.concatenate(ids), np.concatenate(starts), np.concatenate(raws)
+    del raws
     start = np.cumsum(size) - size
-    content = Prefix(text.astype(np.uint64) + np.uint64(1), 0x9FB21C651E98DF25).runs(start, size)
     # each different run once, with its smallest document
-    _, one, which = np.unique(content, return_index=True, return_inverse=True)
+    content = run_hashes(text, start, size)
+    order = np.argsort(content, kind="stable")
+    new = np.r_[True, content[order][1:] != content[order][:-1]]
+    first = np.flatnonzero(new)
+    which = np.empty(len(order), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    one, least = order[first], np.minimum.reduceat(doc[order], first)
     t = ragged_take(text, start, size, one)
-    least, own, width = smallest(content, doc)[one], np.cumsum(size[one]) - size[one], size[one] - length + 1
+    own, width = np.cumsum(size[one]) - size[one], size[one] - length + 1
+    if not _same_bytes(text, start, size, t, own[which], size[one][which]):
+        raise RuntimeError("two different runs have the same 64-bit hash")
+    del text, content
     # suffixes that have a whole window in their run
     inside = np.ones(len(t), dtype=bool)
     inside[ragged_take(np.arange(len(t)), own + width, np.full(len(one), length - 1), np.arange(len(one)))] = False
-    del text
     sa = suffix_array(t, 256)
     sa = sa[inside[sa]]
     same = common_prefixes(t, sa, length)
@@ -314,60 +365,51 @@ def _earlier(packets: pa.Table, length: int) -> pa.Table:
     at_place = np.zeros(len(t), dtype=np.int64)
     at_place[inside] = np.repeat(least, width)
     at_place[sa] = np.minimum.reduceat(at_place[sa], np.flatnonzero(~same))[group]
-    del sa, group, inside
-    # back to each chunk's own run
-    places = ragged_take(at_place, own[which], width[which], np.arange(len(which)))
+    del sa, group, inside, t
+    # back to each chunk's own run: from where to where its places are found in a smaller document
     count = width[which]
-    flag = places < np.repeat(doc, count)
     begin = np.cumsum(count) - count
-    hits = np.add.reduceat(flag, begin)
-    whole, part = hits == count, (hits > 0) & (hits < count)
-    out = {"whole": [], "part": [], "bits": []}
-    ends = np.searchsorted(of, np.arange(packets.num_rows + 1))
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        span = slice(lo, hi)
-        some = lo + np.flatnonzero(part[span])
-        out["whole"].append(content[span][whole[span]].astype("<u8").tobytes())
-        out["part"].append(content[some].astype("<u8").tobytes())
-        out["bits"].append(np.packbits(ragged_take(flag, begin, count, some)).tobytes())
-    return pa.table({"chunk": packets.column("chunk"), "hot": packets.column("hot"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
-
-
-def _gone(chunk: Chunk, replies: pa.Table, length: int, gram: int) -> np.ndarray:
+    flag = ragged_take(at_place, own[which], width[which], np.arange(len(which))) < np.repeat(doc, count)
+    edge = np.zeros(len(flag) + 1, dtype=bool)
+    edge[begin] = True
+    from_ = np.flatnonzero(flag & (edge[:-1] | ~np.r_[False, flag[:-1]]))
+    edge[-1] = True
+    to = np.flatnonzero(flag & (edge[1:] | ~np.r_[flag[1:], False])) + 1
+    run = np.searchsorted(begin, from_, side="right") - 1
+    # at each of the places that the chunk's document has it
+    n = times[run]
+    base = ragged_take(starts.astype(np.int64), np.cumsum(times) - times, times, run)
+    lo, hi = base + np.repeat(from_ - begin[run], n), base + np.repeat(to - begin[run], n) + length - 1
+    bounds = np.searchsorted(np.repeat(run, n), np.r_[0, np.cumsum(n_runs)]).tolist()
+    gone = [_pairs(lo[a:b], hi[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return pa.table({"chunk": packets.column("chunk"), "local": packets.column("local"), "gone": pa.array(gone, pa.binary())})
+
+
+def _same_bytes(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> bool:
+    """Are the runs of ``a``, one after another, those of ``b``? Compared a few MB at a time."""
+    if not np.array_equal(a_size, b_size):
+        return False
+    step = 1 << 16
+    return all(np.array_equal(a[a_start[k]:a_start[min(k + step, len(a_start)) - 1] + a_size[min(k + step, len(a_start)) - 1]],
+                              ragged_take(b, b_start, b_size, np.arange(k, min(k + step, len(a_start))))) for k in range(0, len(a_start), step))
+
+
+def _gone(chunk: Chunk, replies: pa.Table) -> np.ndarray:
     """Which bytes of a chunk are removed."""
-    runs = Runs(chunk, length, gram)
-    runs.split(reply_keys(replies, "hot"), length)
-    content, ids = runs.content(), chunk.ids[runs.doc]
-    order = np.argsort(content)
-    c = content[order]
-    told = np.sort(np.frombuffer(b"".join(replies.column("whole").to_pylist()), "<u8"))
-    all_ = (smallest(content, ids) < ids) | is_in(content, told)  # a smaller document of this chunk, or of another
-    edges = len(chunk.bytes) + 1
-    cover = np.bincount(runs.start[all_], minlength=edges) - np.bincount((runs.start + runs.size)[all_], minlength=edges)
-    # runs of which some places go
-    for part, bits in zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        part = np.frombuffer(part, "<u8")
-        lo, hi = np.searchsorted(c, part, "left"), np.searchsorted(c, part, "right")
-        width = runs.places[order[lo]]
-        bits = np.unpackbits(np.frombuffer(bits, np.uint8))
-        begin = np.cumsum(width) - width
-        copies = ragged_take(np.arange(len(c)), lo, hi - lo, np.arange(len(lo)))
-        of = np.repeat(np.arange(len(lo)), hi - lo)
-        hit = ragged_take(bits, begin, width, of) > 0
-        at = (np.repeat(runs.start[order[copies]], width[of]) + ragged_take(np.arange(len(bits)), begin, width, of) - np.repeat(begin[of], width[of]))[hit]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + length, -1)
-    return np.cumsum(cover)[:-1] > 0
+    told = [x for name in ("local", "gone") for x in replies.column(name).to_pylist()]
+    edges = np.frombuffer(b"".join(told), "<u4").reshape(-1, 2)
+    n = len(chunk.bytes) + 1
+    return np.cumsum(np.bincount(edges[:, 0], minlength=n) - np.bincount(edges[:, 1], minlength=n))[:-1] > 0
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _remove(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Table:
+def _remove(rows: pa.Table, replies: pa.Table) -> pa.Table:
     if not rows.num_rows:
         return pa.table({k: pa.array([], pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")} | {"kept": pa.array([], pa.binary())})
     chunk = Chunk(rows)
-    gone = _gone(chunk, replies, length, gram)
+    gone = _gone(chunk, replies)
     total = lambda x: np.diff(np.r_[0, np.cumsum(x)][np.r_[0, chunk.ends]])
     begins = gone & ~np.r_[False, gone[:-1]][:len(gone)]
     starts = (chunk.ends - chunk.lens)[chunk.lens > 0]
@@ -380,7 +422,7 @@ def _remove(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Tab
 
 
 def _replies(chunks: DataFrame, n: int, length: int, gram: int, hot_runs: int) -> DataFrame:
-    """For each chunk: the runs of its places, whole or in part, that a smaller document elsewhere has."""
+    """For each chunk: its bytes in strings that a smaller document has."""
     if not 8 <= gram < length:
         raise ValueError("a gram has 8 bytes at least and is shorter than the strings")
     n *= 2  # buckets: a run takes more memory in its bucket than its bytes in their chunk
@@ -401,15 +443,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     One document must fit in a task's memory."""
     chunks, n = chunked(docs, doc_id, text, chunk_bytes)
     earlier = _replies(chunks, n, length, gram, hot_runs)
-    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _remove(t, r, length, gram)), RESULT)
+    return chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _remove(t, r)), RESULT)
 
 
-def _cut(rows: pa.Table, replies: pa.Table, length: int, gram: int) -> pa.Table:
+def _cut(rows: pa.Table, replies: pa.Table) -> pa.Table:
     """The rows of a chunk, with the text that is left where there was one."""
     if not rows.num_rows:
         return pa.table({"row": rows.column("row"), "left": pa.array([], pa.string())})
     chunk = Chunk(rows)
-    gone = _gone(chunk, replies, length, gram)
+    gone = _gone(chunk, replies)
     first = np.flatnonzero((chunk.bytes & 0xC0) != 0x80)  # a character goes with any of its bytes
     if len(first):
         gone = np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.r_[first, len(gone)]))
@@ -424,5 +466,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_b
     chunks, n = chunked(docs, doc_id, text, chunk_bytes, carry=True)
     earlier = _replies(chunks, n, length, gram, hot_runs)
     schema = f"row {chunks.schema['row'].dataType.simpleString()}, left string"
-    out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _cut(t, r, length, gram)), schema)
+    out = chunks.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(released(lambda t, r: _cut(t, r)), schema)
     return out.select(*(F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

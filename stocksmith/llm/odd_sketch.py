@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, text_rows, text_slices, written
 from .components import components
 from .cover_anchors import Words
-from .shards import mixed, released
+from .shards import mixed, released, window_hashes
 
 BANDS, ROWS, BITS = 40, 6, 1024
 #: Bytes of text handled at a time; a task holds about 60 times as much.
@@ -48,8 +48,13 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     at, h = split.windows(words)
     doc = split.doc[at]
     few = np.flatnonzero((split.count > 0) & (split.count < words))  # the whole sequence is one shingle
-    h = np.r_[h, mixed(split.prefix.runs(split.first[few], split.count[few]), 6)]
-    doc = np.r_[doc, few]
+    parts = [h]
+    for n in range(1, words):
+        same = few[split.count[few] == n]
+        row = split.word[split.first[same, None] + np.arange(n)].ravel()
+        parts.append(mixed(window_hashes(row, n)[::n], 6 + n))
+        doc = np.r_[doc, same]
+    h = np.concatenate(parts)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][:len(h)]

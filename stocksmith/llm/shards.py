@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,32 +74,18 @@ class Chunk:
         self.ends = np.cumsum(self.lens)
         self.bytes = np.frombuffer(b"".join(d[1] for d in docs), dtype=np.uint8)
         self.number = int(rows.column("chunk")[0].as_py())
+        self._eights = None
+
+    @property
+    def eights(self) -> np.ndarray:
+        if self._eights is None:
+            self._eights = eights(self.bytes)
+        return self._eights
 
     def id_column(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.ids == NO_ID)
 
 
-KEEP_POWERS = 1_000_000
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; a worker keeps some of them."""
-    known = _POWERS.get(int(base))
-    if known is None or len(known) < n:
-        known = np.full(n, base, dtype=np.uint64)
-        known[:1] = 1
-        np.cumprod(known, dtype=np.uint64, out=known)
-        if n <= KEEP_POWERS:
-            _POWERS[int(base)] = known
-    return known[:n]
-
-
-def inverse(base: np.uint64) -> np.uint64:
-    """The odd number that undoes multiplication by ``base`` modulo 2**64."""
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection on 64-bit words that spreads each bit over all."""
     x = x + np.uint64(salt * int(ODD) & (1 << 64) - 1)
@@ -107,22 +94,60 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Prefix:
-    """Hashes of any run of a sequence of words, from sums of word * base**place."""
+def eights(raw: np.ndarray) -> np.ndarray:
+    """At each place of some bytes (and at their end) the eight from there on, as one number; zeros follow the end."""
+    padded = np.r_[raw, np.zeros(16, np.uint8)]
+    out = np.empty(len(raw) + 1, dtype=np.uint64)
+    for p in range(min(8, len(out))):
+        out[p::8] = np.frombuffer(padded, "<u8", count=(len(out) - p + 7) // 8, offset=p)
+    return out
+
 
-    def __init__(self, words: np.ndarray, base: int):
-        self.base = np.uint64(base)
-        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words.astype(np.uint64) * powers(self.base, len(words)), dtype=np.uint64, out=self.sums[1:])
-        self.back = powers(inverse(self.base), len(words) + 1)
+#: A run of more bytes is hashed by the xxhash library.
+LONG_RUN = 128
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
-    def runs(self, start: np.ndarray, length) -> np.ndarray:
-        return mixed((self.sums[start + length] - self.sums[start]) * self.back[start], 1) ^ mixed(np.atleast_1d(np.asarray(length, dtype=np.uint64)), 2)
 
-    def windows(self, length: int) -> np.ndarray:
-        """The hash of the run of ``length`` at every place that has one."""
-        n = max(0, len(self.sums) - length)
-        return mixed((self.sums[length:length + n] - self.sums[:n]) * self.back[:n], 1)
+def _mix_in(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * MIX[1]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """64 bits of each run of bytes (``words``: their :func:`eights`): eight bytes at a time go through a mixing step
+    with all that came before, so that no sum of them can cancel."""
+    words = eights(raw) if words is None else words
+    h = mixed(size.astype(np.uint64), 3)
+    few = np.flatnonzero(size < 8)
+    h[few] = _mix_in(h[few], words[start[few]] & TAIL[size[few]])
+    long = np.flatnonzero(size > LONG_RUN)
+    some = np.flatnonzero((size >= 8) & (size <= LONG_RUN))
+    if len(some):
+        of, at, left = h[some], start[some], size[some]
+        live, done = np.arange(len(some)), 0
+        while len(live):
+            live = live[left[live] > done + 8]
+            of[live] = _mix_in(of[live], words[at[live] + done])
+            done += 8
+        h[some] = _mix_in(of, words[at + left - 8])
+    for k in long.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[start[k]:start[k] + size[k]], seed=1)
+    return mixed(h, 4)
+
+
+def _joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    return mixed(left * MIX[1] ^ (right << np.uint64(23) | right >> np.uint64(41)), salt)
+
+
+def window_hashes(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """64 bits of the ``length`` hashes from each place on: windows grow by joining two shorter ones, each time through a mixing step."""
+    h, have = mixed(h, 17 + salt), 1
+    while have < length and len(h):
+        step = min(have, length - have)
+        h = _joined(h[:-step], h[step:], 19 + salt)
+        have += step
+    return h if have == length else h[:0]
 
 
 def short(keys: np.ndarray) -> bytes:
@@ -148,6 +173,12 @@ def smallest(groups: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def spans_of(sorted_: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The different values of a sorted array, and from where to where each stands."""
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][:len(sorted_)])
+    return sorted_[first].tolist(), first.tolist(), np.r_[first[1:], len(sorted_)].tolist() if len(first) else []
+
+
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -162,11 +193,10 @@ def key_packets(chunk: Chunk, keys: np.ndarray, docs: np.ndarray, buckets: int,
     order = np.argsort(bucket * 2 + several, kind="stable")
     times = np.ceil(np.log2(np.diff(np.r_[first, len(keys)]))).astype(np.uint8)[order] if counted else None
     values, several, bucket = values[order], several[order], bucket[order]
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows = [b for b in range(buckets) if at[b] < at[b + 1]]
-    part = lambda flag: [short(values[at[b]:at[b + 1]][several[at[b]:at[b + 1]] == flag]) for b in rows]
+    rows, lo, hi = spans_of(bucket)
+    part = lambda flag: [short(values[a:b][several[a:b] == flag]) for a, b in zip(lo, hi, strict=True)]
     out = {"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int32()), "one": pa.array(part(False), pa.binary()), "many": pa.array(part(True), pa.binary())}
-    return pa.table(out | ({"times": pa.array([times[at[b]:at[b + 1]].tobytes() for b in rows], pa.binary())} if counted else {}))
+    return pa.table(out | ({"times": pa.array([times[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())} if counted else {}))
 
 
 KEY_PACKETS = "bucket int, chunk int, one binary, many binary"

@@ -39,6 +39,49 @@ def test_cover_anchors(spark, seed):
     assert sum(w[2] for w in want) > 0
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_sums_confuse(spark, n):
+    """A Thue-Morse word and its complement have equal sums of letter * base**place modulo 2**64 for any odd base."""
+    one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rest = [f"w{i}" for i in range(60)]
+    docs = [(1, one), (2, two), (3, " ".join([*rest[:30], one, *rest[30:]])), (4, " ".join([*rest[:30], two, *rest[30:]])), (5, " ".join([one] * 25 + [two] * 30)), (6, " ".join([two] * 25 + [one] * 30)),
+            (7, thue_morse(64, "a ", "b ")), (8, thue_morse(64, "b ", "a "))]
+    got = cover_anchors.remove_repeats(frame(spark, docs)).collect()
+    assert order((r.doc_id, r.n_removed) for r in got) == [(d, sum(g)) for (d, _), (_, g) in zip(docs, repeats(docs, 50, lambda t: WORD.findall(t)))]
+    for words in (2, 5):
+        got = odd_sketch.near_duplicates(frame(spark, docs), words=words).collect()
+        assert order(map(tuple, got)) == order(near_duplicates(docs, words))
+    got = induced_suffix.remove_repeats(frame(spark, docs)).collect()
+    assert order((r.doc_id, r.n_removed) for r in got) == [(d, sum(g)) for (d, _), (_, g) in zip(docs, repeats(docs, 50, lambda t: t.encode()))]
+
+
+def test_run_hashes():
+    """Runs have the same hash exactly if they have the same bytes, wherever they lie."""
+    import numpy as np
+
+    from stocksmith.llm.shards import run_hashes, window_hashes
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 2, 3000).astype(np.uint8)
+    start = rng.integers(0, 2700, 20_000)
+    size = rng.integers(0, 300, 20_000) * (rng.random(20_000) < 0.3) + rng.integers(0, 20, 20_000) % (3000 - start)
+    size = np.minimum(size, 3000 - start)
+    h = run_hashes(raw, start, size)
+    of = {}
+    for k, (a, n) in enumerate(zip(start.tolist(), size.tolist())):
+        assert of.setdefault(raw[a:a + n].tobytes(), h[k]) == h[k]
+    assert len(set(of.values())) == len(of)
+    x = rng.integers(0, 2, 500).astype(np.uint64)
+    for n in (1, 2, 5, 20, 50):
+        w = window_hashes(x, n)
+        same = {x[i:i + n].tobytes(): w[i] for i in range(501 - n)}
+        assert len(w) == 501 - n and len(set(w.tolist())) == len(same) == len(set(same.values()))
+    assert len(window_hashes(x[:3], 5)) == 0 == len(window_hashes(x[:0], 1))
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 13, 21, 31, 40])
 def test_difference_cover(period):
     places = cover_anchors.difference_cover(period)
