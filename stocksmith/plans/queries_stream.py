@@ -69,6 +69,16 @@ def t1(t):
     return ST.rate_violations(_counted(t, ST.rate_rows(_log_stream(t), "1 day"), ST.RATE_KEYS, "t1"), limit=3)
 
 
+@register("T1_refused_requests", """
+with log as (select date_trunc('millisecond', ts) as ts, ip, request_id from f_request_log),
+w as (select *, date_trunc('day', ts) as window_start, row_number() over (partition by date_trunc('day', ts), ip order by ts, request_id) as number from log)
+select window_start, ip, ts, request_id, number from w where number > 3""")
+def t1_refused(t):
+    """The refused requests themselves: the fourth and later of an IP's day, numbered in time order."""
+    _utc(t)
+    return ST.refused_requests(TB.read_request_log(t.spark, write_request_log_lines(t, files=4)), "1 day", limit=3)
+
+
 @register("T2_request_metrics", """
 with log as (select date_trunc('millisecond', ts) as ts, method,
                     regexp_replace(regexp_replace(url, '\\?.*$', ''), '/[0-9]+(/|$)', '/:id\\1', 'g') as route,
@@ -115,16 +125,35 @@ def t3(t):
     return t.spark.read.parquet(f"{base}/alerts").drop("batch")
 
 
-@register("T4_revoked_use", """
+REVOKED_SQL = """
 select a.session_key as key, a.ts, a.request_id
 from f_request_log a
-where exists (select 1 from f_revocations r where a.session_key = r.key and a.ts >= r.revoked_at and a.ts < r.expires_at)""")
+where exists (select 1 from f_revocations r where a.session_key = r.key and a.ts >= r.revoked_at and a.ts < r.expires_at)"""
+
+
+def _revoked(t, events: DataFrame, name: str) -> DataFrame:
+    base = shared_path(t.spark, name)
+    rows = ST.access_rows(FX.request_log_from(events), FX.revocations_from(events))
+    _run(ST.revoked_use(rows, f"{base}/state", f"{base}/out", f"{base}/checkpoint"))
+    return t.spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@register("T4_revoked_use", REVOKED_SQL)
 def t4(t):
-    """Requests made with a key while it is revoked, each once: stream-stream
-    interval semi-join of the request stream and the revocation stream (both from events)."""
+    """Requests made with a key while it is revoked, each once (requests and revocations both from events)."""
+    _utc(t)
+    return _revoked(t, _stream_table(t, "events"), "t4")
+
+
+@register("T4_revoked_use_batches", REVOKED_SQL)
+def t4_batches(t):
+    """The same from four files, one to a micro-batch, none in time order: requests come long after or before
+    the revocations that hold them, and nothing is lost."""
     _utc(t)
-    ev = _stream_table(t, "events")
-    return _sink(t, ST.revoked_use(FX.request_log_from(ev), FX.revocations_from(ev)), "t4")
+    base = shared_path(t.spark, "t4-events")
+    t.raw("events").repartition(4, F.xxhash64("event_id")).write.parquet(base)
+    stream = t.spark.readStream.schema(t.raw("events").schema).option("maxFilesPerTrigger", 1).parquet(base)
+    return _revoked(t, stream, "t4")
 
 
 @register("T5_status_stream", f"""

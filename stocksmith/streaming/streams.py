@@ -9,8 +9,8 @@ they are streams over event time:
   both from counts that each micro-batch writes and a reader sums
 * T3 ``stock_alerts``     ``foreachBatch``: running stock per product from
   its current stock (a change log), alerts on crossing down to the threshold
-* T4 ``revoked_use``      stream-stream interval semi-join of requests and
-  revocations, state bounded by both watermarks
+* T4 ``revoked_use``      ``foreachBatch``: requests meet the revocations of their
+  days, late ones of either kind too; state is kept by day
 * T5 ``status_stream``    ``foreachBatch``: status requests applied to the
   current status of the orders they name (M7); state is a change log
 
@@ -22,12 +22,17 @@ same files (idempotent).  Test tables store TIMESTAMP_NTZ, which
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates as P
 from ..operators import mutate as MU
 from ..operators import relations as R
+from ..operators import running
+from ..sources.commits import Files
 
 
 def event_time(col: str) -> Column:
@@ -115,22 +120,115 @@ def request_metrics(counts: DataFrame) -> DataFrame:
     return x.join(y, on, "left").select("x.*", "y.p95_ms")
 
 
+def refused_requests(log: DataFrame, window: str = "60 seconds", limit: int = 100) -> DataFrame:     # T1
+    """The requests that the limit refuses: in each IP's window all after the
+    first ``limit``, in the order of time and request id.  Numbered from the log itself, so
+    they do not depend on how it was cut into files or batches; the rows of a hot IP are split by time."""
+    w = F.window(event_time("ts"), window)
+    rows = log.select(w.alias("w"), "ip", "ts", "request_id").select(
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "ip", F.col("ts").cast("timestamp_ntz").alias("ts"), "request_id")
+    # ids of the same time are dealt to a thousand blocks that follow their order
+    block = F.substring(F.coalesce("request_id", F.lit("")), 1, 3)
+    levels = [*running.time_levels(F.col("ts"), F.lit(0))[:3], block]
+    numbered = running.running_sum(rows, ["window_start", "ip"], [F.col("ts"), F.coalesce("request_id", F.lit("")), F.col("request_id")],
+                                   F.lit(1).cast("bigint"), "number", chunk=levels)
+    return numbered.filter(F.col("number") > limit)
+
+
 # ------------------------------------------------------------------ T4
-def revoked_use(access: DataFrame, revocations: DataFrame, lifetime: str = "7 days",
-                watermark: str = "1 hour") -> DataFrame:
-    """Requests made with a key while one of its revocations holds: ``key`` equal
-    and ``revoked_at <= ts < revoked_at + lifetime``.  A left-semi stream join, so each
-    request is refused once, however often its key was revoked.  Both
-    sides carry watermarks and the time bound, so Spark drops join state
-    once no later row can match."""
-    a = access.select(F.col("session_key").alias("a_key"), event_time("ts").alias("a_ts"), "request_id") \
-        .withWatermark("a_ts", watermark)
-    r = revocations.select(F.col("key").alias("r_key"), event_time("revoked_at").alias("r_at")) \
-        .withWatermark("r_at", watermark)
-    cond = (F.col("a_key") == F.col("r_key")) & (F.col("a_ts") >= F.col("r_at")) & \
-           (F.col("a_ts") < F.col("r_at") + F.expr(f"interval {lifetime}"))
-    j = a.join(r, cond, "left_semi")
-    return j.select(F.col("a_key").alias("key"), F.col("a_ts").cast("timestamp_ntz").alias("ts"), "request_id")
+def access_rows(access: DataFrame, revocations: DataFrame) -> DataFrame:
+    """Requests and revocations (batches or streams) as one: ``revocation``, key, ts, request_id."""
+    a = access.select(F.lit(False).alias("revocation"), F.col("session_key").alias("key"), F.col("ts").cast("timestamp_ntz").alias("ts"), "request_id")
+    return a.unionByName(revocations.select(F.lit(True).alias("revocation"), "key", F.col("revoked_at").cast("timestamp_ntz").alias("ts"),
+                                            F.lit(None).cast("string").alias("request_id")))
+
+
+def _held(requests: DataFrame, revocations: DataFrame, days: int, how: str) -> DataFrame:
+    """``requests`` whose key a revocation holds at their time (``left_semi``) or none does (``left_anti``).
+
+    A revocation stands under each day that it touches, so both sides meet by key
+    and day, not by key alone."""
+    r = revocations.select("key", F.col("ts").alias("_from"), (F.col("ts") + F.expr(f"interval {days} days")).alias("_to")).distinct()
+    r = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    q, r = requests.alias("q"), r.alias("r")
+    return q.join(r, (F.col("q.key") == F.col("r.key")) & (F.to_date(F.col("q.ts")) == F.col("r._day"))
+                  & (F.col("q.ts") >= F.col("r._from")) & (F.col("q.ts") < F.col("r._to")), how)
+
+
+class DayLog:
+    """Rows kept by the day of their time and the batch that brought them; only the days asked for are listed and read."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema):
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self.files = Files(spark, folder)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """A replayed batch replaces what it wrote."""
+        out = rows.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(batch_id))
+        out = out.repartition("day", F.pmod(F.xxhash64("key"), F.lit(8)))    # a few files a day, also of a day or key with most rows
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.folder)
+
+    def days(self) -> list[str]:
+        return sorted(n.removeprefix("day=") for n, _ in self.files.names(self.folder) if n.startswith("day="))
+
+    def read(self, first, last, before: int) -> DataFrame:
+        """Rows of the days from first to last that came before a batch."""
+        days = [d for d in self.days() if str(first) <= d <= str(last)]
+        if not days:
+            return self.spark.createDataFrame([], self.schema)
+        schema = T.StructType([*self.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+        rows = self.spark.read.schema(schema).option("basePath", self.folder).parquet(*[f"{self.folder}/day={d}" for d in days])
+        return rows.filter(F.col("batch") < before).drop("day", "batch")
+
+    def expire(self, before: str) -> None:
+        """Removes the days before ``before``: rows that come later for them find nothing there."""
+        for d in self.days():
+            if d < before:
+                self.files.remove(f"{self.folder}/day={d}")
+
+
+def revoked_use_batch(spark: SparkSession, rows: DataFrame, state_dir: str, out_dir: str, batch_id: int, days: int = 7) -> None:
+    """One micro-batch of requests and revocations (:func:`access_rows`).
+
+    New requests meet all revocations so far; requests of earlier batches that
+    none of the earlier revocations held meet the new ones.  So each request is
+    refused once, in the batch in which the first of its request and a holding
+    revocation is complete, whatever the order of arrival.  Both are kept by
+    day, and a batch reads the days within ``days`` of its own rows only."""
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("ts", T.TimestampNTZType()),
+                           T.StructField("request_id", T.StringType())])
+    known, asked = DayLog(spark, f"{state_dir}/revocations", schema), DayLog(spark, f"{state_dir}/requests", schema)
+    rows = rows.filter(F.col("key").isNotNull() & F.col("ts").isNotNull())
+    new_keys, new = rows.filter("revocation").drop("revocation"), rows.filter("not revocation").drop("revocation")
+    span = rows.groupBy("revocation").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last")).collect()
+    span = {r.revocation: (r.first, r.last) for r in span}
+    week = dt.timedelta(days=days)
+    found = None
+    if False in span:
+        first, last = span[False]
+        found = _held(new, known.read(first - week, last, batch_id).unionByName(new_keys), days, "left_semi")
+    if True in span:
+        first, last = span[True]
+        earlier = asked.read(first, last + week, batch_id)
+        late = _held(_held(earlier, new_keys, days, "left_semi"), known.read(first - 2 * week, last + week, batch_id), days, "left_anti")
+        found = late if found is None else found.unionByName(late)
+    if found is not None:
+        found.select("key", "ts", "request_id").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+    known.write(new_keys, batch_id)
+    asked.write(new, batch_id)
+
+
+def revoked_use(rows: DataFrame, state_dir: str, out_dir: str, checkpoint: str, days: int = 7, available_now: bool = True):
+    """Start T4 on a stream of :func:`access_rows`: requests made with a key while one of its
+    revocations holds (``revoked_at <= ts < revoked_at + days``), each once.
+
+    No row is dropped for being late: it meets the days that it belongs to.
+    ``DayLog.expire`` removes days that no later row can need."""
+    spark = rows.sparkSession
+    w = rows.writeStream.foreachBatch(lambda batch, batch_id: revoked_use_batch(spark, batch, state_dir, out_dir, batch_id, days))
+    w = w.option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
 # ------------------------------------------------------------------ T3
