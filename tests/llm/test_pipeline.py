@@ -131,5 +131,5 @@ def test_sql(spark, name):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
     names = queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(k) for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLES) <= set(oracle_sql())
