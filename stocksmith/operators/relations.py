@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import predicates as P
 from ..sources import schemas as S
-from . import running
+from . import audit, running
 
 LEDGER_ORDER = ("changed_at", "ref_id", "line_no")
 
@@ -150,19 +150,7 @@ def unique_violations(tables: dict[str, DataFrame], names: list[str] | None = No
     ``names`` (default: all that have keys), which must be given."""
     names = list(dict.fromkeys([*S.PRIMARY_KEYS, *S.UNIQUE_KEYS])) if names is None else names
     require(tables, names)
-    parts = []
-    specs = [(t, cols, "primary_key") for t, cols in S.PRIMARY_KEYS.items()] + \
-            [(t, cols, "unique") for t, cols in S.UNIQUE_KEYS.items()]
-    for table, cols, kind in specs:
-        if table not in names:
-            continue
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-        parts.append(tables[table].filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-                     .groupBy(key.alias("key_value")).agg(F.count(F.lit(1)).alias("rows"))
-                     .filter(F.col("rows") > 1)
-                     .select(F.lit(table).alias("table_name"), F.lit(kind).alias("rule"),
-                             F.lit(",".join(cols)).alias("key_columns"), "key_value", "rows"))
-    return reduce(DataFrame.unionByName, parts)
+    return audit.violations(tables, audit.key_rules(names))
 
 
 def low_stock_count(products: DataFrame) -> DataFrame:                               # A5

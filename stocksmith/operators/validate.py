@@ -10,12 +10,11 @@ map-side.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import schemas as S
+from . import audit
 from . import relations as R
 
 
@@ -148,28 +147,6 @@ def table_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Every constraint of the schema checked over whole tables, as one
     report (table_name, rule, key_columns, key_value, rows): NOT NULL, declared
     length and CHECK per row, PRIMARY KEY and UNIQUE per key, FOREIGN KEY per
-    value.  All six tables must be given."""
+    value.  One scan of each table and one aggregate (:mod:`.audit`).  All six tables must be given."""
     R.require(tables, S.TABLES)
-    parts = []
-    for table in S.TABLES:
-        t = tables[table]
-        for c, most in S.MAX_LENGTHS.get(table, {}).items():
-            parts.append(t.filter(F.length(c) > most).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 0)
-                         .select(F.lit(table).alias("table_name"), F.lit("length").alias("rule"),
-                                 F.lit(c).alias("key_columns"), F.lit(None).cast("string").alias("key_value"), "rows"))
-        for c in dict.fromkeys([*S.PRIMARY_KEYS.get(table, []), *S.NOT_NULL.get(table, [])]):
-            parts.append(t.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).alias("rows"))
-                         .filter(F.col("rows") > 0)
-                         .select(F.lit(table).alias("table_name"), F.lit("not_null").alias("rule"),
-                                 F.lit(c).alias("key_columns"), F.lit(None).cast("string").alias("key_value"), "rows"))
-    for table, (c, allowed) in S.CHECKS.items():
-        bad = tables[table].filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
-        parts.append(bad.groupBy(F.col(c).cast("string").alias("key_value")).agg(F.count(F.lit(1)).alias("rows"))
-                     .select(F.lit(table).alias("table_name"), F.lit("check").alias("rule"),
-                             F.lit(c).alias("key_columns"), "key_value", "rows"))
-    parts.append(R.unique_violations(tables))
-    orphans = R.fk_orphans(tables).groupBy("child_table", "fk_column", "fk_value").agg(F.count(F.lit(1)).alias("rows"))
-    parts.append(orphans.select(F.col("child_table").alias("table_name"), F.lit("foreign_key").alias("rule"),
-                                F.col("fk_column").alias("key_columns"),
-                                F.col("fk_value").cast("string").alias("key_value"), "rows"))
-    return reduce(DataFrame.unionByName, parts)
+    return audit.violations(tables, audit.key_rules(S.TABLES) + audit.row_rules(S.TABLES), S.FOREIGN_KEYS)
