@@ -38,7 +38,7 @@ SUMS = "count(*) as n, " + ", ".join([*(f"sum(x{i}) as s{i}" for i in range(Q.DI
 def quality_sql() -> str:
     n = range(Q.DIMS)
     sql = f"""
-with w as materialized (
+with recursive w as materialized (
   select doc_id, lang, source, coalesce(text, '') as text, {WORDS} as w from documents),
 grams as (
   select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) as i from w)),
@@ -63,7 +63,10 @@ sizes as (select lang, source, count(*) as n from x where not base_failed group
 pools as (select *, sum(case when n < {Q.MIN_ROWS} then n end) over (partition by lang) as pool from sizes),
 groups as materialized (
   select lang, source, n, case when n >= {Q.MIN_ROWS} then lang || chr(1) || source when pool >= {Q.MIN_ROWS} then lang else '*' end as grp from pools),
-r as materialized (select grp, x0, x1, x2, x3 from x join groups using (lang, source) where not base_failed),
+own as materialized (select grp, x0, x1, x2, x3 from x join groups using (lang, source) where not base_failed),
+r as materialized (
+  select * from own where grp <> '*' or (select count(*) from own where grp = '*') >= {Q.MIN_ROWS}
+  union all select '*', x0, x1, x2, x3 from own where (select count(*) from own where grp = '*') between 1 and {Q.MIN_ROWS} - 1),
 med as (select grp, {", ".join(f"quantile_cont(x{i}, 0.5) as m{i}" for i in n)} from r group by grp),
 mad as (select grp, {", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) as d{i}" for i in n)} from r join med using (grp) group by grp),
 robust as (select grp, 0 as start, {", ".join(f"m{i} / 1024::double as m{i}" for i in n)}, {", ".join(
@@ -72,23 +75,27 @@ robust as (select grp, 0 as start, {", ".join(f"m{i} / 1024::double as m{i}" for
 all_rows as (select grp, 1 as start, {SUMS} from r group by grp),
 """
     sql += _mean_and_factor("plain", "all_rows", "grp, start", 1.0)
-    sql += "now0 as materialized (select * from robust union all by name select * from plain),\n"
-    for k in range(Q.STEPS):
-        sql += _distances(f"near{k}", "r", f"now{k}")
-        sql += f"""hist{k} as (select grp, start, floor(least(sqrt(d2), {Q.FAR}::double) * {Q.BUCKETS}) as bucket, {SUMS} from near{k} group by all),
-ranked{k} as (select *, coalesce(sum(n) over (partition by grp, start order by bucket rows between unbounded preceding and 1 preceding), 0) as before,
-  sum(n) over (partition by grp, start) as total from hist{k}),
-core{k} as (select grp, start, {", ".join(f"sum({c}) as {c}" for c in Q._SUM_NAMES)} from ranked{k} where before < ceil({Q.CORE} * total) group by all),
+    every = ", ".join([*(f"m{i}" for i in n), *(f"l{i}{j}" for i, j in Q.PAIRS)])
+    step = _distances("near", "r", "(select * from steps where falls)")
+    step += f"""hist as (select grp, start, k, det as was, floor(least(sqrt(d2), {Q.FAR}::double) * {Q.BUCKETS}) as bucket, {SUMS} from near group by all),
+ranked as (select *, coalesce(sum(n) over (partition by grp, start order by bucket rows between unbounded preceding and 1 preceding), 0) as before,
+  sum(n) over (partition by grp, start) as total from hist),
+core as (select grp, start, k, was, {", ".join(f"sum({c}) as {c}" for c in Q._SUM_NAMES)} from ranked where before < ceil({Q.CORE} * total) group by all),
+"""
+    step += _mean_and_factor("est", "core", "grp, start, k, was", Q.consistency(Q.CORE)).rstrip(",\n")
+    sql += f"""starts as materialized (select * from robust union all by name select * from plain),
+steps as (
+  select grp, start, 0 as k, 'inf'::double as det, true as falls, {every} from starts
+  union all
+  (with {step}
+  select grp, start, k + 1, l00 * l11 * l22 * l33, l00 * l11 * l22 * l33 < was, {every} from est)),
+best as (select grp, {every} from (select *, row_number() over (partition by grp order by det, start, k) as nr from steps) where nr = 1),
 """
-        sql += _mean_and_factor(f"est{k}", f"core{k}", "grp, start", Q.consistency(Q.CORE))
-        sql += f"now{k + 1} as materialized (select * from est{k}),\n"
-    sql += f"best as (select * exclude (start, k) from (select *, row_number() over (partition by grp order by l00 * l11 * l22 * l33, start) as k from now{Q.STEPS}) where k = 1),\n"
     sql += _distances("closest", "r", "best")
     sql += f"weights as (select grp, {SUMS} from closest where d2 <= {Q.chi2_quantile(0.975)!r}::double group by grp),\n"
     sql += _mean_and_factor("final", "weights", "grp", Q.consistency(0.975))
-    sql += f"enough as (select f.* from final f where grp in (select grp from groups group by grp having sum(n) >= {Q.MIN_ROWS})),\n"
     sql += "placed as (select x.*, g.grp from x left join groups g on x.lang = g.lang and x.source = g.source),\n"
-    sql += _distances("judged", "placed", "enough", "left join")
+    sql += _distances("judged", "placed", "final", "left join")
     return sql.rstrip(",\n") + f"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and coalesce(d2, 0) <= {Q.chi2_quantile(1 - Q.TAIL)!r}::double as kept

@@ -5,8 +5,9 @@ from them a vector of four transformed statistics.  Per language and source a
 minimum-covariance-determinant estimate says where the bulk of the vectors
 lies: from two starts (medians with median deviations; plain mean and
 covariance), C-steps refit mean and covariance to the 75 % of rows that are
-nearest; the start that ends with the smaller determinant stands, is reweighted
-once, and vectors at a large Mahalanobis distance are rejected.
+nearest until the determinant falls no more; the start that ends with the
+smaller determinant stands, is reweighted once, and vectors at a large
+Mahalanobis distance are rejected.
 
 Vectors are kept as integers (1/1024), so that all sums are exact and no result
 hangs on the order of rows.  A C-step sorts no rows: distances are counted in
@@ -32,8 +33,7 @@ SCALE = 1024
 BUCKETS, FAR = 64, 4096
 #: Part of a group's rows that the estimate is fitted to.
 CORE = 0.75
-STARTS, STEPS = 2, 4
-#: Groups with fewer rows are pooled by language, then all together; a pool below it rejects nothing.
+#: Groups with fewer rows are pooled by language, then all together; a last pool below it is judged by all rows.
 MIN_ROWS = 50
 #: Least spread of each statistic: log mean word length, log symbols, log repeated lines, log repeated words (per cent).
 #: Each alone can reject: in a group where all others have none, over 52 % repeated lines do, and over 41 % repeated words; one line of two does not.
@@ -143,11 +143,12 @@ def _sums() -> list[Column]:
 
 @dataclass
 class Model:
-    """``groups``: lang, source, grp; ``estimates``: grp, m, l of the reweighted estimates."""
+    """``groups``: lang, source, grp; ``estimates``: grp, m, l of the reweighted estimates; ``steps``: C-steps taken."""
 
     groups: DataFrame
     estimates: DataFrame
     few: bool
+    steps: int = 0
 
     def small(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.few else df
@@ -157,8 +158,24 @@ def _named(value: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), value), F.lit("null"))
 
 
+def _step(rows: DataFrame, model: Model, now: DataFrame) -> DataFrame:
+    """One C-step from the estimates ``now``: those of the rows nearest to each, with ``det``."""
+    keys = ["grp", "start"]
+    by = Window.partitionBy(*keys).orderBy("bucket")
+    near = _distance(rows.join(model.small(now), "grp")).withColumn("bucket", F.floor(F.least(F.sqrt("d2"), F.lit(float(FAR))) * BUCKETS))
+    hist = near.groupBy(*keys, "bucket").agg(*_sums())
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    core = hist.withColumn("before", before).withColumn("total", total).where(F.col("before") < F.ceil(CORE * F.col("total"))).groupBy(*keys).agg(*(F.sum(k).alias(k) for k in _SUM_NAMES))
+    return _factor(core, keys, consistency(CORE)).withColumn("det", F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"))
+
+
 def fit(rows: DataFrame) -> Model:
-    """The estimates of all groups of ``rows`` (lang, source, base_failed, x0..x3; rows that failed take no part)."""
+    """The estimates of all groups of ``rows`` (lang, source, base_failed, x0..x3; rows that failed take no part).
+
+    Each C-step is one pass over the vectors and a written table of a row per
+    group and start; a group whose determinant does not fall keeps what it had and
+    takes no further part, so the steps end."""
     spark = rows.sparkSession
     rows = rows.where(~F.col("base_failed"))
     sizes = rows.groupBy(_named("lang").alias("lang_"), _named("source").alias("source_")).agg(F.count("*").alias("n"))
@@ -167,9 +184,10 @@ def fit(rows: DataFrame) -> Model:
     grp = F.when(~few_rows, F.concat_ws("\x01", "lang_", "source_")).when(pool >= MIN_ROWS, F.col("lang_")).otherwise(F.lit("*"))
     groups = checkpointed(spark, sizes.select("lang_", "source_", "n", grp.alias("grp")))
     model = Model(groups.select("lang_", "source_", "grp"), None, groups.count() <= BROADCAST_GROUPS)
-    enough = groups.groupBy("grp").agg(F.sum("n").alias("total")).where(F.col("total") >= MIN_ROWS)
     x = [f"x{i}" for i in range(DIMS)]
     rows = _with_group(rows.select("lang", "source", *x), model).select("grp", *x)
+    if not groups.where(F.col("grp") == "*").agg(F.sum("n").alias("n")).where(F.col("n") < MIN_ROWS).isEmpty():
+        rows = rows.where(F.col("grp") != "*").unionByName(rows.withColumn("grp", F.lit("*")))
 
     # first start: medians and median absolute deviations, no correlation; second: all rows
     median = rows.groupBy("grp").agg(*(F.percentile(v, 0.5).alias(f"m{i}") for i, v in enumerate(x)))
@@ -178,22 +196,18 @@ def fit(rows: DataFrame) -> Model:
     robust = median.join(off, "grp").select("grp", F.lit(0).alias("start"), *((F.col(f"m{i}") / SCALE).alias(f"m{i}") for i in range(DIMS)),
                                             *((spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS))
     plain = _factor(rows.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(1)), ["grp", "start"], 1.0)
-    now = robust.unionByName(plain)
-    keys = ["grp", "start"]
-    by = Window.partitionBy(*keys).orderBy("bucket")
-    for _ in range(STEPS):
-        near = _distance(rows.join(model.small(now), "grp")).withColumn("bucket", F.floor(F.least(F.sqrt("d2"), F.lit(float(FAR))) * BUCKETS))
-        hist = near.groupBy(*keys, "bucket").agg(*_sums())
-        before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        core = hist.withColumn("before", before).withColumn("total", total).where(F.col("before") < F.ceil(CORE * F.col("total"))).groupBy(*keys).agg(*(F.sum(k).alias(k) for k in _SUM_NAMES))
-        now = _factor(core, keys, consistency(CORE))
-    determinant = F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")
     every = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i, j in PAIRS]
-    best = now.groupBy("grp").agg(F.min(F.struct(determinant.alias("det"), "start", *every)).alias("b")).select("grp", *(f"b.{k}" for k in every))
+    now = checkpointed(spark, robust.unionByName(plain).select("grp", "start", *every, F.lit(math.inf).alias("det"), F.lit(True).alias("falls")))
+    while not now.where("falls").isEmpty():
+        step = _step(rows, model, now.where("falls"))
+        fell = F.coalesce(F.col("step.det") < F.col("now.det"), F.lit(False))
+        now = checkpointed(spark, now.alias("now").join(model.small(step).alias("step"), ["grp", "start"], "left").select(
+            "grp", "start", *(F.when(fell, F.col(f"step.{k}")).otherwise(F.col(f"now.{k}")).alias(k) for k in [*every, "det"]), fell.alias("falls")))
+        model.steps += 1
+    best = now.groupBy("grp").agg(F.min(F.struct("det", "start", *every)).alias("b")).select("grp", *(f"b.{k}" for k in every))
     near = _distance(rows.join(model.small(best), "grp")).where(F.col("d2") <= chi2_quantile(0.975))
     weighted = _factor(near.groupBy("grp").agg(*_sums()), ["grp"], consistency(0.975))
-    model.estimates = checkpointed(spark, weighted.join(enough.select("grp"), "grp", "left_semi"))
+    model.estimates = checkpointed(spark, weighted)
     return model
 
 
@@ -203,7 +217,7 @@ def _with_group(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def judge(rows: DataFrame, model: Model) -> DataFrame:
-    """``distance`` (null without an estimate) and ``kept`` added to rows with counts and vectors."""
+    """``distance`` (null where all rows of the group failed) and ``kept`` added to rows with counts and vectors."""
     rows = _distance(_with_group(rows, model).join(model.small(model.estimates), "grp", "left"))
     # one comparison over both tables' columns: as a conjunction, a filter on it would be pushed
     # below the join and there repeat the counting of every word
@@ -221,7 +235,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     windows that occur twice or more.  kept: not base_failed, and the vector is
     not an outlier of its group.  Null or empty text: no words, so it fails.  Null
     languages and sources are groups of their own; groups of under 50 rows that
-    did not fail are pooled.  Null ids and repeated rows pass through, one row
+    did not fail are pooled, and a last pool of under 50 is held against the estimate
+    of all rows.  Null ids and repeated rows pass through, one row
     out for each in; an empty table gives an empty result; further columns are
     ignored."""
     spark = docs.sparkSession

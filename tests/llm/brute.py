@@ -25,7 +25,7 @@ def failed(c):
     return c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
 
 
-def quality(rows, least_spread, tail_cut, near_cut, c_core, c_near, min_rows=50, core=0.75, steps=4):
+def quality(rows, least_spread, tail_cut, near_cut, c_core, c_near, min_rows=50, core=0.75):
     """kept of each (lang, source, text), with numpy."""
     import numpy as np
     stats = [counts(t) for *_, t in rows]
@@ -53,21 +53,24 @@ def quality(rows, least_spread, tail_cut, near_cut, c_core, c_near, min_rows=50,
 
     for g in set(group):
         at = [i for i in range(len(rows)) if group[i] == g and not bad[i]]
-        if len(at) < min_rows:
+        if not at:
             continue
-        v = x[at]
+        v = x[at] if len(at) >= min_rows else x[[not f for f in bad]]
         med = np.median(v, 0)
         mad = np.median(np.abs(v - med), 0)
         ends = []
         for k, e in enumerate([(med / 1024, np.diag((1.4826 * mad / 1024) ** 2) + floor), estimate(v, 1.0)]):
-            for _ in range(steps):
+            det, h = math.inf, math.ceil(core * len(v))
+            while True:
                 b = np.floor(np.minimum(np.sqrt(d2(v, e)), 4096) * 64)
-                h = math.ceil(core * len(v))
-                e = estimate(v[b <= np.sort(b)[h - 1]], c_core)
-            ends.append((np.linalg.det(e[1]), k, e))
+                near = estimate(v[b <= np.sort(b)[h - 1]], c_core)
+                if not np.linalg.det(near[1]) < det * (1 - 1e-12):
+                    break
+                e, det = near, np.linalg.det(near[1])
+            ends.append((det, k, e))
         e = min(ends, key=lambda t: t[:2])[2]
         e = estimate(v[d2(v, e) <= near_cut], c_near)
-        for i, far in zip(at, d2(v, e) > tail_cut):
+        for i, far in zip(at, d2(x[at], e) > tail_cut):
             kept[i] = not far
     return kept
 

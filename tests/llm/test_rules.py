@@ -61,6 +61,31 @@ def test_each_repeat_statistic_rejects(spark):
     assert got[80] == (False, False) and got[81] == (False, False) and got[82] == (False, True)
 
 
+def test_last_pool_and_every_step(spark, monkeypatch):
+    """A rare language of 20 rows is judged by all rows; steps go on while a determinant falls; SQL gives the same."""
+    import duckdb
+
+    from stocksmith.llm.oracles import quality_sql
+    rng = random.Random(9)
+
+    def marked(text):
+        long, sign = 0.6 * rng.random(), rng.random() ** 4
+        return " ".join(("x" * 12 if rng.random() < long else w) + (" #*" if rng.random() < sign else "") for w in text.split(" "))
+
+    rows = [("en", f"s{i % 2}", marked(prose(rng, 100))) for i in range(300)]
+    rows += [("xx", f"r{i % 4}", prose(rng, 100)) for i in range(20)] + [("xx", "r0", re.sub(r"\w+", "#" * 40, prose(rng, 80)))]
+    df = spark.createDataFrame([(i, t, a, b) for i, (a, b, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string")
+    models, fit = [], quality_mcd.fit
+    monkeypatch.setattr(quality_mcd, "fit", lambda rows: models.append(fit(rows)) or models[-1])
+    got = {r.doc_id: r.kept for r in quality_mcd.quality(df).collect()}
+    c = quality_mcd
+    assert [got[i] for i in range(len(rows))] == quality(rows, c.LEAST_SPREAD, c.chi2_quantile(1 - c.TAIL), c.chi2_quantile(0.975), c.consistency(0.75), c.consistency(0.975))
+    assert not got[len(rows) - 1] and sum(got[i] for i in range(300, 320)) == 20
+    assert models[0].steps > 4
+    documents = df.toPandas()  # noqa: F841  read by the SQL
+    assert dict(duckdb.sql(f"select doc_id, kept from ({quality_sql()})").fetchall()) == got
+
+
 def test_quality_is_native(spark):
     plan = quality_mcd.quality(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
