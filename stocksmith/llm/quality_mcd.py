@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -248,10 +248,9 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns.
 
-    Texts are not shuffled: the estimates are fitted first, then the counts are
-    taken again beside the texts."""
+    Texts are neither shuffled nor counted twice: each row is written once beside its
+    vector, the estimates are fitted from the vectors alone, and the rows are read again."""
     keep = [F.struct("*").alias("doc"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")]
-    vectors = ["lang", "source", "base_failed", *(f"x{i}" for i in range(DIMS))]
-    rows = with_vectors(with_counts(docs, F.col(text), keep[1:])).select(*vectors)
-    model = fit(checkpointed(docs.sparkSession, rows))
-    return judge(with_vectors(with_counts(docs, F.col(text), keep)), model).where("kept").select("doc.*")
+    rows = with_vectors(with_counts(docs, F.col(text), keep))
+    rows = written(docs.sparkSession, rows.select("doc", "lang", "source", "base_failed", *(f"x{i}" for i in range(DIMS))), "quality")
+    return judge(rows, fit(rows.drop("doc"))).where("kept").select("doc.*")
