@@ -54,6 +54,7 @@ def _load_all() -> None:
     from . import queries_read  # noqa: F401  (registers on import)
     from . import queries_write  # noqa: F401
     from . import queries_log  # noqa: F401
+    from . import queries_deltas  # noqa: F401
     from . import queries_index  # noqa: F401
     from . import queries_stream  # noqa: F401
 

@@ -49,6 +49,11 @@ def top_products(items: DataFrame, orders: DataFrame, products: DataFrame, categ
     per_product = sold.groupBy("product_id").agg(
         F.sum("quantity").cast("bigint").alias("total_sold"),
         F.sum(C.line_total()).cast("decimal(18,2)").alias("total_revenue"))
+    return rank_products(per_product, products, categories, n)
+
+
+def rank_products(per_product: DataFrame, products: DataFrame, categories: DataFrame, n: int) -> DataFrame:
+    """R2 from product_id, total_sold and total_revenue."""
     # all revenue as a sum over the products' sums: the subquery reads the
     # same exchange as the ranking, so items and orders are scanned once
     grand_cents = per_product.select(F.sum(M.cents(F.col("total_revenue")))).scalar()
@@ -76,6 +81,11 @@ def sales_summary(orders: DataFrame, period: str = "month", last: int = 12) -> D
         F.count(live_cents).alias("_rev_n"),
         C.status_count("delivered").alias("delivered_orders"),
         C.status_count("cancelled").alias("cancelled_orders"))
+    return finish_sales(agg, last)
+
+
+def finish_sales(agg: DataFrame, last: int) -> DataFrame:
+    """R3 from the counts and cent sums of each period."""
     agg = agg.select("period", "total_orders",
                      M.from_cents(F.coalesce(F.col("_rev_cents"), F.lit(0))).alias("total_revenue"),
                      M.avg_money(F.col("_rev_cents"), F.col("_rev_n")).alias("avg_order_value"),
@@ -94,6 +104,11 @@ def customer_analytics(orders: DataFrame, users: DataFrame, n: int = 10) -> Data
         C.status_count("delivered").alias("completed_orders"),
         F.sum(live_cents).alias("_ltv_cents"),
         F.count(live_cents).alias("_ltv_n"))
+    return finish_customers(per_user, users, n)
+
+
+def finish_customers(per_user: DataFrame, users: DataFrame, n: int) -> DataFrame:
+    """R4 from the counts and cent sums of each user."""
     j = per_user.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     j = j.select("user_id", "total_orders", "completed_orders",
                  M.from_cents(F.coalesce(F.col("_ltv_cents"), F.lit(0))).alias("lifetime_value"),
