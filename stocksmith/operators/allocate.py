@@ -80,7 +80,8 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
                     F.lit(OPEN).alias("state")))
     work = _cut(work)
     # hot products only shrink as rounds drop decided orders: find them once
-    hot = running.hot_keys(work, ["product_id"], hot_threshold) or running.NO_HOT_KEYS
+    levels = running.time_levels(F.col("created_at"), F.col("request_id"))
+    hot = running.hot_levels(work, ["product_id"], levels, hot_threshold)
     rounds, accepted, kept_rows = 0, [], []
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     open_rows = 1 if not work.isEmpty() else 0
@@ -91,7 +92,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
             work, ["product_id"], order,
             {"_hi": F.when(F.col("state").isin(OPEN, ACCEPTED), q).otherwise(0),
              "_lo": F.when(F.col("state") == ACCEPTED, q).otherwise(0)},
-            chunk=running.time_levels(F.col("created_at"), F.col("request_id")), hot=hot)
+            chunk=levels, hot=hot)
         # an open row's own units are in _hi (inclusive) but not in _lo, so
         # "hi before + q fits" is _hi <= stock and "lo before + q fails" is _lo + q > stock
         fits = F.col("_hi") <= F.col("stock")
@@ -144,7 +145,7 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
                              F.col("request_id").alias("ref_id"), "line_no")
     start = products.select(F.col("id").alias("product_id"), "stock_quantity")
     touched = moves.groupBy("product_id").agg(F.sum("delta").alias("_d"))
-    audit = R.stock_ledger(moves, start=start.join(touched.select("product_id"), "product_id", "left_semi"))
+    audit = R.stock_ledger(moves, start=start)
     new_products = products.join(touched.withColumnRenamed("product_id", "id"), "id", "left") \
         .withColumn("stock_quantity", (F.col("stock_quantity") + F.coalesce(F.col("_d"), F.lit(0))).cast("int")) \
         .withColumn("updated_at", F.when(F.col("_d").isNotNull(), now).otherwise(F.col("updated_at"))) \
