@@ -163,20 +163,30 @@ def stock_ledger(movements: DataFrame, start: DataFrame | None = None,
     """Audit rows from signed stock movements.
 
     ``movements``: product_id, changed_by, delta, reason, changed_at, ref_id,
-    line_no.  ``start``: (product_id, stock_quantity) before the movements,
-    or None for 0.  Each row gets quantity_after = start + running sum of
-    delta per product in (changed_at, ref_id, line_no) order, and
-    quantity_before = quantity_after - delta.  Hot products are split by
-    time and reference id (see :mod:`running`)."""
-    mv = movements.withColumn("_phase", F.lit(1))
+    line_no.  ``start``: (product_id, stock_quantity) before the movements
+    (rows without a product_id count for none), or None for 0.  Each row gets
+    quantity_after = start + running sum of delta per product in (changed_at,
+    ref_id, line_no) order, and quantity_before = quantity_after - delta.  Hot
+    products are split by time and reference id (see :mod:`running`); the start
+    is joined to the rows where they lie, after their only shuffle."""
+    chunk = running.time_levels(F.col("changed_at"), F.col("ref_id"))
+    hot = running.hot_levels(movements, ["product_id"], chunk, hot_threshold)
+    order = [F.col(c) for c in LEDGER_ORDER]
+    delta = F.col("delta").cast("bigint")
     if start is not None:
+        start = start.filter(F.col("product_id").isNotNull())
+    if start is None:
+        led = running.running_sum(movements, ["product_id"], order, delta, "_after", chunk=chunk, hot=hot)
+    elif not hot:
+        had = start.groupBy("product_id").agg(F.sum(F.col("stock_quantity").cast("int")).alias("_start"))
+        led = running.running_sum(movements, ["product_id"], order, delta, "_moved", chunk=chunk, hot=hot).join(had, "product_id", "left")
+        led = led.withColumn("_after", F.coalesce(F.col("_start") + F.col("_moved"), F.col("_start"), F.col("_moved")))
+    else:
+        # the start is the first row of its product: it has no time, so it is in the product's first chunk
         base = start.select("product_id", F.col("stock_quantity").cast("int").alias("delta"), F.lit(0).alias("_phase"))
-        mv = mv.unionByName(base, allowMissingColumns=True)
-    order = [F.col("_phase")] + [F.col(c) for c in LEDGER_ORDER]
-    led = running.running_sum(mv, ["product_id"], order, F.col("delta").cast("bigint"), "_after",
-                              chunk=[F.col("_phase"), *running.time_levels(F.col("changed_at"), F.col("ref_id"))],
-                              threshold=hot_threshold)
-    led = led.filter(F.col("_phase") == 1)
+        rows = movements.withColumn("_phase", F.lit(1)).unionByName(base, allowMissingColumns=True)
+        led = running.running_sum(rows, ["product_id"], [F.col("_phase"), *order], delta, "_after", chunk=chunk, hot=hot)
+        led = led.filter(F.col("_phase") == 1)
     return led.select(
         "product_id", "changed_by",
         (F.col("_after") - F.col("delta")).cast("int").alias("quantity_before"),

@@ -3,6 +3,7 @@ import contextlib
 import io
 import tempfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stocksmith.functions import predicates as P
@@ -81,3 +82,52 @@ def test_scale_conf_sizes_partitions_from_input():
     assert int(c["spark.sql.shuffle.partitions"]) == 10 * (1 << 40) // (256 << 20)    # 40,960
     small = scale_conf(1 << 30, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 120                            # 3 waves of 40 cores
+
+
+def _line_items(spark):
+    """Lines whose columns after the price differ alone, lines that come twice, and lines without a number."""
+    import tempfile
+    rows = [(o, p, 1, n, 2.0, 10.0 * o, 0.01 * k, 0.1 * k, f"2001-01-{k + 1:02d}")
+            for o in range(40) for n in (1, 1, None) for p in (3, 3, 900) for k in (0, 1)]
+    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_shipdate string").write.parquet(f"{base}/lineitem.parquet")
+    return base
+
+
+def test_line_numbers_shuffle_what_can_change_them(spark):
+    """Columns that only part equal rows are not shuffled, and the numbers are those of the whole order."""
+    from stocksmith.sources import fixtures as FX
+    base = _line_items(spark)
+    got = FX.order_items(spark, base)
+    assert not any(c in got._jdf.queryExecution().executedPlan().toString() for c in ("l_shipdate", "l_tax", "l_discount"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    want = spark.read.parquet(f"{base}/lineitem.parquet").select(F.col("l_orderkey").alias("order_id"), F.row_number().over(w).alias("line_no"),
+                                                                F.col("l_partkey").alias("product_id"))
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_the_start_of_a_ledger_is_not_shuffled_with_its_rows(spark):
+    """Rows that lie by product already are not shuffled again for the start, which may name a product twice or without stock."""
+    from stocksmith.operators import relations as R
+    mv = spark.range(300).select((F.col("id") % 7).alias("product_id"), F.lit(None).cast("long").alias("changed_by"),
+                                 (F.col("id") % 11 - 5).cast("int").alias("delta"), F.lit("x").alias("reason"),
+                                 F.lit("2001-01-01").cast("timestamp_ntz").alias("changed_at"), F.col("id").alias("ref_id"), F.lit(1).alias("line_no"))
+    mv = mv.withColumn("product_id", F.when(F.col("product_id") < 6, F.col("product_id")))
+    start = spark.createDataFrame([(0, 5), (1, 5), (1, 20), (2, None), (9, 3), (None, 100)], "product_id long, stock_quantity int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = R.stock_ledger(mv.repartition(8, "product_id"), start, hot_threshold=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "Union" not in plan
+        hot = R.stock_ledger(mv, start, hot_threshold=10)
+        had = {0: 5, 1: 25}
+        total, want = {}, []
+        for r in sorted(mv.collect(), key=lambda r: r.ref_id):
+            before = total.get(r.product_id, had.get(r.product_id, 0))
+            total[r.product_id] = before + r.delta
+            want.append((r.ref_id, before, before + r.delta))
+        for df in (got, hot):
+            assert sorted((r.ref_id, r.quantity_before, r.quantity_after) for r in df.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
