@@ -93,6 +93,24 @@ def test_a_deep_page_reads_one_range(spark):
     assert read == {"15"}, read
 
 
+def test_many_ranges_share_folders(spark):
+    """Far more ranges than folders: as many tasks and folders as the rows need, ranges of the asked size, the same pages."""
+    import os
+    rows = spark.range(6000).select(((F.col("id") * 7919) % 6000).alias("id"), (F.col("id") % 13).cast("int").alias("v"))
+    order, root = P.sort_columns("v", False), _folder()
+    pages = PagedList.write(rows, root, order, 10)
+    folders = [n for n in os.listdir(f"{root}/rows") if n.startswith("_range=")]
+    assert len(pages.counts) >= 600 and len(folders) <= 64 and max(pages.counts.values()) <= 10
+    for where in (None, F.col("id") % 5 == 2):
+        want = (rows if where is None else rows.where(where)).orderBy(*order)
+        for no, limit in ((1, 10), (37, 10), (3, 333), (500, 2), (1, 6000), (900, 10)):
+            assert pages.page(no, limit, where).collect() == want.offset((no - 1) * limit).limit(limit).collect(), (no, limit)
+        assert pages.total(where) == want.count()
+    page = pages.page(300, 10)
+    assert len({f.split("/_range=")[1].split("/")[0] for f in page.inputFiles()}) <= 2
+    assert "_slice" in _plan(page).split("PushedFilters: [")[1].split("]")[0]
+
+
 def test_unfinished_and_empty_lists(spark):
     root = _folder()
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
