@@ -150,7 +150,8 @@ def _held(requests: DataFrame, revocations: DataFrame, days: int, how: str) -> D
     and day, not by key alone."""
     r = revocations.select("key", F.col("ts").alias("_from"), (F.col("ts") + F.expr(f"interval {days} days")).alias("_to")).distinct()
     r = r.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
-    q, r = requests.alias("q"), r.alias("r")
+    # merged and not broadcast: these are many times the rows that the files' size tells of
+    q, r = requests.alias("q"), r.alias("r").hint("merge")
     return q.join(r, (F.col("q.key") == F.col("r.key")) & (F.to_date(F.col("q.ts")) == F.col("r._day"))
                   & (F.col("q.ts") >= F.col("r._from")) & (F.col("q.ts") < F.col("r._to")), how)
 

@@ -51,6 +51,22 @@ def test_one_late_request_and_its_revocation(spark):
         assert [r.request_id for r in spark.read.parquet(f"{base}/out").collect()] == ["late"]
 
 
+def test_revocations_are_not_broadcast(spark):
+    """A few hundred bytes of file become eight rows for each revocation: no task holds them all, however small the file looks."""
+    import contextlib
+    import io
+    base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    keys = spark.range(2000).select(F.col("id").alias("key"), F.lit(T0).cast("timestamp_ntz").alias("ts"))
+    keys.write.parquet(f"{base}/keys")
+    asked = keys.select("key", (F.col("ts") + F.expr("interval 3 days")).alias("ts"), F.col("key").cast("string").alias("request_id"))
+    for how, want in (("left_semi", 2000), ("left_anti", 0)):
+        held = ST._held(asked, spark.read.parquet(f"{base}/keys"), 7, how)
+        assert held.count() == want
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            held.explain()
+        assert "SortMergeJoin" in out.getvalue() and "Broadcast" not in out.getvalue()
+
+
 def test_refused_requests(spark):
     rng = random.Random(3)
     rows = [(T0 + dt.timedelta(seconds=rng.randrange(120)), rng.choice("ab"), f"r{i}") for i in range(300)] + [(T0, None, "x"), (T0, None, "y")]
