@@ -47,8 +47,11 @@ from part"""
 
 
 def patch_batch(t):
-    """Product patches, one per part: some fields NULL (keep), some invalid."""
-    p = t.raw("part")
+    """Product patches, one per part: some fields NULL (keep), some invalid.
+
+    Dealt by key first: a file of parts is one task, however long, and the rules
+    that follow are most of the work."""
+    p = t.raw("part").repartition("p_partkey")
     s = F.col("p_size")
     return p.select(
         F.col("p_partkey").alias("id"), (F.col("p_partkey") + 1).alias("seq"),
@@ -824,7 +827,7 @@ def s3(t):
     """Products written as version 1, the patched table (M2) committed as
     version 2, and the newest committed version read back."""
     root = shared_path(t.spark, "snapshots")
-    TB.write_snapshot(t.products, root, "products")
+    TB.write_snapshot(t.products.repartition("id"), root, "products")
     TB.write_snapshot(_patched(t).table, root, "products")
     return TB.load_table(t.spark, root, "products").select("id", "price")
 

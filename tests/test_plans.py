@@ -131,3 +131,12 @@ def test_the_start_of_a_ledger_is_not_shuffled_with_its_rows(spark):
             assert sorted((r.ref_id, r.quantity_before, r.quantity_after) for r in df.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_patches_are_dealt_before_they_are_checked(spark, tables):
+    """One file of parts is one task; the rules run after the exchange, in as many as there are."""
+    from stocksmith.operators import validate as V
+    from stocksmith.plans.queries_write import patch_batch
+    plan = V.product_patches(patch_batch(tables))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(p_partkey" in plan
+    assert plan.index("regexp") < plan.index("Exchange hashpartitioning(p_partkey")
