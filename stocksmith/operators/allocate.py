@@ -19,8 +19,8 @@ settles at least one order per product chain; in practice a few rounds
 settle everything.  The result equals processing the orders one by one.
 
 Rejected orders leave the working set each round.  So do all rows of products
-that no open order names any more, so the rounds work on ever fewer rows.  Every round cuts lineage with reliable ``checkpoint()``s under
-``spark.checkpoint.dir``.
+that no open order names any more, so the rounds work on ever fewer rows.  Every round cuts lineage by writing its decisions and rows
+under the shared folder; the rows of the round before are removed.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_AS_OF, shared_root, ts_lit
+from ..session import DEFAULT_AS_OF, shared_path, ts_lit
 from ..sources import schemas as S
+from ..sources.commits import Files
 from . import relations as R
 from . import running
 from . import validate as V
@@ -38,12 +39,11 @@ from . import validate as V
 OPEN, ACCEPTED, REJECTED = "open", "accepted", "rejected"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cuts lineage), then re-alias every column: the
-    checkpointed plans of several rounds would otherwise share column ids,
-    which trips the optimizer when they are unioned."""
-    cp = df.checkpoint(eager=True)
-    return cp.select(*[F.col(c).alias(c) for c in cp.columns])
+def _cut(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Rows written once under ``folder`` and read back: cuts lineage.  A checkpoint would run its last stage
+    twice and keep whole rows; readers of these files take the columns that they need."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 @dataclass
@@ -65,12 +65,12 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
     Rejection reasons: the V1 rules, then ``product_not_found`` (an item
     names a missing or deleted product), then ``insufficient_stock``."""
     spark = requests.sparkSession
-    shared_root(spark)   # reliable checkpoints need the shared folder
+    folder = shared_path(spark, "placement")
     now = ts_lit(as_of or DEFAULT_AS_OF)
 
-    requests = _cut(requests)        # read three times below; computed once
+    requests = _cut(requests, folder, "requests")        # read three times below; computed once
     prod = products.select(F.col("id").alias("product_id"), "stock_quantity", "price")
-    static = _cut(V.orders(requests, products.filter(F.col("deleted_at").isNull())))
+    static = _cut(V.orders(requests, products.filter(F.col("deleted_at").isNull())), folder, "static")
     valid = static.filter(F.col("reason").isNull()).select("request_id")
     items = requests.filter(F.col("line_no").isNotNull()).join(prod, "product_id", "left")
 
@@ -78,13 +78,14 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
             .select("request_id", "line_no", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
                     F.col("stock_quantity").cast("bigint").alias("stock"), "created_at",
                     F.lit(OPEN).alias("state")))
-    work = _cut(work)
+    work = _cut(work, folder, "work-0")
     # hot products only shrink as rounds drop decided orders: find them once
     levels = running.time_levels(F.col("created_at"), F.col("request_id"))
     hot = running.hot_levels(work, ["product_id"], levels, hot_threshold)
     rounds, accepted, kept_rows = 0, [], []
     order = [F.col("created_at"), F.col("request_id"), F.col("line_no")]
     open_rows = 1 if not work.isEmpty() else 0
+    files = Files(spark, folder)
     while open_rows:
         rounds += 1
         q = F.col("quantity")
@@ -102,21 +103,18 @@ def place_orders(products: DataFrame, requests: DataFrame, as_of=None, hot_thres
                .select("request_id", F.when(F.col("_all_fit"), F.lit(ACCEPTED))
                        .when(F.col("_any_fail"), F.lit(REJECTED)).alias("new_state"))
                .filter(F.col("new_state").isNotNull()))
-        dec = _cut(dec)
-        now_in = dec.filter(F.col("new_state") == ACCEPTED).select("request_id")
-        accepted.append(now_in)
+        dec = _cut(dec, folder, f"decided-{rounds}")
+        accepted.append(dec.filter(F.col("new_state") == ACCEPTED).select("request_id"))
         # rejected orders leave the working set (they hold no stock); accepted
-        # rows stay while an open order of their product may count them.  Semi- and
-        # anti-joins keep the size estimate of a round that of its input; an outer
-        # join would multiply it, round after round
-        rest = work.join(dec.filter(F.col("new_state") == REJECTED), "request_id", "left_anti")
-        nxt = rest.join(now_in, "request_id", "left_semi").withColumn("state", F.lit(ACCEPTED)) \
-            .unionByName(rest.join(now_in, "request_id", "left_anti"))
+        # rows stay while an open order of their product may count them
+        nxt = work.join(dec, "request_id", "left").withColumn("state", F.coalesce("new_state", "state")).drop("new_state") \
+            .filter(F.col("state") != REJECTED)
         unsettled = nxt.filter(F.col("state") == OPEN).select("product_id")
         nxt = nxt.join(unsettled, "product_id", "left_semi")
-        # the open-row count is observed by the checkpoint job itself
+        # the open-row count is observed by the job that writes the rows
         seen = Observation(f"placement_round_{rounds}")
-        work = _cut(nxt.observe(seen, F.count_if(F.col("state") == OPEN).alias("open"), F.count(F.lit(1)).alias("rows")))
+        work = _cut(nxt.observe(seen, F.count_if(F.col("state") == OPEN).alias("open"), F.count(F.lit(1)).alias("rows")), folder, f"work-{rounds}")
+        files.remove(f"{folder}/work-{rounds - 1}")
         open_rows = seen.get["open"]
         kept_rows.append(seen.get["rows"])
 

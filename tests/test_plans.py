@@ -140,3 +140,28 @@ def test_patches_are_dealt_before_they_are_checked(spark, tables):
     plan = V.product_patches(patch_batch(tables))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(p_partkey" in plan
     assert plan.index("regexp") < plan.index("Exchange hashpartitioning(p_partkey")
+
+
+def test_placement_keeps_one_state(spark):
+    """Each round's rows are written once and replace those of the round before; nothing goes through checkpoints."""
+    import os
+    from stocksmith.operators.allocate import place_orders
+    from stocksmith.session import shared_root
+    products = spark.createDataFrame([(1, 10), (2, 3)], "id long, stock_quantity int").selectExpr(
+        "id", "stock_quantity", "cast(2 as decimal(10,2)) price", "cast(null as timestamp_ntz) deleted_at", "cast(null as timestamp_ntz) updated_at")
+    rows = [(r, 1, 1 + r % 2, 2 + r % 3, 1, None, "2001-01-01") for r in range(1, 12)]
+    requests = spark.createDataFrame(rows, "request_id long, line_no int, product_id long, quantity int, user_id long, notes string, c string")
+    requests = requests.withColumn("created_at", F.col("c").cast("timestamp_ntz")).drop("c")
+    base = f"{shared_root(spark)}/stocksmith".removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    placed = place_orders(products, requests)
+    new = [n for n in set(os.listdir(base)) - before if n.startswith("placement-")]
+    assert len(new) == 1 and placed.rounds > 1
+    assert [n for n in os.listdir(f"{base}/{new[0]}") if n.startswith("work-")] == [f"work-{placed.rounds}"]
+    stock, want = {1: 10, 2: 3}, []
+    for r, _, p, q, *_ in rows:
+        if stock[p] >= q:
+            stock[p] -= q
+            want.append(r)
+    assert sorted(d.request_id for d in placed.decisions.where("accepted").collect()) == want
+    assert {r.id: r.stock_quantity for r in placed.products.collect()} == stock
